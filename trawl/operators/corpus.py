@@ -49,7 +49,10 @@ def running_totals(df: DataFrame, order: list[str], sums: list[str], n_partition
     then a partition-local cumulative sum. No window over the whole table.
     """
     n = n_partitions or max(1, df.sparkSession.sparkContext.defaultParallelism)
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint()
+    # checkpoint (not a written table): it keeps the range partitioning the offsets rely on;
+    # persisted first so the checkpoint write does not recompute the plan.
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).persist()
+    ranged = ranged.checkpoint()
     totals_rows = (ranged.groupBy(F.spark_partition_id().alias("pid"))
                    .agg(F.count(F.lit(1)).alias("rows"), *[F.sum(c).cast("long").alias(c) for c in sums])
                    .collect())  # one row per partition

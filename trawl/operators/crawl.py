@@ -19,7 +19,7 @@ Definitions (fixed so the result never depends on timing):
 * A page is *visited* once fetched (found in the page table), before the language gate.
   Off-language pages give neither text nor links.
 
-Each level cuts lineage with a reliable ``checkpoint()`` in ``spark.checkpoint.dir``.
+Each level cuts lineage with a parquet table written under ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import cut, ensure_checkpoint_dir
 from ..functions.urls import is_blacklisted_extension
 
 SALT_BUCKETS = 64
@@ -100,7 +100,7 @@ def crawl(
     frontier = (seeds.select("keyword", F.col("seq").cast("long").alias("seq"), "url")
                 .dropDuplicates(["keyword", "url"])
                 .withColumn("depth", F.lit(0)))
-    frontier = frontier.checkpoint()
+    frontier = cut(frontier, "frontier")
     claimed_parts = [visited, frontier.select("url")]
     used = frontier.groupBy("keyword").agg(F.count(F.lit(1)).alias("used"))
     reached_parts: list[DataFrame] = []
@@ -119,7 +119,7 @@ def crawl(
         level = (level.withColumn("accepted", F.col("fetched") & F.coalesce("accepted", F.lit(False)))
                  .withColumn("lang", F.when(F.col("fetched"), F.col("lang")))
                  .select("keyword", "seq", "url", "depth", "fetched", "lang", "accepted", "links"))
-        level = level.checkpoint()
+        level = cut(level, "level")
         reached_parts.append(level.select("keyword", "seq", "url", "depth", "fetched", "lang", "accepted"))
         if depth > max_depth:
             break
@@ -137,11 +137,12 @@ def crawl(
             cand = cand.join(allowance, "keyword", "left").withColumn(
                 "__allow", F.coalesce("__allow", F.lit(budget)))
             cand = top_per_group(cand.where(F.col("__allow") > 0), "keyword", ["url"], "__allow").drop("__allow")
-        frontier = cand.withColumn("depth", F.lit(depth + 1)).checkpoint()
+        frontier = cut(cand.withColumn("depth", F.lit(depth + 1)), "frontier")
         claimed_parts.append(frontier.select("url"))
         if budget is not None:
             used = (used.unionByName(frontier.groupBy("keyword").agg(F.count(F.lit(1)).alias("used")))
-                    .groupBy("keyword").agg(F.sum("used").alias("used"))).checkpoint()
+                    .groupBy("keyword").agg(F.sum("used").alias("used")))
+            used = cut(used, "used")
         if frontier.isEmpty():
             break
 

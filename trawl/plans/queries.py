@@ -195,3 +195,187 @@ def q_corpus_stats(spark, sf_dir):
 
     a = _analyzed(spark, sf_dir).withColumn("keyword", U.url_netloc("url"))
     return corpus_stats(a, ["keyword"])
+
+
+# --------------------------------------------------------------------------- language
+def langid_sql(train: str, target: str, key: str, n: int = 3, top_k: int = 400) -> str:
+    """CTE chain ending in ``pred(<key>, pred_lang)``: the same naive Bayes in SQL.
+
+    ``train`` yields ``(text, lang)``, ``target`` yields ``(<key>, text)``.
+    """
+    norm = f"lower(trim(regexp_replace(coalesce(text, ''), '{WS_RE2}+', ' ', 'g')))"
+    # trigrams of every word padded with one space on each side
+    grams = ("unnest(list_transform(range(1, length(w)), lambda i: substring(' ' || w || ' ', i, 3)))")
+    words = "unnest(string_split(s, ' '))"
+    return f"""
+tn as materialized (select lang, {words} w from (select lang, {norm} s from ({train}) where lang is not null)),
+tg as materialized (select lang, {grams} gram from tn where w <> ''),
+tc as materialized (select lang, gram, count(*) c from tg group by all),
+tr as (select lang, gram, c, row_number() over (partition by lang order by c desc, gram) rn from tc),
+tf as (select distinct gram from tr where rn <= {top_k}),
+tv as (select count(*) v from tf),
+tfc as (select tc.lang, tc.gram, tc.c from tc join tf using (gram)),
+tt as (select lang, sum(c) t from tfc group by lang),
+td as (select lang, count(*) nd from ({train}) where lang is not null group by lang),
+tl as (select td.lang, ln(nd / (select sum(nd) from td)) prior,
+              -ln(coalesce(tt.t, 0) + (select v from tv)) dflt from td left join tt using (lang)),
+tw as materialized (select tfc.gram, tfc.lang, ln(tfc.c + 1) - ln(tt.t + (select v from tv)) - tl.dflt delta
+       from tfc join tt using (lang) join tl using (lang)),
+qn as materialized (select {key}, {words} w from (select {key}, {norm} s from ({target}))),
+qg as materialized (select {key}, {grams} gram from qn where w <> ''),
+qf as (select {key}, count(*) nf from qg join tf using (gram) group by all),
+qs as (select {key}, lang, sum(delta) s from qg join tw using (gram) group by all),
+qsc as (select qf.{key}, tl.lang, tl.prior + qf.nf * tl.dflt + coalesce(qs.s, 0) score
+        from qf cross join tl left join qs on qs.{key} = qf.{key} and qs.lang = tl.lang),
+qb as (select {key}, lang from (select *, row_number() over (partition by {key} order by score desc, lang desc) r
+                                 from qsc) where r = 1),
+pred as (select t.{key}, coalesce(qb.lang, (select lang from tl order by prior desc, lang desc limit 1)) pred_lang
+         from ({target}) t left join qb using ({key}))
+"""
+
+
+@query("lang_classify", "with " + langid_sql("select text, lang from documents",
+                                              "select doc_id, text from documents", "doc_id")
+       + "select doc_id, pred_lang from pred")
+def q_lang_classify(spark, sf_dir):
+    """train on ``documents(text, lang)``, label every document (argmax)."""
+    from ..operators import langid as LID
+
+    docs = FX.table(spark, sf_dir, "documents")
+    model = LID.train(docs.select("text", "lang"))
+    return LID.classify(docs.select("doc_id", "text"), model, "text", "doc_id").select("doc_id", "pred_lang")
+
+
+_PAGE_TEXT_SQL = paragraphs_sql() + """,
+ptext as (select p.page_id, p.url, coalesce(string_agg(para.text, ' ' order by para.para_idx), '') as text
+          from pages p left join para using (page_id) group by all)"""
+
+
+@query("lang_gate", _PAGE_TEXT_SQL + ", " + langid_sql("select text, lang from documents",
+                                                      "select page_id, text from ptext", "page_id")
+       + "select ptext.page_id, ptext.url, pred_lang from ptext join pred using (page_id) where pred_lang = 'en'")
+def q_lang_gate(spark, sf_dir):
+    """F4 + F5 + P8: page text = paragraphs joined by a space; keep pages labelled ``en``."""
+    from ..operators import langid as LID
+
+    model = LID.train(FX.table(spark, sf_dir, "documents").select("text", "lang"))
+    pt = PG.page_text(_analyzed(spark, sf_dir)).select("page_id", "url", "page_text")
+    return LID.classify(pt, model, "page_text", "page_id").where(F.col("pred_lang") == "en").drop("page_text")
+
+
+# --------------------------------------------------------------------------- URL operators
+_EXT_VARIANTS = ['.pdf', '.PDF?x=1', '.pdf;x=1', '.docx#z', '.php/', ' b.jpeg', '.aspx;v/a', '%2Epdf',
+                 '.jsp?f=a.pdf', '.xlsx', '']
+_PATH_SQL = "regexp_replace(regexp_extract({u}, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), ';[^/]*$', '')"
+_BLACK_SQL = ("regexp_matches(lower(" + _PATH_SQL + "), "
+              "'(\\.pdf|\\.php|\\.aspx|\\.jsp|\\.doc|\\.docx|\\.xlsx|\\.jpg|\\.jpeg|\\.png)$')")
+
+
+def _ext_candidates(pages: DataFrame) -> DataFrame:
+    base = F.regexp_replace("url", "[?#].*$", "")
+    sfx = F.element_at(F.array(*[F.lit(s) for s in _EXT_VARIANTS]), (F.col("page_id") % len(_EXT_VARIANTS) + 1).cast("int"))
+    return pages.select("page_id", F.lit(0).alias("variant"), "url").unionByName(
+        pages.select("page_id", F.lit(1).alias("variant"), F.concat(base, sfx).alias("url")))
+
+
+_EXT_CAND_SQL = ("(select page_id, 0 as variant, url from pages union all "
+                 "select page_id, 1, regexp_replace(url, '[?#].*$', '') || "
+                 f"[{', '.join(repr(s) for s in _EXT_VARIANTS)}][page_id % {len(_EXT_VARIANTS)} + 1] from pages)")
+
+
+@query("url_blacklist", f"""
+select page_id, variant, url, {_BLACK_SQL.format(u='url')} as blacklisted from {_EXT_CAND_SQL}""")
+def q_url_blacklist(spark, sf_dir):
+    """P3 + F8 + F16: lowercased URL path (``;params`` of the last segment removed) ends with a listed extension."""
+    c = _ext_candidates(FX.table(spark, sf_dir, "pages"))
+    return c.withColumn("blacklisted", U.is_blacklisted_extension("url"))
+
+
+_SPAM_VARIANTS = U.SPAM_MARKERS + ["", "", ""]
+
+
+@query("spam_filter", f"""
+with c as (select page_id, replace(url, '://', '://' || {[s for s in _SPAM_VARIANTS]}[page_id % {len(_SPAM_VARIANTS)} + 1] || '.') as url from pages)
+select page_id, url from c where not ({' or '.join(f"contains(lower(url), '{m}')" for m in U.SPAM_MARKERS)})""")
+def q_spam_filter(spark, sf_dir):
+    """P5: drop URLs holding any spam marker anywhere (lowercased)."""
+    p = FX.table(spark, sf_dir, "pages")
+    mark = F.element_at(F.array(*[F.lit(s) for s in _SPAM_VARIANTS]), (F.col("page_id") % len(_SPAM_VARIANTS) + 1).cast("int"))
+    c = p.select("page_id", F.replace("url", F.lit("://"), F.concat(F.lit("://"), mark, F.lit("."))).alias("url"))
+    return c.where(~U.is_spam("url"))
+
+
+_CT_SQL = """case when url like '%.html' then 'text/html; charset=utf-8'
+  when url like '%?%' then 'application/pdf' when url like '%#%' then null
+  when url like '%/' then 'Application/PDF' else 'text/html' end"""
+
+
+@query("content_type_blacklist", f"""
+select page_id, url, content_type from (select page_id, url, {_CT_SQL} as content_type from pages)
+where not contains(coalesce(content_type, ''), 'application/pdf')""")
+def q_content_type_blacklist(spark, sf_dir):
+    """Drop responses whose Content-Type holds ``application/pdf`` (case-sensitive)."""
+    p = FX.table(spark, sf_dir, "pages")
+    u = F.col("url")
+    ct = (F.when(u.endswith(".html"), "text/html; charset=utf-8").when(u.contains("?"), "application/pdf")
+          .when(u.contains("#"), F.lit(None)).when(u.endswith("/"), "Application/PDF").otherwise("text/html"))
+    return p.select("page_id", "url", ct.alias("content_type")).where(~U.is_blacklisted_content_type("content_type"))
+
+
+_STATUSES = [200, 204, 301, 302, 307, 403, 404, 500, 503, 410, 299, 199]
+
+
+@query("status_filter", f"""
+select page_id, url, status from (select page_id, url, {_STATUSES}[page_id % {len(_STATUSES)} + 1] as status from pages)
+where status between 200 and 299 or status in (301, 302, 307, 403, 404)""")
+def q_status_filter(spark, sf_dir):
+    """Keep 2xx and the let-through statuses 301 302 307 403 404."""
+    p = FX.table(spark, sf_dir, "pages")
+    st = F.element_at(F.array(*[F.lit(s) for s in _STATUSES]), (F.col("page_id") % len(_STATUSES) + 1).cast("int"))
+    return p.select("page_id", "url", st.alias("status")).where(U.status_allowed("status"))
+
+
+def _b64u_spark(c):
+    return F.regexp_replace(F.translate(F.base64(F.encode(c, "UTF-8")), "+/", "-_"), "=+$", "")
+
+
+_B64U_SQL = "regexp_replace(replace(replace(to_base64(encode(url)), '+', '-'), '/', '_'), '=+$', '')"
+_B64P_SQL = "replace(replace(to_base64(encode(url)), '+', '-'), '/', '_')"
+
+
+def _wrappers_spark(p: DataFrame) -> DataFrame:
+    b = _b64u_spark(F.col("url"))
+    padded = F.translate(F.base64(F.encode("url", "UTF-8")), "+/", "-_")
+    cut = F.substring(b, 1, (F.floor((F.length(b) - 1) / 4) * 4 + 1).cast("int"))
+    v = F.col("page_id") % 6
+    w = (F.when(v == 0, F.concat(F.lit("https://www.bing.com/ck/a?!&&p=abc&u=a1"), b, F.lit("&ntb=1")))
+         .when(v == 1, F.concat(F.lit("https://www.bing.com/ck/a?u=a1"), cut))
+         .when(v == 2, F.concat(F.lit("https://www.example.com/ck/a?u=a1"), b))
+         .when(v == 3, F.concat(F.lit("https://www.bing.com/search?u=a1"), b))
+         .when(v == 4, F.concat(F.lit("https://www.bing.com/ck/a?u=a1"), padded))
+         .otherwise(F.concat(F.lit("https://www.bing.com/ck/a?u=&u=a1"), b, F.lit("&u=a1xyz"))))
+    return p.select("page_id", "url", w.alias("wrapped"))
+
+
+@query("redirect_decode", f"""
+with w as (select page_id, url, case page_id % 6
+  when 0 then 'https://www.bing.com/ck/a?!&&p=abc&u=a1' || {_B64U_SQL} || '&ntb=1'
+  when 1 then 'https://www.bing.com/ck/a?u=a1' || substring({_B64U_SQL}, 1, cast(floor((length({_B64U_SQL}) - 1) / 4) * 4 + 1 as integer))
+  when 2 then 'https://www.example.com/ck/a?u=a1' || {_B64U_SQL}
+  when 3 then 'https://www.bing.com/search?u=a1' || {_B64U_SQL}
+  when 4 then 'https://www.bing.com/ck/a?u=a1' || {_B64P_SQL}
+  else 'https://www.bing.com/ck/a?u=&u=a1' || {_B64U_SQL} || '&u=a1xyz' end as wrapped from pages)
+select page_id, wrapped, case when page_id % 6 in (0, 4, 5) then url else wrapped end as decoded from w""")
+def q_redirect_decode(spark, sf_dir):
+    """unwrap click redirects (good, bad-length, other host, other path, padded, blank first ``u``)."""
+    w = _wrappers_spark(FX.table(spark, sf_dir, "pages"))
+    return w.select("page_id", "wrapped", U.decode_redirect("wrapped").alias("decoded"))
+
+
+@query("search_url", f"""
+select distinct {FX.HOST_SQL} as keyword,
+  '{U.SEARCH_URL_PREFIX}' || {FX.HOST_SQL} || '{U.SEARCH_URL_SUFFIX}' as search_url from pages""")
+def q_search_url(spark, sf_dir):
+    """the result-page URL for each keyword (keyword = page host, inserted raw)."""
+    k = FX.host_keywords(FX.table(spark, sf_dir, "pages")).select("keyword").distinct()
+    return k.select("keyword", U.search_url("keyword").alias("search_url"))

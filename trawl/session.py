@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "trawl") -> SparkSession:
@@ -52,3 +52,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh path under the checkpoint root for tables a job writes and reads back."""
     root = ensure_checkpoint_dir(spark)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Cut lineage with a written table: parquet under the checkpoint root, read back.
+
+    One pass (a reliable ``checkpoint()`` without caching computes its plan twice), survives
+    lost executors (shared storage), and stays columnar so later reads prune columns.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
