@@ -14,8 +14,8 @@ Definitions (fixed so the result never depends on timing):
   Pages are thus reached at depths ``0..max_depth+1``.
 * Several keywords crawl together; a URL reached by several at the same level goes to the
   lowest ``seq``. A URL belongs to the first level that reaches it.
-* Budget: at most ``budget`` requests per keyword (seeds included, never cut), the
-  remaining allowance filled level by level in URL order.
+* Budget: at most ``budget`` fetched pages per keyword (seeds included, never cut), the
+  remaining allowance filled level by level in URL order; failed fetches cost nothing.
 * A page is *visited* once fetched (found in the page table), before the language gate.
   Off-language pages give neither text nor links.
 
@@ -87,40 +87,46 @@ def crawl(
 ) -> CrawlResult:
     """Seeds ``(keyword, seq, url)`` → reached pages, corpus rows and the new visited set.
 
-    ``pages_info`` has ``url, links ARRAY<STRING>, paragraphs ARRAY<STRING>`` and, if no
-    ``gate`` is given, a boolean ``accepted``. ``gate(df)`` gets fetched rows
-    ``(…, url, paragraphs)`` and returns them with ``lang`` and ``accepted`` added; it runs on
-    each level's fetched pages only, so its cost follows the crawl, not the page store.
+    ``pages_info(url, links, paragraphs)`` must be unique on ``url`` (a written table, so each
+    level reads only ``url``/``links``). ``gate(df)`` gets fetched rows ``(…, url, paragraphs)``
+    and returns them with ``lang`` and ``accepted``; it runs on each level's fetched pages
+    only, so its cost follows the crawl, not the page store. Without a gate every fetched
+    page is accepted. The budget counts fetched pages per keyword (seeds included, never cut).
     """
     ensure_checkpoint_dir(spark)
     if visited is None:
         visited = spark.createDataFrame([], "url string")
     visited = visited.select("url")
+    info = pages_info.select("url", "links", "paragraphs")
 
-    frontier = (seeds.select("keyword", F.col("seq").cast("long").alias("seq"), "url")
-                .dropDuplicates(["keyword", "url"])
-                .withColumn("depth", F.lit(0)))
-    frontier = cut(frontier, "frontier")
-    claimed_parts = [visited, frontier.select("url")]
-    used = frontier.groupBy("keyword").agg(F.count(F.lit(1)).alias("used"))
+    def fetch(requests: DataFrame) -> DataFrame:
+        # Request → stored response; a URL missing from the page table is a failed fetch.
+        return requests.join(info, "url", "left").withColumn("fetched", F.col("links").isNotNull())
+
+    level = fetch(seeds.select("keyword", F.col("seq").cast("long").alias("seq"), "url")
+                  .dropDuplicates(["keyword", "url"]).withColumn("depth", F.lit(0)))
+    claimed_parts = [visited]
+    used = None
     reached_parts: list[DataFrame] = []
     log: list[dict] = []
 
-    info_cols = ["url", "links", "paragraphs"] + (["accepted"] if gate is None else [])
-    info = pages_info.select(*info_cols)
-
     for depth in range(0, max_depth + 2):
-        # Request → stored response; a URL missing from the page table is a failed fetch.
-        level = frontier.join(info, "url", "left").withColumn("fetched", F.col("links").isNotNull())
         if gate is not None:
             level = gate(level)
         else:
-            level = level.withColumn("lang", F.lit(None).cast("string"))
+            level = level.withColumn("lang", F.lit(None).cast("string")).withColumn("accepted", F.lit(True))
         level = (level.withColumn("accepted", F.col("fetched") & F.coalesce("accepted", F.lit(False)))
                  .withColumn("lang", F.when(F.col("fetched"), F.col("lang")))
                  .select("keyword", "seq", "url", "depth", "fetched", "lang", "accepted", "links"))
         level = cut(level, "level")
-        reached_parts.append(level.select("keyword", "seq", "url", "depth", "fetched", "lang", "accepted"))
+        if depth > 0 and level.isEmpty():
+            break
+        claimed_parts.append(level.select("url"))
+        reached_parts.append(level.drop("links"))
+        if budget is not None:
+            got = level.where("fetched").groupBy("keyword").agg(F.count(F.lit(1)).alias("used"))
+            used = got if used is None else cut(
+                used.unionByName(got).groupBy("keyword").agg(F.sum("used").alias("used")), "used")
         if depth > max_depth:
             break
         cand = (level.where("accepted")
@@ -131,20 +137,14 @@ def crawl(
         claimed = claimed_parts[0]
         for part in claimed_parts[1:]:
             claimed = claimed.unionByName(part)
-        cand = _claim(drop_visited(cand, claimed, "url"))
+        nxt = fetch(_claim(drop_visited(cand, claimed, "url")).withColumn("depth", F.lit(depth + 1)))
         if budget is not None:
             allowance = used.select("keyword", (F.lit(budget) - F.col("used")).alias("__allow"))
-            cand = cand.join(allowance, "keyword", "left").withColumn(
+            nxt = nxt.join(allowance, "keyword", "left").withColumn(
                 "__allow", F.coalesce("__allow", F.lit(budget)))
-            cand = top_per_group(cand.where(F.col("__allow") > 0), "keyword", ["url"], "__allow").drop("__allow")
-        frontier = cut(cand.withColumn("depth", F.lit(depth + 1)), "frontier")
-        claimed_parts.append(frontier.select("url"))
-        if budget is not None:
-            used = (used.unionByName(frontier.groupBy("keyword").agg(F.count(F.lit(1)).alias("used")))
-                    .groupBy("keyword").agg(F.sum("used").alias("used")))
-            used = cut(used, "used")
-        if frontier.isEmpty():
-            break
+            paid = top_per_group(nxt.where("fetched AND __allow > 0"), "keyword", ["url"], "__allow")
+            nxt = paid.unionByName(nxt.where("NOT fetched")).drop("__allow")
+        level = nxt
 
     reached = reached_parts[0]
     for part in reached_parts[1:]:

@@ -123,3 +123,16 @@ def classify(df: DataFrame, model: LangModel, text: str, key: str, out: str = "p
     prior_best = max(langs, key=lambda lg: (model.priors[lg], lg))
     joined = df.join(best, df[key] == best["__key"], "left")
     return joined.withColumn(out, F.coalesce(F.col("__best"), F.lit(prior_best))).drop("__key", "__best")
+
+
+def language_gate(model: LangModel, target: str):
+    """A crawl gate: label each fetched page's text (paragraphs joined by a space, F4) and
+    accept it when the label is ``target`` (P8). Pages are labelled once per URL."""
+
+    def gate(df: DataFrame) -> DataFrame:
+        texts = (df.where("fetched").select("url", F.array_join("paragraphs", " ").alias("__t"))
+                 .dropDuplicates(["url"]))
+        lab = classify(texts, model, "__t", "url").select("url", F.col("pred_lang").alias("lang"))
+        return df.join(lab, "url", "left").withColumn("accepted", F.col("lang") == F.lit(target))
+
+    return gate

@@ -379,3 +379,216 @@ def q_search_url(spark, sf_dir):
     """the result-page URL for each keyword (keyword = page host, inserted raw)."""
     k = FX.host_keywords(FX.table(spark, sf_dir, "pages")).select("keyword").distinct()
     return k.select("keyword", U.search_url("keyword").alias("search_url"))
+
+
+# --------------------------------------------------------------------------- keywords & seeds
+def _raw_keywords(spark, sf_dir) -> DataFrame:
+    """Keyword file rows from ``part``: names with outer spaces/tabs/NBSP, blanks, words."""
+    p = FX.table(spark, sf_dir, "part")
+    v = F.col("p_partkey") % 6
+    raw = (F.when(v == 0, F.concat(F.lit("  "), F.col("p_name"))).when(v == 1, F.concat(F.col("p_name"), F.lit("\t ")))
+           .when(v == 2, F.lit("")).when(v == 3, F.lit(" 　 ")).when(v == 4, F.lit("null")).otherwise(F.col("p_name")))
+    return p.select(F.col("p_partkey").alias("seq"), raw.alias("keyword"))
+
+
+_RAW_KEYWORDS_SQL = """(select p_partkey as seq, case p_partkey % 6 when 0 then '  ' || p_name
+   when 1 then p_name || E'\\t' || chr(160) when 2 then '' when 3 then ' ' || chr(12288) || ' ' when 4 then 'null'
+   else p_name end as keyword from part)"""
+
+
+@query("keyword_clean", f"""
+select seq, keyword from (select seq, regexp_replace(keyword, '^{WS_RE2}+|{WS_RE2}+$', '', 'g') keyword from {_RAW_KEYWORDS_SQL})
+where keyword <> ''""")
+def q_keyword_clean(spark, sf_dir):
+    """Keywords as strings, Python-stripped; empty ones dropped (``null`` stays a word)."""
+    from ..operators.keywords import clean_keywords
+
+    return clean_keywords(_raw_keywords(spark, sf_dir))
+
+
+@query("keyword_dequeue", f"""
+with k as (select seq, regexp_replace(keyword, '^{WS_RE2}+|{WS_RE2}+$', '', 'g') keyword from {_RAW_KEYWORDS_SQL}),
+c as (select * from k where keyword <> ''),
+h as (select seq from c order by seq limit 5)
+select seq, keyword, case when seq in (select seq from h) then 'popped' else 'remaining' end as state from c""")
+def q_keyword_dequeue(spark, sf_dir):
+    """O2 + K2 + S8: pop the first five keywords in queue order; the rest remains."""
+    from ..operators.keywords import clean_keywords, pop_keywords
+
+    kw = clean_keywords(_raw_keywords(spark, sf_dir))
+    head, rest = pop_keywords(kw, 5)
+    return head.withColumn("state", F.lit("popped")).unionByName(rest.withColumn("state", F.lit("remaining")))
+
+
+_SEEDS_SQL = f"(select {FX.HOST_SQL} as keyword, page_id as pos, url from pages)"
+_KEYWORDS_SQL = f"(select {FX.HOST_SQL} as keyword, min(page_id) as seq from pages group by 1)"
+
+
+def _host_seeds(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Seeds = pages grouped by host (keyword = host, pos = page_id); keyword seq = first page id."""
+    p = FX.host_keywords(FX.table(spark, sf_dir, "pages"))
+    seeds = p.select("keyword", F.col("page_id").alias("pos"), "url")
+    kws = p.groupBy("keyword").agg(F.min("page_id").alias("seq"))
+    return kws, seeds
+
+
+@query("seed_threshold", f"""
+select keyword, count(*) as n_seeds from {_SEEDS_SQL} group by keyword having count(*) >= 10""")
+def q_seed_threshold(spark, sf_dir):
+    """A1: keywords with at least ten seeds (duplicates count)."""
+    from ..operators.keywords import keywords_with_seeds
+
+    return keywords_with_seeds(_host_seeds(spark, sf_dir)[1])
+
+
+@query("seed_requests", f"""
+select k.keyword, k.seq, s.pos, s.url, 0 as depth
+from {_KEYWORDS_SQL} k join {_SEEDS_SQL} s using (keyword)
+where k.keyword in (select keyword from {_SEEDS_SQL} group by keyword having count(*) >= 10)""")
+def q_seed_requests(spark, sf_dir):
+    """S9 + J2 + X3: depth-0 requests for every keyword with enough seeds."""
+    from ..operators.keywords import seed_requests
+
+    kws, seeds = _host_seeds(spark, sf_dir)
+    return seed_requests(kws, seeds)
+
+
+@query("stale_keyword", f"""
+select page_id, url, {FX.HOST_SQL} as keyword from pages
+where {FX.HOST_SQL} in (select keyword from {_SEEDS_SQL} group by keyword having count(*) >= 10)""")
+def q_stale_keyword(spark, sf_dir):
+    """P12 + J4: responses whose keyword is not an active one are skipped."""
+    from ..operators.keywords import drop_stale, keywords_with_seeds
+
+    p = FX.host_keywords(FX.table(spark, sf_dir, "pages")).select("page_id", "url", "keyword")
+    active = keywords_with_seeds(_host_seeds(spark, sf_dir)[1])
+    return drop_stale(p, active)
+
+
+# --------------------------------------------------------------------------- crawl
+_LINKED_EDGES_SQL = f"""select distinct url as src, case when starts_with(h, '/') then {ORIGIN_SQL} || h
+    else replace(h, '&amp;', '&') end as dst
+  from (select url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as h from {FX.LINKED_PAGES_SQL})"""
+
+
+def crawl_sql(seeds: str, info: str, edges: str, acc: str, visited: str, max_depth: int = 3,
+              budget: int | None = 1000) -> str:
+    """CTE chain ending in ``reached(keyword, seq, url, depth, fetched, accepted)``, the BFS of
+    ``trawl.operators.crawl.crawl`` unrolled level by level."""
+    black = _BLACK_SQL.format(u="e.dst")
+    ctes = [f"l0 as (select distinct keyword, seq, url, 0 as depth from ({seeds}))",
+            "f0 as materialized (select l0.*, i.url is not null as fetched from l0 left join (" + info + ") i using (url))"]
+    for d in range(0, max_depth + 1):
+        prev = " union all ".join(f"select url from f{k}" for k in range(d + 1))
+        ctes.append(f"""x{d+1} as (select distinct f.keyword, f.seq, e.dst as url from f{d} f
+  join ({acc}) a on a.url = f.url join ({edges}) e on e.src = f.url
+  where f.fetched and not starts_with(e.dst, 'javascript') and trim(e.dst) <> '' and not {black}
+    and e.dst not in (select url from ({visited})) and e.dst not in ({prev}))""")
+        ctes.append(f"o{d+1} as (select distinct x.keyword, x.seq, x.url from x{d+1} x "
+                    f"join (select url, min(seq) seq from x{d+1} group by url) m using (url, seq))")
+        ctes.append(f"g{d+1} as (select o.*, {d+1} as depth, i.url is not null as fetched from o{d+1} o "
+                    f"left join ({info}) i using (url))")
+        if budget is None:
+            ctes.append(f"f{d+1} as materialized (select * from g{d+1})")
+        else:
+            upto = " union all ".join(f"select keyword, fetched from f{k}" for k in range(d + 1))
+            ctes.append(f"""f{d+1} as materialized (select keyword, seq, url, depth, fetched from (
+  select g.*, row_number() over (partition by g.keyword, g.fetched order by g.url) rn, coalesce(u.n, 0) used
+  from g{d+1} g left join (select keyword, count(*) n from ({upto}) where fetched group by keyword) u using (keyword))
+  where not fetched or rn <= {budget} - used)""")
+    allf = " union all ".join(f"select keyword, seq, url, depth, fetched from f{k}" for k in range(max_depth + 2))
+    ctes.append(f"reached as (select r.*, r.fetched and r.url in (select url from ({acc})) as accepted from ({allf}) r)")
+    return ",\n".join(ctes)
+
+
+_CRAWL_LANG_SQL = (paragraphs_sql(FX.LINKED_PAGES_SQL) + """,
+ptext as (select p.page_id, p.url, coalesce(string_agg(para.text, ' ' order by para.para_idx), '') as text
+          from pages p left join para using (page_id) group by all), """
+                   + langid_sql("select text, lang from documents", "select page_id, text from ptext", "page_id")
+                   + ", acc_pages as (select ptext.url from ptext join pred using (page_id) where pred_lang = 'en'), ")
+
+_TOP_SEEDS_SQL = "select 'corpus' as keyword, 1 as seq, url from pages where url like '%#top'"
+
+
+def _linked_info(spark, sf_dir) -> DataFrame:
+    """The crawl's page table: linked fixture pages analysed once and written (unique URLs)."""
+    from ..session import cut
+
+    pages = FX.linked_pages(FX.table(spark, sf_dir, "pages"))
+    return cut(PG.analyze_pages(pages, keys=["page_id"]).select("page_id", "url", "links", "paragraphs"),
+               "pages-info")
+
+
+@query("crawl_bfs", _CRAWL_LANG_SQL + crawl_sql(_TOP_SEEDS_SQL, "select url from pages", _LINKED_EDGES_SQL,
+                                                "select url from acc_pages", "select null::varchar as url where false")
+       + """
+select r.keyword, r.url, r.depth, para.para_idx, para.text from reached r join para using (url) where r.accepted""")
+def q_crawl_bfs(spark, sf_dir):
+    """I1 (flagship): keyword crawl from the ``#top`` pages over the linked page store, depth ≤ 3
+    (+1), language gate ``en`` by the documents-trained model, budget 1000 fetched pages.
+    Output: the corpus ``(keyword, url, depth, para_idx, text)``."""
+    from ..operators import langid as LID
+    from ..operators.crawl import crawl
+
+    info = _linked_info(spark, sf_dir)
+    model = LID.train(FX.table(spark, sf_dir, "documents").select("text", "lang"))
+    seeds = (FX.table(spark, sf_dir, "pages").where(F.col("url").endswith("#top"))
+             .select(F.lit("corpus").alias("keyword"), F.lit(1).alias("seq"), "url"))
+    res = crawl(spark, seeds, info, max_depth=3, budget=1000, gate=LID.language_gate(model, "en"))
+    return res.corpus
+
+
+_TWO_KW_SEEDS_SQL = ("select 'a' as keyword, 1 as seq, url from pages where url like '%#top' union all "
+                     "select 'b' as keyword, 2 as seq, url from pages where url like '%utm_source=feed%'")
+
+
+def _two_keyword_seeds(spark, sf_dir) -> DataFrame:
+    p = FX.table(spark, sf_dir, "pages")
+    a = p.where(F.col("url").endswith("#top")).select(F.lit("a").alias("keyword"), F.lit(1).alias("seq"), "url")
+    b = p.where(F.col("url").contains("utm_source=feed")).select(F.lit("b").alias("keyword"), F.lit(2).alias("seq"), "url")
+    return a.unionByName(b)
+
+
+@query("crawl_budget", "with " + crawl_sql(_TWO_KW_SEEDS_SQL, "select url from pages", _LINKED_EDGES_SQL,
+                                           "select url from pages", "select null::varchar as url where false",
+                                           budget=40)
+       + "\nselect keyword, url, depth, fetched, accepted from reached")
+def q_crawl_budget(spark, sf_dir):
+    """P11 + O4 + D4: two keywords crawl together, at most 40 fetched pages each, no language gate;
+    a URL reached by both at one level goes to the lower ``seq``."""
+    from ..operators.crawl import crawl
+
+    info = _linked_info(spark, sf_dir)
+    res = crawl(spark, _two_keyword_seeds(spark, sf_dir), info, max_depth=3, budget=40)
+    return res.reached.select("keyword", "url", "depth", "fetched", "accepted")
+
+
+@query("frontier_step", f"""
+with f as (select distinct s.keyword, s.seq, s.url, 0 as depth from ({_TWO_KW_SEEDS_SQL}) s join pages using (url)),
+x as (select f.keyword, f.seq, e.dst as url from f join ({_LINKED_EDGES_SQL}) e on e.src = f.url
+      where not starts_with(e.dst, 'javascript') and trim(e.dst) <> '' and not {_BLACK_SQL.format(u='e.dst')}
+        and e.dst not in (select url from pages where url like '%?page=2%') and e.dst not in (select url from f)),
+m as (select url, min(seq) seq from x group by url)
+select distinct x.keyword, x.seq, x.url, 1 as depth from x join m using (url, seq)""")
+def q_frontier_step(spark, sf_dir):
+    """X4 + J3 + J1 + A6: one BFS level from the seeds: fetched seeds' links, minus blacklisted,
+    visited (``?page=2`` pages) and current requests, one owner per URL, at depth 1."""
+    from ..operators.crawl import frontier_step
+
+    info = _linked_info(spark, sf_dir).withColumn("accepted", F.lit(True))
+    frontier = _two_keyword_seeds(spark, sf_dir).dropDuplicates(["keyword", "url"]).withColumn("depth", F.lit(0))
+    visited = FX.table(spark, sf_dir, "pages").where(F.col("url").contains("?page=2")).select("url")
+    return frontier_step(frontier, info, visited)
+
+
+@query("visited_antijoin", f"""
+select distinct p.page_id, e.dst as dst_url from ({_LINKED_EDGES_SQL}) e join pages p on p.url = e.src
+where e.dst not in (select url from pages where url like '%?%')""")
+def q_visited_antijoin(spark, sf_dir):
+    """J1 + S10: each page's distinct links minus the visited set (pages with a query string)."""
+    from ..operators.crawl import drop_visited
+
+    links = PG.resolved_links(PG.analyze_pages(FX.linked_pages(FX.table(spark, sf_dir, "pages")), keys=["page_id"]),
+                              keys=["page_id"])
+    visited = FX.table(spark, sf_dir, "pages").where(F.col("url").contains("?")).select("url")
+    return drop_visited(links, visited, "dst_url").select("page_id", "dst_url")
