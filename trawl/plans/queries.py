@@ -592,3 +592,162 @@ def q_visited_antijoin(spark, sf_dir):
                               keys=["page_id"])
     visited = FX.table(spark, sf_dir, "pages").where(F.col("url").contains("?")).select("url")
     return drop_visited(links, visited, "dst_url").select("page_id", "dst_url")
+
+
+# --------------------------------------------------------------------------- search-result pages
+def _serp_pages(pages: DataFrame) -> DataFrame:
+    """One synthetic result page per stored page: a wrapped link, a blacklisted and a spam
+    result, an ad block, results without href, a decoy outside ``h2``, and a direct link."""
+    esc = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    origin = F.regexp_extract("url", "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    html = F.concat(
+        F.lit('<ol id="b_results"><li class="b_algo"><h2><a href="https://www.bing.com/ck/a?!&amp;&amp;p=1&amp;u=a1'),
+        _b64u_spark(F.col("url")), F.lit('&amp;ntb=1">t</a></h2><div><a href="http://decoy.example/'),
+        F.col("page_id").cast("string"), F.lit('">d</a></div></li><li class="b_algo"><h2><a href="'), origin,
+        F.lit('/doc/report.pdf">p</a></h2></li><li class="b_algo"><h2><a href="https://porn.example/'),
+        F.col("page_id").cast("string"),
+        F.lit('">s</a></h2></li><li class="b_ad"><h2><a href="http://ad.example/">ad</a></h2></li>'
+              '<li class="b_algo"><h2><a>n</a><a href="">e</a></h2></li>'
+              '<li class="x b_algo"><div><h2><span><a href="'), esc, F.lit('">direct</a></span></h2></div></li></ol>'))
+    return pages.select(F.concat(F.lit("kw"), F.col("page_id").cast("string")).alias("keyword"), html.alias("html"))
+
+
+@query("serp_links", """
+select 'kw' || page_id as keyword, 0 as rank, url from pages
+union all select 'kw' || page_id, 1, url from pages""")
+def q_serp_links(spark, sf_dir):
+    """S7 + F10 + F9 + P3 + P5 + P7: result links under ``li.b_algo h2 a`` in page order, redirects
+    decoded, blacklisted and spam links dropped, duplicates kept; ``rank`` = position kept."""
+    from ..operators.html import parse_results
+
+    serp = parse_results(_serp_pages(FX.table(spark, sf_dir, "pages")))
+    kept = F.filter(F.transform("results", lambda h: U.decode_redirect(h)),
+                    lambda u: ~U.is_blacklisted_extension(u) & ~U.is_spam(u))
+    return serp.select("keyword", F.posexplode(kept).alias("rank", "url"))
+
+
+# --------------------------------------------------------------------------- files
+def _scratch(spark, name):
+    from ..session import scratch_dir
+
+    return scratch_dir(spark, name)
+
+
+@query("words_project", "select p_name as words from part")
+def q_words_project(spark, sf_dir):
+    """S1 + P1 + K1 + S2: JSON-array dictionary (from ``part``; one object per file lacks
+    ``word``) → keyword CSV with header ``words`` → read back by position."""
+    from ..sources import files as IO
+
+    part = FX.table(spark, sf_dir, "part")
+    objs = part.select(F.col("p_name").alias("word"), F.col("p_partkey").alias("freq"))
+    extra = part.groupBy(F.spark_partition_id().alias("freq")).count().select(
+        F.lit(None).cast("string").alias("word"), F.col("freq").cast("long"))
+    jpath, cpath = _scratch(spark, "words-json"), _scratch(spark, "keywords-csv")
+    IO.write_json_arrays(objs.unionByName(extra), jpath)
+    IO.write_keyword_csv(IO.read_words_json(spark, jpath), cpath)
+    return IO.read_keyword_csv(spark, cpath).select(F.col("keyword").alias("words"))
+
+
+@query("csv_reencode", "select p_name || ' çéüñ' as keyword from part")
+def q_csv_reencode(spark, sf_dir):
+    """S3 + K5: a keyword CSV written in Latin-1 is rewritten as UTF-8 and read back."""
+    from ..sources import files as IO
+
+    words = FX.table(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" çéüñ")).alias("words"))
+    src, dst = _scratch(spark, "kw-latin1"), _scratch(spark, "kw-utf8")
+    words.write.options(**dict(IO.PY_CSV_WRITE, encoding="ISO-8859-1")).csv(src)
+    IO.reencode_csv(spark, src, "ISO-8859-1", dst, "UTF-8")
+    return IO.read_keyword_csv(spark, dst)
+
+
+SHARD_TEST_BYTES = 64 * 1024
+
+
+def _csv_field_sql(x: str) -> str:
+    return (f"case when regexp_matches({x}, '[,\"\\r\\n]') then '\"' || replace({x}, '\"', '\"\"') || '\"' "
+            f"else {x} end")
+
+
+_SHARDED_SQL = paragraphs_sql() + f""",
+cr as (select {FX.HOST_SQL} as keyword, url, page_id, para_idx, text from para),
+sz as (select *, strlen({_csv_field_sql('keyword')}) + strlen({_csv_field_sql('url')}) + strlen({_csv_field_sql('text')}) + 4 as b from cr),
+sh as (select *, cast(floor(coalesce(sum(b) over (order by page_id, para_idx rows between unbounded preceding and 1 preceding), 0)
+                  / {SHARD_TEST_BYTES}) + 1 as integer) as shard from sz)
+"""
+
+
+def _write_shards(spark, sf_dir) -> str:
+    from ..operators.corpus import assign_shards
+    from ..sources import files as IO
+
+    rows = PG.paragraph_rows(_analyzed(spark, sf_dir), keys=["page_id"]).withColumn("keyword", U.url_netloc("url"))
+    sharded = assign_shards(rows, ["page_id", "para_idx"], SHARD_TEST_BYTES)
+    path = _scratch(spark, "corpus")
+    IO.write_corpus_shards(sharded, path)
+    return path
+
+
+@query("corpus_shards", _SHARDED_SQL + "select shard, keyword, url, text from sh")
+def q_corpus_shards(spark, sf_dir):
+    """K3: corpus rows in (page, paragraph) order rolled into 64 KiB shards by the running CSV
+    byte count, written in Python's CSV dialect and read back."""
+    from ..sources import files as IO
+
+    return IO.read_corpus(spark, _write_shards(spark, sf_dir)).select("shard", "keyword", "url", "text")
+
+
+@query("visited_from_corpus", _SHARDED_SQL + "select url as URL, min(shard) as first_shard from sh group by url")
+def q_visited_from_corpus(spark, sf_dir):
+    """D3 (intent) + K4: distinct URLs of the corpus shards with the shard where each first appears."""
+    from ..sources import files as IO
+
+    corpus = IO.read_corpus(spark, _write_shards(spark, sf_dir))
+    fs = IO.first_seen(corpus.withColumnRenamed("url", "URL"), ["shard", "file_name", "row_pos"])
+    return fs.select("URL", F.col("first.shard").alias("first_shard"))
+
+
+_LINE_TOKENS_SQL = _SHARDED_SQL + f""",
+ln as (select {_csv_field_sql('keyword')} || ',' || {_csv_field_sql('url')} || ',' || {_csv_field_sql('text')} as line from sh
+       union all select 'keyword,url,text'),
+tk as (select split_part(trim(line), ' ', 1) as URL from ln where trim(line) <> '' and not starts_with(lower(trim(line)), 'url '))
+"""
+
+
+@query("visited_from_lines", _LINE_TOKENS_SQL + "select distinct URL from tk where URL <> ''")
+def q_visited_from_lines(spark, sf_dir):
+    """S4 + S5 + P13 + F12 + D3 (as coded): first token of every physical line of the shard
+    files, blank lines and ``url …`` headers skipped, deduplicated."""
+    from ..sources import files as IO
+
+    toks = IO.url_tokens(IO.read_lines(spark, _write_shards(spark, sf_dir)))
+    return toks.select("URL").distinct()
+
+
+@query("visited_count", _LINE_TOKENS_SQL + "select count(distinct URL) as n_unique from tk where URL <> ''")
+def q_visited_count(spark, sf_dir):
+    """Number of unique URL tokens (counted once even when duplicates are written)."""
+    from ..sources import files as IO
+
+    toks = IO.url_tokens(IO.read_lines(spark, _write_shards(spark, sf_dir)))
+    return toks.agg(F.count_distinct("URL").alias("n_unique"))
+
+
+@query("corpus_running", paragraphs_sql() + """,
+pc as (select p.page_id, coalesce(sum(length(para.text)), 0) n_chars from pages p left join para using (page_id) group by 1)
+select page_id, row_number() over (order by page_id) as pages_done, n_chars,
+       coalesce(sum(n_chars) over (order by page_id rows between unbounded preceding and 1 preceding), 0) as chars_before,
+       sum(n_chars) over (order by page_id) as chars_total,
+       coalesce(sum(n_chars) over (order by page_id rows between unbounded preceding and 1 preceding), 0) * 1.1 / 1000000000.0 as est_gb
+from pc""")
+def q_corpus_running(spark, sf_dir):
+    """A4: running page count and characters in page order; the size estimate lags one page."""
+    from ..operators.corpus import BYTES_PER_CHAR, running_totals
+
+    a = _analyzed(spark, sf_dir)
+    per_page = a.select("page_id", F.aggregate("paragraphs", F.lit(0).cast("long"),
+                                               lambda acc, x: acc + F.char_length(x)).alias("n_chars"))
+    r = running_totals(per_page, ["page_id"], ["n_chars"])
+    return r.select("page_id", F.col("row_no").alias("pages_done"), "n_chars",
+                    F.col("n_chars_before").alias("chars_before"), F.col("n_chars_total").alias("chars_total"),
+                    (F.col("n_chars_before") * F.lit(BYTES_PER_CHAR) / F.lit(1e9)).alias("est_gb"))
