@@ -751,3 +751,56 @@ def q_corpus_running(spark, sf_dir):
     return r.select("page_id", F.col("row_no").alias("pages_done"), "n_chars",
                     F.col("n_chars_before").alias("chars_before"), F.col("n_chars_total").alias("chars_total"),
                     (F.col("n_chars_before") * F.lit(BYTES_PER_CHAR) / F.lit(1e9)).alias("est_gb"))
+
+
+# --------------------------------------------------------------------------- streaming
+def _drop_files(df: DataFrame, path: str, n_files: int) -> None:
+    """Land ``df`` in ``path`` as ``n_files`` parquet files (a file-source drop folder)."""
+    df.repartition(n_files).write.mode("append").parquet(path)
+
+
+@query("stream_intake", f"select keyword, pos, url from {_SEEDS_SQL}")
+def q_stream_intake(spark, sf_dir):
+    """I2 + K6 + S8: keywords (page hosts) arrive as files; each micro-batch appends the
+    keywords and their seed URLs (one file per trigger, ``availableNow``)."""
+    from ..streaming.intake import keyword_stream, run_intake
+
+    kws, seeds = _host_seeds(spark, sf_dir)
+    drop = _scratch(spark, "kw-drop")
+    _drop_files(kws.select("seq", "keyword"), drop, 4)
+    out = _scratch(spark, "intake")
+    run_intake(spark, keyword_stream(spark, drop, files_per_trigger=1), seeds, out)
+    return spark.read.parquet(f"{out}/seeds").select("keyword", "pos", "url")
+
+
+@query("stream_visited", f"select distinct dst as url from ({_LINKED_EDGES_SQL})")
+def q_stream_visited(spark, sf_dir):
+    """I4 + D4 + K7: a stream of found URLs (every page's links, repeats included) feeds the
+    visited table; each batch appends only URLs never seen before."""
+    from ..streaming.intake import run_visited_dedup
+
+    links = PG.resolved_links(PG.analyze_pages(FX.linked_pages(FX.table(spark, sf_dir, "pages")), keys=["page_id"]),
+                              keys=["page_id"]).select(F.col("dst_url").alias("url"))
+    drop = _scratch(spark, "url-drop")
+    _drop_files(links, drop, 6)
+    root = _scratch(spark, "visited")
+    stream = spark.readStream.schema("url string").option("maxFilesPerTrigger", 2).parquet(drop)
+    run_visited_dedup(spark, stream, root)
+    return spark.read.parquet(root).select("url")
+
+
+@query("stream_crawl")
+def q_stream_crawl(spark, sf_dir):
+    """Keywords ``a`` then ``b`` arrive one file per trigger; each micro-batch runs one
+    crawl (budget 40, no gate) with the visited set left by the earlier batches."""
+    from ..streaming.intake import keyword_stream, run_crawl_stream
+
+    info = _linked_info(spark, sf_dir)
+    seeds = _two_keyword_seeds(spark, sf_dir)
+    drop = _scratch(spark, "crawl-drop")
+    for kw, seq in (("a", 1), ("b", 2)):
+        _drop_files(spark.createDataFrame([(seq, kw)], "seq long, keyword string"), drop, 1)
+    out = _scratch(spark, "crawl-stream")
+    run_crawl_stream(spark, keyword_stream(spark, drop, files_per_trigger=1), seeds, info, out,
+                     dict(max_depth=3, budget=40))
+    return spark.read.parquet(f"{out}/corpus").select("keyword", "url", "depth", "para_idx", "text")
