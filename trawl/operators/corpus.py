@@ -48,7 +48,12 @@ def running_totals(df: DataFrame, order: list[str], sums: list[str], n_partition
     Scales: one range shuffle, one tiny aggregate (one row per partition to the driver),
     then a partition-local cumulative sum. No window over the whole table.
     """
+    from ..session import cut
+
     n = n_partitions or max(1, df.sparkSession.sparkContext.defaultParallelism)
+    # Written first: the range sampling job and the partitioning pass then read the table
+    # instead of recomputing the (possibly expensive) input twice.
+    df = cut(df, "running-input")
     # checkpoint (not a written table): it keeps the range partitioning the offsets rely on;
     # persisted first so the checkpoint write does not recompute the plan.
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).persist()

@@ -60,6 +60,7 @@ class LangModel:
     priors: dict[str, float]  # lang -> log prior
     defaults: dict[str, float]  # lang -> d_l
     n: int
+    wide: DataFrame | None = None  # gram, __d0.. one delta column per language (written once)
 
 
 def train(docs: DataFrame, text: str = "text", label: str = "lang", n: int = NGRAM,
@@ -77,7 +78,7 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", n: int = NGR
     n_features = features.count()
     feat_counts = counts.join(F.broadcast(features) if n_features <= BROADCAST_ROWS else features, "gram")
     stats = {r["lang"]: r for r in feat_counts.groupBy("lang").agg(F.sum("c").alias("t")).collect()}
-    docs_per_lang = {r["lang"]: r["d"] for r in labelled.groupBy(F.col(label).alias("lang"))
+    docs_per_lang = {r["lang"]: r["d"] for r in docs.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("lang"))
                      .agg(F.count(F.lit(1)).alias("d")).collect()}  # one row per language
     langs = sorted(docs_per_lang)
     total_docs = sum(docs_per_lang.values())
@@ -94,7 +95,13 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", n: int = NGR
                         F.col("lang"))).alias("delta"),
     )
     weights = cut(weights, "lang-weights")
-    return LangModel(langs, weights, features, priors, defaults, n)
+    wide = cut(weights.groupBy("gram").agg(
+        *[F.sum(F.when(F.col("lang") == lg, F.col("delta")).otherwise(0.0)).alias(f"__d{i}")
+          for i, lg in enumerate(langs)]), "lang-wide")
+    rows = wide.count()
+    if rows > BROADCAST_ROWS:
+        raise ValueError(f"language model has {rows} grams, above the broadcast bound {BROADCAST_ROWS}")
+    return LangModel(langs, weights, features, priors, defaults, n, wide)
 
 
 def classify(df: DataFrame, model: LangModel, text: str, key: str, out: str = "pred_lang") -> DataFrame:
@@ -104,14 +111,11 @@ def classify(df: DataFrame, model: LangModel, text: str, key: str, out: str = "p
     each gram occurrence joins exactly one row; it is broadcast only under its checked bound.
     """
     langs = model.langs
-    wide = (model.weights.groupBy("gram")
-            .agg(*[F.sum(F.when(F.col("lang") == lg, F.col("delta")).otherwise(0.0)).alias(f"__d{i}")
-                   for i, lg in enumerate(langs)]))
-    wide = cut(wide, "lang-wide")
-    rows = wide.count()
-    if rows > BROADCAST_ROWS:
-        raise ValueError(f"language model has {rows} grams, above the broadcast bound {BROADCAST_ROWS}")
-    occ = df.select(F.col(key).alias("__key"), F.explode(ngrams(text, model.n)).alias("gram"))
+    wide = model.wide  # row count checked against BROADCAST_ROWS at training time
+    from .pages import spread
+
+    occ = spread(df.select(F.col(key).alias("__key"), F.col(text).alias("__text"))).select(
+        "__key", F.explode(ngrams("__text", model.n)).alias("gram"))
     hit = occ.join(F.broadcast(wide), "gram")
     sums = hit.groupBy("__key").agg(F.count(F.lit(1)).alias("__nf"),
                                     *[F.sum(f"__d{i}").alias(f"__s{i}") for i in range(len(langs))])
