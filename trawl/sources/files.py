@@ -8,7 +8,9 @@
 
 Spark's CSV defaults differ from Python's dialect (backslash escapes, outer whitespace
 trimmed on write, a row split at embedded newlines on read), so every reader and writer
-here sets the dialect explicitly.
+here sets the dialect explicitly. One difference remains: Spark's writer turns a newline
+inside a quoted field into the row separator ``\r\n``; corpus paragraphs never hold one
+(whitespace is collapsed before writing).
 """
 
 from __future__ import annotations
