@@ -137,7 +137,9 @@ def crawl(
         claimed = claimed_parts[0]
         for part in claimed_parts[1:]:
             claimed = claimed.unionByName(part)
-        nxt = fetch(_claim(drop_visited(cand, claimed, "url")).withColumn("depth", F.lit(depth + 1)))
+        # Claim first: the per-URL aggregate combines map-side, so a URL linked from a huge
+        # share of pages is one row per task before any shuffle keyed on it.
+        nxt = fetch(drop_visited(_claim(cand), claimed, "url").withColumn("depth", F.lit(depth + 1)))
         if budget is not None:
             allowance = used.select("keyword", (F.lit(budget) - F.col("used")).alias("__allow"))
             nxt = nxt.join(allowance, "keyword", "left").withColumn(
@@ -165,8 +167,8 @@ def frontier_step(frontier: DataFrame, pages_info: DataFrame, visited: DataFrame
             .select("keyword", "seq", "depth", F.explode(F.array_distinct("links")).alias("url"))
             .where(~F.col("url").startswith("javascript") & (F.trim("url") != ""))
             .where(~is_blacklisted_extension("url")))
-    fresh = drop_visited(drop_visited(cand, visited, "url"), frontier, "url")
     best = F.min(F.struct("seq", "keyword", "depth")).alias("o")
-    return fresh.groupBy("url").agg(best).select(
-        F.col("o.keyword").alias("keyword"), F.col("o.seq").alias("seq"), "url",
-        (F.col("o.depth") + 1).alias("depth"))
+    owned = cand.groupBy("url").agg(best)  # one row per URL before the anti-joins (skew-safe)
+    fresh = drop_visited(drop_visited(owned, visited, "url"), frontier, "url")
+    return fresh.select(F.col("o.keyword").alias("keyword"), F.col("o.seq").alias("seq"), "url",
+                        (F.col("o.depth") + 1).alias("depth"))

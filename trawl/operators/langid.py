@@ -104,29 +104,32 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", n: int = NGR
     return LangModel(langs, weights, features, priors, defaults, n, wide)
 
 
-def classify(df: DataFrame, model: LangModel, text: str, key: str, out: str = "pred_lang") -> DataFrame:
-    """Add ``out`` = argmax label of ``text`` to ``df`` (``key`` must be unique per row).
-
-    The per-gram table is one row per feature gram with one delta column per language, so
-    each gram occurrence joins exactly one row; it is broadcast only under its checked bound.
+def classify(df: DataFrame, model: LangModel, text: str, key: str, out: str = "pred_lang",
+             carry: list[str] | None = None) -> DataFrame:
+    """``(key, *carry, out)``: the argmax label of ``text`` for every row (``key`` unique).
+
+    One pipeline, no join back to ``df`` (which would run ``df``'s plan twice): grams are
+    exploded (outer, so an empty text keeps its row), left-joined to the per-gram table
+    (one row per feature gram, one delta column per language; broadcast, its row count was
+    checked against ``BROADCAST_ROWS`` when trained), and summed per key with map-side
+    partial aggregation. A row without feature grams gets the argmax prior.
     """
-    langs = model.langs
-    wide = model.wide  # row count checked against BROADCAST_ROWS at training time
     from .pages import spread
 
-    occ = spread(df.select(F.col(key).alias("__key"), F.col(text).alias("__text"))).select(
-        "__key", F.explode(ngrams("__text", model.n)).alias("gram"))
-    hit = occ.join(F.broadcast(wide), "gram")
-    sums = hit.groupBy("__key").agg(F.count(F.lit(1)).alias("__nf"),
-                                    *[F.sum(f"__d{i}").alias(f"__s{i}") for i in range(len(langs))])
+    carry = [c for c in (carry or []) if c not in (key, text)]
+    langs = model.langs
+    src = spread(df.select(F.col(key).alias("__key"), F.col(text).alias("__text"), *carry))
+    occ = src.select("__key", *carry, F.explode_outer(ngrams("__text", model.n)).alias("gram"))
+    hit = occ.join(F.broadcast(model.wide), "gram", "left")
+    sums = hit.groupBy("__key").agg(*[F.first(c).alias(c) for c in carry],
+                                    F.count("__d0").alias("__nf"),
+                                    *[F.coalesce(F.sum(f"__d{i}"), F.lit(0.0)).alias(f"__s{i}")
+                                      for i in range(len(langs))])
     scored = [F.struct((F.lit(model.priors[lg]) + F.col("__nf") * F.lit(model.defaults[lg])
                         + F.col(f"__s{i}")).alias("s"), F.lit(lg).alias("l"))
               for i, lg in enumerate(langs)]
-    best = sums.select("__key", F.greatest(*scored)["l"].alias("__best")) if len(langs) > 1 else \
-        sums.select("__key", F.lit(langs[0]).alias("__best"))
-    prior_best = max(langs, key=lambda lg: (model.priors[lg], lg))
-    joined = df.join(best, df[key] == best["__key"], "left")
-    return joined.withColumn(out, F.coalesce(F.col("__best"), F.lit(prior_best))).drop("__key", "__best")
+    best = F.greatest(*scored)["l"] if len(langs) > 1 else F.lit(langs[0])
+    return sums.select(F.col("__key").alias(key), *carry, best.alias(out))
 
 
 def language_gate(model: LangModel, target: str):
@@ -136,7 +139,7 @@ def language_gate(model: LangModel, target: str):
     def gate(df: DataFrame) -> DataFrame:
         texts = (df.where("fetched").select("url", F.array_join("paragraphs", " ").alias("__t"))
                  .dropDuplicates(["url"]))
-        lab = classify(texts, model, "__t", "url").select("url", F.col("pred_lang").alias("lang"))
+        lab = classify(texts, model, "__t", "url", out="lang")
         return df.join(lab, "url", "left").withColumn("accepted", F.col("lang") == F.lit(target))
 
     return gate

@@ -243,7 +243,7 @@ def q_lang_classify(spark, sf_dir):
 
     docs = FX.table(spark, sf_dir, "documents")
     model = LID.train(docs.select("text", "lang"))
-    return LID.classify(docs.select("doc_id", "text"), model, "text", "doc_id").select("doc_id", "pred_lang")
+    return LID.classify(docs, model, "text", "doc_id")
 
 
 _PAGE_TEXT_SQL = paragraphs_sql() + """,
@@ -260,7 +260,7 @@ def q_lang_gate(spark, sf_dir):
 
     model = LID.train(FX.table(spark, sf_dir, "documents").select("text", "lang"))
     pt = PG.page_text(_analyzed(spark, sf_dir)).select("page_id", "url", "page_text")
-    return LID.classify(pt, model, "page_text", "page_id").where(F.col("pred_lang") == "en").drop("page_text")
+    return LID.classify(pt, model, "page_text", "page_id", carry=["url"]).where(F.col("pred_lang") == "en")
 
 
 # --------------------------------------------------------------------------- URL operators
