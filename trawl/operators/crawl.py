@@ -34,6 +34,8 @@ from ..session import cut, ensure_checkpoint_dir
 from ..functions.urls import is_blacklisted_extension
 
 SALT_BUCKETS = 64
+# A frontier up to this many rows is broadcast, so the page table is streamed, not shuffled.
+BROADCAST_FRONTIER_ROWS = 500_000
 
 
 def drop_visited(links: DataFrame, visited: DataFrame, col: str = "url", visited_col: str = "url") -> DataFrame:
@@ -100,13 +102,28 @@ def crawl(
     info = pages_info.select("url", "links", "paragraphs")
 
     def fetch(requests: DataFrame) -> DataFrame:
-        # Request → stored response; a URL missing from the page table is a failed fetch.
-        return requests.join(info, "url", "left").withColumn("fetched", F.col("links").isNotNull())
-
-    level = fetch(seeds.select("keyword", F.col("seq").cast("long").alias("seq"), "url")
-                  .dropDuplicates(["keyword", "url"]).withColumn("depth", F.lit(0)))
+        """Request → stored response; a URL missing from the page table is a failed fetch.
+
+        ``requests`` is a written table, so its row count is cheap. Up to
+        ``BROADCAST_FRONTIER_ROWS`` it is broadcast and the page table is streamed from its
+        files (no shuffle of ``links``/``paragraphs``); failed fetches come from a URL-only
+        semi-join. Above the bound both sides are shuffled on ``url``.
+        """
+        if requests.count() <= BROADCAST_FRONTIER_ROWS:
+            got = info.join(F.broadcast(requests), "url")
+            found = info.select("url").join(F.broadcast(requests.select("url").distinct()), "url")
+            failed = requests.join(found, "url", "left_anti")
+        else:
+            got = requests.join(info, "url")
+            failed = requests.join(info.select("url"), "url", "left_anti")
+        failed = (failed.withColumn("links", F.lit(None).cast("array<string>"))
+                  .withColumn("paragraphs", F.lit(None).cast("array<string>")))
+        return (got.withColumn("fetched", F.lit(True))
+                .unionByName(failed.withColumn("fetched", F.lit(False))))
+
+    level = fetch(cut(seeds.select("keyword", F.col("seq").cast("long").alias("seq"), "url")
+                      .dropDuplicates(["keyword", "url"]).withColumn("depth", F.lit(0)), "seeds"))
     claimed_parts = [visited]
-    used = None
     reached_parts: list[DataFrame] = []
     log: list[dict] = []
 
@@ -124,9 +141,11 @@ def crawl(
         claimed_parts.append(level.select("url"))
         reached_parts.append(level.drop("links"))
         if budget is not None:
-            got = level.where("fetched").groupBy("keyword").agg(F.count(F.lit(1)).alias("used"))
-            used = got if used is None else cut(
-                used.unionByName(got).groupBy("keyword").agg(F.sum("used").alias("used")), "used")
+            # fetched pages per keyword so far, read from the small written level tables
+            done = reached_parts[0]
+            for part in reached_parts[1:]:
+                done = done.unionByName(part)
+            used = done.where("fetched").groupBy("keyword").agg(F.count(F.lit(1)).alias("used"))
         if depth > max_depth:
             break
         cand = (level.where("accepted")
@@ -139,7 +158,8 @@ def crawl(
             claimed = claimed.unionByName(part)
         # Claim first: the per-URL aggregate combines map-side, so a URL linked from a huge
         # share of pages is one row per task before any shuffle keyed on it.
-        nxt = fetch(drop_visited(_claim(cand), claimed, "url").withColumn("depth", F.lit(depth + 1)))
+        nxt = fetch(cut(drop_visited(_claim(cand), claimed, "url").withColumn("depth", F.lit(depth + 1)),
+                        "requests"))
         if budget is not None:
             allowance = used.select("keyword", (F.lit(budget) - F.col("used")).alias("__allow"))
             nxt = nxt.join(allowance, "keyword", "left").withColumn(

@@ -69,8 +69,16 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", n: int = NGR
     from .pages import spread
 
     labelled = spread(docs.where(F.col(label).isNotNull()))
-    counts = (labelled.select(F.col(label).alias("lang"), F.explode(ngrams(text, n)).alias("gram"))
-              .groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("c")))
+    # Grams are within words, so gram counts = Σ over distinct words of count × grams(word):
+    # words are counted first (a cheap split, heavy map-side combining), grams are then made
+    # once per distinct word instead of once per occurrence.
+    if n != 3:
+        raise ValueError("only trigrams are supported")
+    words = (labelled.select(F.col(label).alias("lang"), F.explode(F.split(normalized(text), " ")).alias("w"))
+             .where(F.col("w") != "")
+             .groupBy("lang", "w").agg(F.count(F.lit(1)).alias("k")))
+    counts = (words.select("lang", "k", F.explode(ngrams(F.col("w"), n)).alias("gram"))
+              .groupBy("lang", "gram").agg(F.sum("k").alias("c")))
     counts = cut(counts, "lang-counts")
     picked = top_per_group(counts.withColumn("__k", F.lit(top_k)).withColumn("__neg", -F.col("c")),
                            "lang", ["__neg", "gram"], "__k")
@@ -134,12 +142,14 @@ def classify(df: DataFrame, model: LangModel, text: str, key: str, out: str = "p
 
 def language_gate(model: LangModel, target: str):
     """A crawl gate: label each fetched page's text (paragraphs joined by a space, F4) and
-    accept it when the label is ``target`` (P8). Pages are labelled once per URL."""
+    accept it when the label is ``target`` (P8). Rows are keyed by ``(keyword, url)``, which
+    is unique in a crawl level, so no de-duplication shuffle precedes the gram explode."""
 
     def gate(df: DataFrame) -> DataFrame:
-        texts = (df.where("fetched").select("url", F.array_join("paragraphs", " ").alias("__t"))
-                 .dropDuplicates(["url"]))
-        lab = classify(texts, model, "__t", "url", out="lang")
-        return df.join(lab, "url", "left").withColumn("accepted", F.col("lang") == F.lit(target))
+        keyed = df.withColumn("__k", F.concat_ws("\u0000", "keyword", "url")).withColumn(
+            "__t", F.when(F.col("fetched"), F.array_join("paragraphs", " ")))
+        carry = [c for c in df.columns if c != "paragraphs"]
+        lab = classify(keyed, model, "__t", "__k", out="lang", carry=carry)
+        return lab.drop("__k").withColumn("accepted", F.col("fetched") & (F.col("lang") == F.lit(target)))
 
     return gate

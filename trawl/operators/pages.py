@@ -14,14 +14,29 @@ from ..functions.text import char_count, clean_paragraphs
 from .html import parse_pages
 
 
+def planned_partitions(df: DataFrame) -> int | None:
+    """Partitions the physical plan will produce, read from the plan (no job runs).
+
+    ``df.rdd.getNumPartitions()`` would make adaptive execution run every shuffle stage
+    below ``df`` just to count; the planned partitioning is enough for the decision below.
+    """
+    try:
+        plan = df._jdf.queryExecution().executedPlan()
+        return int(plan.outputPartitioning().numPartitions())
+    except Exception:  # not available (e.g. a remote session): leave the input as it is
+        return None
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give a Python stage at least one task per core.
+    """Give a Python or explode-heavy stage at least one task per core.
 
-    A large page store already scans into thousands of splits and is left alone (no shuffle
-    of ``html``); only an input with fewer splits than the cluster has cores is spread.
+    A large store already scans into thousands of splits and is left alone (no shuffle of
+    ``html``/``text``); only an input planned with fewer partitions than the cluster has
+    cores is spread.
     """
     par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
+    n = planned_partitions(df)
+    if n is not None and n < par:
         return df.repartition(par)
     return df
 
