@@ -153,3 +153,50 @@ def language_gate(model: LangModel, target: str):
         return lab.drop("__k").withColumn("accepted", F.col("fetched") & (F.col("lang") == F.lit(target)))
 
     return gate
+
+
+def save(model: LangModel, path: str) -> None:
+    """Write the model: per-gram table + per-language scalars (one small JSON row)."""
+    import json
+
+    spark = model.wide.sparkSession
+    model.wide.write.mode("overwrite").parquet(f"{path}/wide")
+    meta = json.dumps({"langs": model.langs, "priors": model.priors, "defaults": model.defaults, "n": model.n})
+    spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def load(spark, path: str) -> LangModel:
+    import json
+
+    meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
+    wide = spark.read.parquet(f"{path}/wide")
+    return LangModel(meta["langs"], None, None, meta["priors"], meta["defaults"], meta["n"], wide)
+
+
+def stored_model(spark, docs_path: str, top_k: int = TOP_K, n: int = NGRAM) -> LangModel:
+    """The model for a labelled table, trained once and kept under the checkpoint root.
+
+    The reference scores with pre-trained weights; this is the same arrangement: the key is
+    the training files (paths, sizes, modification times) and the parameters, so changed
+    data trains a new model.
+    """
+    import hashlib
+
+    from ..session import ensure_checkpoint_dir
+
+    root = ensure_checkpoint_dir(spark)
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(docs_path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stamp = []
+    for st in fs.globStatus(hpath) or []:
+        stamp.append(f"{st.getPath().toString()}:{st.getLen()}:{st.getModificationTime()}")
+    key = hashlib.sha1(f"{sorted(stamp)}|{top_k}|{n}".encode()).hexdigest()[:16]
+    path = f"{root.rstrip('/')}/langid-models/{key}"
+    mpath = jvm.org.apache.hadoop.fs.Path(f"{path}/meta/_SUCCESS")
+    if mpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mpath):
+        return load(spark, path)
+    docs = spark.read.parquet(docs_path).select("text", "lang")
+    model = train(docs, top_k=top_k, n=n)
+    save(model, path)
+    return load(spark, path)

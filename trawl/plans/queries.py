@@ -258,7 +258,7 @@ def q_lang_gate(spark, sf_dir):
     """F4 + F5 + P8: page text = paragraphs joined by a space; keep pages labelled ``en``."""
     from ..operators import langid as LID
 
-    model = LID.train(FX.table(spark, sf_dir, "documents").select("text", "lang"))
+    model = LID.stored_model(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
     pt = PG.page_text(_analyzed(spark, sf_dir)).select("page_id", "url", "page_text")
     return LID.classify(pt, model, "page_text", "page_id", carry=["url"]).where(F.col("pred_lang") == "en")
 
@@ -531,7 +531,7 @@ def q_crawl_bfs(spark, sf_dir):
     from ..operators.crawl import crawl
 
     info = _linked_info(spark, sf_dir)
-    model = LID.train(FX.table(spark, sf_dir, "documents").select("text", "lang"))
+    model = LID.stored_model(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
     seeds = (FX.table(spark, sf_dir, "pages").where(F.col("url").endswith("#top"))
              .select(F.lit("corpus").alias("keyword"), F.lit(1).alias("seq"), "url"))
     res = crawl(spark, seeds, info, max_depth=3, budget=1000, gate=LID.language_gate(model, "en"))
