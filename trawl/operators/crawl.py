@@ -45,21 +45,24 @@ def drop_visited(links: DataFrame, visited: DataFrame, col: str = "url", visited
 
 
 def top_per_group(df: DataFrame, group: str, order: list[str], allowance_col: str,
-                  salt_buckets: int = SALT_BUCKETS) -> DataFrame:
+                  salt_buckets: int = SALT_BUCKETS, exempt: str | None = None) -> DataFrame:
     """Keep the first ``allowance_col`` rows per ``group`` in ``order``, skew-safe.
 
     Phase 1 ranks inside ``(group, salt)`` buckets (salt = hash of the order key), so a hot
     group is spread over many tasks; at most ``allowance`` rows per bucket survive. Phase 2
     ranks the survivors per group, at most ``salt_buckets × allowance`` rows each. Exact.
+    Rows where the boolean ``exempt`` column is true are never cut and stay salted in both
+    phases (one pipeline, no second scan of the input).
     """
     salt = F.pmod(F.xxhash64(*order), F.lit(salt_buckets))
-    w1 = Window.partitionBy(group, "__salt").orderBy(*order)
-    w2 = Window.partitionBy(group).orderBy(*order)
-    p1 = (df.withColumn("__salt", salt)
-          .withColumn("__rn", F.row_number().over(w1))
-          .where(F.col("__rn") <= F.col(allowance_col)))
-    p2 = p1.withColumn("__rn", F.row_number().over(w2)).where(F.col("__rn") <= F.col(allowance_col))
-    return p2.drop("__salt", "__rn")
+    ex = F.col(exempt) if exempt else F.lit(False)
+    w1 = Window.partitionBy(group, "__ex", "__salt").orderBy(*order)
+    w2 = Window.partitionBy(group, "__ex", F.when(F.col("__ex"), F.col("__salt")).otherwise(0)).orderBy(*order)
+    keep = F.col("__ex") | (F.col("__rn") <= F.col(allowance_col))
+    p1 = (df.withColumn("__ex", ex).withColumn("__salt", salt)
+          .withColumn("__rn", F.row_number().over(w1)).where(keep))
+    p2 = p1.withColumn("__rn", F.row_number().over(w2)).where(keep)
+    return p2.drop("__salt", "__ex", "__rn")
 
 
 @dataclass
@@ -101,7 +104,7 @@ def crawl(
     visited = visited.select("url")
     info = pages_info.select("url", "links", "paragraphs")
 
-    def fetch(requests: DataFrame) -> DataFrame:
+    def fetch(requests: DataFrame, n_requests: int) -> DataFrame:
         """Request → stored response; a URL missing from the page table is a failed fetch.
 
         ``requests`` is a written table, so its row count is cheap. Up to
@@ -109,7 +112,7 @@ def crawl(
         files (no shuffle of ``links``/``paragraphs``); failed fetches come from a URL-only
         semi-join. Above the bound both sides are shuffled on ``url``.
         """
-        if requests.count() <= BROADCAST_FRONTIER_ROWS:
+        if n_requests <= BROADCAST_FRONTIER_ROWS:
             got = info.join(F.broadcast(requests), "url")
             found = info.select("url").join(F.broadcast(requests.select("url").distinct()), "url")
             failed = requests.join(found, "url", "left_anti")
@@ -121,8 +124,9 @@ def crawl(
         return (got.withColumn("fetched", F.lit(True))
                 .unionByName(failed.withColumn("fetched", F.lit(False))))
 
-    level = fetch(cut(seeds.select("keyword", F.col("seq").cast("long").alias("seq"), "url")
-                      .dropDuplicates(["keyword", "url"]).withColumn("depth", F.lit(0)), "seeds"))
+    requests = cut(seeds.select("keyword", F.col("seq").cast("long").alias("seq"), "url")
+                   .dropDuplicates(["keyword", "url"]).withColumn("depth", F.lit(0)), "seeds")
+    level = fetch(requests, requests.count())
     claimed_parts = [visited]
     reached_parts: list[DataFrame] = []
     log: list[dict] = []
@@ -136,8 +140,6 @@ def crawl(
                  .withColumn("lang", F.when(F.col("fetched"), F.col("lang")))
                  .select("keyword", "seq", "url", "depth", "fetched", "lang", "accepted", "links"))
         level = cut(level, "level")
-        if depth > 0 and level.isEmpty():
-            break
         claimed_parts.append(level.select("url"))
         reached_parts.append(level.drop("links"))
         if budget is not None:
@@ -158,14 +160,18 @@ def crawl(
             claimed = claimed.unionByName(part)
         # Claim first: the per-URL aggregate combines map-side, so a URL linked from a huge
         # share of pages is one row per task before any shuffle keyed on it.
-        nxt = fetch(cut(drop_visited(_claim(cand), claimed, "url").withColumn("depth", F.lit(depth + 1)),
-                        "requests"))
+        requests = cut(drop_visited(_claim(cand), claimed, "url").withColumn("depth", F.lit(depth + 1)),
+                       "requests")
+        n_requests = requests.count()
+        if n_requests == 0:
+            break
+        nxt = fetch(requests, n_requests)
         if budget is not None:
             allowance = used.select("keyword", (F.lit(budget) - F.col("used")).alias("__allow"))
             nxt = nxt.join(allowance, "keyword", "left").withColumn(
                 "__allow", F.coalesce("__allow", F.lit(budget)))
-            paid = top_per_group(nxt.where("fetched AND __allow > 0"), "keyword", ["url"], "__allow")
-            nxt = paid.unionByName(nxt.where("NOT fetched")).drop("__allow")
+            nxt = nxt.withColumn("__free", ~F.col("fetched"))  # failed fetches cost nothing
+            nxt = top_per_group(nxt, "keyword", ["url"], "__allow", exempt="__free").drop("__allow", "__free")
         level = nxt
 
     reached = reached_parts[0]
