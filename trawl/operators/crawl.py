@@ -133,7 +133,7 @@ def crawl(
 
     for depth in range(0, max_depth + 2):
         if gate is not None:
-            level = gate(level)
+            level = gate(cut(level.drop("__allow", "__free"), "fetched"))
         else:
             level = level.withColumn("lang", F.lit(None).cast("string")).withColumn("accepted", F.lit(True))
         level = (level.withColumn("accepted", F.col("fetched") & F.coalesce("accepted", F.lit(False)))

@@ -112,45 +112,46 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", n: int = NGR
     return LangModel(langs, weights, features, priors, defaults, n, wide)
 
 
-def classify(df: DataFrame, model: LangModel, text: str, key: str, out: str = "pred_lang",
-             carry: list[str] | None = None) -> DataFrame:
-    """``(key, *carry, out)``: the argmax label of ``text`` for every row (``key`` unique).
-
-    One pipeline, no join back to ``df`` (which would run ``df``'s plan twice): grams are
-    exploded (outer, so an empty text keeps its row), left-joined to the per-gram table
-    (one row per feature gram, one delta column per language; broadcast, its row count was
-    checked against ``BROADCAST_ROWS`` when trained), and summed per key with map-side
-    partial aggregation. A row without feature grams gets the argmax prior.
+def classify(df: DataFrame, model: LangModel, text: str, key: str, out: str = "pred_lang") -> DataFrame:
+    """``(key, out)``: the argmax label of ``text`` for every row of ``df`` (``key`` unique).
+
+    Grams are exploded (outer, so an empty text keeps its row), left-joined to the per-gram
+    table (one row per feature gram, one delta column per language; broadcast, its row count
+    was checked against ``BROADCAST_ROWS`` when trained) and summed per key. The aggregate
+    holds only numbers, so it is a hash aggregate with map-side partial aggregation;
+    carrying string columns through it would turn it into a sort of every gram row. Join the
+    labels back to a cheap source (a written table, a narrow scan), never to an expensive plan.
+    A row without feature grams gets the argmax prior.
     """
     from .pages import spread
 
-    carry = [c for c in (carry or []) if c not in (key, text)]
     langs = model.langs
-    src = spread(df.select(F.col(key).alias("__key"), F.col(text).alias("__text"), *carry))
-    occ = src.select("__key", *carry, F.explode_outer(ngrams("__text", model.n)).alias("gram"))
+    src = spread(df.select(F.col(key).alias("__key"), F.col(text).alias("__text")))
+    occ = src.select("__key", F.explode_outer(ngrams("__text", model.n)).alias("gram"))
     hit = occ.join(F.broadcast(model.wide), "gram", "left")
-    sums = hit.groupBy("__key").agg(*[F.first(c).alias(c) for c in carry],
-                                    F.count("__d0").alias("__nf"),
+    sums = hit.groupBy("__key").agg(F.count("__d0").alias("__nf"),
                                     *[F.coalesce(F.sum(f"__d{i}"), F.lit(0.0)).alias(f"__s{i}")
                                       for i in range(len(langs))])
     scored = [F.struct((F.lit(model.priors[lg]) + F.col("__nf") * F.lit(model.defaults[lg])
                         + F.col(f"__s{i}")).alias("s"), F.lit(lg).alias("l"))
               for i, lg in enumerate(langs)]
     best = F.greatest(*scored)["l"] if len(langs) > 1 else F.lit(langs[0])
-    return sums.select(F.col("__key").alias(key), *carry, best.alias(out))
+    return sums.select(F.col("__key").alias(key), best.alias(out))
 
 
 def language_gate(model: LangModel, target: str):
     """A crawl gate: label each fetched page's text (paragraphs joined by a space, F4) and
     accept it when the label is ``target`` (P8). Rows are keyed by ``(keyword, url)``, which
-    is unique in a crawl level, so no de-duplication shuffle precedes the gram explode."""
+    is unique in a crawl level, so no de-duplication shuffle precedes the gram explode.
+    Expects a written table (the crawl writes each fetched level before gating it)."""
 
     def gate(df: DataFrame) -> DataFrame:
-        keyed = df.withColumn("__k", F.concat_ws("\u0000", "keyword", "url")).withColumn(
-            "__t", F.when(F.col("fetched"), F.array_join("paragraphs", " ")))
-        carry = [c for c in df.columns if c != "paragraphs"]
-        lab = classify(keyed, model, "__t", "__k", out="lang", carry=carry)
-        return lab.drop("__k").withColumn("accepted", F.col("fetched") & (F.col("lang") == F.lit(target)))
+        # ``df`` is a written level table: reading it twice (texts, then the join) is cheap.
+        keyed = df.withColumn("__k", F.concat_ws("\u0000", "keyword", "url"))
+        texts = keyed.where("fetched").select("__k", F.array_join("paragraphs", " ").alias("__t"))
+        lab = classify(texts, model, "__t", "__k", out="lang")
+        return (keyed.join(lab, "__k", "left").drop("__k")
+                .withColumn("accepted", F.col("fetched") & (F.col("lang") == F.lit(target))))
 
     return gate
 

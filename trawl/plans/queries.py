@@ -259,8 +259,10 @@ def q_lang_gate(spark, sf_dir):
     from ..operators import langid as LID
 
     model = LID.stored_model(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
-    pt = PG.page_text(_analyzed(spark, sf_dir)).select("page_id", "url", "page_text")
-    return LID.classify(pt, model, "page_text", "page_id", carry=["url"]).where(F.col("pred_lang") == "en")
+    pt = PG.page_text(_analyzed(spark, sf_dir)).select("page_id", "page_text")
+    labels = LID.classify(pt, model, "page_text", "page_id").where(F.col("pred_lang") == "en")
+    # the URL comes back from a two-column scan of the page table, not from the parsed pages
+    return labels.join(FX.table(spark, sf_dir, "pages").select("page_id", "url"), "page_id")
 
 
 # --------------------------------------------------------------------------- URL operators
