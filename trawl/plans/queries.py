@@ -91,8 +91,11 @@ def q_links_admitted(spark, sf_dir):
 
     Visited = every URL linked from at least three pages (popular targets seen before).
     """
+    from ..session import cut
+
     pages = FX.pages_with_extra_links(FX.table(spark, sf_dir, "pages"))
-    links = PG.clean_links(PG.resolved_links(_analyzed(spark, sf_dir, pages), keys=["page_id"]))
+    # written once: both the visited set and the admitted links read it (one HTML pass)
+    links = cut(PG.clean_links(PG.resolved_links(_analyzed(spark, sf_dir, pages), keys=["page_id"])), "links")
     visited = links.groupBy(F.col("dst_url").alias("url")).count().where("count >= 3").select("url")
     from ..operators.crawl import drop_visited
 
