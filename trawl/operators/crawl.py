@@ -70,7 +70,6 @@ class CrawlResult:
     reached: DataFrame  # keyword, seq, url, depth, fetched, lang, accepted
     corpus: DataFrame  # keyword, url, depth, para_idx, text
     visited: DataFrame  # url (initial visited ∪ fetched)
-    level_counts: list[dict]  # per level: requests, fetched, accepted (small driver-side log)
 
 
 def _claim(cand: DataFrame) -> DataFrame:
@@ -129,7 +128,6 @@ def crawl(
     level = fetch(requests, requests.count())
     claimed_parts = [visited]
     reached_parts: list[DataFrame] = []
-    log: list[dict] = []
 
     for depth in range(0, max_depth + 2):
         if gate is not None:
@@ -181,7 +179,15 @@ def crawl(
     corpus = (accepted.join(pages_info.select("url", "paragraphs"), "url")
               .select("keyword", "url", "depth", F.posexplode("paragraphs").alias("para_idx", "text")))
     new_visited = visited.unionByName(reached.where("fetched").select("url")).distinct()
-    return CrawlResult(reached=reached, corpus=corpus, visited=new_visited, level_counts=log)
+    return CrawlResult(reached=reached, corpus=corpus, visited=new_visited)
+
+
+def level_counts(reached: DataFrame) -> DataFrame:
+    """Requests, fetched and accepted pages per keyword and depth (one partial aggregate)."""
+    return reached.groupBy("keyword", "depth").agg(
+        F.count(F.lit(1)).alias("requests"),
+        F.count(F.when(F.col("fetched"), 1)).alias("fetched"),
+        F.count(F.when(F.col("accepted"), 1)).alias("accepted"))
 
 
 def frontier_step(frontier: DataFrame, pages_info: DataFrame, visited: DataFrame,

@@ -809,3 +809,20 @@ def q_stream_crawl(spark, sf_dir):
     run_crawl_stream(spark, keyword_stream(spark, drop, files_per_trigger=1), seeds, info, out,
                      dict(max_depth=3, budget=40))
     return spark.read.parquet(f"{out}/corpus").select("keyword", "url", "depth", "para_idx", "text")
+
+
+@query("crawl_levels", "with " + crawl_sql(_TWO_KW_SEEDS_SQL, "select url from pages", _LINKED_EDGES_SQL,
+                                           "select url from pages", "select null::varchar as url where false",
+                                           budget=40)
+       + """
+select keyword, depth, count(*) as requests, count(*) filter (where fetched) as fetched,
+       count(*) filter (where accepted) as accepted
+from reached group by keyword, depth""")
+def q_crawl_levels(spark, sf_dir):
+    """A6 + A2: requests, fetched and accepted pages per keyword and depth (the per-level
+    queue and page counters the reference logs), for the two-keyword budgeted crawl."""
+    from ..operators.crawl import crawl, level_counts
+
+    info = _linked_info(spark, sf_dir)
+    res = crawl(spark, _two_keyword_seeds(spark, sf_dir), info, max_depth=3, budget=40)
+    return level_counts(res.reached)
