@@ -477,32 +477,33 @@ _LINKED_EDGES_SQL = f"""select distinct url as src, case when starts_with(h, '/'
 
 
 def crawl_sql(seeds: str, info: str, edges: str, acc: str, visited: str, max_depth: int = 3,
-              budget: int | None = 1000) -> str:
-    """CTE chain ending in ``reached(keyword, seq, url, depth, fetched, accepted)``, the BFS of
-    ``trawl.operators.crawl.crawl`` unrolled level by level."""
+              budget: int | None = 1000, prefix: str = "") -> str:
+    """CTE chain ending in ``<prefix>reached(keyword, seq, url, depth, fetched, accepted)``,
+    the BFS of ``trawl.operators.crawl.crawl`` unrolled level by level."""
+    p = prefix
     black = _BLACK_SQL.format(u="e.dst")
-    ctes = [f"l0 as (select distinct keyword, seq, url, 0 as depth from ({seeds}))",
-            "f0 as materialized (select l0.*, i.url is not null as fetched from l0 left join (" + info + ") i using (url))"]
+    ctes = [f"{p}l0 as (select distinct keyword, seq, url, 0 as depth from ({seeds}))",
+            f"{p}f0 as materialized (select l.*, i.url is not null as fetched from {p}l0 l left join (" + info + ") i using (url))"]
     for d in range(0, max_depth + 1):
-        prev = " union all ".join(f"select url from f{k}" for k in range(d + 1))
-        ctes.append(f"""x{d+1} as (select distinct f.keyword, f.seq, e.dst as url from f{d} f
+        prev = " union all ".join(f"select url from {p}f{k}" for k in range(d + 1))
+        ctes.append(f"""{p}x{d+1} as (select distinct f.keyword, f.seq, e.dst as url from {p}f{d} f
   join ({acc}) a on a.url = f.url join ({edges}) e on e.src = f.url
   where f.fetched and not starts_with(e.dst, 'javascript') and trim(e.dst) <> '' and not {black}
     and e.dst not in (select url from ({visited})) and e.dst not in ({prev}))""")
-        ctes.append(f"o{d+1} as (select distinct x.keyword, x.seq, x.url from x{d+1} x "
-                    f"join (select url, min(seq) seq from x{d+1} group by url) m using (url, seq))")
-        ctes.append(f"g{d+1} as (select o.*, {d+1} as depth, i.url is not null as fetched from o{d+1} o "
+        ctes.append(f"{p}o{d+1} as (select distinct x.keyword, x.seq, x.url from {p}x{d+1} x "
+                    f"join (select url, min(seq) seq from {p}x{d+1} group by url) m using (url, seq))")
+        ctes.append(f"{p}g{d+1} as (select o.*, {d+1} as depth, i.url is not null as fetched from {p}o{d+1} o "
                     f"left join ({info}) i using (url))")
         if budget is None:
-            ctes.append(f"f{d+1} as materialized (select * from g{d+1})")
+            ctes.append(f"{p}f{d+1} as materialized (select * from {p}g{d+1})")
         else:
-            upto = " union all ".join(f"select keyword, fetched from f{k}" for k in range(d + 1))
-            ctes.append(f"""f{d+1} as materialized (select keyword, seq, url, depth, fetched from (
+            upto = " union all ".join(f"select keyword, fetched from {p}f{k}" for k in range(d + 1))
+            ctes.append(f"""{p}f{d+1} as materialized (select keyword, seq, url, depth, fetched from (
   select g.*, row_number() over (partition by g.keyword, g.fetched order by g.url) rn, coalesce(u.n, 0) used
-  from g{d+1} g left join (select keyword, count(*) n from ({upto}) where fetched group by keyword) u using (keyword))
+  from {p}g{d+1} g left join (select keyword, count(*) n from ({upto}) where fetched group by keyword) u using (keyword))
   where not fetched or rn <= {budget} - used)""")
-    allf = " union all ".join(f"select keyword, seq, url, depth, fetched from f{k}" for k in range(max_depth + 2))
-    ctes.append(f"reached as (select r.*, r.fetched and r.url in (select url from ({acc})) as accepted from ({allf}) r)")
+    allf = " union all ".join(f"select keyword, seq, url, depth, fetched from {p}f{k}" for k in range(max_depth + 2))
+    ctes.append(f"{p}reached as (select r.*, r.fetched and r.url in (select url from ({acc})) as accepted from ({allf}) r)")
     return ",\n".join(ctes)
 
 
@@ -794,7 +795,20 @@ def q_stream_visited(spark, sf_dir):
     return spark.read.parquet(root).select("url")
 
 
-@query("stream_crawl")
+_STREAM_CRAWL_SQL = (paragraphs_sql(FX.LINKED_PAGES_SQL) + ", "
+                     + crawl_sql("select 'a' as keyword, 1 as seq, url from pages where url like '%#top'",
+                                 "select url from pages", _LINKED_EDGES_SQL, "select url from pages",
+                                 "select null::varchar as url where false", budget=40, prefix="a_")
+                     + ", "
+                     + crawl_sql("select 'b' as keyword, 2 as seq, url from pages where url like '%utm_source=feed%'",
+                                 "select url from pages", _LINKED_EDGES_SQL, "select url from pages",
+                                 "select url from a_reached where fetched", budget=40, prefix="b_")
+                     + """
+select r.keyword, r.url, r.depth, para.para_idx, para.text
+from (select * from a_reached union all select * from b_reached) r join para using (url) where r.accepted""")
+
+
+@query("stream_crawl", _STREAM_CRAWL_SQL)
 def q_stream_crawl(spark, sf_dir):
     """Keywords ``a`` then ``b`` arrive one file per trigger; each micro-batch runs one
     crawl (budget 40, no gate) with the visited set left by the earlier batches."""
