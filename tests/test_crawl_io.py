@@ -69,6 +69,20 @@ def test_two_keywords_and_budget(spark):
     assert owners["http://h/s"] == "ka"
 
 
+def test_shuffle_path_equals_broadcast_path(spark):
+    from trawl.operators.crawl import write_page_table
+
+    chain = [f"http://h/q{i}" for i in range(8)]
+    rows = [page(chain[i], [chain[(i + 1) % 8], chain[(i * 3) % 8], "http://h/missing"]) for i in range(8)]
+    info = write_page_table(info_for(spark, rows), buckets=4)
+    seeds = spark.createDataFrame([("k", 1, chain[0]), ("j", 2, chain[5])], "keyword string, seq long, url string")
+    a = crawl(spark, seeds, info, max_depth=3, budget=4)
+    b = crawl(spark, seeds, info, max_depth=3, budget=4, broadcast_rows=0)
+    cols = ["keyword", "url", "depth", "fetched", "accepted"]
+    assert sorted(a.reached.select(cols).collect()) == sorted(b.reached.select(cols).collect())
+    assert a.reached.count() > 2
+
+
 def test_top_per_group_hot_key(spark):
     df = spark.range(0, 5000).select(F.when(F.col("id") < 4000, "hot").otherwise("cold").alias("g"),
                                      F.format_string("%05d", "id").alias("u"), F.lit(7).alias("k"))

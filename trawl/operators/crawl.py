@@ -38,6 +38,24 @@ SALT_BUCKETS = 64
 BROADCAST_FRONTIER_ROWS = 500_000
 
 
+def write_page_table(analyzed: DataFrame, buckets: int = 256, name: str = "pages_info") -> DataFrame:
+    """Write the crawl's page table ``(url, links, paragraphs, …)`` once, bucketed and sorted
+    by ``url`` under the checkpoint root, and return it as a table.
+
+    A frontier too large to broadcast is then joined by shuffling only the frontier into the
+    table's buckets; the page table itself is never shuffled, whatever the crawl depth.
+    """
+    import uuid
+
+    from ..session import scratch_dir
+
+    spark = analyzed.sparkSession
+    table = f"{name}_{uuid.uuid4().hex[:12]}"
+    (analyzed.write.bucketBy(buckets, "url").sortBy("url")
+     .option("path", scratch_dir(spark, name)).saveAsTable(table))
+    return spark.table(table)
+
+
 def drop_visited(links: DataFrame, visited: DataFrame, col: str = "url", visited_col: str = "url") -> DataFrame:
     """``links`` whose ``col`` is not in ``visited`` (one anti-join; AQE picks the strategy)."""
     v = visited.select(F.col(visited_col).alias("__v")).distinct()
@@ -88,6 +106,7 @@ def crawl(
     budget: int | None = 1000,
     gate: Callable[[DataFrame], DataFrame] | None = None,
     blacklist: bool = True,
+    broadcast_rows: int = BROADCAST_FRONTIER_ROWS,
 ) -> CrawlResult:
     """Seeds ``(keyword, seq, url)`` → reached pages, corpus rows and the new visited set.
 
@@ -106,12 +125,13 @@ def crawl(
     def fetch(requests: DataFrame, n_requests: int) -> DataFrame:
         """Request → stored response; a URL missing from the page table is a failed fetch.
 
-        ``requests`` is a written table, so its row count is cheap. Up to
-        ``BROADCAST_FRONTIER_ROWS`` it is broadcast and the page table is streamed from its
-        files (no shuffle of ``links``/``paragraphs``); failed fetches come from a URL-only
-        semi-join. Above the bound both sides are shuffled on ``url``.
+        ``requests`` is a written table, so its row count is cheap. Up to ``broadcast_rows``
+        it is broadcast and the page table is streamed from its files (no shuffle of
+        ``links``/``paragraphs``); failed fetches come from a URL-only semi-join. Above the
+        bound it is a shuffle join on ``url``; with a page table from ``write_page_table``
+        only the requests are shuffled (into the table's buckets).
         """
-        if n_requests <= BROADCAST_FRONTIER_ROWS:
+        if n_requests <= broadcast_rows:
             got = info.join(F.broadcast(requests), "url")
             found = info.select("url").join(F.broadcast(requests.select("url").distinct()), "url")
             failed = requests.join(found, "url", "left_anti")

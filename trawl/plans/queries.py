@@ -517,12 +517,13 @@ _TOP_SEEDS_SQL = "select 'corpus' as keyword, 1 as seq, url from pages where url
 
 
 def _linked_info(spark, sf_dir) -> DataFrame:
-    """The crawl's page table: linked fixture pages analysed once and written (unique URLs)."""
-    from ..session import cut
+    """The crawl's page table: linked fixture pages analysed once and written bucketed by URL."""
+    from ..operators.crawl import write_page_table
 
     pages = FX.linked_pages(FX.table(spark, sf_dir, "pages"))
-    return cut(PG.analyze_pages(pages, keys=["page_id"]).select("page_id", "url", "links", "paragraphs"),
-               "pages-info")
+    analyzed = PG.analyze_pages(pages, keys=["page_id"]).select("page_id", "url", "links", "paragraphs")
+    buckets = max(8, spark.sparkContext.defaultParallelism)
+    return write_page_table(analyzed, buckets=buckets)
 
 
 @query("crawl_bfs", _CRAWL_LANG_SQL + crawl_sql(_TOP_SEEDS_SQL, "select url from pages", _LINKED_EDGES_SQL,
