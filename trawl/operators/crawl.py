@@ -51,7 +51,9 @@ def write_page_table(analyzed: DataFrame, buckets: int = 256, name: str = "pages
 
     spark = analyzed.sparkSession
     table = f"{name}_{uuid.uuid4().hex[:12]}"
-    (analyzed.write.bucketBy(buckets, "url").sortBy("url")
+    # Repartitioned on the bucket hash first, so each task writes exactly one bucket file
+    # (otherwise every task writes up to ``buckets`` files). One shuffle of the table, once.
+    (analyzed.repartition(buckets, "url").write.bucketBy(buckets, "url").sortBy("url")
      .option("path", scratch_dir(spark, name)).saveAsTable(table))
     return spark.table(table)
 
