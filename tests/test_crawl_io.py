@@ -143,3 +143,22 @@ def test_visited_lines(spark):
         f.write(b"http://c q\r\nurl header2\r\n")
     toks = IO.url_tokens(IO.read_lines(spark, d, glob="corpus_*.csv"))
     assert sorted({r.URL for r in toks.collect()}) == ["badbyte", "http://a", "http://b", "http://c"]
+
+
+def test_keyword_csv_stream(spark):
+    from trawl.session import scratch_dir
+    from trawl.streaming.intake import keyword_stream, run_intake
+
+    d = tempfile.mkdtemp(prefix="trawl-kwcsv-")
+    for i, words in enumerate([["elma", "  armut "], ["kiraz", ""]]):
+        with open(f"{d}/kw_{i}.csv", "w", newline="", encoding="utf-8") as f:
+            w = csv.writer(f)
+            w.writerow(["words"])
+            w.writerows([[x] for x in words])
+    seeds = spark.createDataFrame([("elma", 0, "http://h/e"), ("armut", 1, "http://h/a"), ("erik", 2, "http://h/x")],
+                                  "keyword string, pos long, url string")
+    out = scratch_dir(spark, "kwcsv-out")
+    run_intake(spark, keyword_stream(spark, d, schema="words string", files_per_trigger=1, fmt="csv"), seeds, out)
+    kws = sorted(r.keyword for r in spark.read.parquet(f"{out}/keywords").collect())
+    assert kws == ["armut", "elma", "kiraz"]
+    assert sorted(r.url for r in spark.read.parquet(f"{out}/seeds").collect()) == ["http://h/a", "http://h/e"]

@@ -22,11 +22,24 @@ def _batch_path(root: str, batch_id: int) -> str:
 
 
 def keyword_stream(spark: SparkSession, path: str, schema: str = "seq long, keyword string",
-                   files_per_trigger: int | None = None) -> DataFrame:
-    """Keywords arriving as parquet files in ``path`` (one or more per drop)."""
+                   files_per_trigger: int | None = None, fmt: str = "parquet") -> DataFrame:
+    """Keywords arriving as files in ``path`` (one or more per drop).
+
+    ``fmt="csv"`` reads keyword CSV files (header, Python dialect; ``schema`` names the
+    columns, e.g. ``"words string"``) and returns ``keyword`` from the first column and
+    ``seq`` = the file's modification time in milliseconds (a trigger takes whole files in
+    arrival order, so ``seq`` orders drops; rows of one drop share it).
+    """
     r = spark.readStream.schema(schema)
     if files_per_trigger:
         r = r.option("maxFilesPerTrigger", files_per_trigger)
+    if fmt == "csv":
+        from ..sources.files import PY_CSV_READ
+
+        df = r.options(**PY_CSV_READ).csv(path)
+        first = df.columns[0]
+        return df.select(F.col(first).cast("string").alias("keyword"),
+                         F.unix_millis(F.col("_metadata.file_modification_time")).alias("seq"))
     return r.parquet(path)
 
 
