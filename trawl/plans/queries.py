@@ -189,8 +189,9 @@ def q_corpus_rows(spark, sf_dir):
 , pg as (select {FX.HOST_SQL} as keyword, page_id from pages),
  pc as (select page_id, count(*) n_paras, sum(length(text)) n_chars from para group by page_id)
 select keyword, count(*) as pages_processed, count(pc.page_id) as pages_with_text,
-       coalesce(sum(pc.n_paras), 0) as paragraphs, coalesce(sum(pc.n_chars), 0) as characters,
-       coalesce(sum(pc.n_chars), 0) * 1.1 / 1000000000.0 as est_gb
+       cast(coalesce(sum(pc.n_paras), 0) as bigint) as paragraphs,
+       cast(coalesce(sum(pc.n_chars), 0) as bigint) as characters,
+       cast(coalesce(sum(pc.n_chars), 0) as double) * cast(1.1 as double) / cast(1e9 as double) as est_gb
 from pg left join pc using (page_id) group by keyword""")
 def q_corpus_stats(spark, sf_dir):
     """A2 + A3 + F13 + F14: pages, paragraphs, characters and size estimate per keyword."""
@@ -741,11 +742,12 @@ def q_visited_count(spark, sf_dir):
 
 
 @query("corpus_running", paragraphs_sql() + """,
-pc as (select p.page_id, coalesce(sum(length(para.text)), 0) n_chars from pages p left join para using (page_id) group by 1)
+pc as (select p.page_id, cast(coalesce(sum(length(para.text)), 0) as bigint) n_chars from pages p left join para using (page_id) group by 1)
 select page_id, row_number() over (order by page_id) as pages_done, n_chars,
-       coalesce(sum(n_chars) over (order by page_id rows between unbounded preceding and 1 preceding), 0) as chars_before,
-       sum(n_chars) over (order by page_id) as chars_total,
-       coalesce(sum(n_chars) over (order by page_id rows between unbounded preceding and 1 preceding), 0) * 1.1 / 1000000000.0 as est_gb
+       cast(coalesce(sum(n_chars) over (order by page_id rows between unbounded preceding and 1 preceding), 0) as bigint) as chars_before,
+       cast(sum(n_chars) over (order by page_id) as bigint) as chars_total,
+       cast(coalesce(sum(n_chars) over (order by page_id rows between unbounded preceding and 1 preceding), 0) as double)
+         * cast(1.1 as double) / cast(1e9 as double) as est_gb
 from pc""")
 def q_corpus_running(spark, sf_dir):
     """A4: running page count and characters in page order; the size estimate lags one page."""
