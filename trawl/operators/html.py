@@ -96,13 +96,11 @@ class PageParser(HTMLParser):
         self.results: list[str] = []
 
     # -- text runs -------------------------------------------------------------------
-    def _flush(self, text_kind: bool = True) -> None:
+    def _flush(self) -> None:
         if not self.run:
             return
         s = "".join(self.run)
         self.run = []
-        if not text_kind:
-            return
         top = self.stack[-1]
         if top.dropped or top.nontext:
             return

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import char_count, clean_paragraphs
+from ..functions.text import clean_paragraphs
 from .html import parse_pages
 
 
@@ -77,8 +77,3 @@ def clean_links(links: DataFrame, col: str = "dst_url") -> DataFrame:
     """Drop links starting ``javascript`` (case-sensitive, after resolution) or blank."""
     c = F.col(col)
     return links.where(~c.startswith("javascript") & (F.trim(c) != ""))
-
-
-def page_char_total(paragraphs: DataFrame) -> DataFrame:
-    """A3 helper: characters per row of a paragraph table."""
-    return paragraphs.withColumn("n_chars", char_count("text"))
