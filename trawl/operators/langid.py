@@ -171,6 +171,9 @@ def load(spark, path: str) -> LangModel:
 
     meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
     wide = spark.read.parquet(f"{path}/wide")
+    rows = wide.count()
+    if rows > BROADCAST_ROWS:
+        raise ValueError(f"language model has {rows} grams, above the broadcast bound {BROADCAST_ROWS}")
     return LangModel(meta["langs"], None, None, meta["priors"], meta["defaults"], meta["n"], wide)
 
 
