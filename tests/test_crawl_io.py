@@ -83,6 +83,22 @@ def test_shuffle_path_equals_broadcast_path(spark):
     assert a.reached.count() > 2
 
 
+def test_page_table_without_catalog(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from trawl.operators.crawl import write_page_table
+
+    def refuse(self, *a, **k):
+        raise PermissionError("no warehouse here")
+
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", refuse)
+    rows = [page("http://h/r0", ["http://h/r1"]), page("http://h/r1", [])]
+    info = write_page_table(info_for(spark, rows), buckets=2)
+    seeds = spark.createDataFrame([("k", 1, "http://h/r0")], "keyword string, seq long, url string")
+    got = sorted(r.url for r in crawl(spark, seeds, info, budget=None).reached.collect())
+    assert got == ["http://h/r0", "http://h/r1"]
+
+
 def test_top_per_group_hot_key(spark):
     df = spark.range(0, 5000).select(F.when(F.col("id") < 4000, "hot").otherwise("cold").alias("g"),
                                      F.format_string("%05d", "id").alias("u"), F.lit(7).alias("k"))
