@@ -91,6 +91,53 @@ def top_per_group(df: DataFrame, group: str, order: list[str], allowance_col: st
     return p2.drop("__salt", "__ex", "__rn")
 
 
+class ClaimedSet:
+    """URLs already requested in a crawl (plus the starting visited set), as a table bucketed
+    by ``url`` that each level appends to. The per-level anti-join then shuffles only the new
+    candidates into the buckets, not the whole, growing set. Without a usable catalog it
+    falls back to a union of the written level tables (same result, set re-shuffled)."""
+
+    def __init__(self, spark: SparkSession, buckets: int):
+        import uuid
+
+        from ..session import scratch_dir
+
+        self.spark = spark
+        self.buckets = buckets
+        self.table = f"claimed_{uuid.uuid4().hex[:12]}"
+        self.path = scratch_dir(spark, "claimed")
+        self.parts: list[DataFrame] = []
+        self.bucketed = True
+
+    def add(self, urls: DataFrame) -> None:
+        urls = urls.select("url")
+        if self.bucketed:
+            try:
+                (urls.repartition(self.buckets, "url").write.mode("append")
+                 .bucketBy(self.buckets, "url").sortBy("url").option("path", self.path)
+                 .saveAsTable(self.table))
+                return
+            except Exception:  # noqa: BLE001 - no usable catalog: keep the parts instead
+                self.bucketed = False
+                if self.parts == [] and self._has_rows():
+                    self.parts.append(self.spark.read.parquet(self.path).select("url"))
+        self.parts.append(urls)
+
+    def _has_rows(self) -> bool:
+        try:
+            return not self.spark.read.parquet(self.path).isEmpty()
+        except Exception:  # noqa: BLE001 - nothing written yet
+            return False
+
+    def df(self) -> DataFrame:
+        if self.bucketed:
+            return self.spark.table(self.table)
+        out = self.parts[0]
+        for part in self.parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+
 @dataclass
 class CrawlResult:
     reached: DataFrame  # keyword, seq, url, depth, fetched, lang, accepted
@@ -115,6 +162,7 @@ def crawl(
     gate: Callable[[DataFrame], DataFrame] | None = None,
     blacklist: bool = True,
     broadcast_rows: int = BROADCAST_FRONTIER_ROWS,
+    claimed_buckets: int | None = None,
 ) -> CrawlResult:
     """Seeds ``(keyword, seq, url)`` → reached pages, corpus rows and the new visited set.
 
@@ -154,7 +202,8 @@ def crawl(
     requests = cut(seeds.select("keyword", F.col("seq").cast("long").alias("seq"), "url")
                    .dropDuplicates(["keyword", "url"]).withColumn("depth", F.lit(0)), "seeds")
     level = fetch(requests, requests.count())
-    claimed_parts = [visited]
+    claimed = ClaimedSet(spark, claimed_buckets or max(8, spark.sparkContext.defaultParallelism))
+    claimed.add(visited)
     reached_parts: list[DataFrame] = []
 
     for depth in range(0, max_depth + 2):
@@ -166,7 +215,7 @@ def crawl(
                  .withColumn("lang", F.when(F.col("fetched"), F.col("lang")))
                  .select("keyword", "seq", "url", "depth", "fetched", "lang", "accepted", "links"))
         level = cut(level, "level")
-        claimed_parts.append(level.select("url"))
+        claimed.add(level.select("url"))
         reached_parts.append(level.drop("links"))
         if budget is not None:
             # fetched pages per keyword so far, read from the small written level tables
@@ -181,12 +230,9 @@ def crawl(
                 .where(~F.col("url").startswith("javascript") & (F.trim("url") != "")))
         if blacklist:
             cand = cand.where(~is_blacklisted_extension("url"))
-        claimed = claimed_parts[0]
-        for part in claimed_parts[1:]:
-            claimed = claimed.unionByName(part)
         # Claim first: the per-URL aggregate combines map-side, so a URL linked from a huge
         # share of pages is one row per task before any shuffle keyed on it.
-        requests = cut(drop_visited(_claim(cand), claimed, "url").withColumn("depth", F.lit(depth + 1)),
+        requests = cut(drop_visited(_claim(cand), claimed.df(), "url").withColumn("depth", F.lit(depth + 1)),
                        "requests")
         n_requests = requests.count()
         if n_requests == 0:
