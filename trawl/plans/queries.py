@@ -705,13 +705,16 @@ def q_corpus_shards(spark, sf_dir):
     return IO.read_corpus(spark, _write_shards(spark, sf_dir)).select("shard", "keyword", "url", "text")
 
 
-@query("visited_from_corpus", _SHARDED_SQL + "select url as URL, min(shard) as first_shard from sh group by url")
+@query("visited_from_corpus", _SHARDED_SQL
+       + "select url as URL, arg_min(shard, 'shard=' || cast(shard as varchar) || '/') as first_shard "
+         "from sh group by url")
 def q_visited_from_corpus(spark, sf_dir):
-    """D3 (intent) + K4: distinct URLs of the corpus shards with the shard where each first appears."""
+    """D3 (intent) + O1 + K4: distinct URLs of the corpus shards with the shard where each is
+    first seen, files visited in name (string) order."""
     from ..sources import files as IO
 
     corpus = IO.read_corpus(spark, _write_shards(spark, sf_dir))
-    fs = IO.first_seen(corpus.withColumnRenamed("url", "URL"), ["shard", "file_name", "row_pos"])
+    fs = IO.first_seen(corpus.withColumnRenamed("url", "URL"), ["file_name", "row_pos", "shard"])
     return fs.select("URL", F.col("first.shard").alias("first_shard"))
 
 

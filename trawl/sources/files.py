@@ -59,12 +59,14 @@ def write_corpus_shards(rows: DataFrame, path: str, mode: str = "append") -> Non
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Corpus shards → ``(keyword, url, text, shard, file_name, row_pos)``; ``row_pos``
-    orders rows inside a file (one file is read by one task, in order)."""
+    """Corpus shards → ``(keyword, url, text, shard, file_name, row_pos)``. ``file_name``
+    is the full path, so string order visits ``shard=10`` before ``shard=2`` as the reference's
+    name-sorted glob visits ``corpus_10`` before ``corpus_2`` (O1); ``row_pos`` orders rows
+    inside a file (one file is read by one task, in order)."""
     df = (spark.read.options(**PY_CSV_READ).schema("keyword string, url string, text string, shard int")
           .csv(path))
     return df.select("keyword", "url", F.coalesce("text", F.lit("")).alias("text"), "shard",
-                     F.col("_metadata.file_name").alias("file_name"),
+                     F.col("_metadata.file_path").alias("file_name"),
                      F.monotonically_increasing_id().alias("row_pos"))
 
 
