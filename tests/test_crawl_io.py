@@ -159,6 +159,22 @@ def test_visited_lines(spark):
         f.write(b"http://c q\r\nurl header2\r\n")
     toks = IO.url_tokens(IO.read_lines(spark, d, glob="corpus_*.csv"))
     assert sorted({r.URL for r in toks.collect()}) == ["badbyte", "http://a", "http://b", "http://c"]
+    once = IO.visited_urls(toks).collect()
+    every = IO.visited_urls(toks, dedupe=False).collect()
+    assert len(once) == 4 and len(every) == 5  # http://a is written twice without dedup
+    first_a = [r.pos for r in once if r.URL == "http://a"][0]
+    assert first_a == min(r.pos for r in every if r.URL == "http://a")
+
+
+def test_strip_fragment(spark):
+    from trawl.operators.pages import resolved_links
+
+    rows = [("http://h/p", '<a href="/x#a">1</a><a href="/x#b">2</a><a href="/y">3</a>')]
+    a = analyze_pages(spark.createDataFrame(rows, "url string, html string"))
+    kept = sorted(r.dst_url for r in resolved_links(a).collect())
+    merged = sorted(r.dst_url for r in resolved_links(a, strip_fragment=True).collect())
+    assert kept == ["http://h/x#a", "http://h/x#b", "http://h/y"]
+    assert merged == ["http://h/x", "http://h/y"]
 
 
 def test_keyword_csv_stream(spark):

@@ -66,11 +66,25 @@ def page_text(analyzed: DataFrame) -> DataFrame:
     return analyzed.withColumn("page_text", F.array_join("paragraphs", " "))
 
 
-def resolved_links(analyzed: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Distinct resolved links per page → ``(keys…, src_url, dst_url)``."""
+def resolved_links(analyzed: DataFrame, keys: list[str] | None = None, strip_fragment: bool = False) -> DataFrame:
+    """Distinct resolved links per page → ``(keys…, src_url, dst_url)``.
+
+    ``#frag`` links are distinct URLs by default, as in the reference. ``strip_fragment``
+    drops fragments before the per-page dedup; stored page URLs must then be normalised
+    the same way (``strip_url_fragment``) or fetches will miss.
+    """
     keys = list(keys or [])
+    links = F.col("links")
+    if strip_fragment:
+        links = F.transform(links, lambda u: strip_url_fragment(u))
     return analyzed.select(*keys, F.col("url").alias("src_url"),
-                           F.explode(F.array_distinct("links")).alias("dst_url"))
+                           F.explode(F.array_distinct(links)).alias("dst_url"))
+
+
+def strip_url_fragment(url) -> F.Column:
+    """The URL without its ``#fragment``."""
+    c = F.col(url) if isinstance(url, str) else url
+    return F.regexp_replace(c, "#.*$", "")
 
 
 def clean_links(links: DataFrame, col: str = "dst_url") -> DataFrame:

@@ -92,6 +92,15 @@ def first_seen(urls: DataFrame, order: list[str], col: str = "URL") -> DataFrame
     return urls.groupBy(col).agg(best)
 
 
+def visited_urls(tokens: DataFrame, dedupe: bool = True) -> DataFrame:
+    """D3 with the reference's ``dedupe`` flag: one row per URL at its first position, or
+    (``dedupe=False``) every token in file/line order. ``pos`` = ``(file_name, line_pos)``.
+    The unique count (A7) is ``count_distinct(URL)`` either way."""
+    if not dedupe:
+        return tokens.select("URL", F.struct("file_name", "line_pos").alias("pos"))
+    return first_seen(tokens, ["file_name", "line_pos"]).withColumnRenamed("first", "pos")
+
+
 def write_visited_csv(urls: DataFrame, path: str, col: str = "URL") -> None:
     """K4: visited CSV with header ``URL``."""
     urls.select(F.col(col).alias("URL")).write.options(**PY_CSV_WRITE).csv(path)
