@@ -68,20 +68,32 @@ def run_intake(spark: SparkSession, keywords: DataFrame, seeds_for: DataFrame, o
     return q
 
 
+BROADCAST_BATCH_ROWS = 500_000
+
+
 def run_visited_dedup(spark: SparkSession, urls: DataFrame, visited_root: str, trigger_once: bool = True):
     """Append only URLs never seen before to the visited table.
 
-    Per batch: distinct URLs, anti-joined against the visited table so far. The state is the
-    table itself, so it survives restarts and grows on shared storage, not in memory.
+    Per batch: distinct URLs (written once), minus those already in the visited table. A
+    batch up to ``BROADCAST_BATCH_ROWS`` URLs is broadcast and the table's ``url`` column is
+    streamed through a semi-join, so the growing table is never shuffled; a larger batch
+    uses a shuffle anti-join. The state is the table itself, so it survives restarts and
+    grows on shared storage, not in memory.
     """
+    from ..session import cut
+
     ckpt = scratch_dir(spark, "visited-ckpt")
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.select("url").where(F.col("url").isNotNull()).distinct()
+        fresh = cut(batch.select("url").where(F.col("url").isNotNull()).distinct(), "visited-batch")
         try:
             seen = spark.read.parquet(visited_root)
             seen = seen.where(F.col("batch") != batch_id).select("url")  # a replayed batch sees only earlier ones
-            fresh = fresh.join(seen, "url", "left_anti")
+            if fresh.count() <= BROADCAST_BATCH_ROWS:
+                hit = seen.join(F.broadcast(fresh), "url").select("url").distinct()
+                fresh = fresh.join(hit, "url", "left_anti")
+            else:
+                fresh = fresh.join(seen, "url", "left_anti")
         except Exception as e:  # first batch: no table yet
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
