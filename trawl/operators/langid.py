@@ -102,7 +102,7 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", n: int = NGR
          - F.element_at(F.create_map(*[x for lg in langs for x in (F.lit(lg), F.lit(defaults[lg]))]),
                         F.col("lang"))).alias("delta"),
     )
-    weights = cut(weights, "lang-weights")
+    # ``weights`` stays a plan (kept for inspection); only the per-gram table is written.
     wide = cut(weights.groupBy("gram").agg(
         *[F.sum(F.when(F.col("lang") == lg, F.col("delta")).otherwise(0.0)).alias(f"__d{i}")
           for i, lg in enumerate(langs)]), "lang-wide")
