@@ -9,20 +9,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash_anchor
+from . import decontaminate, embed_dedup, simhash_anchor
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_suffix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.find_matches(docs, _table(spark, sf_dir, "benchmark"), window=10)
+    items = decontaminate.items_of("match.matches")
+    hit = decontaminate.n_hit("match.matches")
+    return out.select("doc_id", F.col("match.n_words").alias("n_words"), hit.alias("n_hit"),
+                      F.size(items).cast("long").alias("n_items"),
+                      F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
 def op2_simhash_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_anchor.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     return out.select("doc_id", simhash_anchor.hex64("fp").alias("fingerprint"), "component_id")
 
 
+def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 QUERIES = {
+    "op1_suffix_search": op1_suffix_search,
     "op2_simhash_anchor": op2_simhash_anchor,
+    "op10_cross_polytope": op10_cross_polytope,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_suffix_search": decontaminate.ORACLE,
+    "op10_cross_polytope": embed_dedup.ORACLE,
+}

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .components import components, local_forest
-from .textbytes import LOWER, with_uid
+from .textbytes import LOWER, fresh, with_uid
 
 SEED = 42
 #: First bit and width of the thirds; the pairs of thirds that are compared.
@@ -265,10 +265,12 @@ def hex64(col: str) -> F.Column:
 def drop_near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """The documents that stay: of each component, the row with the smallest ``doc_id`` (rows
     equal in ``doc_id`` and text, or tied, count as one). Columns as in ``docs``."""
-    tagged = with_uid(docs)
-    found = near_duplicates(tagged, shingle, max_bits, ("_uid", "doc_id"))
-    # without a doc_id in the whole component, the smallest key stands for it
-    keep = (found.groupBy(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string"))).alias("g"))
-            .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_uid")).alias("m"))
-            .select(F.col("m._uid").alias("_uid")).distinct())
-    return tagged.join(keep, "_uid", "left_semi").dropDuplicates(["_uid"]).select(*docs.columns)
+    uid = fresh(docs, "_uid")
+    tagged = with_uid(docs, uid)
+    found = near_duplicates(tagged, shingle, max_bits, (uid, "doc_id"))
+    # without a doc_id in the whole component, its fingerprint stands for it
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
+    keep = (found.groupBy(group.alias("g"))
+            .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", F.col(uid).alias("u"))).alias("m"))
+            .select(F.col("m.u").alias(uid)).distinct())
+    return tagged.join(keep, uid, "left_semi").dropDuplicates([uid]).select(*docs.columns)

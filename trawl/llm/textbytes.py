@@ -108,7 +108,15 @@ def text_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return span_hash(low, s, e), doc, s, e
 
 
-def with_uid(docs: DataFrame, name: str = "_uid") -> DataFrame:
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (in any letter case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_uid(docs: DataFrame, name: str) -> DataFrame:
     """Add a key made from ``doc_id`` and ``text``: equal rows share it, and it is the same
     whenever a lost task is run again (unlike a running number)."""
     return docs.withColumn(name, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
