@@ -9,7 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_dedup, simhash_anchor
+from . import decontaminate, embed_dedup, language_svm, mixing, ordinal, simhash_anchor, toxicity
+
+
+#: Share of the tokens that each domain should have.
+TARGETS = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +35,45 @@ def op2_simhash_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash_anchor.hex64("fp").alias("fingerprint"), "component_id")
 
 
+def graded(labels: DataFrame) -> DataFrame:
+    """Ratings from the labels: 0 bad, 1 good but toxic, 2 good."""
+    return labels.select("doc_id", (F.col("quality") * (2 - F.coalesce("toxic", F.lit(0)))).alias("grade"))
+
+
+def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = ordinal.grade(docs, graded(_table(spark, sf_dir, "labels")))
+    usable, clean = F.get("quality.tails", F.lit(0)), F.get("quality.tails", F.lit(1))
+    return out.select("doc_id", "quality.expected_grade", usable.alias("p_usable"), clean.alias("p_clean"),
+                      F.coalesce(usable >= 0.5, F.lit(True)).alias("kept"))
+
+
+def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labelled documents' domains: their language."""
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(labels.select("doc_id"), "doc_id", "left_semi")
+
+
+def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = mixing.mix(docs, labelled_domains(docs, _table(spark, sf_dir, "labels")), TARGETS, keep=["doc_id"])
+    return out.select("doc_id", "mix.n_tokens", "mix.posterior", "mix.rate")
+
+
+def op7_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    part = F.crc32(F.col("doc_id").cast("string")) % 4
+    out = language_svm.identify(docs.select("doc_id", "text"), docs.select("doc_id", "text", "lang"), learn=part != 2)
+    return out.select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "language.lang_pred", "language.score")
+
+
+def op8_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    part = F.crc32(F.col("doc_id").cast("string")) % 5
+    out = toxicity.score(docs, _table(spark, sf_dir, "labels"), learn=part != 0)
+    return out.select("doc_id", F.coalesce(part == 0, F.lit(False)).alias("held_out"), "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
@@ -38,6 +81,10 @@ def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_search": op1_suffix_search,
     "op2_simhash_anchor": op2_simhash_anchor,
+    "op4_ordinal_quality": op4_ordinal_quality,
+    "op5_soft_mixing": op5_soft_mixing,
+    "op7_family_svm": op7_family_svm,
+    "op8_weak_toxicity": op8_weak_toxicity,
     "op10_cross_polytope": op10_cross_polytope,
 }
 
