@@ -236,8 +236,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, label_ty
 ORACLE = """
 with recursive v as (
   select vec_id, label, cast(embedding as double[]) e from embeddings
-  where label is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
-    and len(list_filter(embedding, x -> x <> 0)) > 0),
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links as (
   select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
   where list_cosine_similarity(a.e, b.e) >= 0.93),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_dedup, language_svm, mixing, ordinal, simhash_anchor, toxicity
+from . import decontaminate, embed_dedup, language_svm, line_dedup, mixing, ordinal, simhash_anchor, toxicity
 
 
 #: Share of the tokens that each domain should have.
@@ -59,6 +59,11 @@ def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "mix.n_tokens", "mix.posterior", "mix.rate")
 
 
+def op6_deletion_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "lines.n_lines", "lines.n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     part = F.crc32(F.col("doc_id").cast("string")) % 4
@@ -83,6 +88,7 @@ QUERIES = {
     "op2_simhash_anchor": op2_simhash_anchor,
     "op4_ordinal_quality": op4_ordinal_quality,
     "op5_soft_mixing": op5_soft_mixing,
+    "op6_deletion_lines": op6_deletion_lines,
     "op7_family_svm": op7_family_svm,
     "op8_weak_toxicity": op8_weak_toxicity,
     "op10_cross_polytope": op10_cross_polytope,
@@ -90,5 +96,6 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op1_suffix_search": decontaminate.ORACLE,
+    "op6_deletion_lines": line_dedup.ORACLE,
     "op10_cross_polytope": embed_dedup.ORACLE,
 }

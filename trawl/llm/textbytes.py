@@ -67,12 +67,13 @@ def shards(col: pa.Array, limit: int = SHARD_BYTES) -> Iterator[tuple[int, int,
         a = b
 
 
-def word_spans(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of every word in lower-cased bytes; no word crosses a text's end."""
+def word_spans(low: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD_BYTE) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every run of ``table`` bytes (words of lower-cased text); no run crosses a
+    text's end."""
     n = len(low)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    w = WORD_BYTE[low]
+    w = table[low]
     before = np.empty(n, bool)
     before[0], before[1:] = False, w[:-1]
     before[offsets[:-1][offsets[:-1] < n]] = False
@@ -83,7 +84,7 @@ def word_spans(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.flatnonzero(w & ~before), np.flatnonzero(w & ~after) + 1
 
 
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, longest: int | None = None) -> np.ndarray:
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of every byte span (whole spans; eight bytes a step, vectorised)."""
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[:len(data)] = data
