@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_dedup, language_svm, line_dedup, mixing, ordinal, simhash_anchor, toxicity
+from . import decontaminate, embed_dedup, language_svm, line_dedup, mixing, ordinal, separator_scan, simhash_anchor, toxicity
 
 
 #: Share of the tokens that each domain should have.
@@ -79,6 +79,12 @@ def op8_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = separator_scan.encode_documents(_table(spark, sf_dir, "documents"))
+    out = separator_scan.count_tokens(blocks)
+    return out.select(F.col("ids").alias("doc_id"), "file", "ordinal", "start", "n_tokens")
+
+
 def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
@@ -91,6 +97,7 @@ QUERIES = {
     "op6_deletion_lines": op6_deletion_lines,
     "op7_family_svm": op7_family_svm,
     "op8_weak_toxicity": op8_weak_toxicity,
+    "op9_separator_scan": op9_separator_scan,
     "op10_cross_polytope": op10_cross_polytope,
 }
 
