@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_dedup, language_svm, line_dedup, mixing, ordinal, separator_scan, simhash_anchor, toxicity
+from . import decontaminate, embed_dedup, language_svm, line_dedup, mixing, ordinal, separator_scan, simhash_anchor, suffix_dedup, toxicity
 
 
 #: Share of the tokens that each domain should have.
@@ -35,6 +35,13 @@ def op2_simhash_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash_anchor.hex64("fp").alias("fingerprint"), "component_id")
 
 
+def op3_merged_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.col("repeats.kept")
+    return out.select("doc_id", "repeats.n_bytes", (F.col("repeats.n_bytes") - F.length(kept)).cast("long").alias("n_removed"),
+                      F.size("repeats.spans").cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
 def graded(labels: DataFrame) -> DataFrame:
     """Ratings from the labels: 0 bad, 1 good but toxic, 2 good."""
     return labels.select("doc_id", (F.col("quality") * (2 - F.coalesce("toxic", F.lit(0)))).alias("grade"))
@@ -92,6 +99,7 @@ def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_search": op1_suffix_search,
     "op2_simhash_anchor": op2_simhash_anchor,
+    "op3_merged_bwt": op3_merged_bwt,
     "op4_ordinal_quality": op4_ordinal_quality,
     "op5_soft_mixing": op5_soft_mixing,
     "op6_deletion_lines": op6_deletion_lines,
