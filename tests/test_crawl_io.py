@@ -4,9 +4,10 @@ import csv
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from trawl.operators.crawl import crawl, top_per_group
+from trawl.operators.crawl import crawl, crawl_in_sequence, top_per_group
 from trawl.operators.corpus import assign_shards, running_totals
 from trawl.operators.pages import analyze_pages
 from trawl.sources import files as IO
@@ -69,36 +70,61 @@ def test_two_keywords_and_budget(spark):
     assert owners["http://h/s"] == "ka"
 
 
-def test_shuffle_path_equals_broadcast_path(spark):
+def test_bucketed_table_equals_plain_table(spark):
     from trawl.operators.crawl import write_page_table
 
     chain = [f"http://h/q{i}" for i in range(8)]
     rows = [page(chain[i], [chain[(i + 1) % 8], chain[(i * 3) % 8], "http://h/missing"]) for i in range(8)]
-    info = write_page_table(info_for(spark, rows), buckets=4)
+    plain = info_for(spark, rows)
     seeds = spark.createDataFrame([("k", 1, chain[0]), ("j", 2, chain[5])], "keyword string, seq long, url string")
-    a = crawl(spark, seeds, info, max_depth=3, budget=4)
-    b = crawl(spark, seeds, info, max_depth=3, budget=4, broadcast_rows=0)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     cols = ["keyword", "url", "depth", "fetched", "accepted"]
-    assert sorted(a.reached.select(cols).collect()) == sorted(b.reached.select(cols).collect())
-    assert a.reached.count() > 2
+    got = []
+    for info, bound in ((plain, threshold), (write_page_table(plain, buckets=4), "-1")):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+        got.append(sorted(crawl(spark, seeds, info, max_depth=3, budget=4).reached.select(cols).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got[0] == got[1] and len(got[0]) > 2
 
 
-def test_page_table_without_catalog(spark, monkeypatch):
-    from pyspark.sql.readwriter import DataFrameWriter
+def test_lowest_seq_and_depth_owns_a_page(spark):
+    rows = [page("http://h/a", ["http://h/m"]), page("http://h/m", ["http://h/x"]), page("http://h/x", []),
+            page("http://h/b", ["http://h/x"])]
+    info = info_for(spark, rows)
+    seeds = spark.createDataFrame([("A", 1, "http://h/a"), ("B", 2, "http://h/b")], "keyword string, seq long, url string")
+    one = {r.url: (r.keyword, r.depth) for r in crawl_in_sequence(spark, seeds, info, budget=None).reached.collect()}
+    assert one["http://h/x"] == ("A", 2)  # B is nearer, A comes first
+    both = {r.url: (r.keyword, r.depth) for r in crawl(spark, seeds, info, budget=None).reached.collect()}
+    assert both["http://h/x"] == ("B", 1)
 
-    from trawl.operators.crawl import write_page_table
 
-    def refuse(self, *a, **k):
-        raise PermissionError("no warehouse here")
+def test_page_table_without_catalog(spark, monkeypatch):
+    from trawl.operators import crawl as C
 
-    monkeypatch.setattr(DataFrameWriter, "saveAsTable", refuse)
+    monkeypatch.setattr(C, "has_catalog", lambda spark: False)
     rows = [page("http://h/r0", ["http://h/r1"]), page("http://h/r1", [])]
-    info = write_page_table(info_for(spark, rows), buckets=2)
+    info = C.write_page_table(info_for(spark, rows), buckets=2)
     seeds = spark.createDataFrame([("k", 1, "http://h/r0")], "keyword string, seq long, url string")
     got = sorted(r.url for r in crawl(spark, seeds, info, budget=None).reached.collect())
     assert got == ["http://h/r0", "http://h/r1"]
 
 
+def test_data_errors_are_not_swallowed(spark):
+    from trawl.operators.crawl import write_page_table
+
+    bad = info_for(spark, [page("http://h/r0", [])]).withColumn("url", F.raise_error(F.lit("broken row")).cast("string"))
+    with pytest.raises(Exception, match="broken row"):
+        write_page_table(bad, buckets=2)
+
+
+def test_no_shuffle_between_page_scan_and_parser(spark):
+    folder = tempfile.mkdtemp(prefix="trawl-splits-") + "/pages"
+    (spark.createDataFrame([page(f"http://h/{i}", []) for i in range(40)], "url string, html string")
+     .repartition(20).write.parquet(folder))
+    plan = analyze_pages(spark.read.parquet(folder))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "Exchange" not in plan
+
+
 def test_top_per_group_hot_key(spark):
     df = spark.range(0, 5000).select(F.when(F.col("id") < 4000, "hot").otherwise("cold").alias("g"),
                                      F.format_string("%05d", "id").alias("u"), F.lit(7).alias("k"))
@@ -177,20 +203,67 @@ def test_strip_fragment(spark):
     assert merged == ["http://h/x", "http://h/y"]
 
 
-def test_keyword_csv_stream(spark):
+def test_keyword_csv_stream_keeps_order_and_survives_restarts(spark):
     from trawl.session import scratch_dir
-    from trawl.streaming.intake import keyword_stream, run_intake
+    from trawl.streaming.intake import keyword_stream, read_intake, run_intake
 
     d = tempfile.mkdtemp(prefix="trawl-kwcsv-")
-    for i, words in enumerate([["elma", "  armut "], ["kiraz", ""]]):
+    seeds = spark.createDataFrame([("elma", 0, "http://h/e"), ("armut", 1, "http://h/a"), ("erik", 2, "http://h/x")],
+                                  "keyword string, pos long, url string")
+    out = scratch_dir(spark, "kwcsv-out")
+    for i, words in enumerate([["zeytin", "elma", "  armut "], ["kiraz", "", "ayva"]]):
         with open(f"{d}/kw_{i}.csv", "w", newline="", encoding="utf-8") as f:
             w = csv.writer(f)
             w.writerow(["words"])
             w.writerows([[x] for x in words])
-    seeds = spark.createDataFrame([("elma", 0, "http://h/e"), ("armut", 1, "http://h/a"), ("erik", 2, "http://h/x")],
-                                  "keyword string, pos long, url string")
-    out = scratch_dir(spark, "kwcsv-out")
-    run_intake(spark, keyword_stream(spark, d, schema="words string", files_per_trigger=1, fmt="csv"), seeds, out)
-    kws = sorted(r.keyword for r in spark.read.parquet(f"{out}/keywords").collect())
-    assert kws == ["armut", "elma", "kiraz"]
-    assert sorted(r.url for r in spark.read.parquet(f"{out}/seeds").collect()) == ["http://h/a", "http://h/e"]
+        os.utime(f"{d}/kw_{i}.csv", (1_700_000_000 + i, 1_700_000_000 + i))
+        run_intake(spark, keyword_stream(spark, d, schema="words string", files_per_trigger=1, fmt="csv"), seeds, out)
+    kws = [r.keyword for r in read_intake(spark, out, "keywords").orderBy("seq").collect()]
+    assert kws == ["zeytin", "elma", "armut", "kiraz", "ayva"]
+    assert sorted(r.url for r in read_intake(spark, out, "seeds").collect()) == ["http://h/a", "http://h/e"]
+
+
+def test_visited_set_outlives_runs_and_checkpoints(spark):
+    from trawl.session import scratch_dir
+    from trawl.streaming.intake import compact_visited, run_visited_dedup
+
+    root = scratch_dir(spark, "visited-root")
+    for i, urls in enumerate([["u1", "u2", "u3"], ["u3", "u4"], ["u1", "u5"]]):
+        drop = scratch_dir(spark, "visited-drop")
+        spark.createDataFrame([(u,) for u in urls], "url string").write.parquet(drop)
+        # every run has a source of its own, and so (but for the first) a checkpoint of its own
+        how = {"checkpoint": scratch_dir(spark, "other-checkpoint")} if i else {}
+        run_visited_dedup(spark, spark.readStream.schema("url string").parquet(drop), root, **how)
+    assert sorted(r.url for r in spark.read.parquet(root).collect()) == ["u1", "u2", "u3", "u4", "u5"]
+    assert compact_visited(spark, root, scratch_dir(spark, "visited-new")).count() == 5
+
+
+def test_second_append_continues_shards(spark):
+    from trawl.operators.corpus import corpus_state
+    from trawl.session import scratch_dir
+
+    path = scratch_dir(spark, "append")
+    rows = spark.createDataFrame([(i, "k", f"http://h/{i}", "t" * 80) for i in range(6)], "i int, keyword string, url string, text string")
+    for _ in range(2):
+        sharded = assign_shards(rows, ["i"], limit_bytes=600, state=corpus_state(spark, path))
+        IO.write_corpus_shards(sharded, path)
+    sizes = {r.shard: r.b for r in IO.read_corpus(spark, path).groupBy("shard").agg(
+        F.sum(F.length("keyword") + F.length("url") + F.length("text") + 4).alias("b")).collect()}
+    assert sum(sizes.values()) == 2 * 6 * 95 and max(sizes.values()) < 700 and len(sizes) == 2
+
+
+def test_flat_corpus_files(spark):
+    d = tempfile.mkdtemp(prefix="trawl-flat-")
+    for n in (2, 10):
+        with open(f"{d}/corpus_{n}.csv", "w", newline="", encoding="utf-8") as f:
+            csv.writer(f).writerows([["keyword", "url", "text"], ["k", f"http://h/{n}", "a, b"]])
+    open(f"{d}/other.csv", "w").write("x\n1\n")
+    got = sorted((r.shard, r.url, r.text) for r in IO.read_flat_corpus(spark, d).collect())
+    assert got == [(2, "http://h/2", "a, b"), (10, "http://h/10", "a, b")]
+
+
+def test_bad_bytes_go_and_valid_replacement_characters_stay(spark):
+    d = tempfile.mkdtemp(prefix="trawl-bytes-")
+    with open(f"{d}/a.csv", "wb") as f:
+        f.write(b"a\xffb \xef\xbf\xbd\n" + "a\ufffdb\n".encode() + b"\xc3(\n")
+    assert [r.line for r in IO.read_lines(spark, d).orderBy("line_pos").collect()] == ["ab \ufffd", "a\ufffdb", "("]

@@ -48,11 +48,11 @@ def test_links_and_resolution():
     html = ('<a href="">e</a><a href="#f">f</a><a href="javascript:void(0)">j</a>'
             '<a href="javascript/x.html">r</a><a href="mailto:a@b">m</a><a href="http://[">bad</a>'
             '<a>no href</a><a href>bare</a>')
-    _, hrefs, links, _ = parse_page(html, base)
+    _, hrefs, links, _, _ = parse_page(html, base)
     assert hrefs == ["", "#f", "javascript:void(0)", "javascript/x.html", "mailto:a@b", "http://[", ""]
     assert links == [base, base + "#f", "javascript:void(0)", "http://h/a/javascript/x.html", "mailto:a@b", base]
     b2 = "http://h/a/b"
-    _, _, links2, _ = parse_page('<a href="../../c"><a href="?z=1"><a href="//o/x"><a href="HTTP://X/y">', b2)
+    _, _, links2, _, _ = parse_page('<a href="../../c"><a href="?z=1"><a href="//o/x"><a href="HTTP://X/y">', b2)
     assert links2 == ["http://h/c", "http://h/a/b?z=1", "http://o/x", "http://X/y"]
 
 
@@ -78,3 +78,14 @@ def test_page_without_html(spark):
     a = analyze_pages(df, keys=["page_id"]).collect()[0]
     assert a.paragraphs == [] and a.links == []
     assert F is not None
+
+
+@pytest.mark.parametrize("html", ["<p>a</p><![foo[bar]]>", "<p>x<![ endif ]--></p>"])
+def test_rejected_markup_gives_empties_and_the_rest_goes_on(spark, html):
+    rows = [("http://h/bad", html), ("http://h/ok", "<p>one two three four</p>"), ("http://h/none", None)]
+    got = {r.url: r for r in analyze_pages(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert got["http://h/ok"].paragraphs == ["one two three four"] and not got["http://h/ok"].parse_error
+    assert not got["http://h/none"].parse_error
+    rejected = got["http://h/bad"]
+    assert rejected.parse_error == (parse_page(html, None)[4]) and (not rejected.parse_error or rejected.paragraphs == [])
+    assert parse_page("<p>a</p><![foo[bar]]>", None)[4]

@@ -99,3 +99,24 @@ def test_search_url(spark):
     assert r.a.startswith("https://www.bing.com/search?q=elma armut&search=Submit+Query")
     assert r.b.startswith("https://www.bing.com/search?q=elma+armut&")
     assert F is not None
+
+
+def test_params_only_for_schemes_that_have_them(spark):
+    from trawl.functions import urls as U
+
+    rows = [("http://h/a.pdf;v=1", True), ("javascript:x;y.png", True), ("mailto:a;b", False), ("x;y.png", False), ("http://h/x;y.png", False)]
+    df = spark.createDataFrame([(u,) for u, _ in rows], "url string").withColumn("b", U.is_blacklisted_extension("url"))
+    assert {r.url: r.b for r in df.collect()} == dict(rows)
+
+
+def test_redirect_with_mixed_escapes(spark):
+    import base64
+    from urllib.parse import parse_qs, urlsplit
+
+    from trawl.functions import urls as U
+
+    pay = base64.urlsafe_b64encode(b"http://a/b").decode().rstrip("=")
+    url = f"https://www.bing.com/ck/a?u=%zz%61{pay}"
+    assert parse_qs(urlsplit(url).query)["u"][0] == f"%zza{pay}"
+    got = spark.createDataFrame([(url,)], "url string").select(U.decode_redirect("url").alias("d")).first().d
+    assert got == "http://a/b"

@@ -29,6 +29,9 @@ _SCHEME = "(?:[A-Za-z][A-Za-z0-9+.-]*:)?"
 _NETLOC_RE = f"^{_SCHEME}//([^/?#]*)"
 _PATH_RE = f"^{_SCHEME}(?://[^/?#]*)?([^?#]*)"
 _QUERY_RE = "^[^?#]*\\?([^#]*)"
+# Schemes (empty included) whose last path segment can carry ``;params``, as Python's urllib has them.
+PARAM_SCHEMES = ["", "ftp", "hdl", "prospero", "http", "imap", "https", "shttp", "rtsp", "rtsps", "rtspu", "sip", "sips",
+                 "mms", "sftp", "tel"]
 
 
 def _c(col) -> Column:
@@ -46,8 +49,10 @@ def url_netloc(url) -> Column:
 
 def url_path(url) -> Column:
     """Path as ``urlparse`` gives it: ``;params`` of the last segment removed."""
-    path = F.regexp_extract(url_clean(url), _PATH_RE, 1)
-    return F.regexp_replace(path, ";[^/]*$", "")
+    u = url_clean(url)
+    path = F.regexp_extract(u, _PATH_RE, 1)
+    scheme = F.lower(F.regexp_extract(u, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    return F.when(scheme.isin(PARAM_SCHEMES), F.regexp_replace(path, ";[^/]*$", "")).otherwise(path)
 
 
 def url_query(url) -> Column:
@@ -90,21 +95,25 @@ def _first_param(query: Column, name: str) -> Column:
     """First non-blank value of ``name`` in a query string, as ``parse_qs(q)[name][0]``.
 
     Fields split on ``&``; a field without ``=`` or with an empty value is skipped; names and
-    values are percent-decoded with ``+`` as space (a malformed escape keeps the raw text).
+    values are percent-decoded with ``+`` as space (a malformed escape stands for itself).
     """
     fields = F.split(query, "&")
 
     def dec(x):
-        return F.coalesce(F.try_url_decode(x), F.replace(x, F.lit("+"), F.lit(" ")))
+        # a ``%`` without two hex digits stands for itself: escaped, so the rest still decodes
+        return F.coalesce(F.try_url_decode(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25")),
+                          F.replace(x, F.lit("+"), F.lit(" ")))
+
+    def value(f):
+        return F.regexp_extract(f, "(?s)^[^=]*=(.*)$", 1)
 
     hits = F.filter(
         fields,
         lambda f: (F.instr(f, "=") > 0)
         & (dec(F.substring_index(f, "=", 1)) == F.lit(name))
-        & (F.length(F.substring(f, F.instr(f, "=") + 1, 1 << 30)) > 0),
+        & (value(f) != ""),
     )
-    first = F.get(hits, 0)
-    return dec(F.substring(first, F.instr(first, "=") + 1, 1 << 30))
+    return dec(value(F.get(hits, 0)))
 
 
 def decode_redirect(url) -> Column:

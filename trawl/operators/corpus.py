@@ -1,21 +1,14 @@
 """Corpus statistics, running totals and size-rolled shards.
 
 Running totals over a global order (the reference logs them per page as it goes) are done
-without a single-partition window: rows are range-partitioned on the order key and sorted
-inside partitions, one small aggregate gives each partition's total, the driver turns those
-``n_partitions`` numbers into offsets, and a partition-local cumulative sum adds them.
+without a single-partition window and without Python: narrow rows (order key and numbers) are
+range-partitioned, summed inside their ranges, and lifted by the totals of the ranges before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import char_count
 
@@ -43,54 +36,33 @@ def corpus_stats(analyzed: DataFrame, group: list[str]) -> DataFrame:
 
 def running_totals(df: DataFrame, order: list[str], sums: list[str], n_partitions: int | None = None) -> DataFrame:
     """Add ``<c>_before`` (exclusive) and ``<c>_total`` (inclusive) running sums of ``sums``
-    over the global ``order`` (must be unique), plus ``row_no`` (1-based).
+    over the global ``order`` (must be unique and not null), plus ``row_no`` (1-based).
 
-    Scales: one range shuffle, one tiny aggregate (one row per partition to the driver),
-    then a partition-local cumulative sum. No window over the whole table.
+    The input is written once. Its order key and numbers go through one range shuffle; windows
+    run inside a range, one row per range carries the totals across, and the wide rows are
+    joined back by the key.
     """
     from ..session import cut
 
-    n = n_partitions or max(1, df.sparkSession.sparkContext.defaultParallelism)
-    # Written first: the range sampling job and the partitioning pass then read the table
-    # instead of recomputing the (possibly expensive) input twice.
     df = cut(df, "running-input")
-    # checkpoint (not a written table): it keeps the range partitioning the offsets rely on;
-    # persisted first so the checkpoint write does not recompute the plan.
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).persist()
-    ranged = ranged.checkpoint()
-    totals_rows = (ranged.groupBy(F.spark_partition_id().alias("pid"))
-                   .agg(F.count(F.lit(1)).alias("rows"), *[F.sum(c).cast("long").alias(c) for c in sums])
-                   .collect())  # one row per partition
-    totals = {r["pid"]: r for r in totals_rows}
-    offsets: dict[int, dict[str, int]] = {}
-    acc = {c: 0 for c in ["rows", *sums]}
-    for pid in range(ranged.rdd.getNumPartitions()):
-        offsets[pid] = dict(acc)
-        if pid in totals:
-            for c in acc:
-                acc[c] += int(totals[pid][c] or 0)
-
-    out_fields = list(ranged.schema.fields) + [T.StructField("row_no", T.LongType(), False)]
-    for c in sums:
-        out_fields += [T.StructField(f"{c}_before", T.LongType(), False),
-                       T.StructField(f"{c}_total", T.LongType(), False)]
-    schema = T.StructType(out_fields)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        off = dict(offsets[TaskContext.get().partitionId()])
-        for pdf in batches:
-            out = pdf.copy()
-            out["row_no"] = np.arange(1, len(pdf) + 1, dtype="int64") + off["rows"]
-            off["rows"] += len(pdf)
-            for c in sums:
-                v = pdf[c].fillna(0).astype("int64").to_numpy()
-                inc = np.cumsum(v) + off[c]
-                out[f"{c}_total"] = inc
-                out[f"{c}_before"] = inc - v
-                off[c] = int(inc[-1]) if len(inc) else off[c]
-            yield out
-
-    return ranged.mapInPandas(run, schema)
+    narrow = df.select(*order, *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in sums])
+    ranged = narrow.repartitionByRange(n_partitions, *order) if n_partitions else narrow.repartitionByRange(*order)
+    # the range number is fixed by this write (it is read three times below)
+    ranged = cut(ranged.withColumn("__range", F.spark_partition_id()), "running-ranges")
+    inside = Window.partitionBy("__range").orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged.select(*order, "__range", F.row_number().over(inside).cast("long").alias("row_no"),
+                          *sums, *[F.sum(c).over(upto).alias(f"{c}_total") for c in sums])
+    totals = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__rows"), *[F.sum(c).alias(f"__{c}") for c in sums])
+    # one row per range: at most the session's number of shuffle partitions
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    lift = totals.select("__range", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_lift")
+                                      for c in ("__rows", *[f"__{c}" for c in sums])])
+    out = local.join(lift, "__range").select(
+        *order, (F.col("row_no") + F.col("__rows_lift")).alias("row_no"),
+        *[x for c in sums for x in ((F.col(f"{c}_total") + F.col(f"__{c}_lift") - F.col(c)).alias(f"{c}_before"),
+                                    (F.col(f"{c}_total") + F.col(f"__{c}_lift")).alias(f"{c}_total"))])
+    return df.join(out, order)
 
 
 def csv_row_bytes(cols: list[str]) -> F.Column:
@@ -106,12 +78,35 @@ def csv_row_bytes(cols: list[str]) -> F.Column:
     return total + F.lit(len(cols) - 1 + 2)
 
 
+def corpus_state(spark: SparkSession, path: str) -> tuple[int, int]:
+    """The last shard of a written corpus and the bytes of its rows; ``(1, 0)`` before the first
+    write. Only the last shard is read (the partition filter prunes the others)."""
+    from pyspark.errors import AnalysisException
+
+    from ..sources.files import read_corpus
+
+    try:
+        corpus = read_corpus(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return 1, 0
+        raise
+    last = corpus.agg(F.max("shard")).first()[0]
+    if last is None:
+        return 1, 0
+    size = corpus.where(F.col("shard") == last).agg(F.sum(csv_row_bytes(["keyword", "url", "text"]))).first()[0]
+    return int(last), int(size or 0)
+
+
 def assign_shards(rows: DataFrame, order: list[str], limit_bytes: int = SHARD_BYTES,
-                  cols: tuple[str, ...] = ("keyword", "url", "text")) -> DataFrame:
-    """K3: ``shard`` = floor(bytes written before this row / limit), 1-based like ``corpus_<n>``.
+                  cols: tuple[str, ...] = ("keyword", "url", "text"), state: tuple[int, int] = (1, 0)) -> DataFrame:
+    """K3: ``shard`` = shards filled by the bytes written before this row, 1-based like
+    ``corpus_<n>``. ``state`` (``corpus_state``) continues an existing corpus: its last shard is
+    filled up first.
 
     A shard is left once it has reached the limit; a shard may overshoot by one row.
     """
+    first, have = state
     sized = rows.withColumn("row_bytes", csv_row_bytes(list(cols)).cast("long"))
     run = running_totals(sized, order, ["row_bytes"])
-    return run.withColumn("shard", (F.floor(F.col("row_bytes_before") / F.lit(limit_bytes)) + 1).cast("int"))
+    return run.withColumn("shard", (F.floor((F.col("row_bytes_before") + F.lit(have)) / F.lit(limit_bytes)) + F.lit(first)).cast("int"))

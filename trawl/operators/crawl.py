@@ -2,9 +2,10 @@
 
 The reference walks from seed URLs, fetching, marking visited, gating on language and
 following links up to a depth, with a page budget per keyword. Here the "web" is a page
-analysis table ``(url, links, lang…)`` written once as parquet, so every level only reads
-the narrow columns it needs (``url``, ``links``, ``lang``) and the paragraphs are read once
-at the end.
+analysis table ``(url, links, paragraphs)`` written once, bucketed by ``url``. Levels are
+narrow tables ``(keyword, seq, url, depth, fetched, lang, accepted)``: hits are found on the
+``url`` column alone, the budget ranks narrow rows, ``links`` are joined for accepted pages
+only, and ``paragraphs`` for the pages a gate must read and once for the corpus.
 
 Definitions (fixed so the result never depends on timing):
 
@@ -12,8 +13,9 @@ Definitions (fixed so the result never depends on timing):
 * A link found on an accepted page at depth ``d <= max_depth`` becomes a request at
   ``d + 1`` unless its URL was already requested in this crawl or is in ``visited``.
   Pages are thus reached at depths ``0..max_depth+1``.
-* Several keywords crawl together; a URL reached by several at the same level goes to the
-  lowest ``seq``. A URL belongs to the first level that reaches it.
+* ``crawl_in_sequence`` runs keywords one after another, as the reference does: a page
+  belongs to the lowest ``(seq, depth)`` that reaches it. ``crawl`` walks all its seeds
+  together; a URL belongs to the first level that reaches it, on a level to the lowest ``seq``.
 * Budget: at most ``budget`` fetched pages per keyword (seeds included, never cut), the
   remaining allowance filled level by level in URL order; failed fetches cost nothing.
 * A page is *visited* once fetched (found in the page table), before the language gate.
@@ -30,12 +32,29 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, ensure_checkpoint_dir
 from ..functions.urls import is_blacklisted_extension
+from ..session import cut, ensure_checkpoint_dir
+from .pages import followable
 
 SALT_BUCKETS = 64
-# A frontier up to this many rows is broadcast, so the page table is streamed, not shuffled.
-BROADCAST_FRONTIER_ROWS = 500_000
+# Input bytes that one bucket of a page table should hold.
+BUCKET_BYTES = 128 << 20
+
+
+def buckets_for(spark: SparkSession, n_bytes: int, at_least: int = 8) -> int:
+    """Buckets for a table of about ``n_bytes``: a bucket is one task's work in later joins."""
+    return max(at_least, -(-n_bytes // BUCKET_BYTES))
+
+
+def has_catalog(spark: SparkSession) -> bool:
+    """Whether bucketed tables can be made here (asked before any data is written)."""
+    try:
+        spark.catalog.listTables()
+        return True
+    except Exception as e:  # the metastore's own errors come in many classes
+        if "Metastore" in str(e) or "catalog" in str(e).lower():
+            return False
+        raise
 
 
 def write_page_table(analyzed: DataFrame, buckets: int = 256, name: str = "pages_info") -> DataFrame:
@@ -54,14 +73,11 @@ def write_page_table(analyzed: DataFrame, buckets: int = 256, name: str = "pages
     # Repartitioned on the bucket hash first, so each task writes exactly one bucket file
     # (otherwise every task writes up to ``buckets`` files). One shuffle of the table, once.
     ranged = analyzed.repartition(buckets, "url")
-    try:
-        (ranged.write.bucketBy(buckets, "url").sortBy("url")
-         .option("path", scratch_dir(spark, name)).saveAsTable(table))
-        return spark.table(table)
-    except Exception:  # noqa: BLE001 - no usable catalog/warehouse folder
-        # A plain written table works with both fetch paths (the large-frontier join then
-        # shuffles both sides); a real data error raises again from this write.
+    if not has_catalog(spark):  # a plain table works as well; its joins then shuffle both sides
         return cut(ranged, name)
+    (ranged.write.bucketBy(buckets, "url").sortBy("url")
+     .option("path", scratch_dir(spark, name)).saveAsTable(table))
+    return spark.table(table)
 
 
 def drop_visited(links: DataFrame, visited: DataFrame, col: str = "url", visited_col: str = "url") -> DataFrame:
@@ -72,7 +88,8 @@ def drop_visited(links: DataFrame, visited: DataFrame, col: str = "url", visited
 
 def top_per_group(df: DataFrame, group: str, order: list[str], allowance_col: str,
                   salt_buckets: int = SALT_BUCKETS, exempt: str | None = None) -> DataFrame:
-    """Keep the first ``allowance_col`` rows per ``group`` in ``order``, skew-safe.
+    """Keep the first ``allowance_col`` rows per ``group`` in ``order``, skew-safe. Rank narrow
+    rows; join wide columns afterwards.
 
     Phase 1 ranks inside ``(group, salt)`` buckets (salt = hash of the order key), so a hot
     group is spread over many tasks; at most ``allowance`` rows per bucket survive. Phase 2
@@ -94,8 +111,8 @@ def top_per_group(df: DataFrame, group: str, order: list[str], allowance_col: st
 class ClaimedSet:
     """URLs already requested in a crawl (plus the starting visited set), as a table bucketed
     by ``url`` that each level appends to. The per-level anti-join then shuffles only the new
-    candidates into the buckets, not the whole, growing set. Without a usable catalog it
-    falls back to a union of the written level tables (same result, set re-shuffled)."""
+    candidates into the buckets, not the whole, growing set. Without a catalog (asked once, up
+    front) it is a union of the written level tables (same result, set re-shuffled)."""
 
     def __init__(self, spark: SparkSession, buckets: int):
         import uuid
@@ -107,27 +124,16 @@ class ClaimedSet:
         self.table = f"claimed_{uuid.uuid4().hex[:12]}"
         self.path = scratch_dir(spark, "claimed")
         self.parts: list[DataFrame] = []
-        self.bucketed = True
+        self.bucketed = has_catalog(spark)
 
     def add(self, urls: DataFrame) -> None:
         urls = urls.select("url")
         if self.bucketed:
-            try:
-                (urls.repartition(self.buckets, "url").write.mode("append")
-                 .bucketBy(self.buckets, "url").sortBy("url").option("path", self.path)
-                 .saveAsTable(self.table))
-                return
-            except Exception:  # noqa: BLE001 - no usable catalog: keep the parts instead
-                self.bucketed = False
-                if self.parts == [] and self._has_rows():
-                    self.parts.append(self.spark.read.parquet(self.path).select("url"))
-        self.parts.append(urls)
-
-    def _has_rows(self) -> bool:
-        try:
-            return not self.spark.read.parquet(self.path).isEmpty()
-        except Exception:  # noqa: BLE001 - nothing written yet
-            return False
+            (urls.repartition(self.buckets, "url").write.mode("append")
+             .bucketBy(self.buckets, "url").sortBy("url").option("path", self.path)
+             .saveAsTable(self.table))
+        else:
+            self.parts.append(urls)
 
     def df(self) -> DataFrame:
         if self.bucketed:
@@ -137,6 +143,11 @@ class ClaimedSet:
             out = out.unionByName(part)
         return out
 
+    def drop(self) -> None:
+        """Take the table out of the catalog (its files stay with the checkpoints)."""
+        if self.bucketed:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
 
 @dataclass
 class CrawlResult:
@@ -161,90 +172,70 @@ def crawl(
     budget: int | None = 1000,
     gate: Callable[[DataFrame], DataFrame] | None = None,
     blacklist: bool = True,
-    broadcast_rows: int = BROADCAST_FRONTIER_ROWS,
     claimed_buckets: int | None = None,
 ) -> CrawlResult:
     """Seeds ``(keyword, seq, url)`` → reached pages, corpus rows and the new visited set.
 
     ``pages_info(url, links, paragraphs)`` must be unique on ``url`` (a written table, so each
-    level reads only ``url``/``links``). ``gate(df)`` gets fetched rows ``(…, url, paragraphs)``
-    and returns them with ``lang`` and ``accepted``; it runs on each level's fetched pages
-    only, so its cost follows the crawl, not the page store. Without a gate every fetched
-    page is accepted. The budget counts fetched pages per keyword (seeds included, never cut).
+    join reads only the columns it names). ``gate(df)`` gets fetched pages
+    ``(keyword, url, paragraphs)`` and returns ``(keyword, url, lang, accepted)``; it runs on each
+    level's fetched pages only, so its cost follows the crawl, not the page store. Without a gate
+    every fetched page is accepted. The budget counts fetched pages per keyword (seeds included,
+    never cut). All joins are left to the optimizer: a small request table is broadcast by its
+    size, a large one is shuffled into the page table's buckets.
     """
     ensure_checkpoint_dir(spark)
     if visited is None:
         visited = spark.createDataFrame([], "url string")
     visited = visited.select("url")
-    info = pages_info.select("url", "links", "paragraphs")
-
-    def fetch(requests: DataFrame, n_requests: int) -> DataFrame:
-        """Request → stored response; a URL missing from the page table is a failed fetch.
-
-        ``requests`` is a written table, so its row count is cheap. Up to ``broadcast_rows``
-        it is broadcast and the page table is streamed from its files (no shuffle of
-        ``links``/``paragraphs``); failed fetches come from a URL-only semi-join. Above the
-        bound it is a shuffle join on ``url``; with a page table from ``write_page_table``
-        only the requests are shuffled (into the table's buckets).
-        """
-        if n_requests <= broadcast_rows:
-            got = info.join(F.broadcast(requests), "url")
-            found = info.select("url").join(F.broadcast(requests.select("url").distinct()), "url")
-            failed = requests.join(found, "url", "left_anti")
-        else:
-            got = requests.join(info, "url")
-            failed = requests.join(info.select("url"), "url", "left_anti")
-        failed = (failed.withColumn("links", F.lit(None).cast("array<string>"))
-                  .withColumn("paragraphs", F.lit(None).cast("array<string>")))
-        return (got.withColumn("fetched", F.lit(True))
-                .unionByName(failed.withColumn("fetched", F.lit(False))))
+    stored = pages_info.select("url", F.lit(True).alias("__hit"))
 
     requests = cut(seeds.select("keyword", F.col("seq").cast("long").alias("seq"), "url")
                    .dropDuplicates(["keyword", "url"]).withColumn("depth", F.lit(0)), "seeds")
-    level = fetch(requests, requests.count())
     claimed = ClaimedSet(spark, claimed_buckets or max(8, spark.sparkContext.defaultParallelism))
     claimed.add(visited)
     reached_parts: list[DataFrame] = []
 
     for depth in range(0, max_depth + 2):
-        if gate is not None:
-            level = gate(cut(level.drop("__allow", "__free"), "fetched"))
-        else:
-            level = level.withColumn("lang", F.lit(None).cast("string")).withColumn("accepted", F.lit(True))
-        level = (level.withColumn("accepted", F.col("fetched") & F.coalesce("accepted", F.lit(False)))
-                 .withColumn("lang", F.when(F.col("fetched"), F.col("lang")))
-                 .select("keyword", "seq", "url", "depth", "fetched", "lang", "accepted", "links"))
-        level = cut(level, "level")
-        claimed.add(level.select("url"))
-        reached_parts.append(level.drop("links"))
-        if budget is not None:
+        # Request → stored response; a URL missing from the page table is a failed fetch
+        level = (requests.join(stored, "url", "left")
+                 .select("keyword", "seq", "url", "depth", F.coalesce("__hit", F.lit(False)).alias("fetched")))
+        if budget is not None and depth > 0:
             # fetched pages per keyword so far, read from the small written level tables
             done = reached_parts[0]
             for part in reached_parts[1:]:
                 done = done.unionByName(part)
             used = done.where("fetched").groupBy("keyword").agg(F.count(F.lit(1)).alias("used"))
+            allowance = used.select("keyword", (F.lit(budget) - F.col("used")).alias("__allow"))
+            level = (level.join(allowance, "keyword", "left")
+                     .withColumn("__allow", F.coalesce("__allow", F.lit(budget)))
+                     .withColumn("__free", ~F.col("fetched")))  # failed fetches cost nothing
+            level = top_per_group(level, "keyword", ["url"], "__allow", exempt="__free").drop("__allow", "__free")
+        if gate is not None:
+            level = cut(level, "fetched")
+            texts = level.where("fetched").select("keyword", "url").join(pages_info.select("url", "paragraphs"), "url")
+            verdict = gate(texts.select("keyword", "url", "paragraphs")).select("keyword", "url", "lang", "accepted")
+            level = level.join(verdict, ["keyword", "url"], "left")
+        else:
+            level = level.withColumn("lang", F.lit(None).cast("string")).withColumn("accepted", F.lit(True))
+        level = (level.withColumn("accepted", F.col("fetched") & F.coalesce("accepted", F.lit(False)))
+                 .select("keyword", "seq", "url", "depth", "fetched", "lang", "accepted"))
+        level = cut(level, "level")
+        reached_parts.append(level)
         if depth > max_depth:
             break
-        cand = (level.where("accepted")
-                .select("keyword", "seq", F.explode(F.array_distinct("links")).alias("url"))
-                .where(~F.col("url").startswith("javascript") & (F.trim("url") != "")))
+        claimed.add(level.select("url"))
+        cand = (level.where("accepted").select("keyword", "seq", "url").join(pages_info.select("url", "links"), "url")
+                .select("keyword", "seq", F.explode(F.array_distinct("links")).alias("url")).where(followable()))
         if blacklist:
             cand = cand.where(~is_blacklisted_extension("url"))
         # Claim first: the per-URL aggregate combines map-side, so a URL linked from a huge
         # share of pages is one row per task before any shuffle keyed on it.
         requests = cut(drop_visited(_claim(cand), claimed.df(), "url").withColumn("depth", F.lit(depth + 1)),
                        "requests")
-        n_requests = requests.count()
-        if n_requests == 0:
+        if requests.isEmpty():
             break
-        nxt = fetch(requests, n_requests)
-        if budget is not None:
-            allowance = used.select("keyword", (F.lit(budget) - F.col("used")).alias("__allow"))
-            nxt = nxt.join(allowance, "keyword", "left").withColumn(
-                "__allow", F.coalesce("__allow", F.lit(budget)))
-            nxt = nxt.withColumn("__free", ~F.col("fetched"))  # failed fetches cost nothing
-            nxt = top_per_group(nxt, "keyword", ["url"], "__allow", exempt="__free").drop("__allow", "__free")
-        level = nxt
+    claimed.drop()
 
     reached = reached_parts[0]
     for part in reached_parts[1:]:
@@ -256,6 +247,24 @@ def crawl(
     return CrawlResult(reached=reached, corpus=corpus, visited=new_visited)
 
 
+def crawl_in_sequence(spark: SparkSession, seeds: DataFrame, pages_info: DataFrame, visited: DataFrame | None = None,
+                      **how) -> CrawlResult:
+    """The reference's order: one keyword after another by ``seq``, each with what the earlier
+    ones visited, so a page belongs to the lowest ``(seq, depth)``. The keyword list (one row a
+    crawl to run) is what the driver loops over; every crawl is a distributed job."""
+    order = seeds.select("seq", "keyword").distinct().orderBy("seq", "keyword").collect()
+    out: CrawlResult | None = None
+    for seq, keyword in order:
+        mine = seeds.where((F.col("seq") == seq) & (F.col("keyword") == keyword))
+        one = crawl(spark, mine, pages_info, visited=visited, **how)
+        visited = cut(one.visited, "visited")
+        out = CrawlResult(one.reached if out is None else out.reached.unionByName(one.reached),
+                          one.corpus if out is None else out.corpus.unionByName(one.corpus), visited)
+    if out is None:
+        return crawl(spark, seeds, pages_info, visited=visited, **how)
+    return out
+
+
 def level_counts(reached: DataFrame) -> DataFrame:
     """Requests, fetched and accepted pages per keyword and depth (one partial aggregate)."""
     return reached.groupBy("keyword", "depth").agg(
@@ -271,8 +280,7 @@ def frontier_step(frontier: DataFrame, pages_info: DataFrame, visited: DataFrame
     fetched = frontier.join(pages_info.select("url", "links", "accepted"), "url")
     cand = (fetched.where(F.col("accepted") & (F.col("depth") <= max_depth))
             .select("keyword", "seq", "depth", F.explode(F.array_distinct("links")).alias("url"))
-            .where(~F.col("url").startswith("javascript") & (F.trim("url") != ""))
-            .where(~is_blacklisted_extension("url")))
+            .where(followable()).where(~is_blacklisted_extension("url")))
     best = F.min(F.struct("seq", "keyword", "depth")).alias("o")
     owned = cand.groupBy("url").agg(best)  # one row per URL before the anti-joins (skew-safe)
     fresh = drop_visited(drop_visited(owned, visited, "url"), frontier, "url")

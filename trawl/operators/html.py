@@ -29,6 +29,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..session import ship_package
+
+# Pages whose parsed output is handed back at once.
+OUTPUT_PAGES = 500
+
 # Fixed values (must equal the reference's behaviour).
 # Elements removed with their whole subtree before text is taken:
 DROPPED_TAGS = frozenset(["script", "style", "nav", "footer", "header", "aside", "form"])
@@ -194,12 +199,18 @@ class PageParser(HTMLParser):
 
 
 def parse_page(html_text: str | None, base_url: str | None, separator: str = "", want_results: bool = False):
-    """Parse one page; returns (blocks, hrefs, links, results). ``None`` html gives empties."""
+    """Parse one page; returns (blocks, hrefs, links, results, rejected).
+
+    ``None`` html gives empties. Markup that the parser rejects gives empties and
+    ``rejected``: the page counts as fetched, and the rest of the job goes on."""
     if html_text is None:
-        return [], [], [], []
+        return [], [], [], [], False
     p = PageParser(separator=separator, want_results=want_results)
-    p.feed(html_text)
-    blocks = p.finish()
+    try:
+        p.feed(html_text)
+        blocks = p.finish()
+    except (AssertionError, ValueError):  # what HTMLParser raises on broken declarations
+        return [], [], [], [], True
     links = []
     if base_url is not None:
         for h in p.hrefs:
@@ -208,19 +219,21 @@ def parse_page(html_text: str | None, base_url: str | None, separator: str = "",
             except ValueError:
                 # A malformed href (e.g. ``http://[``) is rejected alone, not the whole page.
                 continue
-    return blocks, p.hrefs, links, p.results
+    return blocks, p.hrefs, links, p.results, False
 
 
 PARSE_FIELDS = [
     T.StructField("blocks", T.ArrayType(T.StringType(), False), False),
     T.StructField("hrefs", T.ArrayType(T.StringType(), False), False),
     T.StructField("links", T.ArrayType(T.StringType(), False), False),
+    T.StructField("parse_error", T.BooleanType(), False),
 ]
-RESULT_FIELDS = [T.StructField("results", T.ArrayType(T.StringType(), False), False)]
+RESULT_FIELDS = [T.StructField("results", T.ArrayType(T.StringType(), False), False),
+                 T.StructField("parse_error", T.BooleanType(), False)]
 
 
 def parse_pages(df: DataFrame, url_col: str = "url", html_col: str = "html", separator: str = "") -> DataFrame:
-    """``(…, url, html)`` → ``(…, url, blocks, hrefs, links)``; one Arrow-batched parse per page.
+    """``(…, url, html)`` → ``(…, url, blocks, hrefs, links, parse_error)``; one Arrow-batched parse per page.
 
     ``html`` is consumed (not passed on): select only the columns you need before calling,
     and filter on ``url`` before this step, since nothing is pushed through a Python stage.
@@ -231,32 +244,33 @@ def parse_pages(df: DataFrame, url_col: str = "url", html_col: str = "html", sep
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            blocks, hrefs, links = [], [], []
-            for h, u in zip(pdf[html_col], pdf[url_col]):
-                b, hr, ln, _ = parse_page(h, u, separator=separator)
-                blocks.append(b)
-                hrefs.append(hr)
-                links.append(ln)
-            out = pdf[keep_names].copy()
-            out["blocks"] = blocks
-            out["hrefs"] = hrefs
-            out["links"] = links
-            yield out
-
+            # a few pages at a time: the parsed output of a batch is never held whole
+            for at in range(0, len(pdf), OUTPUT_PAGES):
+                part = pdf.iloc[at:at + OUTPUT_PAGES]
+                parsed = [parse_page(h, u, separator=separator) for h, u in zip(part[html_col], part[url_col])]
+                out = part[keep_names].copy()
+                for i, name in enumerate(("blocks", "hrefs", "links")):
+                    out[name] = [x[i] for x in parsed]
+                out["parse_error"] = [x[4] for x in parsed]
+                yield out
+
+    ship_package(df.sparkSession)
     return df.mapInPandas(run, out_schema)
 
 
 def parse_results(df: DataFrame, html_col: str = "html") -> DataFrame:
-    """``(…, html)`` of search-result pages → ``(…, results)``: hrefs under ``li.b_algo h2 a``."""
+    """``(…, html)`` of search-result pages → ``(…, results, parse_error)``: hrefs under ``li.b_algo h2 a``."""
     keep = [f for f in df.schema.fields if f.name != html_col]
     out_schema = T.StructType(keep + RESULT_FIELDS)
     keep_names = [f.name for f in keep]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            res = [parse_page(h, None, want_results=True)[3] for h in pdf[html_col]]
+            parsed = [parse_page(h, None, want_results=True) for h in pdf[html_col]]
             out = pdf[keep_names].copy()
-            out["results"] = res
+            out["results"] = [x[3] for x in parsed]
+            out["parse_error"] = [x[4] for x in parsed]
             yield out
 
+    ship_package(df.sparkSession)
     return df.mapInPandas(run, out_schema)

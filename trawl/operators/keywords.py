@@ -23,7 +23,7 @@ def clean_keywords(df: DataFrame, col: str = "keyword") -> DataFrame:
 
 
 def pop_keywords(keywords: DataFrame, n: int = 1, order: str = "seq") -> tuple[DataFrame, DataFrame]:
-    """O2/K2: the first ``n`` keywords in ``order`` and the remainder.
+    """O2/K2: the first ``n`` keywords in ``order`` (unique) and the remainder.
 
     The head is a top-``n`` (per-partition top-n, then a merge of n × partitions rows), the
     remainder an anti-join against those ``n`` rows (broadcast: its size is ``n``).
@@ -34,6 +34,17 @@ def pop_keywords(keywords: DataFrame, n: int = 1, order: str = "seq") -> tuple[D
     return head, rest
 
 
+def pop_keyword_file(spark, path: str, rest_path: str, n: int = 1) -> DataFrame:
+    """O2/O3/K2 on keyword CSV files: the first ``n`` keywords in file order; the rest is written
+    to a new path, in order, and can be popped from there again."""
+    from ..sources.files import PY_CSV_WRITE, read_keyword_csv
+
+    head, rest = pop_keywords(clean_keywords(read_keyword_csv(spark, path)), n)
+    ordered = rest.repartitionByRange("seq").sortWithinPartitions("seq")
+    ordered.select(F.col("keyword").alias("words")).write.options(**PY_CSV_WRITE).csv(rest_path)
+    return head
+
+
 def seed_counts(seeds: DataFrame) -> DataFrame:
     """A1 helper: seeds per keyword, duplicates counted."""
     return seeds.groupBy("keyword").agg(F.count(F.lit(1)).alias("n_seeds"))

@@ -6,21 +6,21 @@ same model family is trained from a labelled table (``documents(text, lang)``):
 
 * text → lowercase, whitespace runs → one space; features are the character trigrams
   (code points) of every word padded with a space on each side, over the whole text;
-* feature set = the ``top_k`` most frequent grams of each language (ties by gram), as the
-  published identifier also scores a selected feature set; size ≤ ``languages × top_k``;
-* ``log P(g|l) = log((c(g,l)+1) / (T_l + V))`` over the feature set, ``log P(l)`` from
-  document counts; label = argmax (ties → larger label); no feature gram → argmax prior.
-
-Scoring never materialises ``features × languages``: with ``d_l = log(1/(T_l+V))`` the
-score is ``prior_l + n_feat·d_l + Σ_present cnt(g)·(w(g,l) − d_l)``, so only grams that
-occur in a language's training text carry a row. The model is broadcast after its row
-count is checked against its bound; documents are exploded to grams, joined map-side, and
-summed per document with one ``sum`` column per language (partial aggregation before the
-shuffle, one row per document after it).
+* every gram of the training text is a feature (``V`` of them), none is cut;
+* ``log P(g|l) = log((c(g,l)+1) / (T_l + V))``, ``log P(l)`` from document counts; label =
+  argmax (ties → larger label); no known gram → argmax prior.
+
+Scoring never materialises ``features × languages``: with ``d_l = log(1/(T_l+V))`` the score
+is ``prior_l + n_feat·d_l + Σ cnt(g)·log(c(g,l)+1)``, so only grams that occur in a language's
+training text carry a row. Texts are counted as words first and grams are made per distinct
+word of a text; the join with the per-gram table is left to the optimizer (a small model is
+broadcast by its size in bytes, a large one is joined by gram with AQE's skew split).
 """
 
 from __future__ import annotations
 
+import json
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,11 +28,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapse_ws
 from ..session import cut
-from .crawl import top_per_group
 
 NGRAM = 3
-TOP_K = 400
-BROADCAST_ROWS = 2_000_000
 
 
 def normalized(text) -> Column:
@@ -55,152 +52,88 @@ def ngrams(text, n: int = NGRAM) -> Column:
 @dataclass
 class LangModel:
     langs: list[str]  # label order used for the per-language score columns
-    weights: DataFrame  # gram, lang, delta   (present grams only)
-    features: DataFrame  # gram
     priors: dict[str, float]  # lang -> log prior
     defaults: dict[str, float]  # lang -> d_l
     n: int
-    wide: DataFrame | None = None  # gram, __d0.. one delta column per language (written once)
+    wide: DataFrame  # gram, __d0.. one column log(c + 1) per language (written once)
 
 
-def train(docs: DataFrame, text: str = "text", label: str = "lang", n: int = NGRAM,
-          top_k: int = TOP_K) -> LangModel:
-    """Train from ``docs(text, lang)``. Only per-language scalars reach the driver."""
-    from .pages import spread
+def _words(df: DataFrame, keys: list[Column], text: str) -> DataFrame:
+    """Distinct words per key with their counts (``keys…, w, k``)."""
+    names = [f"__k{i}" for i in range(len(keys))]
+    return (df.select(*[k.alias(n) for k, n in zip(keys, names)], F.explode(F.split(normalized(text), " ")).alias("w"))
+            .groupBy(*names, "w").agg(F.count(F.lit(1)).alias("k")))
 
-    labelled = spread(docs.where(F.col(label).isNotNull()))
-    # Grams are within words, so gram counts = Σ over distinct words of count × grams(word):
-    # words are counted first (a cheap split, heavy map-side combining), grams are then made
-    # once per distinct word instead of once per occurrence.
-    if n != 3:
-        raise ValueError("only trigrams are supported")
-    words = (labelled.select(F.col(label).alias("lang"), F.explode(F.split(normalized(text), " ")).alias("w"))
-             .where(F.col("w") != "")
-             .groupBy("lang", "w").agg(F.count(F.lit(1)).alias("k")))
-    counts = (words.select("lang", "k", F.explode(ngrams(F.col("w"), n)).alias("gram"))
-              .groupBy("lang", "gram").agg(F.sum("k").alias("c")))
-    counts = cut(counts, "lang-counts")
-    picked = top_per_group(counts.withColumn("__k", F.lit(top_k)).withColumn("__neg", -F.col("c")),
-                           "lang", ["__neg", "gram"], "__k")
-    features = cut(picked.select("gram").distinct(), "lang-features")
-    n_features = features.count()
-    feat_counts = counts.join(F.broadcast(features) if n_features <= BROADCAST_ROWS else features, "gram")
-    stats = {r["lang"]: r for r in feat_counts.groupBy("lang").agg(F.sum("c").alias("t")).collect()}
-    docs_per_lang = {r["lang"]: r["d"] for r in docs.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("lang"))
+
+def train(docs: DataFrame, text: str = "text", label: str = "lang", n: int = NGRAM) -> LangModel:
+    """Train from ``docs(text, lang)``. Only per-language scalars reach the driver."""
+    labelled = docs.where(F.col(label).isNotNull())
+    words = _words(labelled, [F.col(label)], text).where(F.col("w") != "")
+    counts = cut(words.select(F.col("__k0").alias("lang"), "k", F.explode(ngrams(F.col("w"), n)).alias("gram"))
+                 .groupBy("lang", "gram").agg(F.sum("k").alias("c")), "lang-counts")
+    totals = {r["lang"]: float(r["t"]) for r in counts.groupBy("lang").agg(F.sum("c").alias("t")).collect()}
+    docs_per_lang = {r["lang"]: r["d"] for r in labelled.groupBy(F.col(label).alias("lang"))
                      .agg(F.count(F.lit(1)).alias("d")).collect()}  # one row per language
     langs = sorted(docs_per_lang)
-    total_docs = sum(docs_per_lang.values())
-    import math
-
-    priors = {lg: math.log(docs_per_lang[lg] / total_docs) for lg in langs}
-    t_l = {lg: float(stats[lg]["t"]) if lg in stats else 0.0 for lg in langs}
-    defaults = {lg: -math.log(t_l[lg] + n_features) for lg in langs}
-    denom = F.create_map(*[x for lg in langs for x in (F.lit(lg), F.lit(t_l[lg] + n_features))])
-    weights = feat_counts.select(
-        "gram", "lang",
-        (F.log(F.col("c") + 1) - F.log(F.element_at(denom, F.col("lang")))
-         - F.element_at(F.create_map(*[x for lg in langs for x in (F.lit(lg), F.lit(defaults[lg]))]),
-                        F.col("lang"))).alias("delta"),
-    )
-    # ``weights`` stays a plan (kept for inspection); only the per-gram table is written.
-    wide = cut(weights.groupBy("gram").agg(
-        *[F.sum(F.when(F.col("lang") == lg, F.col("delta")).otherwise(0.0)).alias(f"__d{i}")
+    wide = cut(counts.groupBy("gram").agg(
+        *[F.sum(F.when(F.col("lang") == lg, F.log(F.col("c") + 1)).otherwise(0.0)).alias(f"__d{i}")
           for i, lg in enumerate(langs)]), "lang-wide")
-    rows = wide.count()
-    if rows > BROADCAST_ROWS:
-        raise ValueError(f"language model has {rows} grams, above the broadcast bound {BROADCAST_ROWS}")
-    return LangModel(langs, weights, features, priors, defaults, n, wide)
+    v = wide.count()
+    all_docs = sum(docs_per_lang.values())
+    priors = {lg: math.log(docs_per_lang[lg] / all_docs) for lg in langs}
+    defaults = {lg: -math.log(totals.get(lg, 0.0) + v) if totals.get(lg, 0.0) + v else 0.0 for lg in langs}
+    return LangModel(langs, priors, defaults, n, wide)
 
 
 def classify(df: DataFrame, model: LangModel, text: str, key: str, out: str = "pred_lang") -> DataFrame:
     """``(key, out)``: the argmax label of ``text`` for every row of ``df`` (``key`` unique).
 
-    Grams are exploded (outer, so an empty text keeps its row), left-joined to the per-gram
-    table (one row per feature gram, one delta column per language; broadcast, its row count
-    was checked against ``BROADCAST_ROWS`` when trained) and summed per key. The aggregate
-    holds only numbers, so it is a hash aggregate with map-side partial aggregation;
-    carrying string columns through it would turn it into a sort of every gram row. Join the
-    labels back to a cheap source (a written table, a narrow scan), never to an expensive plan.
-    A row without feature grams gets the argmax prior.
+    A text's words are counted, its grams made per distinct word (outer, so an empty text keeps
+    its row), left-joined to the per-gram table and summed per key. The aggregates hold only the
+    key and numbers, so they are hash aggregates with map-side combining. Join the labels back
+    to a cheap source (a written table, a narrow scan), never to an expensive plan. A row without
+    known grams gets the argmax prior.
     """
-    from .pages import spread
-
     langs = model.langs
-    src = spread(df.select(F.col(key).alias("__key"), F.col(text).alias("__text")))
-    occ = src.select("__key", F.explode_outer(ngrams("__text", model.n)).alias("gram"))
-    hit = occ.join(F.broadcast(model.wide), "gram", "left")
-    sums = hit.groupBy("__key").agg(F.count("__d0").alias("__nf"),
-                                    *[F.coalesce(F.sum(f"__d{i}"), F.lit(0.0)).alias(f"__s{i}")
+    words = _words(df, [F.col(key)], text)
+    occ = words.select(F.col("__k0").alias("__key"), "k", F.explode_outer(ngrams("w", model.n)).alias("gram"))
+    hit = occ.join(model.wide, "gram", "left")
+    known = F.when(F.col("__d0").isNotNull(), F.col("k")).otherwise(0)
+    sums = hit.groupBy("__key").agg(F.sum(known).alias("__nf"),
+                                    *[F.coalesce(F.sum(F.col(f"__d{i}") * F.col("k")), F.lit(0.0)).alias(f"__s{i}")
                                       for i in range(len(langs))])
     scored = [F.struct((F.lit(model.priors[lg]) + F.col("__nf") * F.lit(model.defaults[lg])
                         + F.col(f"__s{i}")).alias("s"), F.lit(lg).alias("l"))
               for i, lg in enumerate(langs)]
-    best = F.greatest(*scored)["l"] if len(langs) > 1 else F.lit(langs[0])
-    return sums.select(F.col("__key").alias(key), best.alias(out))
+    best = F.greatest(*scored) if len(langs) > 1 else scored[0]
+    return sums.select(F.col("__key").alias(key), best["l"].alias(out))
 
 
 def language_gate(model: LangModel, target: str):
     """A crawl gate: label each fetched page's text (paragraphs joined by a space, F4) and
-    accept it when the label is ``target`` (P8). Rows are keyed by ``(keyword, url)``, which
-    is unique in a crawl level, so no de-duplication shuffle precedes the gram explode.
-    Expects a written table (the crawl writes each fetched level before gating it)."""
+    accept it when the label is ``target`` (P8). Takes ``(keyword, url, paragraphs)`` of the
+    fetched pages, gives ``(keyword, url, lang, accepted)``."""
 
     def gate(df: DataFrame) -> DataFrame:
-        # ``df`` is a written level table: reading it twice (texts, then the join) is cheap.
         keyed = df.withColumn("__k", F.concat_ws("\u0000", "keyword", "url"))
-        texts = keyed.where("fetched").select("__k", F.array_join("paragraphs", " ").alias("__t"))
-        lab = classify(texts, model, "__t", "__k", out="lang")
-        return (keyed.join(lab, "__k", "left").drop("__k")
-                .withColumn("accepted", F.col("fetched") & (F.col("lang") == F.lit(target))))
+        lab = classify(keyed.select("__k", F.array_join("paragraphs", " ").alias("__t")), model, "__t", "__k", out="lang")
+        # the labels come back to a narrow scan (no paragraphs)
+        return (keyed.select("__k", "keyword", "url").join(lab, "__k", "left").drop("__k")
+                .withColumn("accepted", F.col("lang") == F.lit(target)))
 
     return gate
 
 
 def save(model: LangModel, path: str) -> None:
-    """Write the model: per-gram table + per-language scalars (one small JSON row)."""
-    import json
-
+    """Write the model to an explicit path (a version per path; an existing one is refused):
+    per-gram table + per-language scalars (one small JSON row)."""
     spark = model.wide.sparkSession
-    model.wide.write.mode("overwrite").parquet(f"{path}/wide")
+    model.wide.write.parquet(f"{path}/wide")
     meta = json.dumps({"langs": model.langs, "priors": model.priors, "defaults": model.defaults, "n": model.n})
-    spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.parquet(f"{path}/meta")
 
 
 def load(spark, path: str) -> LangModel:
-    import json
-
+    """Read a model that ``save`` wrote."""
     meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
-    wide = spark.read.parquet(f"{path}/wide")
-    rows = wide.count()
-    if rows > BROADCAST_ROWS:
-        raise ValueError(f"language model has {rows} grams, above the broadcast bound {BROADCAST_ROWS}")
-    return LangModel(meta["langs"], None, None, meta["priors"], meta["defaults"], meta["n"], wide)
-
-
-def stored_model(spark, docs_path: str, top_k: int = TOP_K, n: int = NGRAM) -> LangModel:
-    """The model for a labelled table, trained once and kept under the checkpoint root.
-
-    The reference scores with pre-trained weights; this is the same arrangement: the key is
-    the training files (paths, sizes, modification times) and the parameters, so changed
-    data trains a new model.
-    """
-    import hashlib
-
-    from ..session import ensure_checkpoint_dir
-
-    root = ensure_checkpoint_dir(spark)
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(docs_path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    stamp = []
-    for st in fs.globStatus(hpath) or []:
-        stamp.append(f"{st.getPath().toString()}:{st.getLen()}:{st.getModificationTime()}")
-    key = hashlib.sha1(f"{sorted(stamp)}|{top_k}|{n}".encode()).hexdigest()[:16]
-    path = f"{root.rstrip('/')}/langid-models/{key}"
-    mpath = jvm.org.apache.hadoop.fs.Path(f"{path}/meta/_SUCCESS")
-    if mpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mpath):
-        return load(spark, path)
-    docs = spark.read.parquet(docs_path).select("text", "lang")
-    model = train(docs, top_k=top_k, n=n)
-    save(model, path)
-    return load(spark, path)
+    return LangModel(meta["langs"], meta["priors"], meta["defaults"], meta["n"], spark.read.parquet(f"{path}/wide"))

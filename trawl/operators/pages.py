@@ -14,47 +14,26 @@ from ..functions.text import clean_paragraphs
 from .html import parse_pages
 
 
-def planned_partitions(df: DataFrame) -> int | None:
-    """Partitions the physical plan will produce, read from the plan (no job runs).
-
-    ``df.rdd.getNumPartitions()`` would make adaptive execution run every shuffle stage
-    below ``df`` just to count; the planned partitioning is enough for the decision below.
-    """
-    try:
-        plan = df._jdf.queryExecution().executedPlan()
-        return int(plan.outputPartitioning().numPartitions())
-    except Exception:  # not available (e.g. a remote session): leave the input as it is
-        return None
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a Python or explode-heavy stage at least one task per core.
-
-    A large store already scans into thousands of splits and is left alone (no shuffle of
-    ``html``/``text``); only an input planned with fewer partitions than the cluster has
-    cores is spread.
-    """
-    par = df.sparkSession.sparkContext.defaultParallelism
-    n = planned_partitions(df)
-    if n is not None and n < par:
-        return df.repartition(par)
-    return df
-
-
 def analyze_pages(pages: DataFrame, keys: list[str] | None = None, separator: str = "",
                   min_words: int = 3) -> DataFrame:
-    """``pages(…, url, html)`` → ``(keys…, url, blocks, hrefs, links, paragraphs)``.
+    """``pages(…, url, html)`` → ``(keys…, url, blocks, hrefs, links, parse_error, paragraphs)``.
 
-    Only ``keys + url + html`` enter the Python stage; filter ``pages`` before calling so the
+    The pages stay in the scan's own splits (no shuffle of ``html``); their number is the
+    session's ``spark.sql.files.maxPartitionBytes`` / ``minPartitionNum``. Only ``keys + url + html`` enter the Python stage; filter ``pages`` before calling so the
     scan prunes. ``paragraphs`` is the cleaned list (drop-empty, dedup, > ``min_words`` words,
     whitespace collapsed), in document order.
     """
     keys = [k for k in (keys or []) if k != "url"]
-    src = spread(pages.select(*keys, "url", "html"))
-    parsed = parse_pages(src, separator=separator)
+    parsed = parse_pages(pages.select(*keys, "url", "html"), separator=separator)
     return parsed.withColumn("paragraphs", clean_paragraphs("blocks", min_words))
 
 
+def parse_error_counts(analyzed: DataFrame, group: list[str]) -> DataFrame:
+    """Pages, and pages whose markup the parser rejected, per group."""
+    return analyzed.groupBy(*group).agg(F.count(F.lit(1)).alias("pages"),
+                                        F.count(F.when(F.col("parse_error"), 1)).alias("rejected"))
+
+
 def paragraph_rows(analyzed: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """One row per kept paragraph, ``para_idx`` = 0-based position in the page's list."""
     keys = list(keys or [])
@@ -89,5 +68,10 @@ def strip_url_fragment(url) -> F.Column:
 
 def clean_links(links: DataFrame, col: str = "dst_url") -> DataFrame:
     """Drop links starting ``javascript`` (case-sensitive, after resolution) or blank."""
+    return links.where(followable(col))
+
+
+def followable(col: str = "url") -> F.Column:
+    """P6 as a condition: not ``javascript…`` (case-sensitive) and not blank."""
     c = F.col(col)
-    return links.where(~c.startswith("javascript") & (F.trim(c) != ""))
+    return ~c.startswith("javascript") & (F.trim(c) != "")

@@ -40,13 +40,14 @@ def linked_pages(pages: DataFrame) -> DataFrame:
     computed id (a shuffle join; no side is collected).
     """
     n = pages.count()  # one scalar to the driver
-    base = pages.select("page_id", "url", "html").withColumn("n", F.lit(n))
+    ids = pages.select("page_id").withColumn("n", F.lit(n))
     tgt = pages.select(F.col("page_id").alias("tid"), F.col("url").alias("turl"))
     t1 = tgt.select(F.col("tid").alias("t1"), F.col("turl").alias("u1"))
     t2 = tgt.select(F.col("tid").alias("t2"), F.col("turl").alias("u2"))
-    with_ids = base.withColumn("t1", (F.col("page_id") * 7 + 1) % F.col("n")).withColumn(
+    with_ids = ids.withColumn("t1", (F.col("page_id") * 7 + 1) % F.col("n")).withColumn(
         "t2", (F.col("page_id") * 13 + 5) % F.col("n"))
-    joined = with_ids.join(t1, "t1").join(t2, "t2")
+    # ids meet URLs first (narrow), the wide pages are joined last
+    joined = pages.select("page_id", "url", "html").join(with_ids.join(t1, "t1").join(t2, "t2").select("page_id", "u1", "u2"), "page_id")
 
     def esc(c):
         return F.replace(c, F.lit("&"), F.lit("&amp;"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
@@ -201,8 +201,29 @@ def q_corpus_stats(spark, sf_dir):
     return corpus_stats(a, ["keyword"])
 
 
+# Markup that the parser rejects (as office exports write it), put into every seventh page.
+_BROKEN = "<p>x <![ endif ]--> <![foo[bar]]></p>"
+
+
+@query("parse_errors", f"""
+select {FX.HOST_SQL} as keyword, count(*) as pages, count(*) filter (where page_id % 7 = 3) as rejected from pages group by 1""")
+def q_parse_errors(spark, sf_dir):
+    """Failure isolation: pages with broken markup are rejected alone and counted per host."""
+    p = FX.table(spark, sf_dir, "pages")
+    broken = p.withColumn("html", F.when(F.col("page_id") % 7 == 3, F.concat("html", F.lit(_BROKEN))).otherwise(F.col("html")))
+    return PG.parse_error_counts(_analyzed(spark, sf_dir, broken).withColumn("keyword", U.url_netloc("url")), ["keyword"])
+
+
+@query("paragraphs_beside_errors", paragraphs_sql() + "select page_id, url, para_idx, text from para where page_id % 7 <> 3")
+def q_paragraphs_beside_errors(spark, sf_dir):
+    """Failure isolation: the other pages' paragraphs are all there."""
+    p = FX.table(spark, sf_dir, "pages")
+    broken = p.withColumn("html", F.when(F.col("page_id") % 7 == 3, F.concat("html", F.lit(_BROKEN))).otherwise(F.col("html")))
+    return PG.paragraph_rows(_analyzed(spark, sf_dir, broken), keys=["page_id"])
+
+
 # --------------------------------------------------------------------------- language
-def langid_sql(train: str, target: str, key: str, n: int = 3, top_k: int = 400) -> str:
+def langid_sql(train: str, target: str, key: str, n: int = 3) -> str:
     """CTE chain ending in ``pred(<key>, pred_lang)``: the same naive Bayes in SQL.
 
     ``train`` yields ``(text, lang)``, ``target`` yields ``(<key>, text)``.
@@ -215,8 +236,7 @@ def langid_sql(train: str, target: str, key: str, n: int = 3, top_k: int = 400)
 tn as materialized (select lang, {words} w from (select lang, {norm} s from ({train}) where lang is not null)),
 tg as materialized (select lang, {grams} gram from tn where w <> ''),
 tc as materialized (select lang, gram, count(*) c from tg group by all),
-tr as (select lang, gram, c, row_number() over (partition by lang order by c desc, gram) rn from tc),
-tf as (select distinct gram from tr where rn <= {top_k}),
+tf as (select distinct gram from tc),
 tv as (select count(*) v from tf),
 tfc as (select tc.lang, tc.gram, tc.c from tc join tf using (gram)),
 tt as (select lang, sum(c) t from tfc group by lang),
@@ -250,6 +270,15 @@ def q_lang_classify(spark, sf_dir):
     return LID.classify(docs, model, "text", "doc_id")
 
 
+def _language_model(spark, sf_dir):
+    """Train on the documents, store the model at a path of its own, and load it from there."""
+    from ..operators import langid as LID
+
+    path = _scratch(spark, "langid-model")
+    LID.save(LID.train(FX.table(spark, sf_dir, "documents").select("text", "lang")), path)
+    return LID.load(spark, path)
+
+
 _PAGE_TEXT_SQL = paragraphs_sql() + """,
 ptext as (select p.page_id, p.url, coalesce(string_agg(para.text, ' ' order by para.para_idx), '') as text
           from pages p left join para using (page_id) group by all)"""
@@ -262,7 +291,7 @@ def q_lang_gate(spark, sf_dir):
     """F4 + F5 + P8: page text = paragraphs joined by a space; keep pages labelled ``en``."""
     from ..operators import langid as LID
 
-    model = LID.stored_model(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+    model = _language_model(spark, sf_dir)
     pt = PG.page_text(_analyzed(spark, sf_dir)).select("page_id", "page_text")
     labels = LID.classify(pt, model, "page_text", "page_id").where(F.col("pred_lang") == "en")
     # the URL comes back from a two-column scan of the page table, not from the parsed pages
@@ -414,16 +443,21 @@ def q_keyword_clean(spark, sf_dir):
 
 @query("keyword_dequeue", f"""
 with k as (select seq, regexp_replace(keyword, '^{WS_RE2}+|{WS_RE2}+$', '', 'g') keyword from {_RAW_KEYWORDS_SQL}),
-c as (select * from k where keyword <> ''),
-h as (select seq from c order by seq limit 5)
-select seq, keyword, case when seq in (select seq from h) then 'popped' else 'remaining' end as state from c""")
+c as (select keyword, row_number() over (order by seq) n from k where keyword <> '')
+select keyword, case when n <= 5 then 'popped' when n <= 8 then 'popped again' else 'remaining' end as state from c""")
 def q_keyword_dequeue(spark, sf_dir):
-    """O2 + K2 + S8: pop the first five keywords in queue order; the rest remains."""
-    from ..operators.keywords import clean_keywords, pop_keywords
+    """O2 + O3 + K2 + S2 + S8: a keyword CSV is popped in file order (five, then three more from
+    the remainder file), what is left is read from the last remainder file."""
+    from ..operators.keywords import clean_keywords, pop_keyword_file
+    from ..sources import files as IO
 
-    kw = clean_keywords(_raw_keywords(spark, sf_dir))
-    head, rest = pop_keywords(kw, 5)
-    return head.withColumn("state", F.lit("popped")).unionByName(rest.withColumn("state", F.lit("remaining")))
+    first, second, third = (_scratch(spark, f"keywords-{i}") for i in range(3))
+    raw = _raw_keywords(spark, sf_dir).repartitionByRange("seq").sortWithinPartitions("seq")
+    raw.select(F.col("keyword").alias("words")).write.options(**IO.PY_CSV_WRITE).csv(first)
+    head = pop_keyword_file(spark, first, second, 5).select("keyword", F.lit("popped").alias("state"))
+    again = pop_keyword_file(spark, second, third, 3).select("keyword", F.lit("popped again").alias("state"))
+    rest = clean_keywords(IO.read_keyword_csv(spark, third)).select("keyword", F.lit("remaining").alias("state"))
+    return head.unionByName(again).unionByName(rest)
 
 
 _SEEDS_SQL = f"(select {FX.HOST_SQL} as keyword, page_id as pos, url from pages)"
@@ -519,12 +553,12 @@ _TOP_SEEDS_SQL = "select 'corpus' as keyword, 1 as seq, url from pages where url
 
 def _linked_info(spark, sf_dir) -> DataFrame:
     """The crawl's page table: linked fixture pages analysed once and written bucketed by URL."""
-    from ..operators.crawl import write_page_table
+    from ..operators.crawl import buckets_for, write_page_table
 
     pages = FX.linked_pages(FX.table(spark, sf_dir, "pages"))
     analyzed = PG.analyze_pages(pages, keys=["page_id"]).select("page_id", "url", "links", "paragraphs")
-    buckets = max(8, spark.sparkContext.defaultParallelism)
-    return write_page_table(analyzed, buckets=buckets)
+    stored = FX.table(spark, sf_dir, "pages").agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    return write_page_table(analyzed, buckets=buckets_for(spark, stored))
 
 
 @query("crawl_bfs", _CRAWL_LANG_SQL + crawl_sql(_TOP_SEEDS_SQL, "select url from pages", _LINKED_EDGES_SQL,
@@ -539,7 +573,7 @@ def q_crawl_bfs(spark, sf_dir):
     from ..operators.crawl import crawl
 
     info = _linked_info(spark, sf_dir)
-    model = LID.stored_model(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+    model = _language_model(spark, sf_dir)
     seeds = (FX.table(spark, sf_dir, "pages").where(F.col("url").endswith("#top"))
              .select(F.lit("corpus").alias("keyword"), F.lit(1).alias("seq"), "url"))
     res = crawl(spark, seeds, info, max_depth=3, budget=1000, gate=LID.language_gate(model, "en"))
@@ -557,17 +591,25 @@ def _two_keyword_seeds(spark, sf_dir) -> DataFrame:
     return a.unionByName(b)
 
 
-@query("crawl_budget", "with " + crawl_sql(_TWO_KW_SEEDS_SQL, "select url from pages", _LINKED_EDGES_SQL,
-                                           "select url from pages", "select null::varchar as url where false",
-                                           budget=40)
-       + "\nselect keyword, url, depth, fetched, accepted from reached")
+def _sequence_sql(budget: int) -> str:
+    """Keyword ``a``'s crawl, then ``b``'s with what ``a`` visited: the lowest ``(seq, depth)`` owns a page."""
+    def one(k: str, seq: int, like: str, visited: str) -> str:
+        return crawl_sql(f"select '{k}' as keyword, {seq} as seq, url from pages where url like '{like}'", "select url from pages",
+                         _LINKED_EDGES_SQL, "select url from pages", visited, budget=budget, prefix=f"{k}_")
+
+    return ("with " + one("a", 1, "%#top", "select null::varchar as url where false") + ", "
+            + one("b", 2, "%utm_source=feed%", "select url from a_reached where fetched")
+            + ", reached as (select * from a_reached union all select * from b_reached)")
+
+
+@query("crawl_budget", _sequence_sql(40) + "\nselect keyword, url, depth, fetched, accepted from reached")
 def q_crawl_budget(spark, sf_dir):
-    """P11 + O4 + D4: two keywords crawl together, at most 40 fetched pages each, no language gate;
-    a URL reached by both at one level goes to the lower ``seq``."""
-    from ..operators.crawl import crawl
+    """P11 + O4 + D4 + I1: two keywords one after the other, at most 40 fetched pages each, no
+    language gate; a page belongs to the lowest ``(seq, depth)``."""
+    from ..operators.crawl import crawl_in_sequence
 
     info = _linked_info(spark, sf_dir)
-    res = crawl(spark, _two_keyword_seeds(spark, sf_dir), info, max_depth=3, budget=40)
+    res = crawl_in_sequence(spark, _two_keyword_seeds(spark, sf_dir), info, max_depth=3, budget=40)
     return res.reached.select("keyword", "url", "depth", "fetched", "accepted")
 
 
@@ -666,7 +708,7 @@ def q_csv_reencode(spark, sf_dir):
     src, dst = _scratch(spark, "kw-latin1"), _scratch(spark, "kw-utf8")
     words.write.options(**dict(IO.PY_CSV_WRITE, encoding="ISO-8859-1")).csv(src)
     IO.reencode_csv(spark, src, "ISO-8859-1", dst, "UTF-8")
-    return IO.read_keyword_csv(spark, dst)
+    return IO.read_keyword_csv(spark, dst).select("keyword")
 
 
 SHARD_TEST_BYTES = 64 * 1024
@@ -705,6 +747,29 @@ def q_corpus_shards(spark, sf_dir):
     return IO.read_corpus(spark, _write_shards(spark, sf_dir)).select("shard", "keyword", "url", "text")
 
 
+@query("corpus_append", paragraphs_sql() + f""",
+cr as (select {FX.HOST_SQL} as keyword, url, page_id, para_idx, text, page_id % 2 as part from para),
+sz as (select *, strlen({_csv_field_sql('keyword')}) + strlen({_csv_field_sql('url')}) + strlen({_csv_field_sql('text')}) + 4 as b from cr),
+rn as (select *, coalesce(sum(b) over (partition by part order by page_id, para_idx rows between unbounded preceding and 1 preceding), 0) before from sz),
+one as (select *, cast(floor(before / {SHARD_TEST_BYTES}) + 1 as integer) as shard from rn where part = 0),
+st as (select coalesce(max(shard), 1) last, coalesce(sum(b) filter (where shard = (select max(shard) from one)), 0) have from one),
+two as (select rn.*, cast(floor((before + st.have) / {SHARD_TEST_BYTES}) + st.last as integer) as shard from rn, st where part = 1)
+select shard, keyword, url, text from one union all select shard, keyword, url, text from two""")
+def q_corpus_append(spark, sf_dir):
+    """K3 over two runs: odd pages are appended to the corpus of the even ones; the last shard
+    is filled up before the next one starts."""
+    from ..operators.corpus import assign_shards, corpus_state
+    from ..sources import files as IO
+
+    rows = PG.paragraph_rows(_analyzed(spark, sf_dir), keys=["page_id"]).withColumn("keyword", U.url_netloc("url"))
+    path = _scratch(spark, "corpus-append")
+    for part in (0, 1):
+        mine = rows.where(F.col("page_id") % 2 == part)
+        sharded = assign_shards(mine, ["page_id", "para_idx"], SHARD_TEST_BYTES, state=corpus_state(spark, path))
+        IO.write_corpus_shards(sharded, path)
+    return IO.read_corpus(spark, path).select("shard", "keyword", "url", "text")
+
+
 @query("visited_from_corpus", _SHARDED_SQL
        + "select url as URL, arg_min(shard, 'shard=' || cast(shard as varchar) || '/') as first_shard "
          "from sh group by url")
@@ -735,6 +800,40 @@ def q_visited_from_lines(spark, sf_dir):
     return toks.select("URL").distinct()
 
 
+_VISITED_LINES_SQL = """
+with l as (select page_id, unnest([url || ' x', '', 'URL header line', url || ' again', 'ok' || chr(65533) || page_id || ' y']) line,
+                  unnest(range(5)) i from pages),
+t as (select split_part(line, ' ', 1) URL, page_id * 5 + i pos from l where line <> '' and not starts_with(lower(line), 'url '))"""
+
+
+@query("visited_csv", _VISITED_LINES_SQL + """
+select 'once' as kind, URL, row_number() over (order by min(pos)) as n from t group by URL
+union all select 'all', URL, row_number() over (order by pos) from t""")
+def q_visited_csv(spark, sf_dir):
+    """K4 + D3 + S5: text files with blank lines, headers, repeated URLs, bad bytes and valid
+    U+FFFD → visited CSV in first-seen order, with and without dedup, read back in order."""
+    from ..sources import files as IO
+
+    p = FX.table(spark, sf_dir, "pages")
+    u, ok = F.encode("url", "UTF-8"), F.encode(F.concat(F.lit("ok\ufffd"), F.col("page_id").cast("string"), F.lit(" y")), "UTF-8")
+    bad = F.lit(bytearray(b"\xff\xfe"))
+    lines = F.array(F.concat(u, F.lit(bytearray(b" x"))), F.lit(bytearray(b"")), F.lit(bytearray(b"URL header line")),
+                    F.concat(bad, u, F.lit(bytearray(b" again"))), F.concat(bad, ok, bad))
+    src = _scratch(spark, "visited-lines")
+    rows = p.repartitionByRange("page_id").sortWithinPartitions("page_id").select(F.explode(lines).alias("raw")).select(F.col("raw").cast("string").alias("value"))
+    rows.write.text(src)
+    tokens = IO.url_tokens(IO.read_lines(spark, src, glob="*.txt"))
+    out = None
+    for kind, dedupe in (("once", True), ("all", False)):
+        path = _scratch(spark, f"visited-{kind}")
+        IO.write_visited_csv(IO.visited_urls(tokens, dedupe), path, order="pos")
+        back = IO.read_keyword_csv(spark, path)
+        n = F.row_number().over(Window.orderBy("seq"))  # the place in the file, for the comparison only
+        one = back.select(F.lit(kind).alias("kind"), F.col("keyword").alias("URL"), n.alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("visited_count", _LINE_TOKENS_SQL + "select count(distinct URL) as n_unique from tk where URL <> ''")
 def q_visited_count(spark, sf_dir):
     """Number of unique URL tokens (counted once even when duplicates are written)."""
@@ -771,33 +870,41 @@ def _drop_files(df: DataFrame, path: str, n_files: int) -> None:
     df.repartition(n_files).write.mode("append").parquet(path)
 
 
-@query("stream_intake", f"select keyword, pos, url from {_SEEDS_SQL}")
+@query("stream_intake", f"""
+select 'seeds' as kind, keyword, pos as place, url from {_SEEDS_SQL}
+union all select 'keywords', keyword, seq, null from {_KEYWORDS_SQL}""")
 def q_stream_intake(spark, sf_dir):
-    """I2 + K6 + S8: keywords (page hosts) arrive as files; each micro-batch appends the
-    keywords and their seed URLs (one file per trigger, ``availableNow``)."""
-    from ..streaming.intake import keyword_stream, run_intake
+    """I2 + K6 + S8: keywords (page hosts) arrive as files; each micro-batch commits the keywords
+    and their seed URLs at once (one file per trigger, ``availableNow``). The query is stopped
+    after half of the drops and started again on the same root."""
+    from ..streaming.intake import keyword_stream, read_intake, run_intake
 
     kws, seeds = _host_seeds(spark, sf_dir)
-    drop = _scratch(spark, "kw-drop")
-    _drop_files(kws.select("seq", "keyword"), drop, 4)
-    out = _scratch(spark, "intake")
-    run_intake(spark, keyword_stream(spark, drop, files_per_trigger=1), seeds, out)
-    return spark.read.parquet(f"{out}/seeds").select("keyword", "pos", "url")
+    drop, out = _scratch(spark, "kw-drop"), _scratch(spark, "intake")
+    for part in (0, 1):
+        _drop_files(kws.select("seq", "keyword").where(F.pmod(F.xxhash64("keyword"), F.lit(2)) == part), drop, 2)
+        run_intake(spark, keyword_stream(spark, drop, files_per_trigger=1), seeds, out)
+    got = read_intake(spark, out, "seeds").select(F.lit("seeds").alias("kind"), "keyword", F.col("pos").alias("place"), "url")
+    kw = read_intake(spark, out, "keywords").select(F.lit("keywords").alias("kind"), "keyword", F.col("seq").alias("place"),
+                                                    F.lit(None).cast("string").alias("url"))
+    return got.unionByName(kw)
 
 
 @query("stream_visited", f"select distinct dst as url from ({_LINKED_EDGES_SQL})")
 def q_stream_visited(spark, sf_dir):
     """I4 + D4 + K7: a stream of found URLs (every page's links, repeats included) feeds the
-    visited table; each batch appends only URLs never seen before."""
+    visited table; each batch appends only URLs never seen before. The second half of the drops
+    arrives after a restart on the same root."""
+    from ..session import cut
     from ..streaming.intake import run_visited_dedup
 
-    links = PG.resolved_links(PG.analyze_pages(FX.linked_pages(FX.table(spark, sf_dir, "pages")), keys=["page_id"]),
-                              keys=["page_id"]).select(F.col("dst_url").alias("url"))
-    drop = _scratch(spark, "url-drop")
-    _drop_files(links, drop, 6)
-    root = _scratch(spark, "visited")
-    stream = spark.readStream.schema("url string").option("maxFilesPerTrigger", 2).parquet(drop)
-    run_visited_dedup(spark, stream, root)
+    links = cut(PG.resolved_links(PG.analyze_pages(FX.linked_pages(FX.table(spark, sf_dir, "pages")), keys=["page_id"]),
+                                  keys=["page_id"]).select("page_id", F.col("dst_url").alias("url")), "links")
+    drop, root = _scratch(spark, "url-drop"), _scratch(spark, "visited")
+    for part in (0, 1):
+        _drop_files(links.where(F.col("page_id") % 2 == part).select("url"), drop, 3)
+        stream = spark.readStream.schema("url string").option("maxFilesPerTrigger", 2).parquet(drop)
+        run_visited_dedup(spark, stream, root)
     return spark.read.parquet(root).select("url")
 
 
@@ -816,33 +923,45 @@ from (select * from a_reached union all select * from b_reached) r join para usi
 
 @query("stream_crawl", _STREAM_CRAWL_SQL)
 def q_stream_crawl(spark, sf_dir):
-    """Keywords ``a`` then ``b`` arrive one file per trigger; each micro-batch runs one
-    crawl (budget 40, no gate) with the visited set left by the earlier batches."""
+    """Keyword ``a``, then after a restart on the same root ``b``, arrive one file per trigger;
+    each micro-batch runs one crawl (budget 40, no gate) with the visited set left by the earlier
+    batches."""
     from ..streaming.intake import keyword_stream, run_crawl_stream
 
     info = _linked_info(spark, sf_dir)
     seeds = _two_keyword_seeds(spark, sf_dir)
     drop = _scratch(spark, "crawl-drop")
+    out = _scratch(spark, "crawl-stream")
     for kw, seq in (("a", 1), ("b", 2)):
         _drop_files(spark.createDataFrame([(seq, kw)], "seq long, keyword string"), drop, 1)
-    out = _scratch(spark, "crawl-stream")
-    run_crawl_stream(spark, keyword_stream(spark, drop, files_per_trigger=1), seeds, info, out,
-                     dict(max_depth=3, budget=40))
+        run_crawl_stream(spark, keyword_stream(spark, drop, files_per_trigger=1), seeds, info, out,
+                         dict(max_depth=3, budget=40))
     return spark.read.parquet(f"{out}/corpus").select("keyword", "url", "depth", "para_idx", "text")
 
 
-@query("crawl_levels", "with " + crawl_sql(_TWO_KW_SEEDS_SQL, "select url from pages", _LINKED_EDGES_SQL,
-                                           "select url from pages", "select null::varchar as url where false",
-                                           budget=40)
-       + """
+@query("crawl_levels", _sequence_sql(40) + """
 select keyword, depth, count(*) as requests, count(*) filter (where fetched) as fetched,
        count(*) filter (where accepted) as accepted
 from reached group by keyword, depth""")
 def q_crawl_levels(spark, sf_dir):
     """A6 + A2: requests, fetched and accepted pages per keyword and depth (the per-level
     queue and page counters the reference logs), for the two-keyword budgeted crawl."""
-    from ..operators.crawl import crawl, level_counts
+    from ..operators.crawl import crawl_in_sequence, level_counts
 
     info = _linked_info(spark, sf_dir)
-    res = crawl(spark, _two_keyword_seeds(spark, sf_dir), info, max_depth=3, budget=40)
+    res = crawl_in_sequence(spark, _two_keyword_seeds(spark, sf_dir), info, max_depth=3, budget=40)
     return level_counts(res.reached)
+
+
+@query("crawl_together", "with " + crawl_sql(_TWO_KW_SEEDS_SQL, "select url from pages", _LINKED_EDGES_SQL,
+                                             "select url from pages", "select null::varchar as url where false",
+                                             budget=40)
+       + "\nselect keyword, url, depth, fetched, accepted from reached")
+def q_crawl_together(spark, sf_dir):
+    """I1 with all keywords in one walk: the first level that reaches a URL owns it, on a level the
+    lower ``seq``."""
+    from ..operators.crawl import crawl
+
+    info = _linked_info(spark, sf_dir)
+    res = crawl(spark, _two_keyword_seeds(spark, sf_dir), info, max_depth=3, budget=40)
+    return res.reached.select("keyword", "url", "depth", "fetched", "accepted")

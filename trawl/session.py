@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +50,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers (once per application), so that tasks can import it
+    wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_trawl_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="trawl-zip-"), "trawl.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(home):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("trawl", os.path.relpath(path, home)))
+    sc.addPyFile(target)
+    sc._trawl_shipped = True
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh path under the checkpoint root for tables a job writes and reads back."""
     root = ensure_checkpoint_dir(spark)

@@ -15,7 +15,7 @@ inside a quoted field into the row separator ``\r\n``; corpus paragraphs never h
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ws import WS
@@ -40,9 +40,12 @@ def write_keyword_csv(words: DataFrame, path: str, col: str = "word") -> None:
 
 
 def read_keyword_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Keyword CSV → ``keyword``: the first column by position, all strings, no inference."""
+    """Keyword CSV → ``keyword`` (the first column by position, all strings, no inference)
+    with its queue order ``seq`` = (file name, place in the file)."""
     df = spark.read.options(**PY_CSV_READ).option("encoding", encoding).option("inferSchema", False).csv(path)
-    return df.select(F.col(df.columns[0]).cast("string").alias("keyword"))
+    return df.select(F.col(df.columns[0]).cast("string").alias("keyword"),
+                     F.struct(F.col("_metadata.file_path").alias("file"),
+                              F.monotonically_increasing_id().alias("pos")).alias("seq"))
 
 
 def reencode_csv(spark: SparkSession, src: str, src_encoding: str, dst: str, dst_encoding: str = "UTF-8") -> None:
@@ -58,6 +61,17 @@ def write_corpus_shards(rows: DataFrame, path: str, mode: str = "append") -> Non
      .partitionBy("shard").options(**PY_CSV_WRITE).csv(path))
 
 
+def read_flat_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """A folder of flat ``corpus_<n>.csv`` files, with the columns of ``read_corpus``
+    (``shard`` = n)."""
+    df = (spark.read.options(**PY_CSV_READ).option("pathGlobFilter", "corpus_*.csv")
+          .schema("keyword string, url string, text string").csv(path))
+    name = F.col("_metadata.file_path")
+    return df.select("keyword", "url", F.coalesce("text", F.lit("")).alias("text"),
+                     F.regexp_extract(name, "corpus_([0-9]+)[.]csv$", 1).try_cast("int").alias("shard"),
+                     name.alias("file_name"), F.monotonically_increasing_id().alias("row_pos"))
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Corpus shards → ``(keyword, url, text, shard, file_name, row_pos)``. ``file_name``
     is the full path, so string order visits ``shard=10`` before ``shard=2`` as the reference's
@@ -70,10 +84,17 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
                      F.monotonically_increasing_id().alias("row_pos"))
 
 
+def drop_bad_bytes(col: str) -> F.Column:
+    """Undecodable bytes dropped; a U+FFFD that was validly encoded stays. (It is parked as a
+    newline, which a line doesn't hold, while the invalid ones are taken out.)"""
+    parked = F.replace(F.col(col), F.lit("\ufffd"), F.lit("\n"))
+    return F.replace(F.replace(F.make_valid_utf8(parked), F.lit("\ufffd"), F.lit("")), F.lit("\n"), F.lit("\ufffd"))
+
+
 def read_lines(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
     """Physical lines of text files, undecodable bytes dropped, ends stripped → ``(file_name, line_pos, line)``."""
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
-    line = F.regexp_replace(F.make_valid_utf8("value"), "�", "")
+    line = drop_bad_bytes("value")
     return df.select(F.col("_metadata.file_path").alias("file_name"),
                      F.monotonically_increasing_id().alias("line_pos"),
                      F.regexp_replace(line, f"^{WS}+|{WS}+$", "").alias("line"))
@@ -101,22 +122,21 @@ def visited_urls(tokens: DataFrame, dedupe: bool = True) -> DataFrame:
     return first_seen(tokens, ["file_name", "line_pos"]).withColumnRenamed("first", "pos")
 
 
-def write_visited_csv(urls: DataFrame, path: str, col: str = "URL") -> None:
-    """K4: visited CSV with header ``URL``."""
+def write_visited_csv(urls: DataFrame, path: str, col: str = "URL", order: str | None = None) -> None:
+    """K4: visited CSV with header ``URL``; with ``order`` the rows of the part files, taken in
+    name order, follow it (a range shuffle, no single task)."""
+    if order is not None:
+        urls = urls.repartitionByRange(order).sortWithinPartitions(order)
     urls.select(F.col(col).alias("URL")).write.options(**PY_CSV_WRITE).csv(path)
 
 
-
 def write_json_arrays(rows: DataFrame, path: str) -> None:
-    """Write each partition as one JSON-array document (the dictionary file format)."""
-    import json
-
-    import pandas as pd
-
-    def run(batches):
-        items = []
-        for pdf in batches:
-            items.extend(pdf.to_dict("records"))
-        yield pd.DataFrame({"value": [json.dumps(items, ensure_ascii=False, indent=1)]})
-
-    rows.mapInPandas(run, "value string").write.text(path)
+    """Write each partition as one JSON-array document (the dictionary file format), an object
+    a line: brackets and commas are rows of their own around the native JSON of each row."""
+    doc = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+    placed = rows.select(F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__i"), doc.alias("value"))
+    # a partition's first row opens its array, its last one closes it
+    inside = Window.partitionBy("__p").orderBy("__i")
+    marked = placed.select("__p", "__i", F.concat(F.when(F.row_number().over(inside) == 1, "[").otherwise(","), "value",
+                                                  F.when(F.lead("__i").over(inside).isNull(), "]").otherwise("")).alias("value"))
+    marked.sortWithinPartitions("__p", "__i").select("__p", "value").write.partitionBy("__p").text(path)

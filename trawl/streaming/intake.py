@@ -2,23 +2,58 @@
 
 The reference loops forever: a producer pops keywords and pushes seed URLs, a consumer
 restarts the crawler per keyword, and a shared visited set persists between runs. Here each
-loop is a streaming query over a file source, and every sink is a table written by
-``foreachBatch`` into a folder keyed by the batch id (overwritten on retry, so a replayed
-batch is idempotent). State that must outlive a run (the visited set) is a table, joined
-per batch, instead of an unbounded in-memory state store.
+loop is a streaming query over a file source. Its checkpoint is durable: a parameter, by default
+a folder under the output root, so a restarted query goes on where it stopped (a checkpoint belongs
+to one source folder; another source on the same root needs one of its own). Every sink is a
+table written by ``foreachBatch`` into a folder keyed by the checkpoint and the batch id
+(overwritten on retry, so a replayed batch is idempotent, and another checkpoint on the same root
+never touches it). State that must outlive a run (the visited set) is that table, joined per
+batch, instead of an unbounded in-memory state store.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.keywords import clean_keywords
-from ..session import scratch_dir
+
+CHECKPOINTS = "_checkpoints"
+
+
+def _run_id(checkpoint: str) -> str:
+    return "r" + hashlib.sha1(checkpoint.rstrip("/").encode()).hexdigest()[:12]
 
 
-def _batch_path(root: str, batch_id: int) -> str:
-    return f"{root.rstrip('/')}/batch={batch_id}"
+def _batch_path(root: str, run: str, batch_id: int) -> str:
+    return f"{root.rstrip('/')}/run={run}/batch={batch_id}"
+
+
+def _earlier(spark: SparkSession, root: str, run: str, batch_id: int) -> DataFrame | None:
+    """What other batches have written under ``root`` (None before the first)."""
+    try:
+        df = spark.read.parquet(root)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    return df.where((F.col("run") != run) | (F.col("batch") != batch_id))
+
+
+def _start(stream: DataFrame, per_batch, checkpoint: str, once: bool, processing_time: str):
+    w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if once else w.trigger(processingTime=processing_time)
+    q = w.start()
+    if once:
+        q.awaitTermination()
+    return q
+
+
+#: Rows of one keyword file that ``seq`` can tell apart (file time times this fits a long).
+ROWS_PER_FILE = 1_000_000
 
 
 def keyword_stream(spark: SparkSession, path: str, schema: str = "seq long, keyword string",
@@ -26,9 +61,8 @@ def keyword_stream(spark: SparkSession, path: str, schema: str = "seq long, keyw
     """Keywords arriving as files in ``path`` (one or more per drop).
 
     ``fmt="csv"`` reads keyword CSV files (header, Python dialect; ``schema`` names the
-    columns, e.g. ``"words string"``) and returns ``keyword`` from the first column and
-    ``seq`` = the file's modification time in milliseconds (a trigger takes whole files in
-    arrival order, so ``seq`` orders drops; rows of one drop share it).
+    columns, e.g. ``"words string"``) and returns ``keyword`` from the first column and the file's
+    modification time ``file_ms``; each batch makes ``seq`` of it (see ``queued``).
     """
     r = spark.readStream.schema(schema)
     if files_per_trigger:
@@ -39,104 +73,98 @@ def keyword_stream(spark: SparkSession, path: str, schema: str = "seq long, keyw
         df = r.options(**PY_CSV_READ).csv(path)
         first = df.columns[0]
         return df.select(F.col(first).cast("string").alias("keyword"),
-                         F.unix_millis(F.col("_metadata.file_modification_time")).alias("seq"))
+                         F.unix_millis(F.col("_metadata.file_modification_time")).alias("file_ms"))
     return r.parquet(path)
 
 
+def queued(batch: DataFrame) -> DataFrame:
+    """A batch with its queue order ``seq``: given, or for CSV drops the file's time, then the
+    row's place in the file (a file is read by one task, in order)."""
+    if "seq" in batch.columns:
+        return batch
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return batch.withColumn("seq", F.col("file_ms") * ROWS_PER_FILE + row).drop("file_ms")
+
+
 def run_intake(spark: SparkSession, keywords: DataFrame, seeds_for: DataFrame, out_root: str,
-               trigger_once: bool = True, processing_time: str = "1 second"):
+               trigger_once: bool = True, processing_time: str = "1 second", checkpoint: str | None = None):
     """I2 + K6: each micro-batch of keywords is cleaned and appended with its seed URLs.
 
     ``seeds_for(keyword, pos, url)`` is the result-page lookup (stored); a keyword without
-    seeds is still enqueued (the threshold is applied when crawling). Writes
-    ``out_root/keywords`` and ``out_root/seeds``.
+    seeds is still enqueued (the threshold is applied when crawling). A batch is one write (one
+    commit) of both kinds of rows; ``read_intake`` gives them back.
     """
-    ckpt = scratch_dir(spark, "intake-ckpt")
-    kw_root, seed_root = f"{out_root}/keywords", f"{out_root}/seeds"
+    checkpoint = checkpoint or f"{out_root.rstrip('/')}/{CHECKPOINTS}/intake"
+    run = _run_id(checkpoint)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        kw = clean_keywords(batch)
-        kw.write.mode("overwrite").parquet(_batch_path(kw_root, batch_id))
-        seeds = seeds_for.join(kw.select("keyword"), "keyword", "left_semi")
-        seeds.write.mode("overwrite").parquet(_batch_path(seed_root, batch_id))
+        kw = clean_keywords(queued(batch))
+        seeds = seeds_for.select("keyword", "pos", "url").join(kw.select("keyword"), "keyword", "left_semi")
+        rows = (kw.select("keyword", F.col("seq").cast("long").alias("seq")).withColumn("kind", F.lit("keywords"))
+                .unionByName(seeds.withColumn("kind", F.lit("seeds")), allowMissingColumns=True))
+        rows.write.mode("overwrite").partitionBy("kind").parquet(_batch_path(f"{out_root}/intake", run, batch_id))
 
-    w = keywords.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
-    w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime=processing_time)
-    q = w.start()
-    if trigger_once:
-        q.awaitTermination()
-    return q
+    return _start(keywords, per_batch, checkpoint, trigger_once, processing_time)
 
 
-BROADCAST_BATCH_ROWS = 500_000
+def read_intake(spark: SparkSession, out_root: str, kind: str) -> DataFrame:
+    """The enqueued ``keywords(keyword, seq)`` or ``seeds(keyword, pos, url)``."""
+    cols = ["keyword", "seq"] if kind == "keywords" else ["keyword", "pos", "url"]
+    return spark.read.parquet(f"{out_root}/intake").where(F.col("kind") == kind).select(*cols)
 
 
-def run_visited_dedup(spark: SparkSession, urls: DataFrame, visited_root: str, trigger_once: bool = True):
+def run_visited_dedup(spark: SparkSession, urls: DataFrame, visited_root: str, trigger_once: bool = True,
+                      processing_time: str = "1 second", checkpoint: str | None = None):
     """Append only URLs never seen before to the visited table.
 
-    Per batch: distinct URLs (written once), minus those already in the visited table. A
-    batch up to ``BROADCAST_BATCH_ROWS`` URLs is broadcast and the table's ``url`` column is
-    streamed through a semi-join, so the growing table is never shuffled; a larger batch
-    uses a shuffle anti-join. The state is the table itself, so it survives restarts and
-    grows on shared storage, not in memory.
+    Per batch: distinct URLs, minus those any other batch has stored (one anti-join, its strategy
+    left to the optimizer). The state is the table itself, so it survives restarts and grows on
+    shared storage, not in memory. ``compact_visited`` joins the batch folders into one.
     """
-    from ..session import cut
-
-    ckpt = scratch_dir(spark, "visited-ckpt")
+    checkpoint = checkpoint or f"{visited_root.rstrip('/')}{CHECKPOINTS}"
+    run = _run_id(checkpoint)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        fresh = cut(batch.select("url").where(F.col("url").isNotNull()).distinct(), "visited-batch")
-        try:
-            seen = spark.read.parquet(visited_root)
-            seen = seen.where(F.col("batch") != batch_id).select("url")  # a replayed batch sees only earlier ones
-            if fresh.count() <= BROADCAST_BATCH_ROWS:
-                hit = seen.join(F.broadcast(fresh), "url").select("url").distinct()
-                fresh = fresh.join(hit, "url", "left_anti")
-            else:
-                fresh = fresh.join(seen, "url", "left_anti")
-        except Exception as e:  # first batch: no table yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        fresh.write.mode("overwrite").parquet(_batch_path(visited_root, batch_id))
-
-    w = urls.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
-    w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="1 second")
-    q = w.start()
-    if trigger_once:
-        q.awaitTermination()
-    return q
+        fresh = batch.select("url").where(F.col("url").isNotNull()).distinct()
+        seen = _earlier(spark, visited_root, run, batch_id)
+        if seen is not None:
+            fresh = fresh.join(seen.select("url"), "url", "left_anti")
+        fresh.write.mode("overwrite").parquet(_batch_path(visited_root, run, batch_id))
 
+    return _start(urls, per_batch, checkpoint, trigger_once, processing_time)
 
-def run_crawl_stream(spark: SparkSession, keywords: DataFrame, seeds: DataFrame, pages_info: DataFrame,
-                     out_root: str, crawl_kwargs: dict | None = None, trigger_once: bool = True):
-    """One crawl per micro-batch of keywords (``maxFilesPerTrigger`` = 1 gives the
-    reference's one keyword per run); the visited table carries over between batches.
-    Writes ``out_root/corpus`` and ``out_root/visited``."""
-    from ..operators.crawl import crawl
 
-    ckpt = scratch_dir(spark, "crawl-ckpt")
+def compact_visited(spark: SparkSession, visited_root: str, new_root: str) -> DataFrame:
+    """The visited table as one batch folder under a new root (to be given to the next run)."""
+    path = _batch_path(new_root, "compacted", 0)
+    spark.read.parquet(visited_root).select("url").distinct().write.parquet(path)
+    return spark.read.parquet(new_root)
+
+
+def run_crawl_stream(spark: SparkSession, keywords: DataFrame, seeds: DataFrame, pages_info: DataFrame,
+                     out_root: str, crawl_kwargs: dict | None = None, trigger_once: bool = True,
+                     processing_time: str = "1 second", checkpoint: str | None = None):
+    """Per micro-batch, one crawl after another for its keywords by ``seq``
+    (``maxFilesPerTrigger`` = 1 gives the reference's one keyword per run); the visited table
+    carries over between batches and restarts. Writes ``out_root/corpus`` and
+    ``out_root/visited``."""
+    from ..operators.crawl import crawl_in_sequence
+
+    checkpoint = checkpoint or f"{out_root.rstrip('/')}/{CHECKPOINTS}/crawl"
+    run = _run_id(checkpoint)
     corpus_root, visited_root = f"{out_root}/corpus", f"{out_root}/visited"
     kwargs = dict(crawl_kwargs or {})
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        kw = clean_keywords(batch).select("keyword", "seq")
+        kw = clean_keywords(queued(batch)).select("keyword", "seq")
         if kw.isEmpty():
             return
-        try:
-            visited = spark.read.parquet(visited_root).where(F.col("batch") < batch_id).select("url")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            visited = None
+        visited = _earlier(spark, visited_root, run, batch_id)
         s = seeds.select("keyword", "url").join(kw, "keyword").select("keyword", "seq", "url")
-        res = crawl(spark, s, pages_info, visited=visited, **kwargs)
-        res.corpus.write.mode("overwrite").parquet(_batch_path(corpus_root, batch_id))
+        res = crawl_in_sequence(spark, s, pages_info, visited=visited, **kwargs)
+        # the corpus first: a batch that fails between the two is replayed with the same visited set
+        res.corpus.write.mode("overwrite").parquet(_batch_path(corpus_root, run, batch_id))
         fetched = res.reached.where("fetched").select("url").distinct()
-        fetched.write.mode("overwrite").parquet(_batch_path(visited_root, batch_id))
+        fetched.write.mode("overwrite").parquet(_batch_path(visited_root, run, batch_id))
 
-    w = keywords.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
-    w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="1 second")
-    q = w.start()
-    if trigger_once:
-        q.awaitTermination()
-    return q
+    return _start(keywords, per_batch, checkpoint, trigger_once, processing_time)
