@@ -36,7 +36,7 @@ def op2_simhash_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_merged_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     kept = F.col("repeats.kept")
     return out.select("doc_id", "repeats.n_bytes", (F.col("repeats.n_bytes") - F.length(kept)).cast("long").alias("n_removed"),
                       F.size("repeats.spans").cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"))

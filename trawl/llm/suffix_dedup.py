@@ -19,7 +19,8 @@ are first thinned without loss:
 4. For strings that start ``d`` before the base, the intervals of common prefix ``LENGTH - d`` are
    split by the ``d`` bytes before the base; what holds two suffixes is repeated.
 
-Texts are shuffled once to cut out the segments of step 3 and once to remove bytes.
+Texts are shuffled once to cut out the segments of step 3 and once to remove bytes, as zstandard
+frames.
 
 Defined results: null is empty; texts under ``LENGTH`` bytes keep all; nothing crosses texts;
 equal rows repeat each other, so all they have in strings of ``LENGTH`` bytes goes from each; an
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .textbytes import fresh, mix64, shards, span_hash, with_uid
+from .textbytes import fresh, mix64, shards, span_hash, unzip, with_uid, zip_text
 
 LENGTH = 400
 GRAM = 16
@@ -94,7 +95,7 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, wanted segments) to the segments' bytes."""
+    """(zipped text, wanted segments) to the segments' bytes."""
 
     def made(rows):
         cols = list(zip(*rows))
@@ -103,8 +104,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     rows = []
     for batch in batches:
-        for raw, want in zip(batch.column(0).cast(pa.binary()), batch.column(1)):
-            raw = raw.as_py()
+        for raw, want in zip(unzip(batch.column(0)), batch.column(1)):
             for r in want.as_py():
                 rows.append((r["key"], r["seg"], r["n"], r["base"] - r["lo"], r["hi"] - r["lo"] + 1, raw[r["lo"]:r["hi"] + LENGTH]))
                 if len(rows) == 4096:
@@ -288,7 +288,8 @@ def repeated_spans(docs: DataFrame, uid: str) -> DataFrame:
     wanted = cut(mixed.groupBy("uid").agg(F.collect_list(F.struct("key", "seg", "n", "lo", "hi", "base")).alias("want"), F.count("*").alias("m")), "segments_wanted")
     many = wanted.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(many / CHUNK))
-    found = (src.join(wanted.select("uid", "want"), "uid").select("text", "want")
+    zipped = src.select("uid", zip_text("text").alias("text"))
+    found = (zipped.join(wanted.select("uid", "want"), "uid").select("text", "want")
              .mapInArrow(_cut_out, "key long, seg long, n long, left int, starts int, data binary")
              .repartition(parts, "key").sortWithinPartitions("key")
              .mapInArrow(_merge, "key long, seg long, runs array<struct<a: int, b: int>>").where(F.size("runs") > 0))
@@ -298,14 +299,15 @@ def repeated_spans(docs: DataFrame, uid: str) -> DataFrame:
     return hit.groupBy("uid").agg(F.collect_set("span").alias("spans"))
 
 
-def _strip(names: list[str]):
-    """(text, spans, rest...) to (rest..., bytes, merged spans, kept bytes)."""
+def _strip(names: list[str], with_text: bool):
+    """(zipped text, spans, rest...) to (rest..., [text,] bytes, merged spans, kept bytes)."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            texts = unzip(batch.column(0))
             size, merged, kept = [], [], []
-            for raw, spans in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
+            for raw, spans in zip(texts, batch.column(1).to_pylist()):
                 raw, out, keep, last = raw or b"", [], [], 0
                 for s in sorted((s["start"], s["end"]) for s in spans or ()):
                     if out and s[0] <= out[-1][1]:
@@ -318,19 +320,25 @@ def _strip(names: list[str]):
                 size.append(len(raw))
                 merged.append([{"start": a, "end": b} for a, b in out])
                 kept.append(b"".join([*keep, raw[last:]]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(size, pa.int64()), pa.array(merged, kind), pa.array(kept, pa.binary())], names)
+            text = [pa.array(texts, pa.binary()).cast(pa.string())] if with_text else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *text, pa.array(size, pa.int64()), pa.array(merged, kind), pa.array(kept, pa.binary())], names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, name: str = "repeats") -> DataFrame:
-    """``docs`` with a struct column: ``n_bytes``, ``spans`` (maximal removed ranges), ``kept``
-    (the remaining bytes)."""
+def remove_repeats(docs: DataFrame, keep: list[str] | None = None, name: str = "repeats") -> DataFrame:
+    """The columns ``keep`` (all by default) with a struct column: ``n_bytes``, ``spans`` (maximal
+    removed ranges), ``kept`` (the remaining bytes). Texts cross the shuffle as zstandard frames."""
+    keep = docs.columns if keep is None else keep
     uid, name = fresh(docs, "_uid"), fresh(docs, name)
     tagged = with_uid(docs, uid)
     spans = repeated_spans(tagged, uid).select(F.col("uid").alias(uid), F.col("spans").alias(name))
-    src = tagged.join(spans, uid, "left").select("text", name, F.struct(*docs.columns).alias("row"))
-    kind = dict(src.dtypes)["row"]
-    out = src.mapInArrow(_strip(["row", "n_bytes", "spans", "kept"]),
-                         f"row {kind}, n_bytes long, spans array<struct<start: int, end: int>>, kept binary")
-    return out.select("row.*", F.struct("n_bytes", "spans", "kept").alias(name))
+    rest = [c for c in keep if c != "text"]
+    parts = [fresh(docs, f"_{c}") for c in ("n_bytes", "spans", "kept")]
+    text = ["text"] if "text" in keep else []
+    src = tagged.select(uid, zip_text("text").alias("text"), *rest).join(spans, uid, "left").select("text", name, *rest)
+    kinds = dict(docs.dtypes)
+    ddl = ", ".join([*(f"`{c}` {kinds[c]}" for c in [*rest, *text]), f"`{parts[0]}` long",
+                     f"`{parts[1]}` array<struct<start: int, end: int>>", f"`{parts[2]}` binary"])
+    out = src.mapInArrow(_strip([*rest, *text, *parts], bool(text)), ddl)
+    return out.select(*keep, F.struct(*(F.col(p).alias(c) for p, c in zip(parts, ("n_bytes", "spans", "kept")))).alias(name))

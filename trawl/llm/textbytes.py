@@ -11,8 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one numpy pass works on.
 SHARD_BYTES = 2 << 20
@@ -109,6 +111,19 @@ def text_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return span_hash(low, s, e), doc, s, e
 
 
+@F.arrow_udf(T.BinaryType())
+def zip_text(texts: pa.Array) -> pa.Array:
+    """Whole texts as zstandard frames, for a shuffle that carries them (null stays null)."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    return pa.array([None if t is None else pack(t) for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+
+
+def unzip(frames: pa.Array) -> list[bytes | None]:
+    """The UTF-8 bytes of ``zip_text``'s frames."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [None if f is None else unpack(f) for f in frames.to_pylist()]
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it (in any letter case)."""
     taken = {c.lower() for c in df.columns}
