@@ -13,7 +13,7 @@ earliest there goes. Only minima are made per variant, never pairs.
 Before that, lines that can't have a near line leave: a pair at one edit shares its first or its
 last words, up to half of the longer line. Each line sends four such half keys; only lines with a
 key in common with another line emit variants, and only those in the half that may differ. Texts
-are shuffled once to fetch these lines and once to take lines out.
+are shuffled once to fetch these lines and once to take lines out, as zstandard frames.
 
 Defined results: a null text has no lines and stays null; lines without words always stay; equal
 lines within a text count as well; rows equal in ``doc_id`` and text share their fate (they keep
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .textbytes import LOWER_NP, fresh, mix64, shards, span_hash, with_uid, word_spans
+from .textbytes import LOWER_NP, fresh, mix64, shards, span_hash, unzip, with_uid, word_spans, zip_text
 
 #: Pairs whose longer line has fewer words are only compared for equality.
 FUZZY_WORDS = 6
@@ -144,9 +144,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(uid, doc_id, text, lns, kinds) to the flagged lines' variants."""
+    """(uid, doc_id, zipped text, lns, kinds) to the flagged lines' variants."""
     for batch in batches:
-        for a, b, data, off in shards(batch.column(2)):
+        for a, b, data, off in shards(pa.array(unzip(batch.column(2)), pa.large_binary())):
             x = Lines(data, off)
             lns, kinds = batch.column(3).slice(a, b - a), batch.column(4).slice(a, b - a)
             many = np.array([len(v) for v in lns.to_pylist()], np.int64)
@@ -178,22 +178,22 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _strip(names: list[str]):
-    """(text, removed lns, rest...) to (text without these lines, lines, removed, rest...)."""
+    """(zipped text, removed lns, rest...) to (text without these lines, lines, removed, rest...)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, gone = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts, gone = unzip(batch.column(0)), batch.column(1).to_pylist()
             out, lines, removed, empty = [], [], [], []
             for t, g in zip(texts, gone):
-                pieces = [] if t is None else t.split("\n")
+                pieces = [] if t is None else t.split(b"\n")
                 drop = set(g or ())
                 kept = [v for i, v in enumerate(pieces) if i not in drop]
-                out.append(None if t is None else "\n".join(kept))
+                out.append(None if t is None else b"\n".join(kept))
                 lines.append(len(pieces))
                 removed.append(len(pieces) - len(kept))
                 empty.append(bool(drop) and not out[-1].strip())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out, pa.string()), pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(empty, pa.bool_()),
+                [pa.array(out, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(empty, pa.bool_()),
                  *batch.columns[2:]], names)
 
     return run
@@ -223,7 +223,8 @@ def removed_lines(docs: DataFrame, uid: str, fuzzy_words: int = FUZZY_WORDS) ->
                .groupBy("uid", "ln").agg(F.expr("bit_or(shiftleft(1, kind))").alias("kinds"))
                .groupBy("uid").agg(F.collect_list(F.struct("ln", "kinds")).alias("l"))
                .select("uid", F.col("l.ln").alias("lns"), F.col("l.kinds").alias("kinds")))
-    found = (src.join(flagged, "uid").select("uid", "doc_id", "text", "lns", "kinds")
+    zipped = src.select("uid", "doc_id", zip_text("text").alias("text"))
+    found = (zipped.join(flagged, "uid").select("uid", "doc_id", "text", "lns", "kinds")
              .mapInArrow(_variants, f"v1 long, v2 long, p int, uid long, doc_id {kind}, ln int"))
     found = cut(found.select("v1", "v2", "p", _place().alias("at")), "line_variants")
     by_place = found.groupBy("v1", "v2", "p").agg(F.min("at").alias("low"), F.max("at").alias("high"))
@@ -246,7 +247,7 @@ def dedup_lines(docs: DataFrame, fuzzy_words: int = FUZZY_WORDS, name: str = "li
     gone = removed_lines(tagged, uid, fuzzy_words)
     gone = gone.select(F.col("uid").alias(uid), F.col("gone").alias(name))
     rest = [c for c in docs.columns if c != "text"]
-    src = tagged.join(gone, uid, "left").select("text", name, *rest)
+    src = tagged.select(uid, zip_text("text").alias("text"), *rest).join(gone, uid, "left").select("text", name, *rest)
     parts = [fresh(docs, f"_{k}") for k in ("lines", "removed", "emptied")]
     names = ["text", *parts, *rest]
     kinds = dict(docs.dtypes)
