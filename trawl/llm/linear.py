@@ -270,7 +270,7 @@ def fit_in_task(sample: DataFrame, train: Callable[[pa.Table], bytes]) -> bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
-        if got:
+        if sum(b.num_rows for b in got):
             yield pa.RecordBatch.from_arrays([pa.array([train(pa.Table.from_batches(got))], pa.binary())], ["model"])
 
     # sorted, so that the model doesn't hang on the order in which rows arrive

@@ -40,7 +40,7 @@ from .linear import (
     token_scores,
     tokens_in,
 )
-from .textbytes import LOWER, span_hash
+from .textbytes import LOWER, shards, span_hash
 
 #: Labelled rows that the voters and the classifier are fitted on, at most; as many unlabelled ones.
 SAMPLE = 8000
@@ -60,7 +60,7 @@ PATTERNS = (rb"!{3,}", rb"\b(you are|you're|ur) (an? |such )?\w+", rb"(?i)\b(shu
 
 def pattern_votes(texts: pa.Array) -> np.ndarray:
     found = [re.compile(p) for p in PATTERNS]
-    return np.array([[bool(p.search(t or b"")) for p in found] for t in texts.cast(pa.binary()).to_pylist()], bool).reshape(-1, len(found))
+    return np.array([[bool(p.search(t.as_py() or b"")) for p in found] for t in texts.cast(pa.binary())], bool).reshape(-1, len(found))
 
 
 def _word_id(word: str) -> int:
@@ -123,11 +123,11 @@ def label_model(fired: np.ndarray, label: np.ndarray, rounds: int = 50):
 def train(table: pa.Table) -> bytes:
     """Sample (text, y; -1 for unlabelled) to a packed classifier."""
     # one row of equal texts, the labelled one if there is any
-    table = table.sort_by([("y", "descending")])
-    firsts = {t: i for i, t in reversed(list(enumerate(table.column("text").to_pylist())))}
-    table = table.take(sorted(firsts.values()))
-    texts = table.column("text").combine_chunks()
-    y = table.column("y").to_numpy().astype(float)
+    texts, y = table.column("text").combine_chunks(), table.column("y").to_numpy().astype(float)
+    same = np.concatenate([span_hash(data, off[:-1], off[1:]) for _, _, data, off in shards(texts)])
+    first = np.lexsort([-y, same])
+    first = np.sort(first[np.unique(same[first], return_index=True)[1]])
+    texts, y = texts.take(pa.array(first)), y[first]
     x = token_rows(texts)
     known = y >= 0
     many, inside = token_counts(texts, np.stack([known, y == 1]).astype(float))
