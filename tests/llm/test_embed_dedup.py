@@ -69,3 +69,54 @@ def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose(np.linalg.norm(E.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
     assert np.allclose(E.hadamard(E.hadamard(x)), x)
+
+
+def test_linked_pairs_are_folded_group_by_group():
+    """A task with ten fully linked groups (about 4.5 million pairs) holds neither all rows nor all pairs."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    groups, size, dim = 10, 950, 8
+    unit = np.zeros(dim)
+    unit[0] = 1.0
+    home = np.zeros((E.TABLES, E.CODES), np.int64)
+    home[:, 1:] = -1
+
+    def batches():
+        for g in range(groups):
+            code = np.where(home == 0, g, home).ravel()
+            yield pa.RecordBatch.from_pydict({
+                "rid": np.arange(size) + g * size, "label": np.zeros(size, np.int64), "n": np.ones(size, np.int64),
+                "dim": np.full(size, dim, np.int32), "unit": [unit.tobytes()] * size, "codes": [code] * size,
+                "bucket": np.full(size, g), "tbl": np.zeros(size, np.int64), "probe": np.zeros(size, np.int64),
+                "block": np.zeros(size, np.int64), "i": np.zeros(size, np.int64), "j": np.zeros(size, np.int64)})
+
+    tracemalloc.start()
+    out = list(E._compare(0.93)(batches()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    links = sum(sum(b.column(1).to_pylist()) for b in out)
+    assert links == groups * size * (size - 1)
+    assert peak < 100 << 20
+
+
+def test_comparing_tasks_grow_with_the_dealt_rows(spark, monkeypatch):
+    monkeypatch.setattr(E, "SPLIT", 10)
+    monkeypatch.setattr(E, "TASK_ROWS", 400)
+    tasks, real = {}, E.cut
+
+    def cut(df, name="cut"):
+        if name == "vector_links":
+            tasks[name] = df.rdd.getNumPartitions()
+        return real(df, name)
+
+    monkeypatch.setattr(E, "cut", cut)
+    rnd = np.random.default_rng(8)
+    base = rnd.normal(size=16)
+    rows = [(i, [float(np.float32(x)) for x in base + rnd.normal(size=16) * 0.01], 0) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in E.near_duplicate_vectors(df).collect())
+    assert got == [(i, 99, 0) for i in range(100)]
+    # 2,400 rows before dealing are 6 tasks; 8 tables of 100 at home, dealt 10 times, need 20 alone
+    assert tasks["vector_links"] >= 20

@@ -7,9 +7,10 @@ replaced by its second-best axis. In a bucket, vectors at home are compared with
 cosine in double precision; only pairs at the threshold or above link, so no link is false.
 
 Equal vectors of a label are one *representative* with a multiplicity before hashing. Buckets
-with more than ``SPLIT`` members are dealt as pairs of blocks, so no task holds a hot bucket
-whole. A pair that meets in several buckets counts once: in its first table, which both sides'
-codes tell. So only counts and a local forest leave a task, never all pairs.
+with more than ``SPLIT`` members are dealt as pairs of blocks, and the tasks are as many as the
+dealt rows need; a task takes them group by group. A pair that meets in several buckets counts once: in its first table, which both sides'
+codes tell. Linked pairs are folded into counts and a local forest chunk by chunk, so neither is a task's
+memory nor its output all pairs.
 
 Recall against brute force is measured in the tests (1.0 on the given tables).
 
@@ -123,16 +124,30 @@ def _meet(cx: np.ndarray, cy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def compare_groups(key: np.ndarray, block: np.ndarray, cross: np.ndarray, home: np.ndarray, table: np.ndarray,
                    bucket: np.ndarray, rid: np.ndarray, n: np.ndarray, unit: np.ndarray, code: np.ndarray,
-                   threshold: float, pairs: int = 1 << 17):
+                   threshold: float, cells: int = 1 << 22, links: int = 1 << 19):
     """Rows sorted by ``key``: links within each group, each pair in one place only.
 
-    Returns ``(rid, other rid, multiplicity of other)`` arrays, both directions."""
+    Chunks of pairs (``cells`` numbers a side) are folded at once, ``links`` pairs at a time: returns
+    ``(rid, its links)`` and a local forest ``(node, root)``, never the pairs."""
+    pairs = max(1, cells // max(unit.shape[1], TABLES * CODES))
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(start, len(key)))
     group = np.repeat(np.arange(len(start)), size)
     homes = np.flatnonzero(home & (size[group] > 1))
     many = size[group[homes]]
-    out = []
+    who, at = np.unique(rid, return_inverse=True)
+    counts = np.zeros(len(who), np.int64)
+    forest = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    have = 0
+
+    def fold():
+        x, y = (np.concatenate(c) for c in zip(*waiting))
+        np.add.at(counts, at[x], n[y])
+        np.add.at(counts, at[y], n[x])
+        waiting.clear()
+        return local_forest(np.concatenate([forest[0], at[x]]), np.concatenate([forest[1], at[y]]))
+
     done, i = np.cumsum(many), 0
     while i < len(homes):
         j = max(i + 1, int(np.searchsorted(done, (done[i - 1] if i else 0) + pairs, side="right")))
@@ -154,41 +169,83 @@ def compare_groups(key: np.ndarray, block: np.ndarray, cross: np.ndarray, home:
             hx, hy = code[x, t, 0], code[y, t, 0]
             place = np.where(at_x[rows, t] & at_y[rows, t], np.minimum(hx, hy), np.where(at_x[rows, t], hx, hy))
             here = first & (place == bucket[x])
-            out.append((x[here], y[here]))
+            waiting.append((x[here], y[here]))
+            have += int(here.sum())
+            if have >= links:
+                forest, have = fold(), 0
         i = j
-    if not out:
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    x, y = (np.concatenate(c) for c in zip(*out))
-    return np.concatenate([rid[x], rid[y]]), np.concatenate([rid[y], rid[x]]), np.concatenate([n[y], n[x]])
+    if have:
+        forest = fold()
+    linked = np.flatnonzero(counts)
+    return who[linked], counts[linked], who[forest[0]], who[forest[1]]
+
+
+#: What places a row; the rows of a place (and pair of blocks) are compared.
+PLACE = ("label", "dim", "tbl", "bucket", "i", "j")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by ``PLACE`` to tables of whole groups (of one dimension) and the groups' numbers;
+    no more than a batch and a group is held."""
+
+    def numbered(part):
+        cols = [part.column(c).to_numpy() for c in PLACE]
+        new = np.ones(part.num_rows, bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+        return np.cumsum(new), cols[1]
+
+    def whole(part, number, dim):
+        edge = np.flatnonzero(np.diff(dim)) + 1
+        for a, b in zip([0, *edge], [*edge, part.num_rows]):
+            yield part.slice(a, b - a), number[a:b]
 
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        number, dim = numbered(held)
+        last = int(np.searchsorted(number, number[-1]))
+        if last:
+            yield from whole(held.slice(0, last), number[:last], dim[:last])
+            held = held.slice(last)
+    if held is not None:
+        yield from whole(held, *numbered(held))
+
+
+def _compare(threshold: float, most: int = TASK_ROWS):
+    """Dealt rows (sorted by ``PLACE`` within the partition) to link counts and forests, which are
+    folded over the task and leave it whenever they have more than ``most`` rows."""
 
-def _compare(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if got is None or not got.num_rows:
-            return
-        col = lambda name: got.column(name).to_numpy()
-        for dim in np.unique(col("dim")):
-            part = got.filter(pa.array(col("dim") == dim))
-            get = lambda name: part.column(name).to_numpy()  # noqa: E731, B023
-            cols = [get(c) for c in ("label", "tbl", "bucket", "i", "j")]
-            order = np.lexsort(cols)
-            cols = [c[order] for c in cols]
-            new = np.ones(len(order), bool)
-            new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
-            unit = np.frombuffer(b"".join(part.column("unit").to_pylist()), np.float64).reshape(len(order), dim)[order]
-            code = part.column("codes").combine_chunks().flatten().to_numpy().reshape(len(order), TABLES, CODES)[order]
-            block, i, j = get("block")[order], cols[3], cols[4]
-            a, b, n = compare_groups(np.cumsum(new), block, i != j, get("probe")[order] == 0, cols[1], cols[2],
-                                     get("rid")[order], get("n")[order], unit, code, threshold)
-            who, at = np.unique(a, return_inverse=True)
-            links = np.bincount(at, weights=n, minlength=len(who)).astype(np.int64)
-            u, v = local_forest(a, b) if len(a) else (a, b)
-            yield pa.RecordBatch.from_arrays(
+        none = np.zeros(0, np.int64)
+        who, links, u, v = none, none, none, none
+
+        def out():
+            return pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([who, u])), pa.array(np.concatenate([links, np.zeros(len(u), np.int64)])),
                  pa.array(np.concatenate([who, v]))], ["rid", "links", "root"])
 
+        for part, number in _groups(batches):
+            get = lambda name: part.column(name).to_numpy()  # noqa: E731, B023
+            unit = np.frombuffer(b"".join(part.column("unit").to_pylist()), np.float64).reshape(len(number), -1)
+            code = part.column("codes").combine_chunks().flatten().to_numpy().reshape(len(number), TABLES, CODES)
+            w, c, a, b = compare_groups(number, get("block"), get("i") != get("j"), get("probe") == 0, get("tbl"), get("bucket"),
+                                        get("rid"), get("n"), unit, code, threshold)
+            if not len(w):
+                continue
+            who, at = np.unique(np.concatenate([who, w]), return_inverse=True)
+            total = np.zeros(len(who), np.int64)
+            np.add.at(total, at, np.concatenate([links, c]))
+            links = total
+            u, v = local_forest(np.concatenate([u, a]), np.concatenate([v, b]))
+            if len(who) + len(u) > most:
+                yield out()
+                who, links, u, v = none, none, none, none
+        if len(who):
+            yield out()
+
     return run
 
 
@@ -211,14 +268,17 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, label_ty
     spread = hashed.select("rid", "label", "n", "dim", "unit", "codes", F.posexplode("codes").alias("pos", "bucket"))
     spread = spread.withColumns({"tbl": (F.col("pos") / CODES).cast("long"), "probe": F.col("pos") % CODES}).drop("pos")
     place = ["label", "dim", "tbl", "bucket"]
-    hot = (spread.groupBy(*place).count().where(F.col("count") > SPLIT)
-           .select(*place, F.ceil(F.col("count") / SPLIT).alias("blocks")))
+    hot = cut(spread.groupBy(*place).count().where(F.col("count") > SPLIT)
+              .select(*place, F.ceil(F.col("count") / SPLIT).alias("blocks"), "count"), "hot_buckets")
+    copies = hot.agg(F.coalesce(F.sum(F.col("count") * (F.col("blocks") - 1)), F.lit(0))).first()[0]
+    hot = hot.drop("count")
     dealt = (spread.join(hot, place, "left")
              .withColumn("block", F.coalesce(F.pmod(F.xxhash64("rid"), F.col("blocks")), F.lit(0)))
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("blocks") - 1, F.lit(0)).cast("long"))))
              .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(many * TABLES * CODES / TASK_ROWS))
-    found = cut(dealt.repartition(parts, *place, "i", "j")
+    # every row of a hot bucket comes once a block
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil((many * TABLES * CODES + copies) / TASK_ROWS))
+    found = cut(dealt.repartition(parts, *PLACE).sortWithinPartitions(*PLACE)
                 .mapInArrow(_compare(threshold), "rid long, links long, root long"), "vector_links")
     counts = found.groupBy("rid").agg(F.sum("links").alias("links"))
     comp = components(found.where("rid <> root"), "rid", "root").withColumnRenamed("node", "rid")
