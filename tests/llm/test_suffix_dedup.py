@@ -118,3 +118,34 @@ def test_repeated_rows_and_empty(spark):
     got = sorted(len(r.repeats.kept) for r in S.remove_repeats(docs).collect())
     assert got == [0, 0, 0, 0]
     assert S.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_hot_key_is_not_one_task(spark, monkeypatch):
+    """A passage in 60 texts, each with other surroundings: no merge gets a key with more than CHUNK segments."""
+    limit, real = 8, S._merge
+    monkeypatch.setattr(S, "CHUNK", limit)
+
+    def watched(batches):
+        batches = list(batches)
+        kinds = {}
+        for b in batches:
+            for k, seg in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                kinds.setdefault(k, set()).add(seg)
+        assert max(map(len, kinds.values()), default=0) <= limit
+        yield from real(iter(batches))
+
+    monkeypatch.setattr(S, "_merge", watched)
+    rnd = np.random.default_rng(4)
+    passage = bytes(rnd.integers(97, 123, 700).astype(np.uint8)).decode()
+    texts = texts_for(rnd)
+    for _ in range(60):
+        a, b = rnd.integers(0, 120, 2)
+        around = bytes(rnd.integers(97, 123, 900).astype(np.uint8)).decode()
+        texts.append(around[:450] + passage[a:700 - b] + around[450:])
+    texts.append(texts[-1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {}
+    for r in S.remove_repeats(docs).collect():
+        kept = bytes(r.repeats.kept)
+        got[r.doc_id] = (r.repeats.n_bytes, r.repeats.n_bytes - len(kept), len(r.repeats.spans), hashlib.sha256(kept).hexdigest())
+    assert [got[i] for i in range(len(texts))] == brute(texts)

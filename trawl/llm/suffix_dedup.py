@@ -19,6 +19,11 @@ are first thinned without loss:
 4. For strings that start ``d`` before the base, the intervals of common prefix ``LENGTH - d`` are
    split by the ``d`` bytes before the base; what holds two suffixes is repeated.
 
+A key with more than ``CHUNK`` different segments (a passage that many texts hold, each with
+other surroundings) is never one task's work: its strings, ``HALF`` or so a segment, leave as rows
+(place before the base, hash) that Spark counts over all tasks. So a merging task holds two chunks of
+segments at most.
+
 Texts are shuffled once to cut out the segments of step 3 and once to remove bytes, as zstandard
 frames.
 
@@ -43,8 +48,9 @@ from .textbytes import fresh, mix64, shards, span_hash, unzip, with_uid, zip_tex
 LENGTH = 400
 GRAM = 16
 HALF = 200
-#: Segments that one merge works on (a key's segments stay together), and those of a shard.
-CHUNK, SHARD = 20_000, 2048
+#: Segments that one merge works on (a key's segments stay together; a key with more is not merged),
+#: those of a shard, and the texts that a cutting task remembers.
+CHUNK, SHARD, RECENT = 20_000, 2048, 100_000
 _C = np.uint64(0xD1342543DE82EF95)
 
 
@@ -95,16 +101,21 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(zipped text, wanted segments) to the segments' bytes."""
+    """(uid, zipped text, wanted segments) to the segments' bytes; of repeated rows the first counts."""
 
     def made(rows):
         cols = list(zip(*rows))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["key", "seg", "n", "left", "starts", "data"])
 
-    rows = []
+    rows, seen = [], set()
     for batch in batches:
-        for raw, want in zip(unzip(batch.column(0)), batch.column(1)):
+        for uid, raw, want in zip(batch.column(0).to_pylist(), unzip(batch.column(1)), batch.column(2)):
+            if uid in seen:
+                continue
+            if len(seen) >= RECENT:
+                seen.clear()
+            seen.add(uid)
             for r in want.as_py():
                 rows.append((r["key"], r["seg"], r["n"], r["base"] - r["lo"], r["hi"] - r["lo"] + 1, raw[r["lo"]:r["hi"] + LENGTH]))
                 if len(rows) == 4096:
@@ -249,32 +260,75 @@ def repeated_starts(key: np.ndarray, n: np.ndarray, left: np.ndarray, starts: np
     return [np.array(sorted(a), np.int64) for a in again]
 
 
+_RUNS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+
+def _ranges(found: list[np.ndarray]) -> pa.Array:
+    """Sorted starts to lists of their ranges."""
+    out = []
+    for s in found:
+        edge = np.flatnonzero(np.diff(s) > 1)
+        a, b = np.concatenate([s[:1], s[edge + 1]]), np.concatenate([s[edge], s[-1:]])
+        out.append([{"a": int(x), "b": int(y)} for x, y in zip(a, b)])
+    return pa.array(out, _RUNS)
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments (sorted by key within the partition) to the ranges of repeated starts."""
 
-    def flush(rows: list[tuple]) -> pa.RecordBatch:
-        rows = list({(r[0], r[1]): r for r in rows}.values())
-        key, seg, n, left, starts, data = zip(*rows)
+    def flush(rows: dict[tuple, tuple]) -> pa.RecordBatch:
+        key, seg, n, left, starts, data = zip(*rows.values())
         found = repeated_starts(np.array(key, np.int64), np.array(n), np.array(left), np.array(starts), list(data))
-        out = []
-        for s in found:
-            edge = np.flatnonzero(np.diff(s) > 1)
-            a, b = np.concatenate([s[:1], s[edge + 1]]), np.concatenate([s[edge], s[-1:]])
-            out.append([{"a": int(x), "b": int(y)} for x, y in zip(a, b)])
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(seg, pa.int64()),
-                                           pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["key", "seg", "runs"])
-
-    rows: list[tuple] = []
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(seg, pa.int64()), _ranges(found)], ["key", "seg", "runs"])
+
+    rows: dict[tuple, tuple] = {}
+    last = None
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if len(rows) >= CHUNK and row[0] != rows[-1][0]:
+            if len(rows) >= CHUNK and row[0] != last:
                 yield flush(rows)
-                rows = []
-            rows.append(row)
+                rows = {}
+            last = row[0]
+            rows.setdefault(row[:2], row)
     if rows:
         yield flush(rows)
 
 
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments to a row a string: its place before the base and its hash."""
+    for batch in batches:
+        key, seg, n, left, starts = (batch.column(k).to_numpy() for k in range(5))
+        for i in range(0, batch.num_rows, 1024):
+            data = batch.column(5).slice(i, 1024).to_pylist()
+            many = starts[i:i + 1024].astype(np.int64)
+            size = np.array([len(d) for d in data])
+            of = np.repeat(np.arange(len(many)), many)
+            at = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+            lo = at + (np.cumsum(size) - size)[of]
+            h = span_hash(np.frombuffer(b"".join(data), np.uint8), lo, lo + LENGTH)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[i:i + 1024][of]), pa.array((left[i:i + 1024][of] - at).astype(np.int32)), pa.array(h.view(np.int64)),
+                 pa.array(seg[i:i + 1024][of]), pa.array(n[i:i + 1024][of])], ["key", "d", "hash", "seg", "n"])
+
+
+def _found_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, seg, places before the base) to the ranges of repeated starts."""
+    for batch in batches:
+        starts = [np.array(sorted(-d for d in ds), np.int64) for ds in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _ranges(starts)], ["key", "seg", "runs"])
+
+
+def hot_repeats(cut_out: DataFrame) -> DataFrame:
+    """Segments of keys with too many for a merge to ``key, seg, runs``: equal strings of a key
+    stand at one place before the base, so they are counted by key, place and hash."""
+    strings = cut(cut_out.mapInArrow(_strings, "key long, d int, hash long, seg long, n long"), "hot_strings")
+    # repeated rows can bring a segment twice, so rows are not counted
+    again = (strings.groupBy("key", "d", "hash").agg(F.max("n").alias("n"), F.min("seg").alias("a"), F.max("seg").alias("b"))
+             .where("n > 1 or a <> b").select("key", "d", "hash"))
+    return (strings.join(again, ["key", "d", "hash"]).groupBy("key", "seg").agg(F.collect_set("d").alias("ds"))
+            .mapInArrow(_found_ranges, "key long, seg long, runs array<struct<a: int, b: int>>"))
+
+
 def repeated_spans(docs: DataFrame, uid: str) -> DataFrame:
     """``(uid, spans)``: the byte ranges that go (start and end, unmerged), by document key."""
     spark = docs.sparkSession
@@ -284,15 +338,20 @@ def repeated_spans(docs: DataFrame, uid: str) -> DataFrame:
     keys = groups.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1")
     alike = groups.join(keys.where("kinds = 1"), "key").select(
         "key", "seg", F.array(F.struct((F.col("at.lo") - F.col("at.base")).alias("a"), (F.col("at.hi") - F.col("at.base")).alias("b"))).alias("runs"))
-    mixed = groups.join(keys.where("kinds > 1").select("key"), "key").select("key", "seg", "n", "at.*")
-    wanted = cut(mixed.groupBy("uid").agg(F.collect_list(F.struct("key", "seg", "n", "lo", "hi", "base")).alias("want"), F.count("*").alias("m")), "segments_wanted")
-    many = wanted.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    mixed = groups.join(keys.where("kinds > 1").select("key", (F.col("kinds") > CHUNK).alias("hot")), "key").select("key", "seg", "n", "at.*", "hot")
+    wanted = cut(mixed.groupBy("uid", "hot").agg(F.collect_list(F.struct("key", "seg", "n", "lo", "hi", "base")).alias("want"), F.count("*").alias("m")), "segments_wanted")
+    many, hot = wanted.agg(F.coalesce(F.sum(F.when(F.col("hot"), 0).otherwise(F.col("m"))), F.lit(0)), F.coalesce(F.max("hot"), F.lit(False))).first()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(many / CHUNK))
     zipped = src.select("uid", zip_text("text").alias("text"))
-    found = (zipped.join(wanted.select("uid", "want"), "uid").select("text", "want")
-             .mapInArrow(_cut_out, "key long, seg long, n long, left int, starts int, data binary")
-             .repartition(parts, "key").sortWithinPartitions("key")
+
+    def segment_bytes(of):
+        return (zipped.join(wanted.where(of).select("uid", "want"), "uid").select("uid", "text", "want")
+                .mapInArrow(_cut_out, "key long, seg long, n long, left int, starts int, data binary"))
+
+    found = (segment_bytes("not hot").repartition(parts, "key").sortWithinPartitions("key")
              .mapInArrow(_merge, "key long, seg long, runs array<struct<a: int, b: int>>").where(F.size("runs") > 0))
+    if hot:
+        found = found.union(hot_repeats(segment_bytes("hot")))
     gone = cut(found.union(alike), "segments_repeated")
     hit = places.join(gone, ["key", "seg"]).select("uid", F.explode(F.transform("runs", lambda r: F.struct(
         (r["a"] + F.col("base")).alias("start"), (r["b"] + F.col("base") + LENGTH).alias("end")))).alias("span"))
