@@ -14,8 +14,10 @@ and all fingerprints linked to it also come to that anchor. So comparing homes w
 fingerprints of the anchor finds every link.
 
 Equal fingerprints are one before any of that. Replicas leave a task as packed arrays, one row
-a bucket of anchors; an anchor's links leave as a local forest, so a large group of near copies
-never becomes all its pairs.
+a bucket of anchors. Anchors with more than about ``SPLIT`` fingerprints (found on one fingerprint in
+``SAMPLE``; this decides only how they are dealt) are dealt as pairs of blocks, each pair on its own, so
+no task compares a hot anchor whole. Linked pairs are folded into a local forest as they are found, so
+a large group of near copies is never all its pairs, neither in a task's memory nor in its output.
 
 Defined results: null or word-less text has fingerprint 0 and links like any other; fewer words
 than a shingle are one shingle; equal rows get the same component; a null ``doc_id`` is never a
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .components import components, local_forest
-from .textbytes import LOWER, fresh, with_uid
+from .textbytes import LOWER, fresh, mix64, with_uid
 
 SEED = 42
 #: First bit and width of the thirds; the pairs of thirds that are compared.
@@ -47,6 +49,11 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Bytes of packed replicas that one bucket should hold, and a replica's bytes.
 BUCKET_BYTES = 32 << 20
 REPLICA_BYTES = 12
+#: Fingerprints in a block of a hot anchor; one fingerprint in ``SAMPLE`` tells which anchors are hot.
+SPLIT = 8192
+SAMPLE = 64
+#: Copies of hot replicas that a packing task expands at a time.
+EXPAND = 1 << 21
 #: Fixed value: generator polynomial of the binary Golay code.
 GOLAY = 0b110001110101
 
@@ -147,10 +154,68 @@ def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
     return ((anchor.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)).astype(np.int64) % buckets
 
 
-def _pack(buckets: int, max_bits: int, rows: int):
-    """Fingerprints to rows (bucket, packed anchors, packed fingerprints)."""
+def _count_anchors(max_bits: int, rows: int = 8192):
+    """Sampled fingerprints to (anchor, fingerprints there), by chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for i in range(0, len(every), rows):
+                found = np.concatenate([a for _, a, _ in replicas(every[i:i + rows], max_bits)])
+                anchor, n = np.unique(found, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n)], ["anchor", "n"])
+
+    return run
+
+
+def hot_anchors(distinct: DataFrame, n: int, max_bits: int, split: int, sample: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The hot anchors in order, the blocks of each, and the replicas that dealing adds."""
+    none = np.zeros(0, np.int64)
+    if n <= split:
+        return none, none, 0
+    some = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(sample)) == 0)
+    got = (some.mapInArrow(_count_anchors(max_bits), "anchor long, n long").groupBy("anchor").agg((F.sum("n") * sample).alias("n"))
+           .where(F.col("n") > split).orderBy("anchor").toArrow())
+    anchor, size = got.column("anchor").to_numpy(), got.column("n").to_numpy()
+    blocks = -(-size // split)
+    return anchor, blocks, int((size * (blocks - 1)).sum())
+
+
+def _deal(anchor: np.ndarray, fp: np.ndarray, at: np.ndarray, blocks: np.ndarray, first: np.ndarray):
+    """Replicas of hot anchors (number ``at``): slices of ``(replica, pair of blocks)``, every
+    replica once a block."""
+    many = blocks[at]
+    done, i = np.cumsum(many), 0
+    own = (mix64(fp) % many.astype(np.uint64)).astype(np.int64)
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(done, (done[i - 1] if i else 0) + EXPAND, side="right")))
+        m = many[i:j]
+        who = np.repeat(np.arange(i, j), m)
+        other = np.arange(len(who)) - np.repeat(np.cumsum(m) - m, m)
+        low, high = np.minimum(own[who], other), np.maximum(own[who], other)
+        yield who, first[at[who]] + low * many[who] + high
+        i = j
+
+
+def _pack(buckets: int, max_bits: int, rows: int, hot: tuple[np.ndarray, np.ndarray] | None = None):
+    """Fingerprints to rows (bucket, packed anchors, packed fingerprints); a pair of blocks of a hot
+    anchor is a bucket of its own, from ``buckets`` on."""
+
+    def packed(where, anchor, values):
+        order = np.argsort(where.astype(np.uint16) if buckets < 65536 and where.max(initial=0) < 65536 else where, kind="stable")
+        where, anchor, values = where[order], anchor[order], values[order]
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])), len(where))
+        for part in range(0, len(cuts) - 1, 64):
+            some = range(part, min(part + 64, len(cuts) - 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(where[cuts[part:some[-1] + 1]], pa.int64()),
+                 pa.array([anchor[cuts[k]:cuts[k + 1]].tobytes() for k in some], pa.binary()),
+                 pa.array([values[cuts[k]:cuts[k + 1]].tobytes() for k in some], pa.binary())],
+                ["bucket", "anchors", "fps"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, blocks = hot.value if hasattr(hot, "value") else hot or (np.zeros(0, np.int64),) * 2
+        first = buckets + np.cumsum(blocks * blocks) - blocks * blocks
         for batch in batches:
             every = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for i in range(0, len(every), rows):
@@ -160,24 +225,27 @@ def _pack(buckets: int, max_bits: int, rows: int):
                     anchors.append((anchor | (home << 26)).astype(np.uint32))
                     owners.append(row.astype(np.int32))
                 anchor, owner = np.concatenate(anchors), np.concatenate(owners)
-                where = _bucket(anchor & ((1 << 26) - 1), buckets)
-                order = np.argsort(where.astype(np.uint16) if buckets < 65536 else where, kind="stable")
-                anchor, values = anchor[order], fp[owner[order]]
-                cuts = np.searchsorted(where[order], np.arange(buckets + 1))
-                full = np.flatnonzero(np.diff(cuts))
-                for part in range(0, len(full), 64):
-                    some = full[part:part + 64]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(some, pa.int64()),
-                         pa.array([anchor[cuts[k]:cuts[k + 1]].tobytes() for k in some], pa.binary()),
-                         pa.array([values[cuts[k]:cuts[k + 1]].tobytes() for k in some], pa.binary())],
-                        ["bucket", "anchors", "fps"])
+                if not len(anchor):
+                    continue
+                key = (anchor & np.uint32((1 << 26) - 1)).astype(np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                    is_hot = known[at] == key
+                    there = np.flatnonzero(is_hot)
+                    a, f = anchor[there], fp[owner[there]]
+                    for who, where in _deal(a, f, at[there], blocks, first):
+                        yield from packed(where, a[who], f[who])
+                    anchor, owner, key = anchor[~is_hot], owner[~is_hot], key[~is_hot]
+                    if not len(key):
+                        continue
+                yield from packed(_bucket(key, buckets), anchor, fp[owner])
 
     return run
 
 
 def links_of_bucket(anchor: np.ndarray, fp: np.ndarray, max_bits: int, pairs: int = 1 << 21):
-    """Links among the fingerprints that share an anchor (homes against all), as a local forest."""
+    """Links among the fingerprints that share an anchor (homes against all), as a local forest
+    (folded whenever ``pairs`` links wait)."""
     key = anchor & np.uint32((1 << 26) - 1)
     order = np.argsort(key, kind="stable")
     key, fp, home = key[order], fp[order], (anchor[order] >> np.uint32(26)).astype(bool)
@@ -187,7 +255,8 @@ def links_of_bucket(anchor: np.ndarray, fp: np.ndarray, max_bits: int, pairs: in
     homes = np.flatnonzero(home & (size[group] > 1))
     many = size[group[homes]]
     done = np.cumsum(many)
-    us, vs, i = [], [], 0
+    u = v = np.zeros(0, np.int64)
+    us, vs, have, i = [], [], 0, 0
     while i < len(homes):
         j = max(i + 1, int(np.searchsorted(done, (done[i - 1] if i else 0) + pairs, side="right")))
         for lo in range(0, int(many[i:j].max()), pairs):  # one home may have more partners than fit
@@ -197,13 +266,16 @@ def links_of_bucket(anchor: np.ndarray, fp: np.ndarray, max_bits: int, pairs: in
             y = start[group[x]] + lo + k
             d = np.bitwise_count(fp[x] ^ fp[y])
             near = (d > 0) & (d <= max_bits)
-            us.append(fp[x[near]])
-            vs.append(fp[y[near]])
+            us.append(fp[x[near]].view(np.int64))
+            vs.append(fp[y[near]].view(np.int64))
+            have += len(us[-1])
+            if have >= pairs:
+                u, v = local_forest(np.concatenate([u, *us]), np.concatenate([v, *vs]))
+                us, vs, have = [], [], 0
         i = j
-    if not us or not sum(map(len, us)):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    u, v = np.concatenate(us).view(np.int64), np.concatenate(vs).view(np.int64)
-    return local_forest(u, v)
+    if have:
+        u, v = local_forest(np.concatenate([u, *us]), np.concatenate([v, *vs]))
+    return u, v
 
 
 def _compare(max_bits: int):
@@ -230,18 +302,26 @@ def _compare(max_bits: int):
     return run
 
 
-def fingerprint_links(distinct: DataFrame, n: int, max_bits: int = 4) -> DataFrame:
-    """``distinct(fp)`` (``n`` rows) to a link table ``(a, b)`` whose components are those of all
-    links at ``max_bits`` or fewer differing bits."""
+def packed_replicas(distinct: DataFrame, n: int, max_bits: int = 4) -> tuple[DataFrame, int]:
+    """``distinct(fp)`` (``n`` rows) to packed replicas by bucket, and the partitions they need."""
     spark = distinct.sparkSession
     per_row = 200 if max_bits > 2 else 40
     rows = 8192
     low = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    anchor, blocks, copies = hot_anchors(distinct, n, max_bits, SPLIT, SAMPLE)
     buckets = max(low, ceil(n * per_row * REPLICA_BYTES / BUCKET_BYTES))
+    hot = spark.sparkContext.broadcast((anchor, blocks)) if len(anchor) else None
     parts = max(spark.sparkContext.defaultParallelism, ceil(n / (8 * rows)))
     packed = (distinct.repartition(parts, "fp")
-              .mapInArrow(_pack(buckets, max_bits, rows), "bucket long, anchors binary, fps binary"))
-    return (packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+              .mapInArrow(_pack(buckets, max_bits, rows, hot), "bucket long, anchors binary, fps binary"))
+    return packed, max(buckets, ceil((n * per_row + copies) * REPLICA_BYTES / BUCKET_BYTES))
+
+
+def fingerprint_links(distinct: DataFrame, n: int, max_bits: int = 4) -> DataFrame:
+    """``distinct(fp)`` (``n`` rows) to a link table ``(a, b)`` whose components are those of all
+    links at ``max_bits`` or fewer differing bits."""
+    packed, parts = packed_replicas(distinct, n, max_bits)
+    return (packed.repartition(parts, "bucket").sortWithinPartitions("bucket")
             .mapInArrow(_compare(max_bits), "a long, b long"))
 
 
