@@ -125,6 +125,25 @@ def test_mixing_with_binding_rates():
     assert (rate >= 0).all() and rate[2] < 1e-6 and rate[0] > 2
 
 
+def test_mixing_meets_targets_of_rare_domains(spark, caplog):
+    """Domains of 98.9, 1 and 0.1 % of the tokens, one-hot and soft; a domain without tokens is reported."""
+    rnd = np.random.default_rng(2)
+    target = np.array([0.6, 0.2, 0.2])
+    for soft in (0.0, 0.3):
+        domain = np.repeat([0, 1, 2], [1978, 20, 2])
+        p = np.eye(3)[domain] * (1 - soft) + soft * rnd.dirichlet([1, 1, 1], len(domain)) * (rnd.random((len(domain), 1)) < 0.01)
+        p /= p.sum(axis=1, keepdims=True)
+        t = np.full(len(domain), 50)
+        narrow = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, p)], "n_tokens long, posterior array<double>")
+        rate = mixing.replay(p, *mixing.solve(narrow, target))[0]
+        assert (rate >= 0).all()
+        assert np.allclose((t * rate) @ p / t.sum(), target, rtol=1e-4)
+    assert "misses" not in caplog.text
+    one = spark.createDataFrame([(10, [1.0, 0.0])] * 3, "n_tokens long, posterior array<double>")
+    rate = mixing.replay(np.array([[1.0, 0.0]]), *mixing.solve(one, np.array([0.5, 0.5]), names=["de", "xx"]))[0]
+    assert abs(rate[0] - 0.5) < 1e-4 and "domain xx gets 0 of the tokens instead of 0.5" in caplog.text
+
+
 def test_mixing_edges(spark):
     docs = edge_docs(spark)
     domains = spark.createDataFrame([(5, "a"), (5, "a"), (8, "b"), (7, None), (None, "a")], "doc_id long, domain string")

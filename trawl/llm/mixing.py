@@ -3,10 +3,12 @@
 A multinomial classifier, fitted on a bounded sample of the labelled table, gives every document
 a posterior over domains. The document rates solve a nonnegative least squares problem: the
 expected tokens per domain, ``sum(rate * tokens * posterior)``, should equal the targets, with a
-small pull of every rate towards 1 that makes the answer unique. It is solved by accelerated
-projected gradient steps. A step's slope depends on the data only through one sum per domain, so
-each step is one distributed sum over the narrow table of tokens and posteriors; a task replays
-the earlier steps (a few numbers each) to have the rates, which are never stored in between.
+pull of every rate towards 1, tiny beside the smallest domain's share, that makes the answer unique.
+The solution is one projected step from all ones: ``max(0, 1 - posterior . slope)`` with a number a
+domain. That slope is found by Newton steps with a line search on the convex dual; each is one
+distributed sum (totals and second moments of the documents above 0) over the narrow table of
+tokens and posteriors. Steps go on until every total meets its target to ``TOLERANCE``, or the
+solution stands where it can't; a target that is missed is logged with the total it gets.
 
 Texts are read once: the scored documents are written with their columns, and the steps read
 only the narrow ones.
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import io
 import json
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +37,14 @@ from .textbytes import LOWER_NP, word_spans
 
 #: Labelled rows that the domain classifier is fitted on, at most.
 SAMPLE = 6000
-STEPS = 80
-RIDGE = 1e-3
-TOLERANCE = 1e-7
+#: Newton steps at most (a handful is usual; stopping here is logged).
+STEPS = 100
+#: Pull towards 1, as a part of the smallest domain's share (shares under ``LEAST`` count as that).
+RIDGE = 1e-6
+LEAST = 1e-4
+#: Part of its target by which a domain's total may miss it.
+TOLERANCE = 1e-5
+log = logging.getLogger(__name__)
 
 
 def train(table: pa.Table) -> bytes:
@@ -64,7 +72,7 @@ def _score(model, _col, data, off):
 
 
 def replay(p: np.ndarray, slopes: list[list[float]], eta: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rates and look-ahead rates of documents with posteriors ``p`` after the given steps."""
+    """Rates and look-ahead rates of documents with posteriors ``p`` after the given projected steps."""
     rate = ahead = np.ones(len(p))
     k = 1.0
     for g in slopes:
@@ -75,52 +83,73 @@ def replay(p: np.ndarray, slopes: list[list[float]], eta: float) -> tuple[np.nda
     return rate, ahead
 
 
-def _sums(slopes: list[list[float]], eta: float, moments: bool):
-    """Per task: tokens times (look-ahead rate, rate) by domain; or the second moments."""
+def _sums(slope: list[float]):
+    """Per task: tokens by domain at the slope's rates, second moments of the documents above 0,
+    half the squared rates, tokens by domain at rate 1 (all weighted by tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
             t = b.column(0).to_numpy().astype(float)
             p = b.column(1).flatten().to_numpy().reshape(len(t), -1)
-            if moments:
-                part = np.concatenate([(p * t[:, None]).T @ p, [t @ p]])
-            else:
-                rate, ahead = replay(p, slopes, eta)
-                part = np.stack([(t * ahead) @ p, (t * rate) @ p])
+            rate = replay(p, [slope], 1.0)[0] if slope else np.ones(len(t))
+            w = t * (rate > 0)
+            part = np.concatenate([(t * rate) @ p, ((p * w[:, None]).T @ p).ravel(), [0.5 * (t * rate * rate).sum()], t @ p])
             total = part if total is None else total + part
         if total is not None:
-            flat = total.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["k", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "v"])
 
     return run
 
 
-def _gather(narrow: DataFrame, *how) -> np.ndarray:
-    rows = narrow.mapInArrow(_sums(*how), "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+def _gather(narrow: DataFrame, slope: list[float]) -> np.ndarray:
+    rows = narrow.mapInArrow(_sums(slope), "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(len(rows))
     for k, v in rows:
         out[k] = v
     return out
 
 
-def solve(narrow: DataFrame, target: np.ndarray, steps: int = STEPS) -> tuple[list[list[float]], float]:
-    """Projected gradient over ``narrow(tokens, posterior)``: the steps' slopes and their size."""
+def solve(narrow: DataFrame, target: np.ndarray, steps: int = STEPS, names: list[str] | None = None) -> tuple[list[list[float]], float]:
+    """Newton steps over ``narrow(tokens, posterior)``: the one slope whose projected step from all
+    ones (of size 1) gives the rates. Targets that the rates miss are logged."""
     k = len(target)
-    got = _gather(narrow, [], 0.0, True)
+    got = _gather(narrow, [])
     if not len(got) or got[-k:].sum() <= 0:
         return [], 0.0
     total = got[-k:].sum()
-    eta = 1.0 / (np.linalg.eigvalsh(got[:k * k].reshape(k, k) / total).max() + RIDGE)
-    slopes: list[list[float]] = []
-    before = None
+    share = got[-k:] / total
+    ridge = RIDGE * max(LEAST, share[share > 0].min())
+
+    def at(slope):
+        sums = _gather(narrow, slope.tolist()) / total
+        now, moments = sums[:k], sums[k:k + k * k].reshape(k, k)
+        # value, downhill direction's source and curvature of the dual in -slope
+        value = sums[k + k * k] + target @ slope + 0.5 * ridge * slope @ slope
+        return now, now - target - ridge * slope, moments, value
+
+    enough = TOLERANCE * 0.1 * np.maximum(target, LEAST * RIDGE)
+    slope = np.zeros(k)
+    now, off, moments, value = at(slope)
     for _ in range(steps):
-        ahead, now = _gather(narrow, slopes, eta, False).reshape(2, k) / total
-        if before is not None and np.abs(now - before).max() < TOLERANCE:
+        if (np.abs(off) <= enough).all():
             break
-        before = now
-        slopes.append((ahead - target).tolist())
-    return slopes, eta
+        move = np.linalg.solve(moments + ridge * np.eye(k), off)
+        size = 1.0
+        while size > 1e-6:
+            tried = at(slope + size * move)
+            if tried[3] <= value - 1e-4 * size * (move @ off) or (np.abs(tried[1]) <= enough).all():
+                break
+            size /= 2
+        else:
+            break  # rounding: no step gets lower
+        slope = slope + size * move
+        now, off, moments, value = tried
+    else:
+        log.warning("mixing stopped after %d steps", steps)
+    for i in np.flatnonzero(np.abs(now - target) > np.maximum(TOLERANCE * target, TOLERANCE * LEAST)):
+        log.warning("mixing misses a target: domain %s gets %.6g of the tokens instead of %.6g", names[i] if names else i, now[i], target[i])
+    return [slope.tolist()], 1.0
 
 
 def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], sample: int = SAMPLE, keep: list[str] | None = None,
@@ -143,7 +172,7 @@ def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], sample:
     kind = pa.struct([("n_tokens", pa.int64()), ("posterior", pa.list_(pa.float64()))])
     scored = cut(score_texts(docs, sent, _score, "struct<n_tokens: bigint, posterior: array<double>>", kind, name)
                  .select(*keep, name), "posteriors")
-    slopes, eta = solve(scored.select(f"{name}.n_tokens", f"{name}.posterior"), weight)
+    slopes, eta = solve(scored.select(f"{name}.n_tokens", f"{name}.posterior"), weight, names=model[2])
     rated = _rate(slopes, eta)
     return scored.withColumn(name, F.struct(f"{name}.n_tokens", f"{name}.posterior", rated(f"{name}.posterior").alias("rate")))
 
