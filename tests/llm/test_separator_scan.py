@@ -49,3 +49,26 @@ def test_edge_rows(spark):
         got = {r.ids: r.n_tokens for r in S.count_tokens(S.encode_documents(docs, block=block)).collect()}
         assert got == {**{i: len(enc.encode_ordinary(t or "")) for i, t in enumerate(texts)}, None: 2}
     assert S.count_tokens(S.encode_documents(docs.limit(0))).count() == 0
+
+
+def test_one_file_is_read_by_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    ids = np.random.default_rng(1).integers(0, 9, 50_021).astype("<u2")
+    ids.tofile(tmp_path / "a b.bin")
+    (tmp_path / "empty.bin").write_bytes(b"")
+    blocks = S.token_files(spark, str(tmp_path), block=1000, width=2)
+    got = blocks.withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in got}) > 1
+    flat = b"".join(bytes(r.data) for r in sorted(got, key=lambda r: r.block))
+    assert (np.frombuffer(flat, "<u4") == ids).all() and len(got) == 51
+    # the way for stores without local files
+    store = S._store_file(spark, f"file:{tmp_path}/a b.bin", 2 * len(ids), 1000, 2).collect()
+    size = S.record_bytes(2 * len(ids), 1000, 2)
+    assert 2 * len(ids) % size == 0 and size <= 2000 and len(store) == 2 * len(ids) // size
+    assert b"".join(bytes(r.data) for r in sorted(store, key=lambda r: r.block)) == flat
+    counts = lambda df: sorted(tuple(r)[1:] for r in S.count_tokens(df, separator=3).collect())
+    assert counts(blocks) == counts(S._store_file(spark, f"file:{tmp_path}/a b.bin", 2 * len(ids), 1000, 2))
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(ValueError, match="odd.bin"):
+        S.token_files(spark, str(tmp_path), width=2)

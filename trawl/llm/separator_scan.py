@@ -9,7 +9,7 @@ a running maximum of the last separator's place): first within segments of ``SEG
 over the segments, so a file of any length is not one task's work.
 
 ``encode_documents`` makes such streams from a table (one stream a partition), ``token_files``
-reads them from files. The tokenizer's vocabulary file is a parameter; texts that spell a special
+reads them from files of any size, each task its own places. The tokenizer's vocabulary file is a parameter; texts that spell a special
 token are ordinary text, so they never make a separator.
 
 Defined results: null and empty texts are documents of 0 tokens; ids after the last separator are
@@ -34,6 +34,8 @@ from ..session import cut
 #: Token ids in a block, blocks in a segment.
 BLOCK = 1 << 18
 SEGMENT = 1024
+#: Blocks of files that one task should read.
+FILE_BLOCKS = 128
 #: Fixed value: how the vocabulary's tokenizer splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -90,20 +92,54 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, separator: i
     return docs.select("doc_id", "text").mapInArrow(run, f"file string, block long, data binary, ids array<{kind}>")
 
 
-def token_files(spark: SparkSession, path: str, block: int = BLOCK, width: int = 4) -> DataFrame:
-    """Flat token files (``width`` bytes an id, little-endian) as blocks ``(file, block, data)``.
+def _read_ranges(batches: Iterator[pa.RecordBatch], block: int, width: int) -> Iterator[pa.RecordBatch]:
+    """(file, block) to the block's ids, each read from its place in the file."""
+    for batch in batches:
+        for name, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            with open(name.removeprefix("file:"), "rb") as stream:
+                stream.seek(k * block * width)
+                ids = np.frombuffer(stream.read(block * width), f"<u{width}")
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([ids.astype("<u4").tobytes()], pa.binary())],
+                                             ["file", "block", "data"])
 
-    A file is read by one task and cut there; store streams as files of bounded size."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(data.as_py(), f"<u{width}")
-                for k in range(0, len(ids), block):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k // block], pa.int64()),
-                                                      pa.array([ids[k:k + block].astype("<u4").tobytes()], pa.binary())], ["file", "block", "data"])
+def record_bytes(length: int, block: int, width: int) -> int:
+    """The largest record of whole ids, a block at most, that a file of ``length`` bytes is made of."""
+    ids = length // width
+    return width * next(k for k in range(min(block, max(ids, 1)), 0, -1) if ids % k == 0)
+
+
+def _store_file(spark: SparkSession, name: str, length: int, block: int, width: int) -> DataFrame:
+    """Blocks of one file in a store that only Spark reaches: records of equal length, which Spark splits
+    over tasks (blocks are as long as a record that divides the file)."""
+    size = record_bytes(length, block, width)
+    records = spark.sparkContext.newAPIHadoopFile(
+        name, "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat", "org.apache.hadoop.io.LongWritable",
+        "org.apache.hadoop.io.BytesWritable", conf={"fixedlengthinputformat.record.length": str(size)})
+    rows = records.map(lambda r: (name, r[0] // size, bytearray(np.frombuffer(bytes(r[1]), f"<u{width}").astype("<u4").tobytes())))
+    return spark.createDataFrame(rows, "file string, block long, data binary")
+
+
+def token_files(spark: SparkSession, path: str, block: int = BLOCK, width: int = 4) -> DataFrame:
+    """Flat token files (``width`` bytes an id, little-endian) as blocks ``(file, block, data)``.
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, data binary")
+    Files may be of any size: only their names and lengths are listed, and every task reads its own
+    blocks from their places. A length that is no whole number of ids is an error."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    odd = files.where(F.col("length") % width != 0).first()
+    if odd is not None:
+        raise ValueError(f"{odd.path}: {odd.length} bytes are not a whole number of {width}-byte ids")
+    files = files.where("length > 0")
+    local = F.col("path").startswith("file:")
+    many = F.ceil(F.col("length") / (block * width)).cast("long")
+    total = files.where(local).agg(F.coalesce(F.sum(many), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // FILE_BLOCKS))
+    places = (files.where(local).select("path", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("block"))
+              .repartition(tasks, "path", "block"))
+    out = places.mapInArrow(lambda batches: _read_ranges(batches, block, width), "file string, block long, data binary")
+    for name, length in files.where(~local).collect():
+        out = out.union(_store_file(spark, name, length, block, width))
+    return out
 
 
 def scan_blocks(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
