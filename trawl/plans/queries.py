@@ -812,6 +812,7 @@ union all select 'all', URL, row_number() over (order by pos) from t""")
 def q_visited_csv(spark, sf_dir):
     """K4 + D3 + S5: text files with blank lines, headers, repeated URLs, bad bytes and valid
     U+FFFD → visited CSV in first-seen order, with and without dedup, read back in order."""
+    from ..operators.corpus import running_totals
     from ..sources import files as IO
 
     p = FX.table(spark, sf_dir, "pages")
@@ -828,8 +829,8 @@ def q_visited_csv(spark, sf_dir):
         path = _scratch(spark, f"visited-{kind}")
         IO.write_visited_csv(IO.visited_urls(tokens, dedupe), path, order="pos")
         back = IO.read_keyword_csv(spark, path)
-        n = F.row_number().over(Window.orderBy("seq"))  # the place in the file, for the comparison only
-        one = back.select(F.lit(kind).alias("kind"), F.col("keyword").alias("URL"), n.alias("n"))
+        placed = running_totals(back, ["seq"], [])  # the place in the file, for the comparison only
+        one = placed.select(F.lit(kind).alias("kind"), F.col("keyword").alias("URL"), F.col("row_no").alias("n"))
         out = one if out is None else out.unionByName(one)
     return out
 
