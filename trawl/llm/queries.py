@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_dedup, language_svm, line_dedup, mixing, ordinal, separator_scan, simhash_anchor, suffix_dedup, toxicity
+from . import decontaminate, embed_dedup, language_svm, line_dedup, mixing, ordinal, separator_scan, simhash_anchor, spelling, suffix_dedup, toxicity
 
 
 #: Share of the tokens that each domain should have.
@@ -96,6 +96,15 @@ def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op13_permuterm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.letter_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_length=7)
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")))
+    typo = spelling.without_code_point(F.col("run"), (h % F.char_length("run")).cast("int"))
+    words = runs.select(F.when(h % 31 == 0, typo).otherwise(F.col("run")).alias("word"))
+    out = spelling.group_variants(words, min_length=7, min_count=2, ratio=10)
+    return out.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_suffix_search": op1_suffix_search,
     "op2_simhash_anchor": op2_simhash_anchor,
@@ -107,10 +116,12 @@ QUERIES = {
     "op8_weak_toxicity": op8_weak_toxicity,
     "op9_separator_scan": op9_separator_scan,
     "op10_cross_polytope": op10_cross_polytope,
+    "op13_permuterm": op13_permuterm,
 }
 
 ORACLE: dict[str, str] = {
     "op1_suffix_search": decontaminate.ORACLE,
     "op6_deletion_lines": line_dedup.ORACLE,
     "op10_cross_polytope": embed_dedup.ORACLE,
+    "op13_permuterm": spelling.ORACLE,
 }
