@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_dedup, language_svm, line_dedup, mixing, ordinal, separator_scan, simhash_anchor, spelling, suffix_dedup, toxicity
+from . import conversation_repair, decontaminate, embed_dedup, language_svm, line_dedup, mixing, ordinal, separator_scan, simhash_anchor, spelling, suffix_dedup, toxicity
 
 
 #: Share of the tokens that each domain should have.
@@ -96,6 +96,28 @@ def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults put in by the CRC-32 of ``conv_id:turn``."""
+    space = F.lit(" ")
+    text, role = F.coalesce("text", space), F.coalesce("role", space)
+    kind = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"),
+                            F.coalesce(F.col("turn").cast("string"), space))) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    rows = rows.where(kind != 0).select("conv_id", "turn", F.when(kind == 4, "user").otherwise(role).alias("role"),
+                                        text.alias("text"), F.when(kind == 3, 2).otherwise(1).alias("times"))
+    return rows.select("conv_id", "turn", "role", "text", F.explode(F.array_repeat(F.lit(0), F.col("times")))).drop("col")
+
+
+def op11_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    edits, totals = conversation_repair.repair(damaged(rows))
+    ids = rows.groupBy(conversation_repair.conversation_key().alias("key")).agg(F.max("conv_id").alias("conv_id"))
+    out = ids.join(totals.drop("conv_id"), "key", "left").join(conversation_repair.digests(edits), "key", "left")
+    longs = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *longs, F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_permuterm(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = spelling.letter_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_length=7)
     h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")))
@@ -116,6 +138,7 @@ QUERIES = {
     "op8_weak_toxicity": op8_weak_toxicity,
     "op9_separator_scan": op9_separator_scan,
     "op10_cross_polytope": op10_cross_polytope,
+    "op11_prefix_doubling": op11_prefix_doubling,
     "op13_permuterm": op13_permuterm,
 }
 
@@ -123,5 +146,6 @@ ORACLE: dict[str, str] = {
     "op1_suffix_search": decontaminate.ORACLE,
     "op6_deletion_lines": line_dedup.ORACLE,
     "op10_cross_polytope": embed_dedup.ORACLE,
+    "op11_prefix_doubling": conversation_repair.ORACLE,
     "op13_permuterm": spelling.ORACLE,
 }
