@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, decontaminate, embed_dedup, language_svm, line_dedup, mixing, ordinal, separator_scan, simhash_anchor, spelling, suffix_dedup, toxicity
+from . import conversation_repair, decontaminate, embed_dedup, language_svm, line_dedup, mixing, ordinal, separator_scan, simhash_anchor, spelling, substring_blocks, suffix_dedup, toxicity
 
 
 #: Share of the tokens that each domain should have.
@@ -118,6 +118,12 @@ def op11_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op12_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_blocks.remove_repeats(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc_id", "repeats.n_words", substring_blocks.words_in("repeats.spans").alias("n_removed"),
+                      F.sha2("repeats.kept", 256).alias("kept_sha256"))
+
+
 def op13_permuterm(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = spelling.letter_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_length=7)
     h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")))
@@ -139,6 +145,7 @@ QUERIES = {
     "op9_separator_scan": op9_separator_scan,
     "op10_cross_polytope": op10_cross_polytope,
     "op11_prefix_doubling": op11_prefix_doubling,
+    "op12_block_anchors": op12_block_anchors,
     "op13_permuterm": op13_permuterm,
 }
 
@@ -147,5 +154,6 @@ ORACLE: dict[str, str] = {
     "op6_deletion_lines": line_dedup.ORACLE,
     "op10_cross_polytope": embed_dedup.ORACLE,
     "op11_prefix_doubling": conversation_repair.ORACLE,
+    "op12_block_anchors": substring_blocks.ORACLE,
     "op13_permuterm": spelling.ORACLE,
 }
