@@ -81,6 +81,7 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     lost executors (shared storage), and stays columnar so later reads prune columns.
     """
     spark = df.sparkSession
+    ship_package(spark)  # the plan may run Python stages of this package
     path = scratch_dir(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
