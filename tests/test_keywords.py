@@ -66,3 +66,26 @@ def test_language_model_of_many_grams(spark):
     got = LID.classify(docs.withColumn("k", F.xxhash64("text")), model, "text", "k").count()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert got == 3000
+
+
+def test_broadcast_and_joined_models_agree(spark):
+    """Labels and probabilities within the broadcast bound and beyond it; ties, empty and null texts."""
+    from trawl.operators import langid as LID
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = LID.train(docs.select("text", "lang"))
+    odd = spark.createDataFrame([(10**9, None), (10**9 + 1, ""), (10**9 + 2, " \n"), (10**9 + 3, "ΣΑΣ İx 😀a"), (10**9 + 4, "zqx")], "doc_id long, text string")
+    some = docs.select("doc_id", "text").union(odd)
+    one, other = ({r.doc_id: (r.pred_lang, round(r.score, 9)) for r in LID.classify(some, model, "text", "doc_id", broadcast_bytes=b).collect()}
+                  for b in (1 << 30, 0))
+    assert one == other and len(one) == some.count()
+    assert all(0 < p <= 1 for _, p in one.values())
+
+
+def test_language_scoring_has_no_exchange(spark):
+    from trawl.operators import langid as LID
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = LID.train(docs.select("text", "lang"))
+    plan = LID.classify(docs, model, "text", "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan

@@ -1,11 +1,11 @@
 """Depth-bounded crawl over stored pages, as level-synchronous DataFrame BFS.
 
 The reference walks from seed URLs, fetching, marking visited, gating on language and
-following links up to a depth, with a page budget per keyword. Here the "web" is a page
-analysis table ``(url, links, paragraphs)`` written once, bucketed by ``url``. Levels are
-narrow tables ``(keyword, seq, url, depth, fetched, lang, accepted)``: hits are found on the
-``url`` column alone, the budget ranks narrow rows, ``links`` are joined for accepted pages
-only, and ``paragraphs`` for the pages a gate must read and once for the corpus.
+following links up to a depth, with a page budget per keyword. Here the "web" is a store of
+analysed pages ``(url, links, paragraphs)``, clustered by a URL hash. Levels are narrow tables
+``(keyword, seq, url, depth, fetched, lang, accepted)``: hits are found on the ``url`` column of the
+parts that hold requests, the budget ranks narrow rows, and a page's ``links`` and ``paragraphs`` are
+read from the store once, when it is fetched; everything after reads the fetched pages.
 
 Definitions (fixed so the result never depends on timing):
 
@@ -33,7 +33,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import is_blacklisted_extension
-from ..session import cut, ensure_checkpoint_dir
+from ..session import cut, ensure_checkpoint_dir, scratch_dir
+from ..sources.pagestore import PageStore, TablePages, as_pages
+from ..sources.urlset import UrlSet
 from .pages import followable
 
 SALT_BUCKETS = 64
@@ -108,47 +110,6 @@ def top_per_group(df: DataFrame, group: str, order: list[str], allowance_col: st
     return p2.drop("__salt", "__ex", "__rn")
 
 
-class ClaimedSet:
-    """URLs already requested in a crawl (plus the starting visited set), as a table bucketed
-    by ``url`` that each level appends to. The per-level anti-join then shuffles only the new
-    candidates into the buckets, not the whole, growing set. Without a catalog (asked once, up
-    front) it is a union of the written level tables (same result, set re-shuffled)."""
-
-    def __init__(self, spark: SparkSession, buckets: int):
-        import uuid
-
-        from ..session import scratch_dir
-
-        self.spark = spark
-        self.buckets = buckets
-        self.table = f"claimed_{uuid.uuid4().hex[:12]}"
-        self.path = scratch_dir(spark, "claimed")
-        self.parts: list[DataFrame] = []
-        self.bucketed = has_catalog(spark)
-
-    def add(self, urls: DataFrame) -> None:
-        urls = urls.select("url")
-        if self.bucketed:
-            (urls.repartition(self.buckets, "url").write.mode("append")
-             .bucketBy(self.buckets, "url").sortBy("url").option("path", self.path)
-             .saveAsTable(self.table))
-        else:
-            self.parts.append(urls)
-
-    def df(self) -> DataFrame:
-        if self.bucketed:
-            return self.spark.table(self.table)
-        out = self.parts[0]
-        for part in self.parts[1:]:
-            out = out.unionByName(part)
-        return out
-
-    def drop(self) -> None:
-        """Take the table out of the catalog (its files stay with the checkpoints)."""
-        if self.bucketed:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
-
-
 @dataclass
 class CrawlResult:
     reached: DataFrame  # keyword, seq, url, depth, fetched, lang, accepted
@@ -163,106 +124,190 @@ def _claim(cand: DataFrame) -> DataFrame:
                                                  F.col("o.seq").alias("seq"), "url")
 
 
-def crawl(
-    spark: SparkSession,
-    seeds: DataFrame,
-    pages_info: DataFrame,
-    visited: DataFrame | None = None,
-    max_depth: int = 3,
-    budget: int | None = 1000,
-    gate: Callable[[DataFrame], DataFrame] | None = None,
-    blacklist: bool = True,
-    claimed_buckets: int | None = None,
-) -> CrawlResult:
-    """Seeds ``(keyword, seq, url)`` → reached pages, corpus rows and the new visited set.
+class Tables:
+    """Written tables of one schema, read together by one scan however many there are."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.paths, self.schema = spark, name, [], None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        path = scratch_dir(self.spark, self.name)
+        df.write.parquet(path)
+        self.paths.append(path)
+        self.schema = self.schema or df.schema
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.paths)
+
+
+class FetchedPages:
+    """Pages that a crawl has fetched: each is read from the store and judged by the gate once, however
+    many keywords reach it, and later steps read these tables, not the store."""
+
+    def __init__(self, spark: SparkSession, pages: PageStore | TablePages, gate: Callable[[DataFrame], DataFrame] | None):
+        self.pages, self.gate = pages, gate
+        self.wide = Tables(spark, "fetched-pages")
+        self.verdicts = Tables(spark, "verdicts")
+
+    def add(self, level: DataFrame) -> None:
+        """Fetch the pages of a written level ``(keyword, seq, url, fetched)`` that aren't here yet."""
+        found = level.where("fetched")
+        parts = self.pages.parts_of(found)
+        if not parts and self.wide.paths:
+            return
+        new = found.groupBy("url").agg(F.min_by("keyword", F.struct("seq", "keyword")).alias("keyword"))
+        if self.wide.paths:
+            new = new.join(self.wide.read().select("url"), "url", "left_anti")
+        wide = self.wide.add(self.pages.fetch(new, ["links", "paragraphs"], parts))
+        if self.gate is not None:
+            self.verdicts.add(self.gate(wide.select("keyword", "url", "paragraphs")).select("url", "lang", "accepted"))
+
+    def judge(self, level: DataFrame) -> DataFrame:
+        """The level with ``lang`` and ``accepted``."""
+        if self.gate is None:
+            judged = level.withColumns({"lang": F.lit(None).cast("string"), "accepted": F.col("fetched")})
+        else:
+            judged = level.join(self.verdicts.read(), "url", "left").withColumn(
+                "accepted", F.col("fetched") & F.coalesce("accepted", F.lit(False)))
+        return judged.select("keyword", "seq", "url", "depth", "fetched", "lang", "accepted")
 
-    ``pages_info(url, links, paragraphs)`` must be unique on ``url`` (a written table, so each
-    join reads only the columns it names). ``gate(df)`` gets fetched pages
-    ``(keyword, url, paragraphs)`` and returns ``(keyword, url, lang, accepted)``; it runs on each
-    level's fetched pages only, so its cost follows the crawl, not the page store. Without a gate
-    every fetched page is accepted. The budget counts fetched pages per keyword (seeds included,
-    never cut). All joins are left to the optimizer: a small request table is broadcast by its
-    size, a large one is shuffled into the page table's buckets.
-    """
-    ensure_checkpoint_dir(spark)
+    def column(self, name: str) -> DataFrame:
+        return self.wide.read().select("url", name)
+
+
+def _unvisited(cand: DataFrame, visited: DataFrame | UrlSet | None) -> DataFrame:
     if visited is None:
-        visited = spark.createDataFrame([], "url string")
-    visited = visited.select("url")
-    stored = pages_info.select("url", F.lit(True).alias("__hit"))
+        return cand
+    if isinstance(visited, UrlSet):
+        return visited.without(cut(cand, "candidates"))
+    return drop_visited(cand, visited)
 
-    requests = cut(seeds.select("keyword", F.col("seq").cast("long").alias("seq"), "url")
-                   .dropDuplicates(["keyword", "url"]).withColumn("depth", F.lit(0)), "seeds")
-    claimed = ClaimedSet(spark, claimed_buckets or max(8, spark.sparkContext.defaultParallelism))
-    claimed.add(visited)
-    reached_parts: list[DataFrame] = []
 
+def _walk(spark: SparkSession, seeds: DataFrame, known: FetchedPages, visited: DataFrame | UrlSet | None, owners: DataFrame | None,
+          each: bool, max_depth: int, budget: int | None, blacklist: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Level by level from ``seeds(keyword, seq, url)`` to ``(reached, blocked)``.
+
+    ``each``: every keyword claims URLs for itself, as if it were alone; candidates that
+    ``owners(url, owner)`` gives to an earlier ``(seq, keyword)`` are ``blocked``. Otherwise one walk
+    shares its claims.
+    """
+    me = ["seq", "keyword", "url"] if each else ["url"]
+    requests = cut(seeds.select("keyword", F.col("seq").cast("long").alias("seq"), "url")
+                   .dropDuplicates(["seq", "keyword", "url"] if each else ["keyword", "url"]), "seeds")
+    levels, owned = Tables(spark, "level"), Tables(spark, "owned")
+    reached = None
     for depth in range(0, max_depth + 2):
-        # Request → stored response; a URL missing from the page table is a failed fetch
-        level = (requests.join(stored, "url", "left")
-                 .select("keyword", "seq", "url", "depth", F.coalesce("__hit", F.lit(False)).alias("fetched")))
+        parts = known.pages.parts_of(requests)
+        if depth and not parts:
+            break
+        # Request → stored response; a URL missing from the store is a failed fetch
+        level = known.pages.hits(requests, parts).select("keyword", "seq", "url", F.lit(depth).alias("depth"), "fetched")
+        who = ["seq", "keyword"] if each else ["keyword"]
         if budget is not None and depth > 0:
             # fetched pages per keyword so far, read from the small written level tables
-            done = reached_parts[0]
-            for part in reached_parts[1:]:
-                done = done.unionByName(part)
-            used = done.where("fetched").groupBy("keyword").agg(F.count(F.lit(1)).alias("used"))
-            allowance = used.select("keyword", (F.lit(budget) - F.col("used")).alias("__allow"))
-            level = (level.join(allowance, "keyword", "left")
-                     .withColumn("__allow", F.coalesce("__allow", F.lit(budget)))
-                     .withColumn("__free", ~F.col("fetched")))  # failed fetches cost nothing
-            level = top_per_group(level, "keyword", ["url"], "__allow", exempt="__free").drop("__allow", "__free")
-        if gate is not None:
-            level = cut(level, "fetched")
-            texts = level.where("fetched").select("keyword", "url").join(pages_info.select("url", "paragraphs"), "url")
-            verdict = gate(texts.select("keyword", "url", "paragraphs")).select("keyword", "url", "lang", "accepted")
-            level = level.join(verdict, ["keyword", "url"], "left")
-        else:
-            level = level.withColumn("lang", F.lit(None).cast("string")).withColumn("accepted", F.lit(True))
-        level = (level.withColumn("accepted", F.col("fetched") & F.coalesce("accepted", F.lit(False)))
-                 .select("keyword", "seq", "url", "depth", "fetched", "lang", "accepted"))
-        level = cut(level, "level")
-        reached_parts.append(level)
+            used = levels.read().where("fetched").groupBy(*who).agg(F.count(F.lit(1)).alias("used"))
+            level = (level.join(used, who, "left").withColumn("__allow", F.lit(budget) - F.coalesce("used", F.lit(0))).drop("used")
+                     .withColumn("__free", ~F.col("fetched"))  # failed fetches cost nothing
+                     .withColumn("__who", F.to_json(F.struct(*who))))
+            level = top_per_group(level, "__who", ["url"], "__allow", exempt="__free").drop("__allow", "__free", "__who")
+        level = levels.add(level)
+        known.add(level)
+        reached = known.judge(levels.read())
         if depth > max_depth:
             break
-        claimed.add(level.select("url"))
-        cand = (level.where("accepted").select("keyword", "seq", "url").join(pages_info.select("url", "links"), "url")
+        cand = (known.judge(level).where("accepted").select("keyword", "seq", "url").join(known.column("links"), "url")
                 .select("keyword", "seq", F.explode(F.array_distinct("links")).alias("url")).where(followable()))
         if blacklist:
             cand = cand.where(~is_blacklisted_extension("url"))
-        # Claim first: the per-URL aggregate combines map-side, so a URL linked from a huge
-        # share of pages is one row per task before any shuffle keyed on it.
-        requests = cut(drop_visited(_claim(cand), claimed.df(), "url").withColumn("depth", F.lit(depth + 1)),
-                       "requests")
-        if requests.isEmpty():
-            break
-    claimed.drop()
+        # Claim first: the aggregate combines map-side, so a URL linked from a huge share of pages is
+        # one row per task (and keyword) before any shuffle keyed on it.
+        cand = cand.distinct() if each else _claim(cand)
+        cand = _unvisited(cand.join(levels.read().select(*me).distinct(), me, "left_anti"), visited)
+        if owners is None:
+            requests = cut(cand.select("keyword", "seq", "url"), "requests")
+        else:
+            taken = F.coalesce(F.col("owner") < F.struct("seq", "keyword"), F.lit(False))
+            level = owned.add(cand.join(owners, "url", "left").select("keyword", "seq", "url", taken.alias("taken")))
+            requests = level.where("not taken").drop("taken")
+    return cut(reached, "reached"), owned.read().where("taken").drop("taken") if owned.paths else None
 
-    reached = reached_parts[0]
-    for part in reached_parts[1:]:
-        reached = reached.unionByName(part)
+
+def _result(reached: DataFrame, known: FetchedPages, visited: DataFrame | UrlSet | None) -> CrawlResult:
     accepted = reached.where("accepted").select("keyword", "url", "depth")
-    corpus = (accepted.join(pages_info.select("url", "paragraphs"), "url")
+    corpus = (accepted.join(known.column("paragraphs"), "url")
               .select("keyword", "url", "depth", F.posexplode("paragraphs").alias("para_idx", "text")))
-    new_visited = visited.unionByName(reached.where("fetched").select("url")).distinct()
-    return CrawlResult(reached=reached, corpus=corpus, visited=new_visited)
-
-
-def crawl_in_sequence(spark: SparkSession, seeds: DataFrame, pages_info: DataFrame, visited: DataFrame | None = None,
-                      **how) -> CrawlResult:
-    """The reference's order: one keyword after another by ``seq``, each with what the earlier
-    ones visited, so a page belongs to the lowest ``(seq, depth)``. The keyword list (one row a
-    crawl to run) is what the driver loops over; every crawl is a distributed job."""
-    order = seeds.select("seq", "keyword").distinct().orderBy("seq", "keyword").collect()
-    out: CrawlResult | None = None
-    for seq, keyword in order:
-        mine = seeds.where((F.col("seq") == seq) & (F.col("keyword") == keyword))
-        one = crawl(spark, mine, pages_info, visited=visited, **how)
-        visited = cut(one.visited, "visited")
-        out = CrawlResult(one.reached if out is None else out.reached.unionByName(one.reached),
-                          one.corpus if out is None else out.corpus.unionByName(one.corpus), visited)
-    if out is None:
-        return crawl(spark, seeds, pages_info, visited=visited, **how)
-    return out
+    fetched = reached.where("fetched").select("url")
+    if visited is not None:
+        fetched = (visited.urls() if isinstance(visited, UrlSet) else visited.select("url")).unionByName(fetched)
+    return CrawlResult(reached=reached, corpus=corpus, visited=fetched.distinct())
+
+
+def crawl(
+    spark: SparkSession,
+    seeds: DataFrame,
+    pages_info: DataFrame | PageStore,
+    visited: DataFrame | UrlSet | None = None,
+    max_depth: int = 3,
+    budget: int | None = 1000,
+    gate: Callable[[DataFrame], DataFrame] | None = None,
+    blacklist: bool = True,
+) -> CrawlResult:
+    """Seeds ``(keyword, seq, url)`` → reached pages, corpus rows and the new visited set.
+
+    ``pages_info`` is a page store (``sources.pagestore``: only parts that hold requested pages are
+    read) or a table ``(url, links, paragraphs)``, unique on ``url``. ``gate(df)`` gets fetched pages
+    ``(keyword, url, paragraphs)``, each page once, and returns ``(keyword, url, lang, accepted)``; its
+    cost follows the crawl, not the store. Without a gate every fetched page is accepted. The budget
+    counts fetched pages per keyword (seeds included, never cut). All joins are left to the optimizer.
+    """
+    ensure_checkpoint_dir(spark)
+    known = FetchedPages(spark, as_pages(pages_info), gate)
+    reached, _ = _walk(spark, seeds, known, visited, None, False, max_depth, budget, blacklist)
+    return _result(reached, known, visited)
+
+
+def crawl_in_sequence(
+    spark: SparkSession,
+    seeds: DataFrame,
+    pages_info: DataFrame | PageStore,
+    visited: DataFrame | UrlSet | None = None,
+    max_depth: int = 3,
+    budget: int | None = 1000,
+    gate: Callable[[DataFrame], DataFrame] | None = None,
+    blacklist: bool = True,
+) -> CrawlResult:
+    """The reference's order, one keyword after another by ``seq``, each with what the earlier ones
+    visited, without a job per keyword.
+
+    All keywords are walked at once, each as if it were alone. A page then belongs to the first
+    keyword that fetched it. Keywords that requested a page of an earlier one, or that held back from a
+    page the earlier one no longer fetches, are walked again (together, with the owners known by now)
+    until there are none. The first affected keyword is right after every wave, so the waves end; their
+    number follows the chain of conflicts, not the number of keywords. Pages are fetched and judged once.
+    """
+    ensure_checkpoint_dir(spark)
+    known = FetchedPages(spark, as_pages(pages_info), gate)
+    seeds = cut(seeds.select("keyword", F.col("seq").cast("long").alias("seq"), "url").distinct(), "all-seeds")
+    how = (True, max_depth, budget, blacklist)
+    reached, blocked = _walk(spark, seeds, known, visited, None, *how)
+    mine = F.struct("seq", "keyword")
+    while True:
+        owners = cut(reached.where("fetched").groupBy("url").agg(F.min(mine).alias("owner")), "owners")
+        taken = reached.where("depth > 0 and fetched").join(owners, "url").where(F.col("owner") < mine)
+        wrong = taken.select("seq", "keyword")
+        if blocked is not None:
+            free = blocked.join(owners, "url", "left").where(F.col("owner").isNull() | (F.col("owner") >= mine))
+            wrong = wrong.union(free.select("seq", "keyword"))
+        wrong = cut(wrong.distinct(), "affected")
+        if wrong.isEmpty():
+            return _result(reached, known, visited)
+        again, held = _walk(spark, seeds.join(wrong, ["seq", "keyword"], "left_semi"), known, visited, owners, *how)
+        reached = cut(reached.join(wrong, ["seq", "keyword"], "left_anti").unionByName(again), "reached")
+        if blocked is not None:
+            kept = blocked.join(wrong, ["seq", "keyword"], "left_anti")
+            held = kept if held is None else kept.unionByName(held)
+        blocked = None if held is None else cut(held, "held-back")
 
 
 def level_counts(reached: DataFrame) -> DataFrame:

@@ -12,24 +12,31 @@ same model family is trained from a labelled table (``documents(text, lang)``):
 
 Scoring never materialises ``features × languages``: with ``d_l = log(1/(T_l+V))`` the score
 is ``prior_l + n_feat·d_l + Σ cnt(g)·log(c(g,l)+1)``, so only grams that occur in a language's
-training text carry a row. Texts are counted as words first and grams are made per distinct
-word of a text; the join with the per-gram table is left to the optimizer (a small model is
-broadcast by its size in bytes, a large one is joined by gram with AQE's skew split).
+training text carry a row. A model within a size bound is broadcast as sorted arrays and texts are
+scored in the scan's tasks, an Arrow batch at a time; beyond the bound the grams of a text's distinct
+words are joined with the per-gram table (AQE's skew split included). Both give the label and its
+probability.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_ws
-from ..session import cut
+from ..session import cut, ship_package
 
 NGRAM = 3
+#: A model of at most so many bytes is broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def normalized(text) -> Column:
@@ -49,6 +56,16 @@ def ngrams(text, n: int = NGRAM) -> Column:
     return F.regexp_extract_all(normalized(text), F.lit("(?s)(?=(.[^ ].))"), 1)
 
 
+#: Session setting: texts are dealt to so many tasks first (a table of few, large row groups can't be
+#: split by its scan). Unset, they stay in the scan's splits.
+PARTITIONS_KEY = "spark.trawl.textPartitions"
+
+
+def _dealt(df: DataFrame, text: str) -> DataFrame:
+    n = int(df.sparkSession.conf.get(PARTITIONS_KEY, "0"))
+    return df.repartition(n, F.xxhash64(text)) if n else df
+
+
 @dataclass
 class LangModel:
     langs: list[str]  # label order used for the per-language score columns
@@ -56,21 +73,44 @@ class LangModel:
     defaults: dict[str, float]  # lang -> d_l
     n: int
     wide: DataFrame  # gram, __d0.. one column log(c + 1) per language (written once)
-
-
-def _words(df: DataFrame, keys: list[Column], text: str) -> DataFrame:
-    """Distinct words per key with their counts (``keys…, w, k``)."""
-    names = [f"__k{i}" for i in range(len(keys))]
-    return (df.select(*[k.alias(n) for k, n in zip(keys, names)], F.explode(F.split(normalized(text), " ")).alias("w"))
-            .groupBy(*names, "w").agg(F.count(F.lit(1)).alias("k")))
+    size: int | None = None  # grams
+
+
+def _gram_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``(key, text)`` of every gram of normalised texts (each starts and ends with a space): three code
+    points in one number."""
+    texts = texts.fill_null(" ")
+    size = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    c = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    mid = np.flatnonzero(c != 0x20)
+    return (c[mid - 1] << 42) | (c[mid] << 21) | c[mid + 1], np.searchsorted(np.cumsum(size), mid, side="right")
+
+
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, normalised text) to (lang, gram, count), a row a batch, language and gram."""
+    for batch in batches:
+        langs = batch.column(0).to_pylist()
+        key, text = _gram_keys(batch.column(1))
+        for lang in sorted(set(langs)):
+            mine = np.array([v == lang for v in langs], bool)
+            grams, count = np.unique(key[mine[text]], return_counts=True)
+            points = np.stack([grams >> 42, (grams >> 21) & 0x1FFFFF, grams & 0x1FFFFF], axis=1).astype("<u4")
+            spelled = points.tobytes().decode("utf-32-le", "surrogatepass")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(grams), pa.string()), pa.array([spelled[i:i + 3] for i in range(0, len(spelled), 3)], pa.string()),
+                 pa.array(count.astype(np.int64))], ["lang", "gram", "c"])
 
 
 def train(docs: DataFrame, text: str = "text", label: str = "lang", n: int = NGRAM) -> LangModel:
-    """Train from ``docs(text, lang)``. Only per-language scalars reach the driver."""
+    """Train from ``docs(text, lang)``: tasks count the grams of their texts, one exchange adds them up.
+    Only per-language scalars reach the driver."""
+    if n != NGRAM:
+        raise ValueError("only trigrams are supported")
     labelled = docs.where(F.col(label).isNotNull())
-    words = _words(labelled, [F.col(label)], text).where(F.col("w") != "")
-    counts = cut(words.select(F.col("__k0").alias("lang"), "k", F.explode(ngrams(F.col("w"), n)).alias("gram"))
-                 .groupBy("lang", "gram").agg(F.sum("k").alias("c")), "lang-counts")
+    ship_package(docs.sparkSession)
+    counts = cut(_dealt(labelled.select(label, text), text).select(F.col(label).cast("string").alias("lang"), normalized(text).alias("s"))
+                 .mapInArrow(_gram_counts, "lang string, gram string, c long")
+                 .groupBy("lang", "gram").agg(F.sum("c").alias("c")), "lang-counts")
     totals = {r["lang"]: float(r["t"]) for r in counts.groupBy("lang").agg(F.sum("c").alias("t")).collect()}
     docs_per_lang = {r["lang"]: r["d"] for r in labelled.groupBy(F.col(label).alias("lang"))
                      .agg(F.count(F.lit(1)).alias("d")).collect()}  # one row per language
@@ -82,44 +122,91 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", n: int = NGR
     all_docs = sum(docs_per_lang.values())
     priors = {lg: math.log(docs_per_lang[lg] / all_docs) for lg in langs}
     defaults = {lg: -math.log(totals.get(lg, 0.0) + v) if totals.get(lg, 0.0) + v else 0.0 for lg in langs}
-    return LangModel(langs, priors, defaults, n, wide)
+    return LangModel(langs, priors, defaults, n, wide, v)
 
 
-def classify(df: DataFrame, model: LangModel, text: str, key: str, out: str = "pred_lang") -> DataFrame:
-    """``(key, out)``: the argmax label of ``text`` for every row of ``df`` (``key`` unique).
+def classify(df: DataFrame, model: LangModel, text: str, key: str, out: str = "pred_lang", score: str = "score",
+             broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``(key, out, score)``: the argmax label of ``text`` for every row of ``df``, and its probability.
 
-    A text's words are counted, its grams made per distinct word (outer, so an empty text keeps
-    its row), left-joined to the per-gram table and summed per key. The aggregates hold only the
-    key and numbers, so they are hash aggregates with map-side combining. Join the labels back
-    to a cheap source (a written table, a narrow scan), never to an expensive plan. A row without
-    known grams gets the argmax prior.
+    A model of at most ``broadcast_bytes`` goes to the tasks as sorted arrays, and every text is scored
+    in the scan's own task without an exchange. A larger one is joined by gram (``key`` must then be
+    unique). A row without known grams gets the argmax prior.
     """
+    size = model.wide.count() if model.size is None else model.size
+    if size * 8 * (1 + len(model.langs)) > broadcast_bytes or not model.langs:
+        return _classify_by_join(df, model, text, key, out, score)
+    ship_package(df.sparkSession)
+    rows = model.wide.select("gram", *[f"__d{i}" for i in range(len(model.langs))]).toArrow()
+    grams = np.frombuffer("".join(rows.column(0).to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64).reshape(-1, 3)
+    keys = (grams[:, 0] << 42) | (grams[:, 1] << 21) | grams[:, 2]
+    order = np.argsort(keys)
+    weight = np.stack([rows.column(i + 1).to_numpy() for i in range(len(model.langs))], axis=1)[order] if len(keys) else np.zeros((0, len(model.langs)))
+    sent = df.sparkSession.sparkContext.broadcast((keys[order], weight, [model.priors[v] for v in model.langs],
+                                                   [model.defaults[v] for v in model.langs], model.langs))
+    kind = df.select(key).schema[0].dataType.simpleString()
+    return _dealt(df.select(key, text), text).select(F.col(key).alias(key), normalized(text).alias("__s")).mapInArrow(
+        _scores(sent, key, out, score), f"`{key}` {kind}, `{out}` string, `{score}` double")
+
+
+def _scores(sent, key: str, out: str, score: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, weight, prior, default, langs = sent.value
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1000):
+                batch = whole.slice(a, 1000)
+                n = batch.num_rows
+                gram, text = _gram_keys(batch.column(1))
+                at = np.minimum(np.searchsorted(keys, gram), max(len(keys) - 1, 0))
+                known = keys[at] == gram if len(keys) else np.zeros(len(gram), bool)
+                at, text = at[known], text[known]
+                found = np.bincount(text, minlength=n)
+                z = np.stack([prior[k] + found * default[k] + np.bincount(text, weight[at, k], n) for k in range(len(langs))], axis=1)
+                best = len(langs) - 1 - np.argmax(z[:, ::-1], axis=1)  # ties: the larger label
+                top = z[np.arange(n), best]
+                p = 1 / np.exp(z - top[:, None]).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([langs[k] for k in best], pa.string()), pa.array(p)], [key, out, score])
+
+    return run
+
+
+def _words(df: DataFrame, keys: list[Column], text: str) -> DataFrame:
+    """Distinct words per key with their counts (``keys…, w, k``)."""
+    names = [f"__k{i}" for i in range(len(keys))]
+    return (df.select(*[k.alias(n) for k, n in zip(keys, names)], F.explode(F.split(normalized(text), " ")).alias("w"))
+            .groupBy(*names, "w").agg(F.count(F.lit(1)).alias("k")))
+
+
+def _classify_by_join(df: DataFrame, model: LangModel, text: str, key: str, out: str, score: str) -> DataFrame:
+    """For models beyond the broadcast bound: words are counted per text, grams made per distinct word
+    (outer, so an empty text keeps its row), joined to the per-gram table and summed per key. The
+    aggregates hold only the key and numbers, so they are hash aggregates with map-side combining."""
     langs = model.langs
     words = _words(df, [F.col(key)], text)
     occ = words.select(F.col("__k0").alias("__key"), "k", F.explode_outer(ngrams("w", model.n)).alias("gram"))
     hit = occ.join(model.wide, "gram", "left")
-    known = F.when(F.col("__d0").isNotNull(), F.col("k")).otherwise(0)
+    known = F.when(F.col("__d0").isNotNull(), F.col("k")).otherwise(0) if langs else F.lit(0)
     sums = hit.groupBy("__key").agg(F.sum(known).alias("__nf"),
                                     *[F.coalesce(F.sum(F.col(f"__d{i}") * F.col("k")), F.lit(0.0)).alias(f"__s{i}")
                                       for i in range(len(langs))])
-    scored = [F.struct((F.lit(model.priors[lg]) + F.col("__nf") * F.lit(model.defaults[lg])
-                        + F.col(f"__s{i}")).alias("s"), F.lit(lg).alias("l"))
-              for i, lg in enumerate(langs)]
+    if not langs:
+        return sums.select(F.col("__key").alias(key), F.lit(None).cast("string").alias(out), F.lit(None).cast("double").alias(score))
+    each = [F.lit(model.priors[lg]) + F.col("__nf") * F.lit(model.defaults[lg]) + F.col(f"__s{i}") for i, lg in enumerate(langs)]
+    scored = [F.struct(s.alias("s"), F.lit(lg).alias("l")) for s, lg in zip(each, langs)]
     best = F.greatest(*scored) if len(langs) > 1 else scored[0]
-    return sums.select(F.col("__key").alias(key), best["l"].alias(out))
+    total = sum((F.exp(s - best["s"]) for s in each[1:]), F.exp(each[0] - best["s"]))
+    return sums.select(F.col("__key").alias(key), best["l"].alias(out), (1 / total).alias(score))
 
 
 def language_gate(model: LangModel, target: str):
     """A crawl gate: label each fetched page's text (paragraphs joined by a space, F4) and
     accept it when the label is ``target`` (P8). Takes ``(keyword, url, paragraphs)`` of the
-    fetched pages, gives ``(keyword, url, lang, accepted)``."""
+    fetched pages, gives ``(keyword, url, lang, accepted, score)``."""
 
     def gate(df: DataFrame) -> DataFrame:
-        keyed = df.withColumn("__k", F.concat_ws("\u0000", "keyword", "url"))
-        lab = classify(keyed.select("__k", F.array_join("paragraphs", " ").alias("__t")), model, "__t", "__k", out="lang")
-        # the labels come back to a narrow scan (no paragraphs)
-        return (keyed.select("__k", "keyword", "url").join(lab, "__k", "left").drop("__k")
-                .withColumn("accepted", F.col("lang") == F.lit(target)))
+        page = df.select(F.struct("keyword", "url").alias("page"), F.array_join("paragraphs", " ").alias("__t"))
+        lab = classify(page, model, "__t", "page", out="lang")
+        return lab.select("page.keyword", "page.url", "lang", (F.col("lang") == F.lit(target)).alias("accepted"), "score")
 
     return gate
 
@@ -129,11 +216,11 @@ def save(model: LangModel, path: str) -> None:
     per-gram table + per-language scalars (one small JSON row)."""
     spark = model.wide.sparkSession
     model.wide.write.parquet(f"{path}/wide")
-    meta = json.dumps({"langs": model.langs, "priors": model.priors, "defaults": model.defaults, "n": model.n})
+    meta = json.dumps({"langs": model.langs, "priors": model.priors, "defaults": model.defaults, "n": model.n, "size": model.size})
     spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.parquet(f"{path}/meta")
 
 
 def load(spark, path: str) -> LangModel:
     """Read a model that ``save`` wrote."""
     meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
-    return LangModel(meta["langs"], meta["priors"], meta["defaults"], meta["n"], spark.read.parquet(f"{path}/wide"))
+    return LangModel(meta["langs"], meta["priors"], meta["defaults"], meta["n"], spark.read.parquet(f"{path}/wide"), meta.get("size"))

@@ -14,17 +14,27 @@ from ..functions.text import clean_paragraphs
 from .html import parse_pages
 
 
+#: Session setting: the default of ``partitions`` in ``analyze_pages``.
+PARTITIONS_KEY = "spark.trawl.htmlPartitions"
+
+
 def analyze_pages(pages: DataFrame, keys: list[str] | None = None, separator: str = "",
-                  min_words: int = 3) -> DataFrame:
+                  min_words: int = 3, partitions: int | None = None) -> DataFrame:
     """``pages(…, url, html)`` → ``(keys…, url, blocks, hrefs, links, parse_error, paragraphs)``.
 
     The pages stay in the scan's own splits (no shuffle of ``html``); their number is the
-    session's ``spark.sql.files.maxPartitionBytes`` / ``minPartitionNum``. Only ``keys + url + html`` enter the Python stage; filter ``pages`` before calling so the
-    scan prunes. ``paragraphs`` is the cleaned list (drop-empty, dedup, > ``min_words`` words,
+    session's ``spark.sql.files.maxPartitionBytes`` / ``minPartitionNum``. A store of few, large row
+    groups can't be split by the scan: ``partitions`` (or the session's ``spark.trawl.htmlPartitions``)
+    deals its pages by ``url`` to so many tasks before they are parsed. Only ``keys + url + html`` enter
+    the Python stage; filter ``pages`` before calling so the scan prunes. ``paragraphs`` is the cleaned list (drop-empty, dedup, > ``min_words`` words,
     whitespace collapsed), in document order.
     """
     keys = [k for k in (keys or []) if k != "url"]
-    parsed = parse_pages(pages.select(*keys, "url", "html"), separator=separator)
+    pages = pages.select(*keys, "url", "html")
+    partitions = partitions or int(pages.sparkSession.conf.get(PARTITIONS_KEY, "0"))
+    if partitions:
+        pages = pages.repartition(partitions, "url")
+    parsed = parse_pages(pages, separator=separator)
     return parsed.withColumn("paragraphs", clean_paragraphs("blocks", min_words))
 
 

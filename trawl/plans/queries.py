@@ -253,21 +253,24 @@ qsc as (select qf.{key}, tl.lang, tl.prior + qf.nf * tl.dflt + coalesce(qs.s, 0)
         from qf cross join tl left join qs on qs.{key} = qf.{key} and qs.lang = tl.lang),
 qb as (select {key}, lang from (select *, row_number() over (partition by {key} order by score desc, lang desc) r
                                  from qsc) where r = 1),
-pred as (select t.{key}, coalesce(qb.lang, (select lang from tl order by prior desc, lang desc limit 1)) pred_lang
-         from ({target}) t left join qb using ({key}))
+qm as (select {key}, max(score) m from qsc group by {key}),
+qpr as (select {key}, 1 / sum(exp(score - m)) p from qsc join qm using ({key}) group by {key}),
+pred as (select t.{key}, coalesce(qb.lang, (select lang from tl order by prior desc, lang desc limit 1)) pred_lang,
+         coalesce(qpr.p, (select max(exp(prior)) / sum(exp(prior)) from tl)) pred_score
+         from ({target}) t left join qb using ({key}) left join qpr using ({key}))
 """
 
 
 @query("lang_classify", "with " + langid_sql("select text, lang from documents",
                                               "select doc_id, text from documents", "doc_id")
-       + "select doc_id, pred_lang from pred")
+       + "select doc_id, pred_lang, round(pred_score, 3) as score from pred")
 def q_lang_classify(spark, sf_dir):
-    """train on ``documents(text, lang)``, label every document (argmax)."""
+    """train on ``documents(text, lang)``, label every document (argmax) with the label's probability."""
     from ..operators import langid as LID
 
     docs = FX.table(spark, sf_dir, "documents")
     model = LID.train(docs.select("text", "lang"))
-    return LID.classify(docs, model, "text", "doc_id")
+    return LID.classify(docs, model, "text", "doc_id").withColumn("score", F.round("score", 3))
 
 
 def _language_model(spark, sf_dir):
@@ -292,10 +295,9 @@ def q_lang_gate(spark, sf_dir):
     from ..operators import langid as LID
 
     model = _language_model(spark, sf_dir)
-    pt = PG.page_text(_analyzed(spark, sf_dir)).select("page_id", "page_text")
-    labels = LID.classify(pt, model, "page_text", "page_id").where(F.col("pred_lang") == "en")
-    # the URL comes back from a two-column scan of the page table, not from the parsed pages
-    return labels.join(FX.table(spark, sf_dir, "pages").select("page_id", "url"), "page_id")
+    pt = PG.page_text(_analyzed(spark, sf_dir)).select(F.struct("page_id", "url").alias("page"), "page_text")
+    labels = LID.classify(pt, model, "page_text", "page").where(F.col("pred_lang") == "en")
+    return labels.select("page.page_id", "page.url", "pred_lang")
 
 
 # --------------------------------------------------------------------------- URL operators
@@ -561,6 +563,16 @@ def _linked_info(spark, sf_dir) -> DataFrame:
     return write_page_table(analyzed, buckets=buckets_for(spark, stored))
 
 
+def _linked_store(spark, sf_dir):
+    """The same pages as a store clustered by URL hash."""
+    from ..sources.pagestore import bits_for, write_page_store
+
+    pages = FX.linked_pages(FX.table(spark, sf_dir, "pages"))
+    analyzed = PG.analyze_pages(pages, keys=["page_id"]).select("page_id", "url", "links", "paragraphs")
+    stored = FX.table(spark, sf_dir, "pages").agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    return write_page_store(analyzed, bits=bits_for(stored))
+
+
 @query("crawl_bfs", _CRAWL_LANG_SQL + crawl_sql(_TOP_SEEDS_SQL, "select url from pages", _LINKED_EDGES_SQL,
                                                 "select url from acc_pages", "select null::varchar as url where false")
        + """
@@ -572,7 +584,7 @@ def q_crawl_bfs(spark, sf_dir):
     from ..operators import langid as LID
     from ..operators.crawl import crawl
 
-    info = _linked_info(spark, sf_dir)
+    info = _linked_store(spark, sf_dir)
     model = _language_model(spark, sf_dir)
     seeds = (FX.table(spark, sf_dir, "pages").where(F.col("url").endswith("#top"))
              .select(F.lit("corpus").alias("keyword"), F.lit(1).alias("seq"), "url"))
@@ -608,7 +620,7 @@ def q_crawl_budget(spark, sf_dir):
     language gate; a page belongs to the lowest ``(seq, depth)``."""
     from ..operators.crawl import crawl_in_sequence
 
-    info = _linked_info(spark, sf_dir)
+    info = _linked_store(spark, sf_dir)
     res = crawl_in_sequence(spark, _two_keyword_seeds(spark, sf_dir), info, max_depth=3, budget=40)
     return res.reached.select("keyword", "url", "depth", "fetched", "accepted")
 
@@ -897,6 +909,7 @@ def q_stream_visited(spark, sf_dir):
     visited table; each batch appends only URLs never seen before. The second half of the drops
     arrives after a restart on the same root."""
     from ..session import cut
+    from ..sources.urlset import UrlSet
     from ..streaming.intake import run_visited_dedup
 
     links = cut(PG.resolved_links(PG.analyze_pages(FX.linked_pages(FX.table(spark, sf_dir, "pages")), keys=["page_id"]),
@@ -906,7 +919,7 @@ def q_stream_visited(spark, sf_dir):
         _drop_files(links.where(F.col("page_id") % 2 == part).select("url"), drop, 3)
         stream = spark.readStream.schema("url string").option("maxFilesPerTrigger", 2).parquet(drop)
         run_visited_dedup(spark, stream, root)
-    return spark.read.parquet(root).select("url")
+    return UrlSet(spark, root).urls()
 
 
 _STREAM_CRAWL_SQL = (paragraphs_sql(FX.LINKED_PAGES_SQL) + ", "
@@ -929,7 +942,7 @@ def q_stream_crawl(spark, sf_dir):
     batches."""
     from ..streaming.intake import keyword_stream, run_crawl_stream
 
-    info = _linked_info(spark, sf_dir)
+    info = _linked_store(spark, sf_dir)
     seeds = _two_keyword_seeds(spark, sf_dir)
     drop = _scratch(spark, "crawl-drop")
     out = _scratch(spark, "crawl-stream")
@@ -949,7 +962,7 @@ def q_crawl_levels(spark, sf_dir):
     queue and page counters the reference logs), for the two-keyword budgeted crawl."""
     from ..operators.crawl import crawl_in_sequence, level_counts
 
-    info = _linked_info(spark, sf_dir)
+    info = _linked_store(spark, sf_dir)
     res = crawl_in_sequence(spark, _two_keyword_seeds(spark, sf_dir), info, max_depth=3, budget=40)
     return level_counts(res.reached)
 
@@ -963,6 +976,6 @@ def q_crawl_together(spark, sf_dir):
     lower ``seq``."""
     from ..operators.crawl import crawl
 
-    info = _linked_info(spark, sf_dir)
+    info = _linked_store(spark, sf_dir)
     res = crawl(spark, _two_keyword_seeds(spark, sf_dir), info, max_depth=3, budget=40)
     return res.reached.select("keyword", "url", "depth", "fetched", "accepted")

@@ -7,19 +7,19 @@ a folder under the output root, so a restarted query goes on where it stopped (a
 to one source folder; another source on the same root needs one of its own). Every sink is a
 table written by ``foreachBatch`` into a folder keyed by the checkpoint and the batch id
 (overwritten on retry, so a replayed batch is idempotent, and another checkpoint on the same root
-never touches it). State that must outlive a run (the visited set) is that table, joined per
-batch, instead of an unbounded in-memory state store.
+never touches it). State that must outlive a run (the visited set) is a log-structured set
+(``sources.urlset``), asked per batch, instead of an unbounded in-memory state store.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.keywords import clean_keywords
+from ..sources.urlset import UrlSet
 
 CHECKPOINTS = "_checkpoints"
 
@@ -32,17 +32,6 @@ def _batch_path(root: str, run: str, batch_id: int) -> str:
     return f"{root.rstrip('/')}/run={run}/batch={batch_id}"
 
 
-def _earlier(spark: SparkSession, root: str, run: str, batch_id: int) -> DataFrame | None:
-    """What other batches have written under ``root`` (None before the first)."""
-    try:
-        df = spark.read.parquet(root)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-    return df.where((F.col("run") != run) | (F.col("batch") != batch_id))
-
-
 def _start(stream: DataFrame, per_batch, checkpoint: str, once: bool, processing_time: str):
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if once else w.trigger(processingTime=processing_time)
@@ -115,56 +104,48 @@ def read_intake(spark: SparkSession, out_root: str, kind: str) -> DataFrame:
 
 def run_visited_dedup(spark: SparkSession, urls: DataFrame, visited_root: str, trigger_once: bool = True,
                       processing_time: str = "1 second", checkpoint: str | None = None):
-    """Append only URLs never seen before to the visited table.
+    """Append only URLs never seen before to the visited set under ``visited_root``
+    (``sources.urlset.UrlSet``: read it with ``.urls()``).
 
-    Per batch: distinct URLs, minus those any other batch has stored (one anti-join, its strategy
-    left to the optimizer). The state is the table itself, so it survives restarts and grows on
-    shared storage, not in memory. ``compact_visited`` joins the batch folders into one.
+    A batch asks the segments' filters and reads only segments that may hold one of its URLs; it
+    becomes a segment of its own, and full tiers are merged as the stream goes. The state is the set
+    itself, so it survives restarts and grows on shared storage, not in memory; a batch that is replayed
+    after it was published adds nothing.
     """
     checkpoint = checkpoint or f"{visited_root.rstrip('/')}{CHECKPOINTS}"
     run = _run_id(checkpoint)
+    visited = UrlSet(spark, visited_root)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.select("url").where(F.col("url").isNotNull()).distinct()
-        seen = _earlier(spark, visited_root, run, batch_id)
-        if seen is not None:
-            fresh = fresh.join(seen.select("url"), "url", "left_anti")
-        fresh.write.mode("overwrite").parquet(_batch_path(visited_root, run, batch_id))
+        visited.add(batch, run, batch_id)
 
     return _start(urls, per_batch, checkpoint, trigger_once, processing_time)
 
 
-def compact_visited(spark: SparkSession, visited_root: str, new_root: str) -> DataFrame:
-    """The visited table as one batch folder under a new root (to be given to the next run)."""
-    path = _batch_path(new_root, "compacted", 0)
-    spark.read.parquet(visited_root).select("url").distinct().write.parquet(path)
-    return spark.read.parquet(new_root)
-
-
 def run_crawl_stream(spark: SparkSession, keywords: DataFrame, seeds: DataFrame, pages_info: DataFrame,
                      out_root: str, crawl_kwargs: dict | None = None, trigger_once: bool = True,
                      processing_time: str = "1 second", checkpoint: str | None = None):
     """Per micro-batch, one crawl after another for its keywords by ``seq``
-    (``maxFilesPerTrigger`` = 1 gives the reference's one keyword per run); the visited table
-    carries over between batches and restarts. Writes ``out_root/corpus`` and
-    ``out_root/visited``."""
+    (``maxFilesPerTrigger`` = 1 gives the reference's one keyword per run); the visited set
+    (``sources.urlset.UrlSet``) carries over between batches and restarts. Writes
+    ``out_root/corpus`` and ``out_root/visited``."""
     from ..operators.crawl import crawl_in_sequence
 
     checkpoint = checkpoint or f"{out_root.rstrip('/')}/{CHECKPOINTS}/crawl"
     run = _run_id(checkpoint)
-    corpus_root, visited_root = f"{out_root}/corpus", f"{out_root}/visited"
+    corpus_root, visited = f"{out_root}/corpus", UrlSet(spark, f"{out_root}/visited")
     kwargs = dict(crawl_kwargs or {})
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         kw = clean_keywords(queued(batch)).select("keyword", "seq")
         if kw.isEmpty():
             return
-        visited = _earlier(spark, visited_root, run, batch_id)
+        if visited.has(run, batch_id):
+            return  # a replay: the corpus was written before the set
         s = seeds.select("keyword", "url").join(kw, "keyword").select("keyword", "seq", "url")
         res = crawl_in_sequence(spark, s, pages_info, visited=visited, **kwargs)
         # the corpus first: a batch that fails between the two is replayed with the same visited set
         res.corpus.write.mode("overwrite").parquet(_batch_path(corpus_root, run, batch_id))
-        fetched = res.reached.where("fetched").select("url").distinct()
-        fetched.write.mode("overwrite").parquet(_batch_path(visited_root, run, batch_id))
+        visited.add(res.reached.where("fetched"), run, batch_id)
 
     return _start(keywords, per_batch, checkpoint, trigger_once, processing_time)
