@@ -120,3 +120,19 @@ def test_comparing_tasks_grow_with_the_dealt_rows(spark, monkeypatch):
     assert got == [(i, 99, 0) for i in range(100)]
     # 2,400 rows before dealing are 6 tasks; 8 tables of 100 at home, dealt 10 times, need 20 alone
     assert tasks["vector_links"] >= 20
+
+
+def test_labels_as_they_are_and_extreme_components(spark):
+    """Labels of any type are compared, not cast; components whose squares leave the range of doubles."""
+    base = [1.0, 2.0, 3.0, 4.0]
+    for kind, same, other in (("double", 1.2, 1.7), ("string", "a", "b"), ("int", 1, 2)):
+        rows = [(1, base, same), (2, base[:3] + [4.1], same), (3, base, other)]
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.near_duplicate_vectors(df).collect()}
+        assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3)}
+    far = [1.0, -2.0, 3.0, 0.5]
+    for scale in (1e-200, 1e200, 1e-308):
+        rows = [(1, [v * scale for v in base], 0), (2, [v * scale for v in base[:3]] + [4.1 * scale], 0), (3, [v * scale for v in far], 0)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.near_duplicate_vectors(df).collect()}
+        assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3)}

@@ -103,6 +103,7 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for d in np.unique(size):
             rows = np.flatnonzero(size == d)
             x = flat[start[rows][:, None] + np.arange(d)]
+            x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of tiny and huge components stay in range
             x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
             for i in range(0, len(rows), 4096):
                 part, at = x[i:i + 4096], pa.array(rows[i:i + 4096])
@@ -249,14 +250,15 @@ def _compare(threshold: float, most: int = TASK_ROWS):
     return run
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, label_type: str = "long") -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` for every row of ``vectors(vec_id, embedding, label)``."""
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
+    """``vec_id, n_links, component_id, kept`` for every row of ``vectors(vec_id, embedding, label)``;
+    ``label`` may be of any type."""
     spark = vectors.sparkSession
     e = F.col("embedding")
     bad = F.exists(e, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     alive = (F.col("label").isNotNull() & e.isNotNull() & ~F.coalesce(bad, F.lit(True))
              & F.coalesce(F.exists(e, lambda c: c != 0), F.lit(False)))
-    rows = vectors.select("vec_id", F.col("label").cast(label_type).alias("label"), "embedding")
+    rows = vectors.select("vec_id", "label", "embedding")
     reps = cut(rows.where(alive).groupBy("label", "embedding")
                .agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
                .withColumn("rid", F.monotonically_increasing_id()), "vector_groups")  # fixed once written
