@@ -13,13 +13,16 @@ covers every text and broadcasts only the weights, whose size is fixed.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .textbytes import LOWER_NP, fresh, shards, span_hash, word_spans
 
 TRIGRAM_BITS = 16
@@ -30,12 +33,19 @@ TOKEN_WIDTH = LEVELS << TOKEN_BITS
 SCALE = 30.0
 
 
+#: Entries of sparse rows that one step of a product works on.
+STEP = 1 << 20
+
+
 class Rows:
     """Sparse rows: ``idx[ptr[i]:ptr[i + 1]]`` with values ``val``."""
 
     def __init__(self, ptr: np.ndarray, idx: np.ndarray, val: np.ndarray):
         self.ptr, self.idx, self.val = ptr, idx, val
-        self.row = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
+
+    @cached_property
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.ptr) - 1, dtype=np.int32), np.diff(self.ptr))
 
     def __len__(self) -> int:
         return len(self.ptr) - 1
@@ -52,20 +62,30 @@ class Rows:
         at = np.repeat(self.ptr[rows], size) + np.arange(ptr[-1]) - np.repeat(ptr[:-1], size)
         return Rows(ptr, self.idx[at], self.val[at])
 
+    def _sum(self, to: np.ndarray, of: np.ndarray, by: np.ndarray, width: int) -> np.ndarray:
+        out = np.zeros((width, of.shape[1]))
+        for a in range(0, len(to), STEP):  # temporaries stay small
+            part = slice(a, a + STEP)
+            for k in range(of.shape[1]):
+                out[:, k] += np.bincount(to[part], self.val[part] * of[by[part], k], width)
+        return out
+
     def dot(self, w: np.ndarray) -> np.ndarray:
         """Rows times the columns of ``w`` (features, k)."""
-        return np.stack([np.bincount(self.row, self.val * w[self.idx, k], len(self)) for k in range(w.shape[1])], axis=1)
+        return self._sum(self.row, w, self.idx, len(self))
 
     def back(self, g: np.ndarray, width: int) -> np.ndarray:
-        return np.stack([np.bincount(self.idx, self.val * g[self.row, k], width) for k in range(g.shape[1])], axis=1)
+        return self._sum(self.idx, g, self.row, width)
 
 
 def fit(x: Rows, k: int, width: int, slope: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]],
         extra: int | None = None, steps: int = 150, rate: float = 0.1, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Adam over all rows. ``slope(scores, extra)`` gives the loss's slope by row and score, and
     that of the extra parameters (a bias for each score unless ``extra`` says how many)."""
-    used, inverse = np.unique(x.idx, return_inverse=True)
-    small = Rows(x.ptr, inverse, x.val)
+    there = np.zeros(width, bool)
+    there[x.idx] = True
+    used = np.flatnonzero(there)
+    small = Rows(x.ptr, (np.cumsum(there, dtype=np.int32) - 1)[x.idx], x.val)
     w, b = np.zeros((len(used), k)), np.zeros(k if extra is None else extra)
     m1, v1, m2, v2 = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)
     for step in range(1, steps + 1):
@@ -169,10 +189,10 @@ def trigram_rows(col: pa.Array) -> Rows:
         doc = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
         key, count = np.unique(doc << TRIGRAM_BITS | ids, return_counts=True)
         row = key >> TRIGRAM_BITS
-        idx.append(key & ((1 << TRIGRAM_BITS) - 1))
-        val.append(count * SCALE / np.diff(ptr)[row])
+        idx.append((key & ((1 << TRIGRAM_BITS) - 1)).astype(np.int32))
+        val.append((count * SCALE / np.diff(ptr)[row]).astype(np.float32))
         ptrs.append(ptrs[-1][-1] + np.cumsum(np.bincount(row, minlength=len(ptr) - 1)))
-    return Rows(np.concatenate(ptrs), np.concatenate([*idx, np.zeros(0, np.int64)]), np.concatenate([*val, np.zeros(0)]))
+    return Rows(np.concatenate(ptrs), np.concatenate([*idx, np.zeros(0, np.int32)]), np.concatenate([*val, np.zeros(0, np.float32)]))
 
 
 def tokens(data: np.ndarray, off: np.ndarray, some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -232,6 +252,15 @@ def token_counts(col: pa.Array, weight: np.ndarray) -> np.ndarray:
     return out
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker that is used again starts small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def lean(many: np.ndarray, inside: np.ndarray, n: float, n1: float) -> np.ndarray:
     """By feature, by how many standard errors its texts lean to a class of ``n1`` in ``n`` texts
     (``many``: texts that have the feature, ``inside``: those of the class)."""
@@ -262,6 +291,7 @@ def score_texts(docs: DataFrame, send, score: Callable, ddl: str, arrow: pa.Data
                 made = made if isinstance(made, pa.Array) else pa.array(made)
                 yield pa.RecordBatch.from_arrays([*part.columns, made.cast(arrow)], names)
 
+    ship_package(docs.sparkSession)
     return src.mapInArrow(run, schema).select(*docs.columns, name)
 
 
@@ -269,12 +299,18 @@ def fit_in_task(sample: DataFrame, train: Callable[[pa.Table], bytes]) -> bytes
     """Run ``train`` over a bounded sample in one task; its packed model comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if sum(b.num_rows for b in got):
-            yield pa.RecordBatch.from_arrays([pa.array([train(pa.Table.from_batches(got))], pa.binary())], ["model"])
-
+        got = [b for b in batches if b.num_rows]
+        model = train(pa.Table.from_batches(got)) if got else None
+        got.clear()
+        release()
+        if model is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
+
+    ship_package(sample.sparkSession)
     # sorted, so that the model doesn't hang on the order in which rows arrive
-    row = sample.repartition(1).sortWithinPartitions(*[c for c in sample.columns if c != "text"], F.xxhash64("text")).mapInArrow(run, "model binary").first()
+    plain = [c for c, kind in sample.dtypes if c != "text" and not kind.startswith("array")]
+    by = [*plain, F.xxhash64("text")] if "text" in sample.columns else plain
+    row = sample.repartition(1).sortWithinPartitions(*by).mapInArrow(run, "model binary").first()
     return None if row is None else bytes(row["model"])
 
 

@@ -38,9 +38,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, ship_package
 from .components import components, local_forest
-from .textbytes import LOWER, fresh, mix64, with_uid
+from .textbytes import LOWER, fresh, mix64, thrifty, with_uid
 
 SEED = 42
 #: First bit and width of the thirds; the pairs of thirds that are compared.
@@ -83,11 +83,13 @@ def fingerprints(docs: DataFrame, shingle: int = 4, keys: tuple[str, ...] = ("do
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "text") + ", fp long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        thrifty()
         for b in batches:
             raw = b.column(b.num_columns - 1).cast(pa.binary())
             fp = np.fromiter((simhash(x.as_py(), shingle) for x in raw), np.uint64, len(raw))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))], [*keys, "fp"])
 
+    ship_package(docs.sparkSession)
     return src.mapInArrow(run, schema)
 
 

@@ -7,11 +7,14 @@ whatever the Arrow batch holds. Null texts are empty texts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +44,21 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+@lru_cache(maxsize=1)
+def thrifty() -> None:
+    """In a worker (which Spark uses again for later tasks): buffers of 1 MB and more go back to the
+    system as soon as they are freed, Arrow's too."""
+    if TaskContext.get() is None:
+        return
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # fixed value: M_MMAP_THRESHOLD
+        libc.mallopt(-1, 4 << 20)  # fixed value: M_TRIM_THRESHOLD
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """An Arrow string column as ``(data uint8, offsets int64[n + 1])``; null is empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -60,6 +78,7 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def shards(col: pa.Array, limit: int = SHARD_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a column into shards: ``(first row, end row, data, offsets)``."""
+    thrifty()
     data, off = column_bytes(col)
     n, a = len(off) - 1, 0
     while a < n:
@@ -114,12 +133,14 @@ def text_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 @F.arrow_udf(T.BinaryType())
 def zip_text(texts: pa.Array) -> pa.Array:
     """Whole texts as zstandard frames, for a shuffle that carries them (null stays null)."""
+    thrifty()
     pack = zstandard.ZstdCompressor(level=3).compress
     return pa.array([None if t is None else pack(t) for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
 
 
 def unzip(frames: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of ``zip_text``'s frames."""
+    thrifty()
     unpack = zstandard.ZstdDecompressor().decompress
     return [None if f is None else unpack(f) for f in frames.to_pylist()]
 

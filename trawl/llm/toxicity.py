@@ -17,12 +17,14 @@ from __future__ import annotations
 
 import io
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut, ship_package
 from .linear import (
     TOKEN_BITS,
     TOKEN_WIDTH,
@@ -32,6 +34,7 @@ from .linear import (
     fit_logistic,
     fresh,
     lean,
+    release,
     sample_texts,
     score_texts,
     sigmoid,
@@ -40,7 +43,7 @@ from .linear import (
     token_scores,
     tokens_in,
 )
-from .textbytes import LOWER, shards, span_hash
+from .textbytes import LOWER, span_hash
 
 #: Labelled rows that the voters and the classifier are fitted on, at most; as many unlabelled ones.
 SAMPLE = 8000
@@ -57,6 +60,9 @@ LEXICON = ("idiot", "stupid", "moron", "scum", "trash", "loser", "pathetic", "wo
 #: Text patterns, one voter each.
 PATTERNS = (rb"!{3,}", rb"\b(you are|you're|ur) (an? |such )?\w+", rb"(?i)\b(shut up|get lost|go away)\b", rb"\b[A-Z]{4,}( [A-Z]{4,}){2,}")
 
+#: Voters: mined lexicons, stated words, patterns, and the one for clean text.
+VOTERS = MINED + len(LEXICON) + len(PATTERNS) + 1
+
 
 def pattern_votes(texts: pa.Array) -> np.ndarray:
     found = [re.compile(p) for p in PATTERNS]
@@ -120,23 +126,50 @@ def label_model(fired: np.ndarray, label: np.ndarray, rounds: int = 50):
     return q, rate1, rate0, share
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labelled (text, y) to (feature, texts that have it, those of class 1), a row a feature and task."""
+    total = None
+    for b in batches:
+        y = b.column(1).to_numpy().astype(float)
+        part = token_counts(b.column(0), np.stack([np.ones(len(y)), y]))
+        total = part if total is None else total + part
+    if total is not None:
+        at = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], ["feature", "many", "inside"])
+    release()
+
+
+def _featured(wanted: np.ndarray, mined: np.ndarray):
+    """(key, y, text) to (key, y, wanted features, voters that fire)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.zeros(TOKEN_WIDTH, bool)
+        mask[wanted] = True
+        for b in batches:
+            x = token_rows(b.column(2), mask)
+            fired = votes(x, b.column(2), mined)
+            row, voter = np.nonzero(fired)
+            fires = np.append(0, np.cumsum(np.bincount(row, minlength=len(x))))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(x.ptr.astype(np.int32)), pa.array(x.idx.astype(np.int32))),
+                 pa.ListArray.from_arrays(pa.array(fires.astype(np.int32)), pa.array(voter.astype(np.int32)))],
+                ["key", "y", "features", "fired"])
+        release()
+
+    return run
+
+
 def train(table: pa.Table) -> bytes:
-    """Sample (text, y; -1 for unlabelled) to a packed classifier."""
-    # one row of equal texts, the labelled one if there is any
-    texts, y = table.column("text").combine_chunks(), table.column("y").to_numpy().astype(float)
-    same = np.concatenate([span_hash(data, off[:-1], off[1:]) for _, _, data, off in shards(texts)])
-    first = np.lexsort([-y, same])
-    first = np.sort(first[np.unique(same[first], return_index=True)[1]])
-    texts, y = texts.take(pa.array(first)), y[first]
-    x = token_rows(texts)
-    known = y >= 0
-    many, inside = token_counts(texts, np.stack([known, y == 1]).astype(float))
-    z = telling(many, inside, known.sum(), (y == 1).sum())
-    mined = np.argsort(-z, kind="stable")[:min(MINED_TOKENS, int((z > 0).sum()))]
-    wanted = z > 0
-    wanted[[_word_id(w) for w in LEXICON]] = True
-    x = token_rows(texts, wanted)
-    q, *_ = label_model(votes(x, texts, mined), y)
+    """Sample (y, -1 for unlabelled; wanted features; fired voters) to a packed classifier."""
+    table = table.combine_chunks()
+    y = table.column("y").to_numpy().astype(float)
+    lists = [pa.concat_arrays(table.column(c).chunks) for c in ("features", "fired")]
+    ptr = [np.append(0, np.cumsum(v.value_lengths().to_numpy())) for v in lists]
+    flat = [v.flatten().to_numpy() for v in lists]
+    x = Rows(ptr[0], flat[0], np.ones(len(flat[0]), np.float32))
+    fired = np.zeros((len(y), VOTERS), bool)
+    fired[np.repeat(np.arange(len(y)), np.diff(ptr[1])), flat[1]] = True
+    q, *_ = label_model(fired, y)
     weight = np.where(q > 0.5, 0.5 / max((q > 0.5).mean(), 1e-3), 0.5 / max((q <= 0.5).mean(), 1e-3)) ** 0.5
     w, b = fit_logistic(x, q, TOKEN_WIDTH, weight, steps=300, rate=0.08, l2=L2)
     w[np.abs(w) < 1e-3] = 0
@@ -145,6 +178,29 @@ def train(table: pa.Table) -> bytes:
     return out.getvalue()
 
 
+def fitted(docs: DataFrame, chosen: DataFrame) -> bytes | None:
+    """The classifier from the texts of the chosen ids (``doc_id, y``, a bounded table). Tokens are
+    counted and texts turned to features in many tasks; the task that fits gets wanted features
+    and fired voters only. None without texts."""
+    ship_package(docs.sparkSession)
+    # one row of equal texts, the labelled one if there is any
+    sample = cut(sample_texts(docs, chosen).select("y", F.coalesce("text", F.lit("")).alias("text"))
+                 .groupBy(F.sha2("text", 256).alias("key")).agg(F.max("y").alias("y"), F.first("text").alias("text")), "toxicity-sample")
+    labelled = sample.where("y >= 0")
+    n, n1 = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    counted = (labelled.select("text", "y").mapInArrow(_count, "feature long, many double, inside double")
+               .groupBy("feature").agg(F.sum("many").alias("many"), F.sum("inside").alias("inside"))
+               .where(F.col("inside") > 0.6 * F.col("many")).collect())  # of TOKEN_WIDTH features at most
+    many, inside = np.zeros(TOKEN_WIDTH), np.zeros(TOKEN_WIDTH)
+    for f, m, i in counted:
+        many[f], inside[f] = m, i
+    z = telling(many, inside, n, n1)
+    mined = np.argsort(-z, kind="stable")[:min(MINED_TOKENS, int((z > 0).sum()))]
+    wanted = np.union1d(np.flatnonzero(z > 0), [_word_id(w) for w in LEXICON])
+    featured = sample.select("key", "y", "text").mapInArrow(_featured(wanted, mined), "key string, y int, features array<int>, fired array<int>")
+    return fit_in_task(featured, train)
+
+
 def load(raw: bytes) -> tuple[np.ndarray, float, np.ndarray]:
     got = np.load(io.BytesIO(raw))
     return got["w"], float(got["b"]), tokens_in(got["w"] != 0)
@@ -161,7 +217,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sampl
     known = bounded(known, sample)
     rest = docs.select("doc_id").where("doc_id is not null").join(known, "doc_id", "left_anti").distinct()
     chosen = known.union(bounded(rest, sample).withColumn("y", F.lit(-1)))
-    raw = fit_in_task(sample_texts(docs, chosen), train) if known.limit(1).count() else None
+    raw = fitted(docs, chosen) if known.limit(1).count() else None
     name = fresh(docs, name)
     if raw is None:
         return docs.withColumn(name, F.lit(0.0))
