@@ -238,11 +238,12 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     known = docs.where(F.col("doc_id").isNotNull())
     pieces = known.select("doc_id", "text").mapInArrow(_pieces, f"run long, piece long, doc_id {kind}, start int, windows int")
-    shared = (pieces.groupBy("run").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("run"))
+    # sides of joins that were grouped by the same key are written first: the join can then be split
+    shared = cut(pieces.groupBy("run").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("run"), "runs")
     found = cut(pieces.join(shared, "run"), "pieces")
     heads = found.groupBy("run", "piece").agg(F.min("doc_id").alias("head"))
     heads = cut(heads, "piece-heads")
-    mixed = heads.groupBy("run").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("run", F.lit(True).alias("mixed"))
+    mixed = cut(heads.groupBy("run").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("run", F.lit(True).alias("mixed")), "mixed")
     marked = found.join(heads, ["run", "piece"]).join(mixed, "run", "left").select(
         "doc_id", "start", "windows", "piece", (F.col("doc_id") > F.col("head")).alias("folds"), "mixed")
     marked = cut(marked.where("folds or mixed"), "pieces-marked")
@@ -253,15 +254,15 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
                  .mapInArrow(_ranges, f"doc_id {kind}, text_key long, start int, words array<long>"), "ranges")
     anchors = cut(ranges.mapInArrow(_anchors, f"hash long, doc_id {kind}, place int, block boolean"), "anchors")
     blocks = anchors.where("block")
-    index = blocks.groupBy("hash").agg(F.min("doc_id").alias("lowest"))
+    index = cut(blocks.groupBy("hash").agg(F.min("doc_id").alias("lowest")), "blocks")
     probed = cut(anchors.join(index, "hash").where("doc_id > lowest").select("hash", "doc_id", "place"), "block-hits")
     # the blocks that were hit, and the probes that hit them
-    ends = blocks.join(probed.select("hash").distinct(), "hash").select("doc_id", "place").union(probed.select("doc_id", "place"))
+    ends = blocks.join(cut(probed.select("hash").distinct(), "blocks-hit"), "hash").select("doc_id", "place").union(probed.select("doc_id", "place"))
     hits = ends.groupBy("doc_id").agg(F.collect_set("place").alias("hits"))
     windows = cut(ranges.join(hits, "doc_id").select("doc_id", "text_key", "start", "words", "hits")
                   .mapInArrow(_windows, f"w1 long, w2 long, doc_id {kind}, text_key long, start int"), "windows")
-    again = (windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-             .select("w1", "w2", "low"))
+    again = cut(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+                .select("w1", "w2", "low"), "windows-again")
     later = windows.join(again, ["w1", "w2"]).where("doc_id > low")
     none = F.lit(None).cast("long")
     gone = (marked.where("folds").select("doc_id", F.struct("start", "windows", "piece", none.alias("text_key")).alias("at"))
