@@ -203,26 +203,6 @@ def test_strip_fragment(spark):
     assert merged == ["http://h/x", "http://h/y"]
 
 
-def test_keyword_csv_stream_keeps_order_and_survives_restarts(spark):
-    from trawl.session import scratch_dir
-    from trawl.streaming.intake import keyword_stream, read_intake, run_intake
-
-    d = tempfile.mkdtemp(prefix="trawl-kwcsv-")
-    seeds = spark.createDataFrame([("elma", 0, "http://h/e"), ("armut", 1, "http://h/a"), ("erik", 2, "http://h/x")],
-                                  "keyword string, pos long, url string")
-    out = scratch_dir(spark, "kwcsv-out")
-    for i, words in enumerate([["zeytin", "elma", "  armut "], ["kiraz", "", "ayva"]]):
-        with open(f"{d}/kw_{i}.csv", "w", newline="", encoding="utf-8") as f:
-            w = csv.writer(f)
-            w.writerow(["words"])
-            w.writerows([[x] for x in words])
-        os.utime(f"{d}/kw_{i}.csv", (1_700_000_000 + i, 1_700_000_000 + i))
-        run_intake(spark, keyword_stream(spark, d, schema="words string", files_per_trigger=1, fmt="csv"), seeds, out)
-    kws = [r.keyword for r in read_intake(spark, out, "keywords").orderBy("seq").collect()]
-    assert kws == ["zeytin", "elma", "armut", "kiraz", "ayva"]
-    assert sorted(r.url for r in read_intake(spark, out, "seeds").collect()) == ["http://h/a", "http://h/e"]
-
-
 def test_visited_set_outlives_runs_and_checkpoints(spark):
     from trawl.session import scratch_dir
     from trawl.sources.urlset import UrlSet

@@ -7,7 +7,7 @@ range-partitioned, summed inside their ranges, and lifted by the totals of the r
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import char_count
@@ -17,13 +17,24 @@ BYTES_PER_CHAR = 1.1
 SHARD_BYTES = 100 * 1024 * 1024
 
 
+def page_chars() -> F.Column:
+    """Characters of a page's paragraphs."""
+    return F.aggregate("paragraphs", F.lit(0).cast("long"), lambda acc, x: acc + char_count(x))
+
+
+def observed(analyzed: DataFrame) -> tuple[DataFrame, Observation]:
+    """A2/A3 as a by-product: the pages with an observation of pages processed, pages with text,
+    paragraphs and characters, filled by the first action that runs over them (so by the writing
+    pass; the pages are not parsed again for the numbers)."""
+    seen = Observation()
+    n = F.size("paragraphs")
+    return analyzed.observe(seen, F.count(F.lit(1)).alias("pages_processed"), F.count(F.when(n > 0, 1)).alias("pages_with_text"),
+                            F.sum(n.cast("long")).alias("paragraphs"), F.sum(page_chars()).alias("characters")), seen
+
+
 def corpus_stats(analyzed: DataFrame, group: list[str]) -> DataFrame:
     """A2/A3/F13/F14 per group: pages processed, pages with text, paragraphs, characters, GB estimate."""
-    per_page = analyzed.select(
-        *group,
-        F.size("paragraphs").alias("n_paras"),
-        F.aggregate("paragraphs", F.lit(0).cast("long"), lambda acc, x: acc + char_count(x)).alias("n_chars"),
-    )
+    per_page = analyzed.select(*group, F.size("paragraphs").alias("n_paras"), page_chars().alias("n_chars"))
     chars = F.sum("n_chars")
     return per_page.groupBy(*group).agg(
         F.count(F.lit(1)).alias("pages_processed"),

@@ -36,6 +36,7 @@ from ..functions.urls import is_blacklisted_extension
 from ..session import cut, ensure_checkpoint_dir, scratch_dir
 from ..sources.pagestore import PageStore, TablePages, as_pages
 from ..sources.urlset import UrlSet
+from .keywords import order_key
 from .pages import followable
 
 SALT_BUCKETS = 64
@@ -193,7 +194,7 @@ def _walk(spark: SparkSession, seeds: DataFrame, known: FetchedPages, visited: D
     shares its claims.
     """
     me = ["seq", "keyword", "url"] if each else ["url"]
-    requests = cut(seeds.select("keyword", F.col("seq").cast("long").alias("seq"), "url")
+    requests = cut(seeds.select("keyword", order_key(seeds), "url")
                    .dropDuplicates(["seq", "keyword", "url"] if each else ["keyword", "url"]), "seeds")
     levels, owned = Tables(spark, "level"), Tables(spark, "owned")
     reached = None
@@ -288,7 +289,7 @@ def crawl_in_sequence(
     """
     ensure_checkpoint_dir(spark)
     known = FetchedPages(spark, as_pages(pages_info), gate)
-    seeds = cut(seeds.select("keyword", F.col("seq").cast("long").alias("seq"), "url").distinct(), "all-seeds")
+    seeds = cut(seeds.select("keyword", order_key(seeds), "url").distinct(), "all-seeds")
     how = (True, max_depth, budget, blacklist)
     reached, blocked = _walk(spark, seeds, known, visited, None, *how)
     mine = F.struct("seq", "keyword")

@@ -22,6 +22,13 @@ def clean_keywords(df: DataFrame, col: str = "keyword") -> DataFrame:
     return df.withColumn(col, k).where(F.col(col).isNotNull() & (F.col(col) != ""))
 
 
+def order_key(df: DataFrame, col: str = "seq") -> F.Column:
+    """The queue order of ``df``: a struct (file, row) as it is, a number as a long."""
+    if df.schema[col].dataType.typeName() == "struct":
+        return F.col(col)
+    return F.col(col).cast("long").alias(col)
+
+
 def pop_keywords(keywords: DataFrame, n: int = 1, order: str = "seq") -> tuple[DataFrame, DataFrame]:
     """O2/K2: the first ``n`` keywords in ``order`` (unique) and the remainder.
 

@@ -769,17 +769,41 @@ two as (select rn.*, cast(floor((before + st.have) / {SHARD_TEST_BYTES}) + st.la
 select shard, keyword, url, text from one union all select shard, keyword, url, text from two""")
 def q_corpus_append(spark, sf_dir):
     """K3 over two runs: odd pages are appended to the corpus of the even ones; the last shard
-    is filled up before the next one starts."""
-    from ..operators.corpus import assign_shards, corpus_state
-    from ..sources import files as IO
+    is filled up before the next one starts. An append is one commit."""
+    from ..sources.corpustable import CorpusTable
 
     rows = PG.paragraph_rows(_analyzed(spark, sf_dir), keys=["page_id"]).withColumn("keyword", U.url_netloc("url"))
-    path = _scratch(spark, "corpus-append")
+    corpus = CorpusTable(spark, _scratch(spark, "corpus-append"), SHARD_TEST_BYTES)
+    for part in (0, 1):
+        corpus.append(rows.where(F.col("page_id") % 2 == part), ["page_id", "para_idx"])
+    return corpus.rows().select("shard", "keyword", "url", "text")
+
+
+@query("corpus_counters", paragraphs_sql() + f"""
+, pc as (select page_id, count(*) n_paras, sum(length(text)) n_chars from para group by page_id),
+ ap as (select p.page_id % 2 + 1 as append, n_paras, n_chars from pages p left join pc using (page_id)),
+ st as (select append, count(*) as pages_processed, count(n_paras) as pages_with_text, coalesce(sum(n_paras), 0) as paragraphs,
+               coalesce(sum(n_chars), 0) as characters from ap group by append)
+select cast(append as bigint) as append, cast(pages_processed as bigint) as pages_processed,
+       cast(pages_with_text as bigint) as pages_with_text, cast(paragraphs as bigint) as paragraphs,
+       cast(characters as bigint) as characters, cast(sum(characters) over (order by append) as bigint) as characters_total,
+       cast(sum(characters) over (order by append) as double) * cast(1.1 as double) / cast(1e9 as double) as est_gb_total,
+       true as timed
+from st""")
+def q_corpus_counters(spark, sf_dir):
+    """A2 + A3 + A4 + F14 + F15: the counters of two appends (even pages, then odd ones), taken by the
+    pass that parses and writes the pages; ``timed``: the elapsed seconds were recorded."""
+    from ..operators.corpus import observed
+    from ..sources.corpustable import CorpusTable
+
+    corpus = CorpusTable(spark, _scratch(spark, "corpus-counted"), SHARD_TEST_BYTES)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     for part in (0, 1):
-        mine = rows.where(F.col("page_id") % 2 == part)
-        sharded = assign_shards(mine, ["page_id", "para_idx"], SHARD_TEST_BYTES, state=corpus_state(spark, path))
-        IO.write_corpus_shards(sharded, path)
-    return IO.read_corpus(spark, path).select("shard", "keyword", "url", "text")
+        analyzed, seen = observed(_analyzed(spark, sf_dir, pages.where(F.col("page_id") % 2 == part)))
+        rows = PG.paragraph_rows(analyzed, keys=["page_id"]).withColumn("keyword", U.url_netloc("url"))
+        corpus.append(rows, ["page_id", "para_idx"], seen)
+    return corpus.counters().select("append", "pages_processed", "pages_with_text", "paragraphs", "characters",
+                                    "characters_total", "est_gb_total", (F.col("seconds") > 0).alias("timed"))
 
 
 @query("visited_from_corpus", _SHARDED_SQL
@@ -903,6 +927,32 @@ def q_stream_intake(spark, sf_dir):
     return got.unionByName(kw)
 
 
+@query("stream_queue", """
+select lpad(cast(p_partkey as varchar), 12, '0') || ' "' || p_name || '"' as keyword, true as in_order from part""")
+def q_stream_queue(spark, sf_dir):
+    """S8 + O3 + I2 from keyword CSV files: part names are written as keyword CSVs in two drops and
+    popped as a queue of rows, 2,500 a batch wherever the files end; the query is stopped between the
+    drops and started again. ``in_order``: the row came right after the one before it in its file."""
+    from ..sources.files import PY_CSV_WRITE
+    from ..sources.rowqueue import keyword_queue
+    from ..streaming.intake import read_intake, run_intake
+
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    words = part.select("p_partkey", F.concat(F.lpad(F.col("p_partkey").cast("string"), 12, "0"), F.lit(' "'), "p_name",
+                                              F.lit('"')).alias("words"))
+    none = spark.createDataFrame([], "keyword string, pos long, url string")
+    drop, out = _scratch(spark, "kw-csv-drop"), _scratch(spark, "kw-csv-intake")
+    for half in (0, 1):
+        (words.where(F.pmod(F.xxhash64("words"), F.lit(2)) == half).repartitionByRange(3, "p_partkey")
+         .sortWithinPartitions("p_partkey").select("words").write.mode("append").options(**PY_CSV_WRITE).csv(drop))
+        run_intake(spark, keyword_queue(spark, drop, 2_500), none, out, drain=True)
+    in_file = Window.partitionBy("seq.mtime", "seq.file").orderBy("seq")
+    # rows count from 1 after the header and rise by one with the keywords
+    follows = (F.col("seq.row") == F.row_number().over(in_file)) & (
+        F.coalesce(F.lag("keyword").over(in_file), F.lit("")) < F.col("keyword"))
+    return read_intake(spark, out, "keywords").select("keyword", follows.alias("in_order"))
+
+
 @query("stream_visited", f"select distinct dst as url from ({_LINKED_EDGES_SQL})")
 def q_stream_visited(spark, sf_dir):
     """I4 + D4 + K7: a stream of found URLs (every page's links, repeats included) feeds the

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ws import WS
+from .splits import BLOCK_BYTES, read_csv, read_json_array
 
 # Python csv dialect, spelled as Spark options.
 PY_CSV_WRITE = dict(header=True, quote='"', escape='"', lineSep="\r\n", emptyValue="",
@@ -27,11 +28,10 @@ PY_CSV_READ = dict(header=True, quote='"', escape='"', multiLine=True, emptyValu
                    ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
-def read_words_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON-array dictionary files → ``word``. An object without ``word`` reads as NULL
-    (the reference raises there); such rows are dropped."""
-    df = spark.read.schema("word string").option("multiLine", True).json(path)
-    return df.where(F.col("word").isNotNull())
+def read_words_json(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """JSON-array dictionary files → ``word``, a large file by many tasks. An object without
+    ``word`` reads as NULL (the reference raises there); such rows are dropped."""
+    return read_json_array(spark, path, "word string", block_bytes).where(F.col("word").isNotNull()).select("word")
 
 
 def write_keyword_csv(words: DataFrame, path: str, col: str = "word") -> None:
@@ -39,20 +39,19 @@ def write_keyword_csv(words: DataFrame, path: str, col: str = "word") -> None:
     words.select(F.col(col).alias("words")).write.options(**PY_CSV_WRITE).csv(path)
 
 
-def read_keyword_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def read_keyword_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Keyword CSV → ``keyword`` (the first column by position, all strings, no inference)
-    with its queue order ``seq`` = (file name, place in the file)."""
-    df = spark.read.options(**PY_CSV_READ).option("encoding", encoding).option("inferSchema", False).csv(path)
-    return df.select(F.col(df.columns[0]).cast("string").alias("keyword"),
-                     F.struct(F.col("_metadata.file_path").alias("file"),
-                              F.monotonically_increasing_id().alias("pos")).alias("seq"))
+    with its queue order ``seq`` = (file, block, row in the block); a large file by many tasks."""
+    df = read_csv(spark, path, encoding, block_bytes)
+    return df.select(df[df.columns[3]].alias("keyword"), F.struct("file", "start", "row").alias("seq"))
 
 
 def reencode_csv(spark: SparkSession, src: str, src_encoding: str, dst: str, dst_encoding: str = "UTF-8") -> None:
-    """S3 + K5: rewrite a CSV from ``src_encoding`` to ``dst_encoding`` (same columns)."""
-    df = spark.read.options(**PY_CSV_READ).option("encoding", src_encoding).csv(src)
+    """S3 + K5: rewrite a CSV from ``src_encoding`` to ``dst_encoding`` (same columns, rows in order,
+    a large file by many tasks)."""
+    df = read_csv(spark, src, src_encoding)
     opts = dict(PY_CSV_WRITE, encoding=dst_encoding)
-    df.write.options(**opts).csv(dst)
+    df.drop(*df.columns[:3]).write.options(**opts).csv(dst)
 
 
 def write_corpus_shards(rows: DataFrame, path: str, mode: str = "append") -> None:

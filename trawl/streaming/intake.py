@@ -18,7 +18,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.keywords import clean_keywords
+from ..operators.keywords import clean_keywords, order_key
 from ..sources.urlset import UrlSet
 
 CHECKPOINTS = "_checkpoints"
@@ -32,8 +32,15 @@ def _batch_path(root: str, run: str, batch_id: int) -> str:
     return f"{root.rstrip('/')}/run={run}/batch={batch_id}"
 
 
-def _start(stream: DataFrame, per_batch, checkpoint: str, once: bool, processing_time: str):
+def _start(stream: DataFrame, per_batch, checkpoint: str, once: bool, processing_time: str, drain: bool = False):
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+    if drain:  # batch after batch until the source has no more rows
+        q = w.trigger(processingTime="0 seconds").start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        return q
     w = w.trigger(availableNow=True) if once else w.trigger(processingTime=processing_time)
     q = w.start()
     if once:
@@ -41,59 +48,37 @@ def _start(stream: DataFrame, per_batch, checkpoint: str, once: bool, processing
     return q
 
 
-#: Rows of one keyword file that ``seq`` can tell apart (file time times this fits a long).
-ROWS_PER_FILE = 1_000_000
-
-
 def keyword_stream(spark: SparkSession, path: str, schema: str = "seq long, keyword string",
-                   files_per_trigger: int | None = None, fmt: str = "parquet") -> DataFrame:
-    """Keywords arriving as files in ``path`` (one or more per drop).
-
-    ``fmt="csv"`` reads keyword CSV files (header, Python dialect; ``schema`` names the
-    columns, e.g. ``"words string"``) and returns ``keyword`` from the first column and the file's
-    modification time ``file_ms``; each batch makes ``seq`` of it (see ``queued``).
-    """
+                   files_per_trigger: int | None = None) -> DataFrame:
+    """Keywords with their queue order, arriving as Parquet files in ``path`` (one or more per
+    drop). Keyword CSV files are a queue of rows: ``sources.rowqueue.keyword_queue``."""
     r = spark.readStream.schema(schema)
     if files_per_trigger:
         r = r.option("maxFilesPerTrigger", files_per_trigger)
-    if fmt == "csv":
-        from ..sources.files import PY_CSV_READ
-
-        df = r.options(**PY_CSV_READ).csv(path)
-        first = df.columns[0]
-        return df.select(F.col(first).cast("string").alias("keyword"),
-                         F.unix_millis(F.col("_metadata.file_modification_time")).alias("file_ms"))
     return r.parquet(path)
 
 
-def queued(batch: DataFrame) -> DataFrame:
-    """A batch with its queue order ``seq``: given, or for CSV drops the file's time, then the
-    row's place in the file (a file is read by one task, in order)."""
-    if "seq" in batch.columns:
-        return batch
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return batch.withColumn("seq", F.col("file_ms") * ROWS_PER_FILE + row).drop("file_ms")
-
-
 def run_intake(spark: SparkSession, keywords: DataFrame, seeds_for: DataFrame, out_root: str,
-               trigger_once: bool = True, processing_time: str = "1 second", checkpoint: str | None = None):
+               trigger_once: bool = True, processing_time: str = "1 second", checkpoint: str | None = None,
+               drain: bool = False):
     """I2 + K6: each micro-batch of keywords is cleaned and appended with its seed URLs.
 
     ``seeds_for(keyword, pos, url)`` is the result-page lookup (stored); a keyword without
     seeds is still enqueued (the threshold is applied when crawling). A batch is one write (one
-    commit) of both kinds of rows; ``read_intake`` gives them back.
+    commit) of both kinds of rows; ``read_intake`` gives them back. ``drain`` takes batch after batch
+    until the source is empty, then stops.
     """
     checkpoint = checkpoint or f"{out_root.rstrip('/')}/{CHECKPOINTS}/intake"
     run = _run_id(checkpoint)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        kw = clean_keywords(queued(batch))
+        kw = clean_keywords(batch)
         seeds = seeds_for.select("keyword", "pos", "url").join(kw.select("keyword"), "keyword", "left_semi")
-        rows = (kw.select("keyword", F.col("seq").cast("long").alias("seq")).withColumn("kind", F.lit("keywords"))
+        rows = (kw.select("keyword", order_key(kw)).withColumn("kind", F.lit("keywords"))
                 .unionByName(seeds.withColumn("kind", F.lit("seeds")), allowMissingColumns=True))
         rows.write.mode("overwrite").partitionBy("kind").parquet(_batch_path(f"{out_root}/intake", run, batch_id))
 
-    return _start(keywords, per_batch, checkpoint, trigger_once, processing_time)
+    return _start(keywords, per_batch, checkpoint, trigger_once, processing_time, drain)
 
 
 def read_intake(spark: SparkSession, out_root: str, kind: str) -> DataFrame:
@@ -124,9 +109,10 @@ def run_visited_dedup(spark: SparkSession, urls: DataFrame, visited_root: str, t
 
 def run_crawl_stream(spark: SparkSession, keywords: DataFrame, seeds: DataFrame, pages_info: DataFrame,
                      out_root: str, crawl_kwargs: dict | None = None, trigger_once: bool = True,
-                     processing_time: str = "1 second", checkpoint: str | None = None):
+                     processing_time: str = "1 second", checkpoint: str | None = None, drain: bool = False):
     """Per micro-batch, one crawl after another for its keywords by ``seq``
-    (``maxFilesPerTrigger`` = 1 gives the reference's one keyword per run); the visited set
+    (``maxFilesPerTrigger`` = 1, or a ``keyword_queue`` of one row a batch with ``drain``, gives the
+    reference's one keyword per run); the visited set
     (``sources.urlset.UrlSet``) carries over between batches and restarts. Writes
     ``out_root/corpus`` and ``out_root/visited``."""
     from ..operators.crawl import crawl_in_sequence
@@ -137,7 +123,7 @@ def run_crawl_stream(spark: SparkSession, keywords: DataFrame, seeds: DataFrame,
     kwargs = dict(crawl_kwargs or {})
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        kw = clean_keywords(queued(batch)).select("keyword", "seq")
+        kw = clean_keywords(batch).select("keyword", "seq")
         if kw.isEmpty():
             return
         if visited.has(run, batch_id):
@@ -148,4 +134,4 @@ def run_crawl_stream(spark: SparkSession, keywords: DataFrame, seeds: DataFrame,
         res.corpus.write.mode("overwrite").parquet(_batch_path(corpus_root, run, batch_id))
         visited.add(res.reached.where("fetched"), run, batch_id)
 
-    return _start(keywords, per_batch, checkpoint, trigger_once, processing_time)
+    return _start(keywords, per_batch, checkpoint, trigger_once, processing_time, drain)
