@@ -153,3 +153,33 @@ def test_two_writers_of_one_version(spark):
     with pytest.raises(manifest.VersionTaken):
         manifest.publish(spark, root, 0, {"a": 2})
     assert manifest.read(spark, root) == (1, {"a": 1})
+
+
+def test_large_budgets_are_picked_by_ranges(spark):
+    """A hot keyword with a budget of half its rows; failed fetches are never cut."""
+    from trawl.operators.crawl import ranked_per_group, top_per_group
+
+    n = 40_000
+    df = (spark.range(n).select(F.when(F.col("id") % 10 < 9, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("g"),
+                                F.sha1(F.col("id").cast("string")).alias("u"), (F.col("id") % 11 == 0).alias("free"),
+                                F.when(F.col("id") % 10 < 9, 18_000).otherwise(100).alias("k")))
+    got = ranked_per_group(df, "g", ["u"], "k", exempt="free", ranges=16)
+    assert got.columns == df.columns
+    want = top_per_group(df, "g", ["u"], "k", exempt="free")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    # no range holds more than an eighth of the rows
+    parts = df.repartitionByRange(16, "g", "u").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert parts < n / 8
+
+
+def test_a_crawl_with_a_large_budget_equals_the_salted_one(spark, monkeypatch):
+    from trawl.operators import crawl as C
+
+    pages = spark.createDataFrame([(f"u{i:03d}", [f"u{(i * 3 + j) % 200:03d}" for j in range(5)], ["p"]) for i in range(180)],
+                                  "url string, links array<string>, paragraphs array<string>")
+    seeds = spark.createDataFrame([("k", 1, "u000"), ("k", 1, "u001")], "keyword string, seq long, url string")
+    rows = []
+    for limit in (10_000, 0):
+        monkeypatch.setattr(C, "SALTED_BUDGET", limit)
+        rows.append(sorted(tuple(r) for r in C.crawl(spark, seeds, pages, budget=30).reached.select("url", "depth", "fetched").collect()))
+    assert rows[0] == rows[1] and sum(r[2] for r in rows[0]) == 30

@@ -89,3 +89,15 @@ def test_rejected_markup_gives_empties_and_the_rest_goes_on(spark, html):
     rejected = got["http://h/bad"]
     assert rejected.parse_error == (parse_page(html, None)[4]) and (not rejected.parse_error or rejected.paragraphs == [])
     assert parse_page("<p>a</p><![foo[bar]]>", None)[4]
+
+
+def test_text_runs_are_kept_once_however_deep_the_blocks():
+    from trawl.operators.html import PageParser
+
+    p = PageParser()
+    p.feed("".join(f"<p>t{i}" for i in range(20_000)))
+    p.close()
+    p._flush()
+    assert len(p.runs) == 20_000 and len(p.spans) == 20_000  # a run and a span each, no copies
+    blocks = parse_page("<div><p>a<p>b</p>c</div><p><p>x", None)[0]
+    assert [b for b in blocks if b][-2:] == ["x", "x"] and "abc" in "".join(blocks)

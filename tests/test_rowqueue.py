@@ -6,7 +6,7 @@ import os
 from trawl.session import scratch_dir
 from trawl.sources import rowqueue
 from trawl.sources.rowqueue import _QueueReader, keyword_queue
-from trawl.streaming.intake import read_intake, run_intake
+from trawl.streaming.intake import batch_counters, read_intake, run_intake
 
 
 def _drop(folder, name, words, when):
@@ -66,7 +66,9 @@ def test_intake_pops_rows_and_goes_on_after_restarts(spark, tmp_path):
                                   "keyword string, pos long, url string")
     out = scratch_dir(spark, "queue-out")
     _drop(tmp_path, "kw_1.csv", ["zeytin", "elma", "  armut "], 1)
-    run_intake(spark, keyword_queue(spark, str(tmp_path), 2), seeds, out, drain=True)
+    q = run_intake(spark, keyword_queue(spark, str(tmp_path), 2), seeds, out, drain=True)
+    done = batch_counters(spark, q).orderBy("batch").collect()
+    assert [r.rows for r in done] == [2, 1] and all(r.seconds > 0 for r in done)
     _drop(tmp_path, "kw_0.csv", ["kiraz", "", "ayva"], 2)  # a smaller name, but later
     run_intake(spark, keyword_queue(spark, str(tmp_path), 2), seeds, out, drain=True)
     run_intake(spark, keyword_queue(spark, str(tmp_path), 2), seeds, out, drain=True)  # nothing new

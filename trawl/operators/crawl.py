@@ -40,6 +40,9 @@ from .keywords import order_key
 from .pages import followable
 
 SALT_BUCKETS = 64
+#: Budgets up to this are picked by salts (a task ranks at most SALT_BUCKETS times as many narrow rows),
+#: larger ones by ranges.
+SALTED_BUDGET = 10_000
 # Input bytes that one bucket of a page table should hold.
 BUCKET_BYTES = 128 << 20
 
@@ -185,6 +188,26 @@ def _unvisited(cand: DataFrame, visited: DataFrame | UrlSet | None) -> DataFrame
     return drop_visited(cand, visited)
 
 
+def ranked_per_group(df: DataFrame, group: str, order: list[str], allowance_col: str, exempt: str | None = None,
+                     ranges: int | None = None) -> DataFrame:
+    """As ``top_per_group``, for allowances of any size: no task holds a group.
+
+    Rows are written once, range-partitioned by ``(group, *order)``, so a hot group lies over many
+    ranges. A row's place is its place in its range plus the group's rows in earlier ranges (one row a
+    range and group), and rows up to the allowance stay. ``(group, *order)`` must be unique.
+    """
+    rows = df.withColumn("__ex", F.col(exempt) if exempt else F.lit(False))
+    ranged = rows.repartitionByRange(ranges, group, *order) if ranges else rows.repartitionByRange(group, *order)
+    ranged = cut(ranged.withColumn("__range", F.spark_partition_id()), "ranked-ranges")
+    counted = ranged.where(~F.col("__ex")).groupBy(group, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    lift = counted.select(group, "__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__lift"))
+    inside = Window.partitionBy(group, "__range", "__ex").orderBy(*order)
+    placed = (ranged.withColumn("__place", F.row_number().over(inside)).join(lift, [group, "__range"], "left")
+              .where(F.col("__ex") | (F.col("__place") + F.col("__lift") <= F.col(allowance_col))))
+    return placed.select(*df.columns)
+
+
 def _walk(spark: SparkSession, seeds: DataFrame, known: FetchedPages, visited: DataFrame | UrlSet | None, owners: DataFrame | None,
           each: bool, max_depth: int, budget: int | None, blacklist: bool) -> tuple[DataFrame, DataFrame | None]:
     """Level by level from ``seeds(keyword, seq, url)`` to ``(reached, blocked)``.
@@ -211,7 +234,8 @@ def _walk(spark: SparkSession, seeds: DataFrame, known: FetchedPages, visited: D
             level = (level.join(used, who, "left").withColumn("__allow", F.lit(budget) - F.coalesce("used", F.lit(0))).drop("used")
                      .withColumn("__free", ~F.col("fetched"))  # failed fetches cost nothing
                      .withColumn("__who", F.to_json(F.struct(*who))))
-            level = top_per_group(level, "__who", ["url"], "__allow", exempt="__free").drop("__allow", "__free", "__who")
+            pick = top_per_group if budget <= SALTED_BUDGET else ranked_per_group
+            level = pick(level, "__who", ["url"], "__allow", exempt="__free").drop("__allow", "__free", "__who")
         level = levels.add(level)
         known.add(level)
         reached = known.judge(levels.read())

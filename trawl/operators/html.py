@@ -96,7 +96,8 @@ class PageParser(HTMLParser):
         self.open_count: dict[str, int] = {}
         self.closed_void: list[str] = []
         self.run: list[str] = []
-        self.block_parts: list[list[str]] = []
+        self.runs: list[str] = []  # every text run once
+        self.spans: list[list[int]] = []  # per block its first run and the run after its last
         self.hrefs: list[str] = []
         self.results: list[str] = []
 
@@ -112,9 +113,7 @@ class PageParser(HTMLParser):
         s = s.strip()
         if not s:
             return
-        for node in self.stack:
-            if node.block >= 0:
-                self.block_parts[node.block].append(s)
+        self.runs.append(s)
 
     def handle_data(self, data):
         self.run.append(data)
@@ -150,8 +149,8 @@ class PageParser(HTMLParser):
         dropped = parent.dropped or tag in DROPPED_TAGS
         block = -1
         if tag in TEXT_TAGS and not dropped:
-            block = len(self.block_parts)
-            self.block_parts.append([])
+            block = len(self.spans)
+            self.spans.append([len(self.runs), -1])
         result_item = parent.result_item or (
             tag == RESULT_ITEM_TAG and RESULT_ITEM_CLASS in attr.get("class", "").split()
         )
@@ -172,6 +171,8 @@ class PageParser(HTMLParser):
         while len(self.stack) > 1:
             node = self.stack.pop()
             self.open_count[node.tag] -= 1
+            if node.block >= 0:
+                self.spans[node.block][1] = len(self.runs)
             if node.tag == tag:
                 break
 
@@ -194,8 +195,12 @@ class PageParser(HTMLParser):
     def finish(self):
         self.close()
         self._flush()
-        sep = self.separator
-        return [sep.join(parts) for parts in self.block_parts]
+        sep, runs, made = self.separator, self.runs, {}
+        for start, end in self.spans:
+            end = len(runs) if end < 0 else end  # still open at the page's end
+            if (start, end) not in made:
+                made[start, end] = sep.join(runs[start:end])
+        return [made[start, len(runs) if end < 0 else end] for start, end in self.spans]
 
 
 def parse_page(html_text: str | None, base_url: str | None, separator: str = "", want_results: bool = False):

@@ -72,11 +72,12 @@ def run_intake(spark: SparkSession, keywords: DataFrame, seeds_for: DataFrame, o
     run = _run_id(checkpoint)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        kw = clean_keywords(batch)
+        kw = clean_keywords(batch).persist()  # used twice; the source is read (and its rows counted) once
         seeds = seeds_for.select("keyword", "pos", "url").join(kw.select("keyword"), "keyword", "left_semi")
         rows = (kw.select("keyword", order_key(kw)).withColumn("kind", F.lit("keywords"))
                 .unionByName(seeds.withColumn("kind", F.lit("seeds")), allowMissingColumns=True))
         rows.write.mode("overwrite").partitionBy("kind").parquet(_batch_path(f"{out_root}/intake", run, batch_id))
+        kw.unpersist()
 
     return _start(keywords, per_batch, checkpoint, trigger_once, processing_time, drain)
 
@@ -135,3 +136,11 @@ def run_crawl_stream(spark: SparkSession, keywords: DataFrame, seeds: DataFrame,
         visited.add(res.reached.where("fetched"), run, batch_id)
 
     return _start(keywords, per_batch, checkpoint, trigger_once, processing_time, drain)
+
+
+def batch_counters(spark: SparkSession, query) -> DataFrame:
+    """A6/F15 for a stream: a row per batch of ``query`` with its rows and elapsed seconds, from the
+    progress that Spark keeps (``spark.sql.streaming.numRecentProgressUpdates``, 100 by default)."""
+    rows = [(p["batchId"], p["numInputRows"], p["durationMs"].get("triggerExecution", 0) / 1000) for p in query.recentProgress
+            if "addBatch" in p["durationMs"]]
+    return spark.createDataFrame(rows, "batch long, rows long, seconds double")
