@@ -149,3 +149,19 @@ def test_hot_key_is_not_one_task(spark, monkeypatch):
         kept = bytes(r.repeats.kept)
         got[r.doc_id] = (r.repeats.n_bytes, r.repeats.n_bytes - len(kept), len(r.repeats.spans), hashlib.sha256(kept).hexdigest())
     assert [got[i] for i in range(len(texts))] == brute(texts)
+
+
+def test_planted_passages_go_from_400_bytes_on(spark):
+    """A passage in three texts goes in full if it has 400 bytes, and stays if it has fewer."""
+    rnd = np.random.default_rng(11)
+
+    def words(n):
+        return "".join(chr(c) for c in rnd.integers(97, 123, n))
+
+    sizes = [300, 350, 399, 400, 401, 500, 1000, 2000]
+    planted = [words(n) for n in sizes]
+    rows = [(i * 3 + j, words(700) + "ABC"[j] + p + "XYZ"[j] + words(300)) for i, p in enumerate(planted) for j in range(3)]
+    rows.append((900, words(3000)))
+    out = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), keep=["doc_id"])
+    got = {r.doc_id: sum(s.end - s.start for s in r.repeats.spans) for r in out.collect()}
+    assert got == {900: 0, **{i * 3 + j: n if n >= 400 else 0 for i, n in enumerate(sizes) for j in range(3)}}

@@ -151,6 +151,7 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op1_suffix_search": decontaminate.ORACLE,
+    "op3_merged_bwt": suffix_dedup.ORACLE,
     "op6_deletion_lines": line_dedup.ORACLE,
     "op10_cross_polytope": embed_dedup.ORACLE,
     "op11_prefix_doubling": conversation_repair.ORACLE,

@@ -401,3 +401,21 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, name: str = "
                      f"`{parts[1]}` array<struct<start: int, end: int>>", f"`{parts[2]}` binary"])
     out = src.mapInArrow(_strip([*rest, *text, *parts], bool(text)), ddl)
     return out.select(*keep, F.struct(*(F.col(p).alias(c) for p, c in zip(parts, ("n_bytes", "spans", "kept")))).alias(name))
+
+
+#: DuckDB: every 400-byte string by its hash, starts of those that occur twice merged to runs.
+ORACLE = f"""
+with d as materialized (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as b from documents),
+w as (select r, b, unnest(range(0, octet_length(b) - {LENGTH - 1})) as s from d),
+h as materialized (select r, s, md5(b[s + 1:s + {LENGTH}]) as m from w),
+again as (select r, s from h where m in (select m from h group by m having count(*) > 1)),
+edge as (select r, s, case when s - lag(s) over (partition by r order by s) <= {LENGTH} then 0 else 1 end as fresh from again),
+run as (select r, s, sum(fresh) over (partition by r order by s) as k from edge),
+span as (select r, min(s) as a, max(s) + {LENGTH} as z from run group by r, k),
+gap as (select r, a, z, coalesce(lag(z) over (partition by r order by a), 0) as before from span),
+cutout as (select r, count(*) as n_spans, sum(z - a) as n_removed, max(z) as last from span group by r),
+lead_in as (select g.r, string_agg(hex(d.b[g.before + 1:g.a]), '' order by g.a) as x from gap g join d using (r) group by g.r)
+select d.doc_id, cast(octet_length(b) as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+       cast(coalesce(n_spans, 0) as bigint) as n_spans,
+       sha256(unhex(coalesce(x, '') || hex(b[coalesce(last, 0) + 1:octet_length(b)]))) as kept_sha256
+from d left join cutout using (r) left join lead_in using (r)"""
