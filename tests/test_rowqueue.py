@@ -75,3 +75,29 @@ def test_intake_pops_rows_and_goes_on_after_restarts(spark, tmp_path):
     kws = [r.keyword for r in read_intake(spark, out, "keywords").orderBy("seq").collect()]
     assert kws == ["zeytin", "elma", "armut", "kiraz", "ayva"]
     assert sorted(r.url for r in read_intake(spark, out, "seeds").collect()) == ["http://h/a", "http://h/e"]
+
+
+def test_runs_from_another_working_directory(tmp_path):
+    """Neither blocks nor the queue need the package on the workers' or the planner's path."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("words\nx\ny\nz\n")
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from trawl.session import local_session, scratch_dir
+from trawl.sources.files import read_keyword_csv
+from trawl.sources.rowqueue import keyword_queue
+from trawl.streaming.intake import read_intake, run_intake
+spark = local_session("2", 2)
+assert read_keyword_csv(spark, "in", block_bytes=4).count() == 3
+out = scratch_dir(spark, "o")
+none = spark.createDataFrame([], "keyword string, pos long, url string")
+run_intake(spark, keyword_queue(spark, {str(tmp_path / "in")!r}, 2), none, out, drain=True)
+assert [r.keyword for r in read_intake(spark, out, "keywords").orderBy("seq").collect()] == ["x", "y", "z"]
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=180)

@@ -12,12 +12,15 @@ holds none of them; tasks read the rows, up to ``ROWS_PER_TASK`` each.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from . import splits
 from .splits import STEP, _csv_ends, csv_rows, open_file
 
 ROWS_PER_TASK = 100_000
@@ -129,10 +132,15 @@ def keyword_queue(spark: SparkSession, path: str, rows_per_batch: int = 1, encod
     """Stream of ``keyword`` with its queue order ``seq`` = (time of the file, file, row),
     ``rows_per_batch`` rows a batch. Start it with a time trigger (``drain`` in ``streaming.intake``):
     ``availableNow`` fixes its end by one batch."""
-    from ..session import ship_package
-
-    ship_package(spark)
-    spark.dataSource.register(KeywordQueue)
+    # sent by value: the process that plans a source's batches doesn't get the package's files
+    mine = [sys.modules[__name__], splits]
+    for module in mine:
+        cloudpickle.register_pickle_by_value(module)
+    try:
+        spark.dataSource.register(KeywordQueue)
+    finally:
+        for module in mine:
+            cloudpickle.unregister_pickle_by_value(module)
     rows = (spark.readStream.format("keyword_queue").option("path", path).option("rowsPerBatch", rows_per_batch)
             .option("encoding", encoding).load())
     return rows.select("keyword", F.struct("mtime", "file", "row").alias("seq"))
