@@ -121,7 +121,7 @@ def test_repeated_rows_and_empty(spark):
 
 
 def test_hot_key_is_not_one_task(spark, monkeypatch):
-    """A passage in 60 texts, each with other surroundings: no merge gets a key with more than CHUNK segments."""
+    """A passage in 60 texts, each with other surroundings: no task merges a key with more than CHUNK segments."""
     limit, real = 8, S._merge
     monkeypatch.setattr(S, "CHUNK", limit)
 
@@ -165,3 +165,47 @@ def test_planted_passages_go_from_400_bytes_on(spark):
     out = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), keep=["doc_id"])
     got = {r.doc_id: sum(s.end - s.start for s in r.repeats.spans) for r in out.collect()}
     assert got == {900: 0, **{i * 3 + j: n if n >= 400 else 0 for i, n in enumerate(sizes) for j in range(3)}}
+
+
+def test_hot_key_merged_over_parts(spark):
+    """Names of intervals over many parts say what one sort says."""
+    rnd = np.random.default_rng(9)
+    stem = bytes(rnd.integers(97, 123, 420).astype(np.uint8))
+    rights = {stem}
+    for _ in range(150):  # texts that part from the stem anywhere, some at once after it
+        at = int(rnd.integers(200, 400))
+        rights.add(stem[:at] + bytes(rnd.integers(97, 99, int(rnd.integers(0, 400 - at + 1))).astype(np.uint8)).ljust(210 - at, b"a"))
+    rights = sorted(r for r in rights if len(r) >= 201)
+    rows = [(7, bytearray(r), 2 if i % 9 == 0 else 1) for i, r in enumerate(rights)] + [(8, bytearray(stem), 1)]
+    df = spark.createDataFrame(rows, "key long, right binary, total long").repartition(4)
+    for chunk in (1, 5, 1000):
+        got = {(r.key, bytes(r.right)): np.frombuffer(bytes(r.names), "<i8") for r in S.merged_intervals(df, chunk).collect()}
+        assert len(got) == len(rows)
+        for k, t in enumerate(S.DEPTHS.tolist()):
+            name, members = {}, {}
+            for r in rights:
+                if len(r) >= t:
+                    members.setdefault(r[:t], []).append(r)
+            for stem_, some in members.items():
+                names = {int(got[7, r][k]) for r in some}
+                assert len(names) == 1  # one interval, one name
+                if len(some) > 1:
+                    assert -1 not in names
+                for x in names - {-1}:
+                    assert name.setdefault(x, stem_) == stem_  # other interval, other name
+
+
+def test_passage_in_a_third_of_many_texts(spark, monkeypatch):
+    """A passage in a third of 1,500 texts, each with other surroundings: equal to brute force."""
+    monkeypatch.setattr(S, "CHUNK", 100)
+    rnd = np.random.default_rng(21)
+
+    def words(n):
+        return "".join(chr(c) for c in rnd.integers(97, 123, n))
+
+    passage = words(600)
+    texts = [words(120) + passage + words(230) if i % 3 == 0 else words(450) for i in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.repeats.n_bytes, r.repeats.n_bytes - len(r.repeats.kept), len(r.repeats.spans), hashlib.sha256(bytes(r.repeats.kept)).hexdigest())
+           for r in S.remove_repeats(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)

@@ -20,9 +20,12 @@ are first thinned without loss:
    split by the ``d`` bytes before the base; what holds two suffixes is repeated.
 
 A key with more than ``CHUNK`` different segments (a passage that many texts hold, each with
-other surroundings) is never one task's work: its strings, ``HALF`` or so a segment, leave as rows
-(place before the base, hash) that Spark counts over all tasks. So a merging task holds two chunks of
-segments at most.
+other surroundings) is never one task's work: its suffixes from the base on, each once, are dealt by
+ranges of their bytes, merged part by part, and a part's row keeps its order and common prefixes.
+What the last suffix of a part shares with the first of the next joins the intervals of neighbouring
+parts; only one list of interval names is carried along a key. Strings then leave as rows (interval,
+hash of the bytes before the base) that Spark counts over all tasks. So a merging task holds two
+chunks of segments at most.
 
 Texts are shuffled once to cut out the segments of step 3 and once to remove bytes, as zstandard
 frames.
@@ -39,6 +42,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,9 +52,11 @@ from .textbytes import fresh, mix64, shards, span_hash, unzip, with_uid, zip_tex
 LENGTH = 400
 GRAM = 16
 HALF = 200
-#: Segments that one merge works on (a key's segments stay together; a key with more is not merged),
-#: those of a shard, and the texts that a cutting task remembers.
+#: Segments that one merge works on (a key's segments stay together; a key with more is merged by
+#: parts), those of a shard, and the texts that a cutting task remembers.
 CHUNK, SHARD, RECENT = 20_000, 2048, 100_000
+#: Depths at which strings of a key can be equal from the base on; bits of a place in a part.
+DEPTHS, PLACE = np.arange(HALF + 1, LENGTH + 1), 21
 _C = np.uint64(0xD1342543DE82EF95)
 
 
@@ -294,21 +300,102 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(rows)
 
 
+def _range_parts(chunk: int):
+    """Right-hand strings (sorted by key and bytes) to a row a part of at most ``chunk`` of one key: the
+    strings in merged order, the common prefix of each with the one before it, and by depth the
+    place where the part's last interval begins."""
+    kinds = {"key": pa.int64(), "part": pa.int64(), "first": pa.binary(), "last": pa.binary(), "tail": pa.list_(pa.int32()),
+             "rights": pa.list_(pa.binary()), "totals": pa.list_(pa.int64()), "common": pa.list_(pa.int32())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() << 20
+
+        def flush(key: int, rights: list[bytes], totals: list[int]) -> pa.RecordBatch:
+            order, common = sorted_suffixes(rights)
+            rights, totals = [rights[i] for i in order], [totals[i] for i in order]
+            tail = [int(np.append(0, np.flatnonzero(common[1:] < t) + 1)[-1]) for t in DEPTHS]
+            row = (key, part, rights[0], rights[-1], tail, rights, totals, common.tolist())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds.values())], list(kinds))
+
+        now, rights, totals = None, [], []
+        for batch in batches:
+            for key, right, total in zip(*(c.to_pylist() for c in batch.columns)):
+                if rights and (key != now or len(rights) >= chunk):
+                    yield flush(now, rights, totals)
+                    part, rights, totals = part + 1, [], []
+                now = key
+                rights.append(right)
+                totals.append(total)
+        if rights:
+            yield flush(now, rights, totals)
+
+    return run
+
+
+def _carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts (sorted by key and part) to ``key, part, lead``: by depth the name of the interval that the
+    part's first string lies in, which earlier parts may have begun. A name is the place of the
+    interval's first string; the task holds one list of names."""
+    now, before, open_ = None, b"", None
+    for batch in batches:
+        leads = []
+        for key, part, first, last, tail in zip(*(c.to_pylist() for c in batch.columns)):
+            lead = np.full(len(DEPTHS), part << PLACE)
+            if key == now:
+                short = min(len(before), len(first))
+                differ = np.flatnonzero(np.frombuffer(before, np.uint8, short) != np.frombuffer(first, np.uint8, short))
+                lead = np.where(DEPTHS <= (differ[0] if len(differ) else short), open_, lead)
+            at = np.array(tail)
+            now, before, open_ = key, last, np.where(at > 0, (part << PLACE) + at, lead)
+            leads.append(lead.tolist())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(leads, pa.list_(pa.int64()))], ["key", "part", "lead"])
+
+
+def _interval_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts with their leads to ``key, right, names``: by depth the name of the string's interval,
+    -1 where it surely holds one string of one segment that occurs once."""
+    for batch in batches:
+        for key, part, lead, rights, totals, common in zip(*(c.to_pylist() for c in batch.columns)):
+            common, once, at = np.array(common), np.array(totals) == 1, np.arange(len(rights))
+            names = np.empty((len(rights), len(DEPTHS)), "<i8")
+            for k, t in enumerate(DEPTHS):
+                new = common < t
+                new[0] = True
+                start = np.maximum.accumulate(np.where(new, at, 0))
+                alone = new & np.append(new[1:], False) & once & (at > 0)  # the last may go on in the next part
+                names[:, k] = np.where(alone, -1, np.where(start > 0, (part << PLACE) + start, lead[k]))
+            for i in range(0, len(rights), 1024):
+                some = rights[i:i + 1024]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key] * len(some), pa.int64()), pa.array(some, pa.binary()),
+                     pa.array([row.tobytes() for row in names[i:i + 1024]], pa.binary())], ["key", "right", "names"])
+
+
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments to a row a string: its place before the base and its hash."""
+    """Segments with their intervals' names to a row a string that may repeat: its place before the
+    base, its interval, and the hash of the bytes between them."""
+    powers = np.cumprod(np.full(HALF + 1, _C))
     for batch in batches:
-        key, seg, n, left, starts = (batch.column(k).to_numpy() for k in range(5))
         for i in range(0, batch.num_rows, 1024):
-            data = batch.column(5).slice(i, 1024).to_pylist()
-            many = starts[i:i + 1024].astype(np.int64)
-            size = np.array([len(d) for d in data])
-            of = np.repeat(np.arange(len(many)), many)
-            at = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-            lo = at + (np.cumsum(size) - size)[of]
-            h = span_hash(np.frombuffer(b"".join(data), np.uint8), lo, lo + LENGTH)
+            cols = batch.slice(i, 1024)
+            key, seg, n, left, starts = (cols.column(k).to_numpy() for k in range(5))
+            of, ds, intervals, hashes = [], [], [], []
+            for r, (data, raw) in enumerate(zip(cols.column(5).to_pylist(), cols.column(6).to_pylist())):
+                names = np.frombuffer(raw, "<i8")
+                d = np.arange(max(left[r] - starts[r] + 1, 0), left[r] + 1)
+                name = names[LENGTH - d - DEPTHS[0]]
+                d, name = d[name >= 0], name[name >= 0]
+                back = np.frombuffer(data, np.uint8)[::-1].astype(np.uint64)
+                h = np.append(np.uint64(0), np.cumsum(mix64(back + _C) * powers[1:len(back) + 1]))
+                of.append(np.full(len(d), r))
+                ds.append(d)
+                intervals.append(name)
+                hashes.append(h[d])
+            of = np.concatenate(of)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[i:i + 1024][of]), pa.array((left[i:i + 1024][of] - at).astype(np.int32)), pa.array(h.view(np.int64)),
-                 pa.array(seg[i:i + 1024][of]), pa.array(n[i:i + 1024][of])], ["key", "d", "hash", "seg", "n"])
+                [pa.array(key[of]), pa.array(np.concatenate(ds), pa.int32()), pa.array(np.concatenate(intervals), pa.int64()),
+                 pa.array(np.concatenate(hashes).view(np.int64)), pa.array(seg[of]), pa.array(n[of])],
+                ["key", "d", "interval", "hash", "seg", "n"])
 
 
 def _found_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,14 +405,37 @@ def _found_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _ranges(starts)], ["key", "seg", "runs"])
 
 
-def hot_repeats(cut_out: DataFrame) -> DataFrame:
-    """Segments of keys with too many for a merge to ``key, seg, runs``: equal strings of a key
-    stand at one place before the base, so they are counted by key, place and hash."""
-    strings = cut(cut_out.mapInArrow(_strings, "key long, d int, hash long, seg long, n long"), "hot_strings")
+def merged_intervals(rights: DataFrame, chunk: int) -> DataFrame:
+    """Different strings ``key, right, total`` of any number a key to ``key, right, names``.
+
+    The strings are dealt by ranges of their bytes, a part's shard transforms are merged as in one
+    task, and neighbouring parts are joined by what the last string of one shares with the first of
+    the next, carried along the key's parts."""
+    parts = max(1, ceil(2 * rights.count() / chunk))
+    merged = cut(rights.repartitionByRange(parts, "key", "right").sortWithinPartitions("key", "right").select("key", "right", "total")
+                 .mapInArrow(_range_parts(chunk), "key long, part long, first binary, last binary, tail array<int>, "
+                             "rights array<binary>, totals array<long>, common array<int>"), "hot_parts")
+    lead = (merged.select("key", "part", "first", "last", "tail").repartition("key").sortWithinPartitions("key", "part")
+            .mapInArrow(_carry, "key long, part long, lead array<long>"))
+    return (merged.join(lead, ["key", "part"]).select("key", "part", "lead", "rights", "totals", "common")
+            .mapInArrow(_interval_names, "key long, right binary, names binary"))
+
+
+def hot_repeats(cut_out: DataFrame, chunk: int) -> DataFrame:
+    """Segments of keys with too many for one task to ``key, seg, runs``: their right-hand strings,
+    each once, are merged over tasks; strings that start ``d`` before the base are equal if they share
+    the interval of depth ``LENGTH - d`` and the ``d`` bytes before the base."""
+    segs = cut(cut_out.select("key", "seg", "n", "left", "starts", F.expr("substring(data, 1, left)").alias("before"),
+                              F.expr("substring(data, left + 1)").alias("right")), "hot_segments")
+    rights = cut(segs.groupBy("key", "right").agg(F.sum("n").alias("total")), "hot_rights")
+    named = cut(merged_intervals(rights, chunk), "hot_intervals")
+    strings = cut(segs.join(named, ["key", "right"]).select("key", "seg", "n", "left", "starts", "before", "names")
+                  .mapInArrow(_strings, "key long, d int, interval long, hash long, seg long, n long"), "hot_strings")
+    same = ["key", "d", "interval", "hash"]
     # repeated rows can bring a segment twice, so rows are not counted
-    again = (strings.groupBy("key", "d", "hash").agg(F.max("n").alias("n"), F.min("seg").alias("a"), F.max("seg").alias("b"))
-             .where("n > 1 or a <> b").select("key", "d", "hash"))
-    return (strings.join(again, ["key", "d", "hash"]).groupBy("key", "seg").agg(F.collect_set("d").alias("ds"))
+    again = cut(strings.groupBy(*same).agg(F.max("n").alias("n"), F.min("seg").alias("a"), F.max("seg").alias("b"))
+                .where("n > 1 or a <> b").select(*same), "hot_again")
+    return (strings.join(again, same).groupBy("key", "seg").agg(F.collect_set("d").alias("ds"))
             .mapInArrow(_found_ranges, "key long, seg long, runs array<struct<a: int, b: int>>"))
 
 
@@ -351,7 +461,7 @@ def repeated_spans(docs: DataFrame, uid: str) -> DataFrame:
     found = (segment_bytes("not hot").repartition(parts, "key").sortWithinPartitions("key")
              .mapInArrow(_merge, "key long, seg long, runs array<struct<a: int, b: int>>").where(F.size("runs") > 0))
     if hot:
-        found = found.union(hot_repeats(segment_bytes("hot")))
+        found = found.union(hot_repeats(segment_bytes("hot"), CHUNK))
     gone = cut(found.union(alike), "segments_repeated")
     hit = places.join(gone, ["key", "seg"]).select("uid", F.explode(F.transform("runs", lambda r: F.struct(
         (r["a"] + F.col("base")).alias("start"), (r["b"] + F.col("base") + LENGTH).alias("end")))).alias("span"))
