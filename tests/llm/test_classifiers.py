@@ -187,3 +187,23 @@ def test_ordinal_edges(spark):
     assert len(out) == 10 and all(len(r.quality.tails) == 2 for r in out)
     assert all(r.quality.tails == [] for r in ordinal.grade(docs, ratings.limit(0)).collect())
     assert ordinal.grade(docs.limit(0), ratings).count() == 0
+
+
+def test_sampled_texts_keep_their_own_label(spark):
+    """An id that repeats gives one row a label, with a text of that label; equal whatever the row order."""
+    rows = [(1, "the cat sat", "en"), (1, "le chat dort", "fr"), (1, "the dog ran", "en"), (2, "un chien", "fr"), (None, "x", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    chosen = docs.where("doc_id is not null").select("doc_id", "lang").distinct()
+    got = [sorted(map(tuple, linear.sample_texts(d, chosen, ("doc_id", "lang")).select("doc_id", "lang", "text").collect()))
+           for d in (docs, docs.orderBy("text").repartition(3))]
+    assert got[0] == got[1] and [r[:2] for r in got[0]] == [(1, "en"), (1, "fr"), (2, "fr")]
+    assert all((i, t, v) in rows for i, v, t in got[0])
+    assert linear.sample_texts(docs, spark.createDataFrame([(1, 1)], "doc_id long, y int")).count() == 1
+
+
+def test_trigram_sample_equals_whole_column(spark):
+    texts = ["", None, "ab", "abcabc", "Zürich " * 5000, "ABCabc é"]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    table = linear.trigram_sample(docs).orderBy("doc_id").toArrow()
+    x, want = linear.trigrams_of(table), linear.trigram_rows(pa.array(texts, pa.string()))
+    assert x.ptr.tolist() == want.ptr.tolist() and x.idx.tolist() == want.idx.tolist() and np.allclose(x.val, want.val)

@@ -11,7 +11,8 @@ window; the others can't hold a window, so nothing is lost.
 
 The documents are never shuffled. Test items go to the tasks in blocks of at most
 ``BLOCK_BYTES`` text (one longer item is a block of its own); each further block is one more
-narrow pass over the same rows, so what is broadcast is bounded however many items there are.
+narrow pass over the same rows, whose matches so far are written first: one block's index is live at
+a time, however many items there are.
 
 Defined results: null or word-less text has no words and no match; an item without words or
 with a null id is left out; an item shorter than the window is one window of its own length;
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import cut, ship_package
 from .textbytes import LOWER, LOWER_NP, column_bytes, fresh, mix64, shards, span_hash, text_words, word_spans
 
 WINDOW = 10
@@ -210,7 +211,11 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
     out = docs.select("text", *rest)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + f", `{result}` {RESULT_DDL}"
     names = [*out.columns, result]
+    sent = None
     for i, block in enumerate(blocks(benchmark, block_bytes)):
+        if i:  # the index of one block is live at a time
+            out = cut(out, "matches")
+            sent.unpersist()
         sent = sc.broadcast(Tests(block, window))
         out = out.mapInArrow(_named(sent, i > 0, names), ddl)
     return out.select(*docs.columns, result)

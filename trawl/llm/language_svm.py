@@ -5,7 +5,9 @@ one-versus-one support vector machines between the languages of that family. Fea
 shares of hashed byte trigrams of the whole text, so classifying is a mean of looked-up weights
 per text: no shuffle, and only the fixed-size weights are broadcast.
 
-The fit uses at most ``PER_LANGUAGE`` labelled texts of each language (the same ones each run).
+The fit uses at most ``PER_LANGUAGE`` labelled texts of each language (the same ones each run), as
+trigram shares made in many tasks. A doc_id that repeats counts once a language, by the text of least
+hash, and never lends its text to another row's language.
 
 Defined results: a null text or one without letters is ``und`` with score 0; without any labelled
 text everything is ``und``; a single learned language is predicted for all other texts; ties go
@@ -24,7 +26,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .linear import TRIGRAM_BITS, fit_in_task, fit_svm, fresh, sample_texts, score_texts, sigmoid, trigram_rows, trigram_scores
+from .linear import (
+    TRIGRAM_BITS,
+    fit_in_task,
+    fit_svm,
+    fresh,
+    sample_texts,
+    score_texts,
+    sigmoid,
+    trigram_sample,
+    trigram_scores,
+    trigrams_of,
+)
 
 PER_LANGUAGE = 1500
 UNKNOWN = "und"
@@ -45,9 +58,9 @@ def family(lang: str) -> str:
 
 
 def train(table: pa.Table) -> bytes:
-    """Sample (text, lang) to packed weights: family machines, then the pairs in each family."""
+    """Sample (lang, trigram shares) to packed weights: family machines, then the pairs in each family."""
     langs = np.array(table.column("lang").to_pylist(), object)
-    x = trigram_rows(table.column("text").combine_chunks())
+    x = trigrams_of(table)
     names = sorted(set(langs))
     fams = sorted({family(v) for v in names})
     of = np.array([family(v) for v in langs], object)
@@ -123,11 +136,11 @@ def identify(docs: DataFrame, labelled: DataFrame, learn: Column | None = None,
     # a bounded number of rows of each language: first a cut by hash in every task, then the rank
     order = F.xxhash64(F.col("doc_id").cast("string"), "lang")
     counts = known.groupBy("lang").count()
-    some = known.select("doc_id", "lang").join(counts, "lang")
+    some = known.select("doc_id", "lang").join(F.broadcast(counts), "lang")  # a row a language, as the model has
     some = some.where(F.pmod(order, F.lit(1 << 20)) <= F.lit(float(1 << 20)) * per_language * 1.5 / F.col("count") + 64)
     ranked = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id")))
     chosen = ranked.where(F.col("k") <= per_language).select("doc_id", "lang").distinct()
-    raw = fit_in_task(sample_texts(labelled.select("doc_id", "text"), chosen), train)
+    raw = fit_in_task(trigram_sample(sample_texts(known, chosen, ("doc_id", "lang"))), train)
     name = fresh(docs, name)
     struct = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
     if raw is None:

@@ -319,9 +319,35 @@ def bounded(rows: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
     return rows.orderBy(F.xxhash64(F.col(key).cast("string")), *rows.columns).limit(limit)
 
 
-def sample_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``text`` of the chosen doc ids (a bounded table, so it may be broadcast) with its columns."""
-    d = fresh(chosen, "_doc")
-    small = chosen.withColumnRenamed("doc_id", d)
-    return (docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(small), F.col("doc_id") == F.col(d))
-            .drop(d))
+def sample_texts(docs: DataFrame, chosen: DataFrame, on: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``text`` of the chosen rows (a bounded table, so it may be broadcast) with its columns: one row
+    each, so of several texts that share the columns ``on`` the one of least hash counts."""
+    found = docs.select(*on, "text").join(F.broadcast(chosen), list(on))
+    return found.groupBy(*chosen.columns).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
+def trigram_sample(sample: DataFrame) -> DataFrame:
+    """``sample`` with its texts turned to trigram shares (``ids``, ``shares``) in the tasks that hold
+    them: a row has ``2**TRIGRAM_BITS`` entries at most, however long its text."""
+    rest = [c for c in sample.columns if c != "text"]
+    src = sample.select("text", *rest)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "text") + ", ids array<int>, shares array<float>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                x = trigram_rows(part.column(0))
+                ptr = pa.array(x.ptr.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.ListArray.from_arrays(ptr, pa.array(x.idx.astype(np.int32))),
+                                                  pa.ListArray.from_arrays(ptr, pa.array(x.val.astype(np.float32)))], [*rest, "ids", "shares"])
+        release()
+
+    ship_package(sample.sparkSession)
+    return src.mapInArrow(run, ddl)
+
+
+def trigrams_of(table: pa.Table) -> Rows:
+    """The sparse rows of a table that ``trigram_sample`` made."""
+    ids, shares = (table.column(c).combine_chunks() for c in ("ids", "shares"))
+    return Rows(np.append(0, np.cumsum(ids.value_lengths().to_numpy())), ids.flatten().to_numpy(), shares.flatten().to_numpy())

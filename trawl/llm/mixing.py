@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .linear import TRIGRAM_BITS, bounded, fit_in_task, fit_softmax, fresh, sample_texts, score_texts, softmax, trigram_rows, trigram_scores
+from .linear import TRIGRAM_BITS, bounded, fit_in_task, fit_softmax, fresh, sample_texts, score_texts, softmax, trigram_sample, trigram_scores, trigrams_of
 from .textbytes import LOWER_NP, word_spans
 
 #: Labelled rows that the domain classifier is fitted on, at most.
@@ -50,11 +50,11 @@ log = logging.getLogger(__name__)
 
 
 def train(table: pa.Table) -> bytes:
-    """Sample (text, domain) to a packed classifier."""
+    """Sample (domain, trigram shares) to a packed classifier."""
     domain = np.array(table.column("domain").to_pylist(), object)
     names = sorted(set(domain))
     y = np.array([names.index(d) for d in domain])
-    w, b = fit_softmax(trigram_rows(table.column("text").combine_chunks()), y, len(names), 1 << TRIGRAM_BITS, l2=1e-5)
+    w, b = fit_softmax(trigrams_of(table), y, len(names), 1 << TRIGRAM_BITS, l2=1e-5)
     out = io.BytesIO()
     np.savez(out, w=w, b=b, names=np.frombuffer(json.dumps(names).encode(), np.uint8))
     return out.getvalue()
@@ -147,7 +147,7 @@ def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], sample:
     name = fresh(docs, name)
     known = (domains.where("doc_id is not null and domain is not null")
              .groupBy("doc_id").agg(F.min("domain").alias("domain")))
-    raw = fit_in_task(sample_texts(docs, bounded(known, sample)), train)
+    raw = fit_in_task(trigram_sample(sample_texts(docs, bounded(known, sample))), train)
     if raw is None:
         n = F.lit(0).cast("long")
         return docs.select(*keep, F.struct(n.alias("n_tokens"), F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate")).alias(name))

@@ -52,6 +52,8 @@ REPLICA_BYTES = 12
 #: Fingerprints in a block of a hot anchor; one fingerprint in ``SAMPLE`` tells which anchors are hot.
 SPLIT = 8192
 SAMPLE = 64
+#: Anchors there are, and by how much one must pass the mean to be hot: so 1 in ``ABOVE`` at most is.
+ANCHORS, ABOVE = 3 << 24, 64
 #: Copies of hot replicas that a packing task expands at a time.
 EXPAND = 1 << 21
 #: Fixed value: generator polynomial of the binary Golay code.
@@ -171,7 +173,9 @@ def _count_anchors(max_bits: int, rows: int = 8192):
 
 
 def hot_anchors(distinct: DataFrame, n: int, max_bits: int, split: int, sample: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The hot anchors in order, the blocks of each, and the replicas that dealing adds."""
+    """The hot anchors in order, the blocks of each, and the replicas that dealing adds. Anchors over
+    ``split`` are hot; ``packed_replicas`` sets it so that they are 1 in ``ABOVE`` of all codes at most
+    (some 800,000 numbers, 13 MB)."""
     none = np.zeros(0, np.int64)
     if n <= split:
         return none, none, 0
@@ -310,7 +314,8 @@ def packed_replicas(distinct: DataFrame, n: int, max_bits: int = 4) -> tuple[Dat
     per_row = 200 if max_bits > 2 else 40
     rows = 8192
     low = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    anchor, blocks, copies = hot_anchors(distinct, n, max_bits, SPLIT, SAMPLE)
+    split = max(SPLIT, ceil(ABOVE * n * per_row / ANCHORS))  # what is broadcast has a bound at every size
+    anchor, blocks, copies = hot_anchors(distinct, n, max_bits, split, SAMPLE)
     buckets = max(low, ceil(n * per_row * REPLICA_BYTES / BUCKET_BYTES))
     hot = spark.sparkContext.broadcast((anchor, blocks)) if len(anchor) else None
     parts = max(spark.sparkContext.defaultParallelism, ceil(n / (8 * rows)))
