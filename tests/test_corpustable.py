@@ -1,11 +1,15 @@
 """Appends are all or nothing, and two writers never fill a shard twice."""
 
+import csv
+import tempfile
+
 import pytest
 from pyspark.sql import functions as F
 
 from trawl.session import scratch_dir
 from trawl.sources import manifest
 from trawl.sources.corpustable import CorpusTable
+from trawl.sources.files import read_flat_corpus
 
 
 def _rows(spark, n, tag):
@@ -67,3 +71,26 @@ def test_an_empty_append_changes_no_shard(spark):
     before = table.state()
     table.append(_rows(spark, 3, "a").where("i < 0"), ["i"])
     assert table.state() == before and table.rows().count() == 3
+
+
+def test_flat_files_are_adopted_and_continued(spark):
+    d = tempfile.mkdtemp(prefix="trawl-adopt-")
+    for n in (1, 2, 10):
+        with open(f"{d}/corpus_{n}.csv", "w", newline="", encoding="utf-8") as f:
+            csv.writer(f).writerows([["keyword", "url", "text"], *[["k", f"u{n}-{i}", 'a "b",\n' * 3] for i in range(3)]])
+    open(f"{d}/corpus_x.csv", "w").write("keyword,url,text\nk,u,t\n")
+    whole, small = (sorted(map(tuple, read_flat_corpus(spark, d, b).select("shard", "url", "text", "row_pos").collect()), key=str) for b in (1 << 20, 16))
+    assert [r[:3] for r in whole] == [r[:3] for r in small] and len(whole) == 10
+    by_place = [r[1] for r in sorted((r for r in small if r[0] == 10), key=lambda r: r[3])]
+    assert by_place == ["u10-0", "u10-1", "u10-2"]
+    row = len('k,u10-0,"' + 'a ""b"",\n' * 3 + '"') + 2
+    table = CorpusTable(spark, scratch_dir(spark, "adopted"), limit_bytes=4 * row)
+    assert table.adopt(d) == (10, 3 * row)
+    rows = spark.createDataFrame([(i, "k", f"u11-{i}", 'a "b",\n' * 3) for i in range(3)], "i int, keyword string, url string, text string")
+    table.append(rows, ["i"])
+    table.append(rows, ["i"])
+    got = {s: n for s, n in table.rows().groupBy("shard").count().collect()}
+    assert got == {1: 3, 2: 3, 10: 4, 11: 4, 12: 1}
+    assert table.rows().where("shard = 10").orderBy("file_name", "row_pos").collect()[-1].url == "u11-0"
+    with pytest.raises(ValueError):
+        table.adopt(d)

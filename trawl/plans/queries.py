@@ -759,14 +759,17 @@ def q_corpus_shards(spark, sf_dir):
     return IO.read_corpus(spark, _write_shards(spark, sf_dir)).select("shard", "keyword", "url", "text")
 
 
-@query("corpus_append", paragraphs_sql() + f""",
+_APPENDED_SQL = paragraphs_sql() + f""",
 cr as (select {FX.HOST_SQL} as keyword, url, page_id, para_idx, text, page_id % 2 as part from para),
 sz as (select *, strlen({_csv_field_sql('keyword')}) + strlen({_csv_field_sql('url')}) + strlen({_csv_field_sql('text')}) + 4 as b from cr),
 rn as (select *, coalesce(sum(b) over (partition by part order by page_id, para_idx rows between unbounded preceding and 1 preceding), 0) before from sz),
 one as (select *, cast(floor(before / {SHARD_TEST_BYTES}) + 1 as integer) as shard from rn where part = 0),
 st as (select coalesce(max(shard), 1) last, coalesce(sum(b) filter (where shard = (select max(shard) from one)), 0) have from one),
 two as (select rn.*, cast(floor((before + st.have) / {SHARD_TEST_BYTES}) + st.last as integer) as shard from rn, st where part = 1)
-select shard, keyword, url, text from one union all select shard, keyword, url, text from two""")
+select shard, keyword, url, text from one union all select shard, keyword, url, text from two"""
+
+
+@query("corpus_append", _APPENDED_SQL)
 def q_corpus_append(spark, sf_dir):
     """K3 over two runs: odd pages are appended to the corpus of the even ones; the last shard
     is filled up before the next one starts. An append is one commit."""
@@ -779,6 +782,36 @@ def q_corpus_append(spark, sf_dir):
     return corpus.rows().select("shard", "keyword", "url", "text")
 
 
+@query("corpus_flat", _APPENDED_SQL)
+def q_corpus_flat(spark, sf_dir):
+    """K3 + S4 on a flat folder: the even pages' corpus lies in ``corpus_<n>.csv`` files, the corpus
+    table adopts them, and the odd pages are appended from where they end."""
+    from ..operators.corpus import assign_shards
+    from ..sources.corpustable import CorpusTable
+
+    rows = PG.paragraph_rows(_analyzed(spark, sf_dir), keys=["page_id"]).withColumn("keyword", U.url_netloc("url"))
+    flat = _flat_files(spark, assign_shards(rows.where("page_id % 2 = 0"), ["page_id", "para_idx"], SHARD_TEST_BYTES))
+    corpus = CorpusTable(spark, _scratch(spark, "corpus-flat"), SHARD_TEST_BYTES)
+    corpus.adopt(flat)
+    corpus.append(rows.where("page_id % 2 = 1"), ["page_id", "para_idx"])
+    return corpus.rows().select("shard", "keyword", "url", "text")
+
+
+def _flat_files(spark, sharded):
+    """The query's input: a folder of flat files, one a shard, in the pages' order."""
+    from ..sources import files as IO
+
+    path, flat = _scratch(spark, "sharded"), _scratch(spark, "flat")
+    IO.write_corpus_shards(sharded.repartition("shard").sortWithinPartitions("shard", "page_id", "para_idx"), path)
+    file = spark._jvm.org.apache.hadoop.fs.Path
+    fs = file(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(file(flat))
+    for part in fs.globStatus(file(f"{path}/shard=*/*.csv")):
+        n = part.getPath().getParent().getName().removeprefix("shard=")
+        fs.rename(part.getPath(), file(f"{flat}/corpus_{n}.csv"))
+    return flat
+
+
 @query("corpus_counters", paragraphs_sql() + f"""
 , pc as (select page_id, count(*) n_paras, sum(length(text)) n_chars from para group by page_id),
  ap as (select p.page_id % 2 + 1 as append, n_paras, n_chars from pages p left join pc using (page_id)),

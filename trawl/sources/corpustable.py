@@ -4,7 +4,10 @@ An append writes its rows into a folder of its own and then publishes a manifest
 the live folders, the last shard and its bytes, and what the writing pass counted. Until then nothing of
 it is seen, so a writer that stops half-way leaves the corpus as it was. The manifest is published only
 if the version that the shards were counted from is still the last one; otherwise another writer came
-first, and the rows, which are written already, are given their shards anew from its state.
+came first, and the rows, which are written already, are given their shards anew from its state.
+
+A corpus may begin with a folder of flat ``corpus_<n>.csv`` files (``adopt``): they stay where they are,
+are read as shards, and the first append goes on where they end.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 from ..operators.corpus import BYTES_PER_CHAR, SHARD_BYTES, assign_shards, csv_row_bytes
 from ..session import cut
 from . import manifest
-from .files import PY_CSV_READ, write_corpus_shards
+from .files import PY_CSV_READ, read_flat_corpus, write_corpus_shards
 
 COLUMNS = ["keyword", "url", "text"]
 SCHEMA = "keyword string, url string, text string, append string, shard int"
@@ -45,15 +48,34 @@ class CorpusTable:
         live = manifest.read(self.spark, self.root)[1]
         return live.get("shard", 1), live.get("bytes", 0)
 
+    def adopt(self, folder: str) -> tuple[int, int]:
+        """Begin the corpus with the flat files of ``folder``; the new state. The file of the highest
+        number is filled up first (row bytes, without headers); lower ones are not gone back to."""
+        version, live = manifest.read(self.spark, self.root)
+        if live:
+            raise ValueError(f"{self.root}: the corpus has begun")
+        flat = read_flat_corpus(self.spark, folder)
+        sizes = flat.where("shard is not null").groupBy("shard").agg(F.sum(csv_row_bytes(COLUMNS)).alias("bytes"))
+        last = sizes.agg(F.max(F.struct("shard", "bytes")).alias("m")).first()["m"]
+        state = (int(last["shard"]), int(last["bytes"])) if last else (1, 0)
+        manifest.publish(self.spark, self.root, version, {"appends": [], "shard": state[0], "bytes": state[1], "flat": folder})
+        return state
+
     def rows(self) -> DataFrame:
-        """``(keyword, url, text, shard, file_name, row_pos)`` of all published appends; ``file_name``
-        orders shards by name and, inside a shard, appends as they were published."""
-        df = self._read([a["name"] for a in manifest.read(self.spark, self.root)[1].get("appends", [])])
+        """``(keyword, url, text, shard, file_name, row_pos)`` of the adopted files and all published
+        appends; ``file_name`` orders shards by name and, inside a shard, the adopted file and then
+        appends as they were published."""
+        live = manifest.read(self.spark, self.root)[1]
+        df = self._read([a["name"] for a in live.get("appends", [])])
         last = F.element_at(F.split("path", "/"), -1)
         path = F.input_file_name().alias("path")
         named = df.select(*COLUMNS, "append", "shard", path, F.monotonically_increasing_id().alias("row_pos"))
-        return named.select("keyword", "url", F.coalesce("text", F.lit("")).alias("text"), "shard",
-                            F.concat(F.lit("shard="), "shard", F.lit("/"), "append", F.lit("/"), last).alias("file_name"), "row_pos")
+        out = named.select("keyword", "url", F.coalesce("text", F.lit("")).alias("text"), "shard",
+                           F.concat(F.lit("shard="), "shard", F.lit("/"), "append", F.lit("/"), last).alias("file_name"), "row_pos")
+        if "flat" not in live:
+            return out
+        flat = read_flat_corpus(self.spark, live["flat"]).where("shard is not null")
+        return flat.withColumn("file_name", F.concat(F.lit("shard="), "shard", F.lit("/"))).unionByName(out)
 
     def append(self, rows: DataFrame, order: list[str], counters: Observation | None = None) -> dict:
         """Append ``rows`` (``keyword, url, text`` and the unique ``order`` columns): K3, one commit.
@@ -77,7 +99,7 @@ class CorpusTable:
             appends = live.get("appends", [])
             try:
                 manifest.publish(self.spark, self.root, version, {
-                    "appends": [*appends, entry], "shard": shard, "bytes": have})
+                    **live, "appends": [*appends, entry], "shard": shard, "bytes": have})
                 return entry
             except manifest.VersionTaken:
                 if attempt == ATTEMPTS - 1:

@@ -60,15 +60,15 @@ def write_corpus_shards(rows: DataFrame, path: str, mode: str = "append") -> Non
      .partitionBy("shard").options(**PY_CSV_WRITE).csv(path))
 
 
-def read_flat_corpus(spark: SparkSession, path: str) -> DataFrame:
+def read_flat_corpus(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A folder of flat ``corpus_<n>.csv`` files, with the columns of ``read_corpus``
-    (``shard`` = n)."""
-    df = (spark.read.options(**PY_CSV_READ).option("pathGlobFilter", "corpus_*.csv")
-          .schema("keyword string, url string, text string").csv(path))
-    name = F.col("_metadata.file_path")
-    return df.select("keyword", "url", F.coalesce("text", F.lit("")).alias("text"),
-                     F.regexp_extract(name, "corpus_([0-9]+)[.]csv$", 1).try_cast("int").alias("shard"),
-                     name.alias("file_name"), F.monotonically_increasing_id().alias("row_pos"))
+    (``shard`` = n; columns by position), a large file by many tasks. ``row_pos`` orders rows inside a
+    file: a block's first byte plus the row's number in the block, which stays under the next block's."""
+    df = read_csv(spark, f"{path.rstrip('/')}/corpus_*.csv", block_bytes=block_bytes)
+    keyword, url, text = (F.col(f"`{c}`") for c in df.columns[3:6])
+    return df.select(keyword.alias("keyword"), url.alias("url"), F.coalesce(text, F.lit("")).alias("text"),
+                     F.regexp_extract("file", "corpus_([0-9]+)[.]csv$", 1).try_cast("int").alias("shard"),
+                     F.col("file").alias("file_name"), (F.col("start") + F.col("row")).alias("row_pos"))
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
