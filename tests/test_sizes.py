@@ -1,11 +1,16 @@
 """What a task or a write makes stays bounded: pieces of batches, files of shards, tasks of small files."""
 
+import glob
 
 import numpy as np
 import pyarrow as pa
 
 from trawl.functions.batches import pieces
 from trawl.operators import langid as LID
+from trawl.operators.corpus import assign_shards
+from trawl.sources import files as IO
+from trawl.sources import splits
+from trawl.sources.corpustable import CorpusTable
 
 
 def test_pieces_are_bounded_and_whole():
@@ -92,3 +97,41 @@ def test_scoring_takes_a_piece_at_a_time(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([f" {r[1]}" for r in rows])], ["i", "t"])
     got = {i: v for b in LID._scores(Sent, "i", "pred_lang", "score")(iter([batch])) for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
     assert got == want and max(seen) <= 1 << 20 and len(seen) > 1
+
+
+def _rows(spark, n):
+    return spark.range(n).selectExpr("id i", "'k' keyword", "concat('http://h/', id) url", "repeat('word ', 20) text")
+
+
+def test_a_shard_is_one_file(spark, tmp_path):
+    out = assign_shards(_rows(spark, 2000), ["i"], limit_bytes=4000)
+    IO.write_corpus_shards(IO.by_shard(out, ["i"]), f"{tmp_path}/c")
+    back = IO.read_corpus(spark, f"{tmp_path}/c")
+    shards = back.select("shard").distinct().count()
+    assert shards > 50 and len(glob.glob(f"{tmp_path}/c/shard=*/*.csv")) == shards
+    assert back.count() == 2000
+
+
+def test_an_append_writes_a_shard_as_one_file(spark, tmp_path):
+    corpus = CorpusTable(spark, f"{tmp_path}/c", 4000)
+    corpus.append(_rows(spark, 2000), ["i"])
+    shards = corpus.rows().select("shard").distinct().count()
+    assert shards > 50 and len(glob.glob(f"{tmp_path}/c/data/append=*/shard=*/*.csv")) == shards
+    assert corpus.state()[0] == corpus.rows().agg({"shard": "max"}).first()[0]
+
+
+def test_adoption_passes_over_files_without_rows(spark, tmp_path):
+    for name, body in (("2", "keyword,url,text\r\nk,u,t\r\n"), ("10", "keyword,url,text\r\nk,u,tt\r\n"), ("11", "keyword,url,text\r\n")):
+        (tmp_path / f"corpus_{name}.csv").write_text(body, newline="")
+    assert CorpusTable(spark, f"{tmp_path}/t", 1000).adopt(str(tmp_path)) == (10, 8)
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for n in range(60):
+        (tmp_path / f"f{n}.csv").write_text("a\r\n" + f"{n}\r\n" * 3, newline="")
+    df = splits.read_csv(spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() < 5
+    assert sorted(int(r.a) for r in df.collect()) == sorted([*range(60)] * 3)
+    (tmp_path / "large").mkdir()
+    (tmp_path / "large" / "f.csv").write_text("a\r\n" + "x\r\n" * 1000, newline="")
+    assert splits.read_csv(spark, f"{tmp_path}/large", block_bytes=512).rdd.getNumPartitions() == 6

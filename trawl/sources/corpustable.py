@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..operators.corpus import BYTES_PER_CHAR, SHARD_BYTES, assign_shards, csv_row_bytes
 from ..session import cut
 from . import manifest
-from .files import PY_CSV_READ, read_flat_corpus, write_corpus_shards
+from .files import PY_CSV_READ, by_shard, flat_shards, read_flat_corpus, write_corpus_shards
 
 COLUMNS = ["keyword", "url", "text"]
 SCHEMA = "keyword string, url string, text string, append string, shard int"
@@ -54,10 +54,16 @@ class CorpusTable:
         version, live = manifest.read(self.spark, self.root)
         if live:
             raise ValueError(f"{self.root}: the corpus has begun")
-        flat = read_flat_corpus(self.spark, folder)
-        sizes = flat.where("shard is not null").groupBy("shard").agg(F.sum(csv_row_bytes(COLUMNS)).alias("bytes"))
-        last = sizes.agg(F.max(F.struct("shard", "bytes")).alias("m")).first()["m"]
-        state = (int(last["shard"]), int(last["bytes"])) if last else (1, 0)
+        read_flat_corpus(self.spark, folder)  # raises where there is nothing to adopt
+        state, files = (1, 0), flat_shards(self.spark, folder)
+        top = files.agg(F.max("shard")).first()[0]
+        while top is not None:  # usually once: a file without rows doesn't count
+            names = [r["file"] for r in files.where(F.col("shard") == top).collect()]
+            have = read_flat_corpus(self.spark, names).agg(F.sum(csv_row_bytes(COLUMNS))).first()[0]
+            if have is not None:
+                state = (int(top), int(have))
+                break
+            top = files.where(F.col("shard") < top).agg(F.max("shard")).first()[0]
         manifest.publish(self.spark, self.root, version, {"appends": [], "shard": state[0], "bytes": state[1], "flat": folder})
         return state
 
@@ -90,12 +96,14 @@ class CorpusTable:
             state = live.get("shard", 1), live.get("bytes", 0)
             name = f"{version + 1:012d}-{uuid.uuid4().hex}"
             written = Observation()
-            sharded = assign_shards(rows, order, self.limit, state=state).observe(
-                written, F.count(F.lit(1)).alias("rows"), F.sum("row_bytes").alias("row_bytes"))
+            sharded = by_shard(assign_shards(rows, order, self.limit, state=state), order).observe(
+                written, F.count(F.lit(1)).alias("rows"), F.sum("row_bytes").alias("row_bytes"), F.max("shard").alias("last"))
             write_corpus_shards(sharded, self._folder(name), "errorifexists")
-            entry = {"name": name, **{k: int(v or 0) for k, v in {**written.get, **seen}.items()},
+            counted = dict(written.get)
+            last = counted.pop("last")
+            entry = {"name": name, **{k: int(v or 0) for k, v in {**counted, **seen}.items()},
                      "seconds": time.monotonic() - begun}
-            shard, have = self._last(name, state) if entry["rows"] else state
+            shard, have = self._last(name, last, state) if entry["rows"] else state
             appends = live.get("appends", [])
             try:
                 manifest.publish(self.spark, self.root, version, {
@@ -106,11 +114,9 @@ class CorpusTable:
                     raise
         raise AssertionError("not reached")
 
-    def _last(self, name: str, state: tuple[int, int]) -> tuple[int, int]:
-        """The state after append ``name``; of its files only the last shard's are read."""
-        mine = self._read([name])
-        shard = int(mine.agg(F.max("shard")).first()[0])
-        size = int(mine.where(F.col("shard") == shard).agg(F.sum(csv_row_bytes(COLUMNS))).first()[0])
+    def _last(self, name: str, shard: int, state: tuple[int, int]) -> tuple[int, int]:
+        """The state after append ``name``, whose last shard is ``shard``; only that shard is read."""
+        size = int(self._read([name]).where(F.col("shard") == shard).agg(F.sum(csv_row_bytes(COLUMNS))).first()[0])
         return shard, size + (state[1] if shard == state[0] else 0)
 
     def counters(self) -> DataFrame:

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ws import WS
-from .splits import BLOCK_BYTES, read_csv, read_json_array
+from ..session import cut
+from .splits import BLOCK_BYTES, file_blocks, read_csv, read_json_array
 
 # Python csv dialect, spelled as Spark options.
 PY_CSV_WRITE = dict(header=True, quote='"', escape='"', lineSep="\r\n", emptyValue="",
@@ -54,20 +55,37 @@ def reencode_csv(spark: SparkSession, src: str, src_encoding: str, dst: str, dst
     df.drop(*df.columns[:3]).write.options(**opts).csv(dst)
 
 
+def by_shard(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` dealt by ``shard``, in ``order``: a shard is written by one task (a large one by as many as
+    AQE splits it into), so that files grow with the shards and not with shards x tasks."""
+    return rows.hint("rebalance", "shard").sortWithinPartitions("shard", *order)
+
+
 def write_corpus_shards(rows: DataFrame, path: str, mode: str = "append") -> None:
     """K3: ``(shard, keyword, url, text)`` → one folder per shard, header in every file."""
     (rows.select("shard", "keyword", "url", "text").write.mode(mode)
      .partitionBy("shard").options(**PY_CSV_WRITE).csv(path))
 
 
-def read_flat_corpus(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A folder of flat ``corpus_<n>.csv`` files, with the columns of ``read_corpus``
-    (``shard`` = n; columns by position), a large file by many tasks. ``row_pos`` orders rows inside a
-    file: a block's first byte plus the row's number in the block, which stays under the next block's."""
-    df = read_csv(spark, f"{path.rstrip('/')}/corpus_*.csv", block_bytes=block_bytes)
+def _flat_shard(file: str) -> F.Column:
+    return F.regexp_extract(file, "corpus_([0-9]+)[.]csv$", 1).try_cast("int")
+
+
+def flat_shards(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, shard)`` of the numbered files of a flat folder (only listed)."""
+    files = cut(file_blocks(spark, f"{path.rstrip('/')}/corpus_*.csv", 1 << 62).select("file"), "flat-files")
+    return files.select("file", _flat_shard("file").alias("shard")).where("shard is not null")
+
+
+def read_flat_corpus(spark: SparkSession, path: str | list[str], block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A folder of flat ``corpus_<n>.csv`` files (or some of its files), with the columns of
+    ``read_corpus`` (``shard`` = n; columns by position), a large file by many tasks. ``row_pos`` orders rows
+    inside a file: a block's first byte plus the row's number in the block, which stays under the next block's."""
+    where = f"{path.rstrip('/')}/corpus_*.csv" if isinstance(path, str) else path
+    df = read_csv(spark, where, block_bytes=block_bytes)
     keyword, url, text = (F.col(f"`{c}`") for c in df.columns[3:6])
     return df.select(keyword.alias("keyword"), url.alias("url"), F.coalesce(text, F.lit("")).alias("text"),
-                     F.regexp_extract("file", "corpus_([0-9]+)[.]csv$", 1).try_cast("int").alias("shard"),
+                     _flat_shard("file").alias("shard"),
                      F.col("file").alias("file_name"), (F.col("start") + F.col("row")).alias("row_pos"))
 
 

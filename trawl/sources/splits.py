@@ -17,6 +17,7 @@ from __future__ import annotations
 import codecs
 import csv
 import io
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -49,7 +50,7 @@ def open_file(uri: str):
     return system.open_input_file(path)
 
 
-def file_blocks(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def file_blocks(spark: SparkSession, path: str | list[str], block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row ``(file, size, start)`` per block of the files under ``path`` (no content is read)."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
              .select(F.col("path").alias("file"), F.col("length").alias("size")).where("size > 0"))
@@ -57,9 +58,13 @@ def file_blocks(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES)
         F.lit(0).cast("long"), F.col("size") - 1, F.lit(block_bytes).cast("long"))).alias("start"))
 
 
-def _spread(blocks: DataFrame) -> DataFrame:
-    """Blocks dealt to tasks in file and byte order, so the order of tasks and rows is the files' order."""
-    tasks = max(1, min(blocks.count(), MAX_TASKS))
+def _spread(blocks: DataFrame, block_bytes: int) -> DataFrame:
+    """Blocks dealt to tasks in file and byte order, so the order of tasks and rows is the files' order:
+    a task takes one whole block, or many small files."""
+    # opening a file counts as a 64th of a block
+    part = F.least(F.col("size") - F.col("start"), F.lit(block_bytes)) + F.lit(block_bytes / 64)
+    n, load = blocks.agg(F.count(F.lit(1)), F.sum(part)).first()
+    tasks = max(1, min(n, MAX_TASKS, math.ceil((load or 0) / block_bytes)))
     return blocks.repartitionByRange(tasks, "file", "start").sortWithinPartitions("file", "start")
 
 
@@ -69,7 +74,7 @@ def _states(spark: SparkSession, path: str, block_bytes: int, scan: Callable) ->
     ``scan(f, start, end)`` gives what a block changes: quotes mod 2, and nesting if it starts outside
     and inside quotes."""
     ship_package(spark)
-    blocks = file_blocks(spark, path, block_bytes)
+    blocks = cut(file_blocks(spark, path, block_bytes), "file-blocks")
     schema = "file string, size long, start long, flips int, outside long, inside long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,7 +85,7 @@ def _states(spark: SparkSession, path: str, block_bytes: int, scan: Callable) ->
                     found.append((file, size, start, *scan(f, start, min(start + block_bytes, size))))
             yield pd.DataFrame(found, columns=["file", "size", "start", "flips", "outside", "inside"])
 
-    large = cut(_spread(blocks.where(F.col("size") > block_bytes)).mapInPandas(run, schema), "block-states")
+    large = cut(_spread(blocks.where(F.col("size") > block_bytes), block_bytes).mapInPandas(run, schema), "block-states")
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     quoted = large.withColumn("quoted", (F.coalesce(F.sum("flips").over(before), F.lit(0)) % 2).cast("int"))
     gain = F.when(F.col("quoted") == 1, F.col("inside")).otherwise(F.col("outside"))
@@ -117,7 +122,7 @@ def _records(states: DataFrame, block_bytes: int, fields: list[str], parse: Call
                 if rows:
                     yield out()
 
-    return _spread(states).mapInPandas(run, schema)
+    return _spread(states, block_bytes).mapInPandas(run, schema)
 
 
 # -- CSV ------------------------------------------------------------------------------
@@ -178,7 +183,7 @@ def csv_rows(body: bytes, encoding: str, first_block: bool) -> Iterator[list[str
     return (r for r in rows if r)
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """CSV files in Python's default dialect (header, minimal or full quoting, doubled quotes) →
     ``(file, start, row, <columns of the header>)``, all strings, by many tasks a file.
 
