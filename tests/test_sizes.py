@@ -135,3 +135,15 @@ def test_small_files_share_tasks(spark, tmp_path):
     (tmp_path / "large").mkdir()
     (tmp_path / "large" / "f.csv").write_text("a\r\n" + "x\r\n" * 1000, newline="")
     assert splits.read_csv(spark, f"{tmp_path}/large", block_bytes=512).rdd.getNumPartitions() == 6
+
+
+def test_para_normalize_counts_no_words(spark, tmp_path):
+    from trawl.plans.queries import QUERIES
+
+    html = "<article><p>a  b\tc d</p><p>x y z</p><p>　one  two three four </p></article>"
+    spark.createDataFrame([(1, "http://h/", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = QUERIES["para_normalize"](spark, str(tmp_path))
+    got = {r.para_idx: (r.raw_chars, r.n_chars, r.raw_ws) for r in out.collect()}
+    assert got[1] == (8, 7, 4) and got[2] == (19, 18, 4)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan  # one string per word of every block
