@@ -3,7 +3,9 @@
 import glob
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark.sql import types as T
 
 from trawl.functions.batches import pieces
 from trawl.operators import langid as LID
@@ -23,25 +25,22 @@ def test_pieces_are_bounded_and_whole():
 
 
 def test_pages_are_parsed_a_piece_at_a_time(monkeypatch):
-    from pyspark.sql import types as T
-
     from trawl.operators import html as H
 
     class Pages:
-        columns, sparkSession = ["page_id", "url", "html"], None
+        sparkSession = None
         schema = T.StructType().add("page_id", "long").add("url", "string").add("html", "string")
 
-        def mapInArrow(self, run, schema):
+        def mapInPandas(self, run, schema):
             return run
 
     monkeypatch.setattr(H, "ship_package", lambda spark: None)
     html = "<p>" + "word " * 1000 + "</p><a href='/x'>"
-    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["http://h/"] * 1000), pa.array([html] * 999 + [None])], Pages.columns)
-    got = list(H.parse_pages(Pages())(iter([batch])))
-    assert max(b.num_rows for b in got) <= (1 << 20) // len(html)
-    assert [i for b in got for i in b.column(0).to_pylist()] == [*range(1000)]
-    assert got[0].column(3)[0].as_py() == ["/x"] and got[0].column(4)[0].as_py() == ["http://h/x"]
-    assert got[-1].column(2)[-1].as_py() == []
+    pages = pd.DataFrame({"page_id": range(1000), "url": "http://h/", "html": [html] * 999 + [None]})
+    got = list(H.parse_pages(Pages())(iter([pages])))
+    assert max(len(x) for x in got) <= (1 << 20) // len(html) + 1  # a page without html takes no room
+    assert [i for x in got for i in x["page_id"]] == [*range(1000)]
+    assert got[0]["links"].iloc[0] == ["http://h/x"] and got[-1]["blocks"].iloc[-1] == []
 
 
 def _watched(monkeypatch):
