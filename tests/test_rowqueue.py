@@ -77,6 +77,23 @@ def test_intake_pops_rows_and_goes_on_after_restarts(spark, tmp_path):
     assert sorted(r.url for r in read_intake(spark, out, "seeds").collect()) == ["http://h/a", "http://h/e"]
 
 
+def test_a_batch_without_a_lookup_is_one_job(spark, tmp_path):
+    out = scratch_dir(spark, "queue-out")
+    _drop(tmp_path, "kw_1.csv", ["zeytin", " \u2003elma\x1c", "\u3000 ", "armut", "ayva"], 1)
+    q = run_intake(spark, keyword_queue(spark, str(tmp_path), 2), None, out, drain=True)
+    assert [r.rows for r in batch_counters(spark, q).orderBy("batch").collect()] == [2, 2, 1]
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(q.runId))) == 3
+    assert [r.keyword for r in read_intake(spark, out, "keywords").orderBy("seq").collect()] == ["zeytin", "elma", "armut", "ayva"]
+    seeds = read_intake(spark, out, "seeds")
+    assert seeds.count() == 0 and seeds.dtypes == [("keyword", "string"), ("pos", "bigint"), ("url", "string")]
+    # the same root goes on with a lookup
+    _drop(tmp_path, "kw_2.csv", ["kiraz"], 2)
+    found = spark.createDataFrame([("kiraz", 0, "http://h/k")], "keyword string, pos long, url string")
+    run_intake(spark, keyword_queue(spark, str(tmp_path), 2), found, out, drain=True)
+    assert read_intake(spark, out, "keywords").count() == 5
+    assert [tuple(r) for r in read_intake(spark, out, "seeds").collect()] == [("kiraz", 0, "http://h/k")]
+
+
 def test_runs_from_another_working_directory(tmp_path):
     """Neither blocks nor the queue need the package on the workers' or the planner's path."""
     import subprocess

@@ -58,26 +58,34 @@ def keyword_stream(spark: SparkSession, path: str, schema: str = "seq long, keyw
     return r.parquet(path)
 
 
-def run_intake(spark: SparkSession, keywords: DataFrame, seeds_for: DataFrame, out_root: str,
+def run_intake(spark: SparkSession, keywords: DataFrame, seeds_for: DataFrame | None, out_root: str,
                trigger_once: bool = True, processing_time: str = "1 second", checkpoint: str | None = None,
                drain: bool = False):
     """I2 + K6: each micro-batch of keywords is cleaned and appended with its seed URLs.
 
     ``seeds_for(keyword, pos, url)`` is the result-page lookup (stored); a keyword without
-    seeds is still enqueued (the threshold is applied when crawling). A batch is one write (one
+    seeds is still enqueued (the threshold is applied when crawling). ``None``: there are no seeds, and
+    a batch is one pass over its rows, without the lookup's shuffles. A batch is one write (one
     commit) of both kinds of rows; ``read_intake`` gives them back. ``drain`` takes batch after batch
     until the source is empty, then stops.
     """
     checkpoint = checkpoint or f"{out_root.rstrip('/')}/{CHECKPOINTS}/intake"
     run = _run_id(checkpoint)
+    # a small batch costs as much to plan as to run, so what all batches share is made once
+    no_seed = [F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("url")] if seeds_for is None else []
+    as_keywords = [F.col("keyword"), order_key(keywords), F.lit("keywords").alias("kind"), *no_seed]
+    lookup = None if seeds_for is None else seeds_for.select("keyword", "pos", "url", F.lit("seeds").alias("kind"))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        kw = clean_keywords(batch).persist()  # used twice; the source is read (and its rows counted) once
-        seeds = seeds_for.select("keyword", "pos", "url").join(kw.select("keyword"), "keyword", "left_semi")
-        rows = (kw.select("keyword", order_key(kw)).withColumn("kind", F.lit("keywords"))
-                .unionByName(seeds.withColumn("kind", F.lit("seeds")), allowMissingColumns=True))
+        kw = clean_keywords(batch)
+        if lookup is not None:
+            kw = kw.persist()  # used twice; the source is read (and its rows counted) once
+        rows = kw.select(*as_keywords)
+        if lookup is not None:
+            rows = rows.unionByName(lookup.join(kw.select("keyword"), "keyword", "left_semi"), allowMissingColumns=True)
         rows.write.mode("overwrite").partitionBy("kind").parquet(_batch_path(f"{out_root}/intake", run, batch_id))
-        kw.unpersist()
+        if lookup is not None:
+            kw.unpersist()
 
     return _start(keywords, per_batch, checkpoint, trigger_once, processing_time, drain)
 
